@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import decontam, mixing, sharding, simhash, substring, toxicity
+from siftline.llm import decontam, mixing, sharding, simhash, substring, suffix, toxicity
 from siftline.llm.common import read
 
 
@@ -28,10 +28,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_substring, op5_toxicity, op7_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_substring, op5_toxicity, op7_simhash, op9_suffix_array, op10_decontamination)}
 #: SQL for those that SQL expresses at a bearable cost; the others are tested against brute force.
 ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op4_substring": substring.ORACLE_SQL}
