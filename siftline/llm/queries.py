@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import decontam, mixing, sharding, simhash, substring, suffix, toxicity
+from siftline.llm import ann, decontam, mixing, sharding, simhash, substring, suffix, toxicity, urlfilter
 from siftline.llm.common import read
 
 
@@ -16,6 +16,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, urlfilter.repeated_urls(pages))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(read(spark, sf_dir, "documents"))
 
@@ -28,6 +33,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(read(spark, sf_dir, "documents"))
 
@@ -36,6 +45,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_substring, op5_toxicity, op7_simhash, op9_suffix_array, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_url_filter, op4_substring, op5_toxicity, op7_simhash, op8_nearest, op9_suffix_array, op10_decontamination)}
 #: SQL for those that SQL expresses at a bearable cost; the others are tested against brute force.
-ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op4_substring": substring.ORACLE_SQL}
+ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op3_url_filter": urlfilter.ORACLE_SQL, "op4_substring": substring.ORACLE_SQL}
