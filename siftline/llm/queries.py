@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import ann, decontam, mixing, sharding, simhash, substring, suffix, toxicity, urlfilter
+from siftline.llm import ann, decontam, mixing, pii, sharding, simhash, substring, suffix, toxicity, urlfilter
 from siftline.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_url_filter, op4_substring, op5_toxicity, op7_simhash, op8_nearest, op9_suffix_array, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_url_filter, op4_substring, op5_toxicity, op6_pii, op7_simhash, op8_nearest, op9_suffix_array, op10_decontamination)}
 #: SQL for those that SQL expresses at a bearable cost; the others are tested against brute force.
 ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op3_url_filter": urlfilter.ORACLE_SQL, "op4_substring": substring.ORACLE_SQL}
