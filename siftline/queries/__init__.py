@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from siftline.queries import events, pages
+from siftline.queries import events, funnel, pages
 from siftline.queries.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "events", "pages"]
+__all__ = ["ORACLES", "QUERIES", "events", "funnel", "pages"]
