@@ -25,14 +25,18 @@ def technologies(text: Column) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(F.filter(found, lambda w: ~F.lower(w).isin(*_STOP))), clients))
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def sections(dossiers: DataFrame, *, entity: str = "entity", text: str = "text") -> DataFrame:
     """(entity, ord, category, uri, text) of each marked section; text before the first marker is PREAMBLE if it has prose lines."""
     heads = F.regexp_extract_all(text, F.lit(MARKER), F.lit(0))
     bodies = F.split(text, MARKER)
-    lead = F.trim(F.get(bodies, F.lit(0)))
+    lead = _strip(F.get(bodies, F.lit(0)))
     has_prose = F.exists(F.split(lead, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.ltrim(x), F.lit("#")))
     made = F.zip_with(heads, F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))), lambda h, b: F.struct(
-        F.replace(F.trim(F.regexp_extract(h, MARKER, 1)), F.lit(" "), F.lit("_")).alias("category"), F.trim(F.regexp_extract(h, MARKER, 2)).alias("uri"), F.trim(b).alias("text")))
+        F.replace(F.trim(F.regexp_extract(h, MARKER, 1)), F.lit(" "), F.lit("_")).alias("category"), F.trim(F.regexp_extract(h, MARKER, 2)).alias("uri"), _strip(b).alias("text")))
     first = F.when((lead != "") & ((F.size(heads) == 0) | has_prose), F.array(F.struct(F.lit("PREAMBLE").alias("category"), F.lit("").alias("uri"), lead.alias("text"))))
     every = F.concat(F.coalesce(first, F.slice(made, 1, 0)), made)
     return dossiers.select(F.col(entity).alias("entity"), F.posexplode(every).alias("ord", "s")).select("entity", "ord", "s.category", "s.uri", "s.text")
