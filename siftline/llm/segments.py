@@ -165,12 +165,14 @@ def repeats(occ: DataFrame, both_ways: bool) -> tuple[DataFrame, DataFrame]:
     the document of the smallest id, earliest there) stays; with ``both_ways`` none does.
     """
     groups = occ.groupBy("anchor").agg(F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
+    groups = materialise(groups, "anchor-counts")  # so that the join has exchanges of its own, whose hot partitions can be split
     hits = occ.join(groups.select("anchor", (F.col("s0") == F.col("s1")).alias("single"), "least"), "anchor")
     hits = materialise(hits, "repeated-anchors")
     later = F.lit(True) if both_ways else ((F.col("id") != F.col("least")) | ~F.col("first"))
     gone = hits.where("single").where(later).select("id", "tkey", "start", "windows")
     several = hits.where("not single").drop("least", "single")
     distinct = several.groupBy("anchor", "seg").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    distinct = materialise(distinct, "distinct-segments")
     marked = materialise(several.join(distinct, ["anchor", "seg"]), "several")
     again = marked.where("n > 1").where(later).select("id", "tkey", "start", "windows")
     alone = marked.where((F.col("id") == F.col("least")) & F.col("first"))

@@ -166,7 +166,7 @@ def repeated_windows(own: dict[str, np.ndarray], contents: list[bytes], n: int)
     return gone
 
 
-def gone(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 32, hot: int = 20_000, shard_symbols: int = 4 << 20) -> DataFrame:
+def gone(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 32, hot: int = 20_000, shard_symbols: int = 1 << 20) -> DataFrame:
     """Windows of ``length`` bytes that also start elsewhere, as runs: id, tkey, start (byte), windows."""
     own = S.keyed(docs, doc_id, text)
 
