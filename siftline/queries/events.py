@@ -317,3 +317,26 @@ def id_sets(t: Tables) -> DataFrame:
     return flags.select(F.explode(parts).alias("part"), "entity")
 
 
+
+
+@query("""SELECT entity, outcome, score, sightings FROM (""" + LEDGER_STATE_SQL + """)""")
+def stream_ledger_state(t: Tables) -> DataFrame:
+    """The ledger folded by a stream over the files of events; the last state of each entity."""
+    import uuid
+
+    from siftline.streaming.ledger import stream_state
+
+    spark = t.spark
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}"
+    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*")
+    own = events.select("event_id", *[F.expr(_LEDGER_SPARK[k]).alias(k) for k in ("entity", "outcome", "score")])
+    out = stream_state(own)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/{number:06d}")
+
+    writer = out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True)
+    writer.start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/out/*")
+    return rows.groupBy("entity").agg(F.max_by("outcome", "sightings").alias("outcome"), F.max_by("score", "sightings").alias("score"), F.max("sightings").alias("sightings"))
