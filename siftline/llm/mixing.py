@@ -1,6 +1,6 @@
 """Mixing sources to target weights by temperature, with DataFrame operations alone.
 
-Token shares p are raised to an exponent a in [0, 1] and normalised. The exponent is bisected to the smallest one whose
+Token shares p are raised to an exponent and normalised. The exponent is bisected to the smallest one whose
 weights meet a repetition limit, or to the one whose weights meet a target entropy. The budget is the least that reads every
 source in full once; a source's stream is its documents in a new permutation for each epoch, cut at its share of the budget,
 and laid evenly over blocks of a fixed number of tokens, which are permuted in themselves.
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from siftline.llm.common import NULL_ID, WORD, materialise
 
 STEPS = 40
+#: Where the search for a target entropy ends; exponents above 1 favour large sources.
+SHARPEST = 16.0
 
 
 def tokens(text: Column) -> Column:
@@ -31,8 +33,8 @@ def _source(source: Column) -> Column:
 def exponent(shares: DataFrame, *, max_repeats: float | None, target_entropy: float | None) -> float:
     """Bisect the exponent over (p): repetitions and entropy (bits) both fall as it grows. Each step is one aggregate row."""
 
-    def bisect(holds) -> float:
-        low, high = 0.0, 1.0
+    def bisect(holds, high: float) -> float:
+        low = 0.0
         if holds(low):
             return low
         for _ in range(STEPS):
@@ -43,7 +45,7 @@ def exponent(shares: DataFrame, *, max_repeats: float | None, target_entropy: fl
     found = [0.0] if max_repeats or target_entropy is not None else [1.0]
     if max_repeats:
         least, most = shares.agg(F.min("p"), F.max("p")).first()
-        found.append(bisect(lambda a: (most / least) ** (1 - a) <= max_repeats) if least else 1.0)
+        found.append(bisect(lambda a: (most / least) ** (1 - a) <= max_repeats, 1.0) if least else 1.0)
     if target_entropy is not None:
         p = F.col("p")
 
@@ -52,7 +54,7 @@ def exponent(shares: DataFrame, *, max_repeats: float | None, target_entropy: fl
             z, s = shares.agg(F.sum(power), F.sum(power * F.log2(power))).first()
             return z is None or math.log2(z) - s / z <= target_entropy  # bits of the normalised powers
 
-        found.append(bisect(low_enough))
+        found.append(bisect(low_enough, SHARPEST))
     return max(found)
 
 
