@@ -79,7 +79,7 @@ def sort_keys(claim: Column, *, descending: bool = False) -> list[Column]:
     """Typed order: ascending nulls, numbers, strings; descending strings excluded from numbers, numbers first, nulls last."""
     number = _number(claim)
     rank = F.when(claim.isNull() | (claim == "null"), 0).when(number.isNotNull(), 2 if descending else 1).otherwise(1 if descending else 2)
-    word = F.when(number.isNull(), claim)
+    word = F.when(number.isNull() & (claim != "null"), claim)
     if descending:
         return [rank.desc(), number.desc_nulls_last(), word.desc_nulls_last()]
     return [rank.asc(), number.asc_nulls_first(), word.asc_nulls_first()]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from siftline.functions import html as H
 
-ITEM = T.StructType.fromDDL("item_id string, text string, title string, source_uri string, content_type string, metadata map<string,string>")
+ITEM = "item_id string, text string, title string, source_uri string, content_type string, metadata map<string,string>"
 # --- Fixed values: columns looked for, in order of preference
 ID_COLUMNS = ("item_id", "id", "domain", "key", "name", "slug")
 TEXT_COLUMNS = ("text", "research", "content", "body", "description", "summary", "input")

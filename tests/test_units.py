@@ -98,7 +98,7 @@ def test_text_and_html(spark):
     t = F.col("t")
     assert one(spark, T.garbage(t), t="\x00" * 60 + "a" * 60) and not one(spark, T.garbage(t), t="\x00" * 20)
     assert html.read_html("<nav>menu</nav><article><p>Hello <b>you</b></p></article><p>aside</p><script>x()</script>") == "Hello\nyou"
-    assert one(spark, F.array_join(evidence.technologies(t), ","), t="We moved clients Acme to Kafka. Then Terraform came") == "Kafka"
+    assert one(spark, F.array_join(evidence.technologies(t), ","), t="We moved clients Acme to Kafka. Then Terraform came") == "Kafka,Terraform"
 
 
 def test_calibration_recovers_points(spark):
