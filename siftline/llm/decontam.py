@@ -166,3 +166,18 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
                         own.add(str(item))
         out.append((doc, len(words), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)))
     return out
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id::VARCHAR AS item, least(13, len(w)) AS n, array_to_string(w[s.s + 1 : s.s + least(13, len(w))], ' ') AS seq FROM b, unnest(range(0, greatest(1, len(w) - 12))) AS s(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM p),
+x AS (SELECT doc_id, s.s AS start, n, array_to_string(w[s.s + 1 : s.s + n], ' ') AS seq FROM d, sizes, unnest(range(0, greatest(len(w) - n + 1, 0))) AS s(s)),
+h AS (SELECT x.doc_id, x.start, x.n, p.item FROM x JOIN p ON x.seq = p.seq AND x.n = p.n),
+c AS (SELECT doc_id, count(DISTINCT start + j.j) AS n_hit FROM h, unnest(range(0, n)) AS j(j) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
+  coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+"""
