@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from siftline.queries import events, funnel, items, pages, scores
+from siftline.queries import captures, events, funnel, items, pages, scores
 from siftline.queries.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "events", "funnel", "items", "pages", "scores"]
+__all__ = ["ORACLES", "QUERIES", "captures", "events", "funnel", "items", "pages", "scores"]
