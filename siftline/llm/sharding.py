@@ -9,10 +9,9 @@ from siftline.llm.common import materialise
 
 
 class Bins:
-    """Remaining capacities in a balanced tree: each inner node keeps the largest key below it, leaves are open bins.
+    """Open bins in a balanced tree, a treap ordered by (remaining capacity, number).
 
-    The tree is an array over the ranks of possible remaining capacities compressed on insertion: a treap whose priorities
-    come from the key, so that its shape depends on its content alone.
+    Priorities come from the key, so the tree's shape depends on its content alone. A node is [key, priority, left, right].
     """
 
     __slots__ = ("root",)
@@ -45,7 +44,7 @@ class Bins:
     def add(self, remaining: int, bin_: int) -> None:
         key = (remaining, bin_)
         a, b = self._split(self.root, key)
-        self.root = self._merge(self._merge(a, [key, hash((key, "bin")), None, None]), b)
+        self.root = self._merge(self._merge(a, [key, hash(key), None, None]), b)
 
     def take(self, size: int) -> tuple[int, int] | None:
         """Remove and return the bin with the least remaining capacity of at least ``size``, the lowest number first."""
