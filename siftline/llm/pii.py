@@ -100,20 +100,26 @@ def _terms(text: str = "text") -> Column:
 def disclosing(docs: DataFrame, spans: DataFrame, *, least_docs: int = 3, floor: float = 0.5, share: float = 0.8) -> DataFrame:
     """(term_hash): terms that disclose an entity. docs (id, tkey, text) and spans (id, tkey, kind, value).
 
-    Counts run over all distinct texts: copies tell nothing new. Terms holding a digit or ``@`` are left to the patterns.
+    The share of a term's documents that hold the entity is taken over all documents. How often an entity occurs, and with how
+    many texts a term must support it, counts distinct texts: copies tell nothing new. Terms with a digit or ``@`` are left to
+    the patterns.
     """
     every = docs.select("tkey").distinct().count()
     entities = materialise(spans.select("tkey", F.xxhash64("kind", "value").alias("entity")).distinct(), "entities")
     held = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least_docs)
     shown = materialise(entities.join(held, "entity"), "shown")
-    # Words of the documents that hold an entity of at least least_docs documents; then the counts of those words alone.
-    near = docs.join(_small(shown), "tkey").select("tkey", "entity", "n_e", F.explode(_terms()).alias("term"))
-    near = near.where((F.length("term") > 2) & ~F.col("term").rlike("[0-9@]")).select("tkey", "entity", "n_e", F.xxhash64("term").alias("term")).distinct()
-    both = near.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least_docs)
-    both = materialise(both, "term-entity")
+    # Words of the documents that hold an entity of at least least_docs texts, each word once a document.
+    holders = materialise(shown.select("tkey").distinct(), "holders")
+    near = docs.join(_small(holders), "tkey", "left_semi").select("tkey", F.explode(_terms()).alias("term"))
+    near = near.where((F.length("term") > 2) & ~F.col("term").rlike("[0-9@]")).select("tkey", F.xxhash64("term").alias("term"))
+    near = materialise(near, "near-terms")
+    both = near.join(_small(shown), "tkey").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"), F.count_distinct("tkey").alias("support")).where(F.col("support") >= least_docs)
+    # A term stands in at least the documents seen here, so P(entity | term) is bounded by them: common words go before the corpus is counted.
+    seen = near.groupBy("term").agg(F.count("*").alias("n_near"))
+    both = materialise(both.join(seen, "term").where(F.col("n_te") >= floor * F.col("n_near")).drop("n_near"), "term-entity")
     asked = materialise(both.select("term").distinct(), "asked-terms")
-    words = docs.select("tkey", F.explode(_terms()).alias("term")).select("tkey", F.xxhash64("term").alias("term"))
-    counted = words.join(_small(asked), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    words = docs.select(F.explode(_terms()).alias("term")).select(F.xxhash64("term").alias("term"))
+    counted = words.join(_small(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     given = F.col("n_te") / F.col("n_t")
     information = -F.log2(F.col("n_e") / F.lit(float(every or 1)))
     disclosed = (F.log2(given) + information) / information
@@ -160,7 +166,7 @@ def _listed(spans: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, counts by kind, base_sha256, spans.
 
-    Null and empty texts have no spans. Repeated rows (same id and text) count once in the statistics and share their spans.
+    Null and empty texts have no spans. Repeated rows (same id and text) share their spans.
     """
     own, spans = find(docs, **options)
     found = own.select("doc_id", "id", "tkey").join(_listed(spans), ["id", "tkey"], "left")
