@@ -181,9 +181,8 @@ def verify_offsets(t: Tables) -> DataFrame:
 
 @query()
 def ground_fuzzy(t: Tables) -> DataFrame:
-    """Quotes that nearly stand in documents which share their beginning."""
-    texts = t.documents.select("doc_id", "text")
-    return I.fuzzy(I.mentions(_quotes(t), texts).join(texts, "doc_id"))
+    """Quotes that stand in documents exactly or nearly: every pair in which the best window reaches the ratio."""
+    return I.fuzzy(I.near(_quotes(t), t.documents.select("doc_id", "text")))
 
 
 @query("SELECT l.doc_id, d.source, l.quality FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id")

@@ -140,3 +140,30 @@ def test_lane_resumes(spark, tmp_path):
     assert [(r.item_id, r.verdict, r.rung) for r in out.collect()] == [(1, "qualified", "stories")]
     broken = [(n, lambda df: 1 / 0) for n, _ in steps]
     assert funnel.run(spark, rows, broken, str(tmp_path / "lane")).count() == 1
+
+
+def test_near_quotes_are_candidates(spark):
+    """Pairs by all quotes against all texts, with planted near quotes: typos, curly quotes, changed blanks, nothing in common."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    quotes = [prose(n) for n in (4, 8, 15, 30, 50)] + ['"Yes," they said: it\'s done... at last, and for good']
+    texts = [prose(200), "", "x"]
+    for q in quotes:
+        typo = list(q)
+        for _ in range(max(1, len(q) // 20)):
+            typo[rng.randrange(len(q))] = "z"
+        mixed = "".join(c + "#" if i % 14 == 7 else "" if i % 14 == 0 else c for i, c in enumerate(q))
+        for form in ("".join(typo), mixed, q.replace(" ", "  "), q.replace('"', "“").replace("'", "’").replace("...", "…")):
+            texts.append(prose(rng.randrange(40)) + " " + form + " " + prose(30))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
+    want = {(d, q, *found) for d, t in enumerate(texts) for q, quote in enumerate(quotes) if t and (found := items.fuzzy_find(quote, t))}
+    got = {tuple(r) for r in items.fuzzy(items.near(asked, docs)).collect()}
+    assert got == want and len({q for _, q, *_ in want}) == len(quotes) and sum(quotes[q] not in texts[d] for d, q, *_ in want) >= 12
+
+
+def test_fuzzy_offsets_are_of_the_text_as_it_was():
+    text = "Well… so… it was… and then we migrated forty services to the cloud"
+    a, b, ratio = items.fuzzy_find("and then we migrated forty services to the cloud", text)
+    assert ratio >= 0.85 and abs(a - text.index("and then")) <= 6 and b <= len(text)
