@@ -157,6 +157,14 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return own.select(key.alias("id"), tkey.alias("tkey"), "text")
 
 
+def single(own: DataFrame) -> DataFrame:
+    """(id, tkey, text) with each repeated row once. Keys alone are shuffled, and the texts of repeated rows."""
+    again = materialise(own.groupBy("id", "tkey").agg(F.count("*").alias("n")).where("n > 1").select("id", "tkey"), "repeated-rows")
+    if again.isEmpty():
+        return own
+    return own.join(again, ["id", "tkey"], "left_anti").unionByName(own.join(again, ["id", "tkey"], "left_semi").dropDuplicates(["id", "tkey"]))
+
+
 def repeats(occ: DataFrame, both_ways: bool) -> tuple[DataFrame, DataFrame]:
     """What equal segments tell, and what is left to search.
 

@@ -118,14 +118,19 @@ def common_prefixes(text: list[int], order: list[int], stop: int) -> list[int]:
 
 
 def candidates(contents: list[bytes], n: int, grain: int = 5) -> np.ndarray:
-    """Which segments can hold ``n`` bytes that another one holds as well: a necessary condition from the phrases' suffix array."""
+    """Which segments can hold ``n`` bytes that another one holds as well: a necessary condition from the phrases' suffix array.
+
+    The 8 bytes before an edge decide it, so the edges at 8 bytes or more from the start of a shared stretch are shared too. Of the
+    phrase before the first of these up to 7 bytes of the stretch may be cut off, by an edge that bytes outside decided.
+    """
     raw = np.frombuffer(b"".join(contents), np.uint8)
     sizes = np.array([len(c) for c in contents])
     ends = np.cumsum(sizes)
     sums = S.Sums(S.byte_symbols(raw))
     at = np.arange(8, len(raw))
     edge = np.zeros(len(raw) + 1, bool)
-    edge[at] = sums.of(at - 8, at) >> np.uint64(64 - grain) == 0
+    inside = at - np.concatenate(([0], ends))[np.searchsorted(ends, at, "right")] >= 8  # context doesn't cross the start of a segment
+    edge[at] = (sums.of(at - 8, at) >> np.uint64(64 - grain) == 0) & inside
     edge[0] = edge[ends] = True
     cuts = np.flatnonzero(edge)
     begin, stop = cuts[:-1], cuts[1:]
@@ -141,7 +146,7 @@ def candidates(contents: list[bytes], n: int, grain: int = 5) -> np.ndarray:
     last = np.minimum(np.arange(len(begin)) + shared, len(begin) - 1)  # the phrase after the shared ones
     before = np.where(np.arange(len(begin)) > 0, np.roll(length, 1), 0)
     reach = before + np.concatenate(([0], np.cumsum(length)))[last] - np.concatenate(([0], np.cumsum(length)))[:-1] + length[last]
-    possible = reach >= n  # with no shared phrase: two neighbours long enough by themselves
+    possible = reach + 7 >= n  # with no shared phrase: two neighbours long enough by themselves
     return np.bincount(owner[possible], minlength=len(sizes)) > 0
 
 
@@ -168,7 +173,7 @@ def repeated_windows(own: dict[str, np.ndarray], contents: list[bytes], n: int)
 
 def gone(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 32, hot: int = 20_000, shard_symbols: int = 1 << 20) -> DataFrame:
     """Windows of ``length`` bytes that also start elsewhere, as runs: id, tkey, start (byte), windows."""
-    own = S.keyed(docs, doc_id, text)
+    own = S.single(S.keyed(docs, doc_id, text))
 
     def cut(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
         data = raw.tobytes()

@@ -230,3 +230,26 @@ def test_pipeline_stages_by_brute_force(spark):
             assert len({r.doc_id for r in rows}) == len(rows) < len(before)
         before = {r.doc_id: r.text for r in rows}
     assert corpus_pipeline.STAGES[4][1](spark, docs, sf).count() == docs.count()
+
+
+def test_suffix_candidates_keep_all_repeats_at_the_border():
+    """Repeats of 399 to 410 bytes, 200 of each length, against what is known by construction."""
+    rng = random.Random(3)
+    some = lambda n: bytes(rng.randrange(32, 127) for _ in range(n))
+    for size in range(399, 411):
+        for _ in range(200):
+            shared = some(size)
+            pair = [some(rng.randrange(30)) + shared + some(rng.randrange(30)) for _ in range(2)]
+            held = any(pair[0][i : i + 400] in pair[1] for i in range(len(pair[0]) - 399))
+            assert suffix.candidates([some(50), *pair], 400).tolist()[1:] == [True, True] or not held
+
+
+def test_suffix_array_at_the_border_and_repeated_rows(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(chr(rng.randrange(97, 123)) for _ in range(n))
+    rows = [(1, None), (2, text(900)), (3, text(500))]
+    rows += [rows[1], rows[1]]  # one document, three times: nothing of it stands elsewhere
+    for i in range(120):
+        shared = text(399 + i % 12)
+        rows += [(10 + 2 * i, text(rng.randrange(60)) + shared + text(rng.randrange(60))), (11 + 2 * i, text(rng.randrange(60)) + shared + text(rng.randrange(60)))]
+    assert sorted(map(tuple, suffix.digest(frame(spark, rows)).collect()), key=str) == brute_bytes(rows)
