@@ -113,7 +113,7 @@ def exact(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where("first > 0").select("doc_id", "quote_id", (F.col("first") - 1).alias("start"), (F.col("first") - 1 + F.length("quote")).alias("end"), (second > 0).alias("ambiguous"))
 
 
-def mentions(items: DataFrame, texts: DataFrame, *, least: int = 24, most_bytes: int = 64 << 20) -> DataFrame:
+def mentions(items: DataFrame, texts: DataFrame, *, least: int = vocab.MIN_QUOTE, most_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, quote_id, quote): documents that hold a quote of at least ``least`` characters; each text is scanned once.
 
     The quotes go to the tasks as one automaton of at most ``most_bytes``, checked here; more of them are scanned part by part.

@@ -170,7 +170,8 @@ def ground_ambiguous(t: Tables) -> DataFrame:
 
 @query(f"WITH {_HITS} SELECT item_id AS quote_id FROM benchmark WHERE item_id NOT IN (SELECT quote_id FROM h)")
 def ground_missing_anti(t: Tables) -> DataFrame:
-    return _quotes(t).join(_exact(t), "quote_id", "left_anti").select("quote_id")
+    """Quotes that stand nowhere; here short ones are searched too, so that none is called missing unsearched."""
+    return _quotes(t).join(I.mentions(_quotes(t), t.documents.select("doc_id", "text"), least=1), "quote_id", "left_anti").select("quote_id")
 
 
 @query(f"WITH {_HITS} SELECT doc_id, quote_id, substr(text, first, len(quote)) = quote AS verified FROM h")

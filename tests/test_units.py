@@ -167,3 +167,15 @@ def test_fuzzy_offsets_are_of_the_text_as_it_was():
     text = "Well… so… it was… and then we migrated forty services to the cloud"
     a, b, ratio = items.fuzzy_find("and then we migrated forty services to the cloud", text)
     assert ratio >= 0.85 and abs(a - text.index("and then")) <= 6 and b <= len(text)
+
+
+def test_short_quotes_are_searched(spark):
+    from siftline import vocab
+    from siftline.queries.items import ground_exact, ground_missing_anti
+
+    quotes = [(1, "fifteen letters"), (2, "twelve chars"), (3, "stands nowhere at all"), (4, "no, neither"), (5, "twenty-three characters")]
+    held = {"documents": spark.createDataFrame([(7, "here: fifteen letters and twelve chars, and twenty-three characters")], "doc_id long, text string"), "benchmark": spark.createDataFrame(quotes, "item_id long, text string")}
+    tables = type("Held", (), held)()
+    assert vocab.MIN_QUOTE == 15
+    assert {(r.quote_id, r.start) for r in ground_exact(tables).collect()} == {(1, 6), (5, 44)}
+    assert {r.quote_id for r in ground_missing_anti(tables).collect()} == {3, 4}
