@@ -32,6 +32,7 @@ JAVA = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = "term"
+_MARK = "\uffff"
 SPLIT = rf"[{SPACE}]+"
 ORDER = {kind: i for i, kind in enumerate([*[k for k, _, _ in KINDS], TERM])}
 
@@ -97,12 +98,20 @@ def _terms(text: str = "text") -> Column:
     return F.array_distinct(F.transform(F.split(text, SPLIT), _term))
 
 
+def _free_terms(text: Column, at: Column) -> Column:
+    """Terms of the words that overlap none of the spans ``at``: these are overlaid by a code point that is no character."""
+    size = lambda s: (s["end"] - s["start"]).cast("int")
+    marked = F.aggregate(at, text, lambda t, s: F.overlay(t, F.repeat(F.lit(_MARK), size(s)), s["start"].cast("int") + 1, size(s)))
+    return F.array_distinct(F.transform(F.filter(F.split(marked, SPLIT), lambda w: ~F.contains(w, F.lit(_MARK))), _term))
+
+
 def disclosing(docs: DataFrame, spans: DataFrame, *, least_docs: int = 3, floor: float = 0.5, share: float = 0.8) -> DataFrame:
     """(term_hash): terms that disclose an entity. docs (id, tkey, text) and spans (id, tkey, kind, value).
 
     The share of a term's documents that hold the entity is taken over all documents. How often an entity occurs, and with how
-    many texts a term must support it, counts distinct texts: copies tell nothing new. Terms with a digit or ``@`` are left to
-    the patterns.
+    many texts a term must support it, counts distinct texts: copies tell nothing new. Words that overlap a span of the patterns
+    are no candidates; all others are, whatever their length and characters. An entity of fewer than ``least_docs`` distinct texts
+    discloses nothing here: what names it stays in the texts, the price of not taking chance neighbours for its names.
     """
     every = docs.select("tkey").distinct().count()
     entities = materialise(spans.select("tkey", F.xxhash64("kind", "value").alias("entity")).distinct(), "entities")
@@ -110,8 +119,9 @@ def disclosing(docs: DataFrame, spans: DataFrame, *, least_docs: int = 3, floor:
     shown = materialise(entities.join(held, "entity"), "shown")
     # Words of the documents that hold an entity of at least least_docs texts, each word once a document.
     holders = materialise(shown.select("tkey").distinct(), "holders")
-    near = docs.join(_small(holders), "tkey", "left_semi").select("tkey", F.explode(_terms()).alias("term"))
-    near = near.where((F.length("term") > 2) & ~F.col("term").rlike("[0-9@]")).select("tkey", F.xxhash64("term").alias("term"))
+    at = spans.join(_small(holders), "tkey", "left_semi").groupBy("tkey").agg(F.collect_set(F.struct("start", "end")).alias("at"))  # bounded by a text's length
+    near = docs.join(_small(materialise(at, "holders-spans")), "tkey").select("tkey", F.explode(_free_terms(F.col("text"), F.col("at"))).alias("term"))
+    near = near.where("term <> ''").select("tkey", F.xxhash64("term").alias("term"))
     near = materialise(near, "near-terms")
     both = near.join(_small(shown), "tkey").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"), F.count_distinct("tkey").alias("support")).where(F.col("support") >= least_docs)
     # A term stands in at least the documents seen here, so P(entity | term) is bounded by them: common words go before the corpus is counted.

@@ -83,3 +83,15 @@ def test_long_runs_are_quick(spark):
 
 def test_empty_table(spark):
     assert pii.digest(frame(spark, [])).collect() == []
+
+
+def test_terms_with_digits_and_short_terms_disclose(spark):
+    rng = random.Random(9)
+    vocab = [f"word{c}{d}" for c in "abcdefghij" for d in "abcdefghij"]
+    text = lambda: [rng.choice(vocab) for _ in range(30)]
+    rows = [(i, " ".join(text())) for i in range(200)]
+    rows += [(200 + i, " ".join([*text(), "jdoe77,", "A1234", "李四", "Xu", "call:+1", "(017)", "555-7713", "pat@home.org", *text()])) for i in range(5)]
+    rows += [(300, "jdoe77 a1234 李四 xu"), (301, "(017) 555-7713 home pat")]
+    spans = {r.doc_id: r.spans for r in pii.digest(frame(spark, rows)).collect()}
+    assert spans[300] == "term:0:6,term:7:12,term:13:15,term:16:18"
+    assert spans[301] == "" and all(spans[i] == "" for i in range(200))
