@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that words keep: digits, letters (lower-cased) and everything beyond ASCII; the rest separates words.
 _KEPT = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-SCHEMA = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start: int, end: int>>"
+SCHEMA = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start: int, end: int>>, n_items long"
+FIELDS = ["n_words", "n_hit", "item_ids", "spans", "n_items"]
 
 
 def normalise(text: str | None) -> list[bytes]:
@@ -21,9 +22,9 @@ def normalise(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_KEPT).split()
 
 
-def windows(items: Iterable[tuple[str, str | None]], n: int) -> dict[str, set[str]]:
+def windows(items: Iterable[tuple[str | None, str | None]], n: int) -> dict[str, set[str | None]]:
     """Each window of ``n`` words (a shorter item: all its words), framed by blanks, and the items that hold it."""
-    found: dict[str, set[str]] = {}
+    found: dict[str, set[str | None]] = {}
     for item, text in items:
         words = normalise(text)
         for i in range(max(1, len(words) - n + 1) if words else 0):
@@ -31,34 +32,34 @@ def windows(items: Iterable[tuple[str, str | None]], n: int) -> dict[str, set[st
     return found
 
 
-def automaton(items: Iterable[tuple[str, str | None]], n: int) -> ahocorasick.Automaton:
+def automaton(items: Iterable[tuple[str | None, str | None]], n: int) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for window, ids in windows(items, n).items():
-        out.add_word(window, (window.count(" ") - 1, len(window), tuple(sorted(ids))))
+        out.add_word(window, (window.count(" ") - 1, len(window), tuple(ids)))
     if len(out):
         out.make_automaton()
     return out
 
 
-def scan(text: str | None, found: ahocorasick.Automaton) -> tuple[int, int, list[str], list[tuple[int, int]]]:
-    """Words, hit words, items with occurring windows, and the hit runs as code-point offsets of the original text."""
+def scan(text: str | None, found: ahocorasick.Automaton) -> tuple[int, int, list[str], list[tuple[int, int]], int]:
+    """Words, hit words, ids of items with occurring windows, the hit runs as code-point offsets of the original text, and the number of these items: all without an id count as one."""
     words = normalise(text)
     if not words or not len(found):
-        return len(words), 0, [], []
+        return len(words), 0, [], [], 0
     line = f" {b' '.join(words).decode('latin-1')} "
     hits = list(found.iter(line))
     if not hits:
-        return len(words), 0, [], []
+        return len(words), 0, [], [], 0
     blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 0x20)
     edges = np.zeros(len(words) + 1, np.int64)
-    items: set[str] = set()
+    items: set[str | None] = set()
     for end, (size, length, ids) in hits:
         first = int(np.searchsorted(blanks, end - length + 1))
         edges[first] += 1
         edges[first + size] -= 1
         items.update(ids)
     hit = np.cumsum(edges[:-1]) > 0
-    return len(words), int(hit.sum()), sorted(items), _original(text, hit)
+    return len(words), int(hit.sum()), sorted(i for i in items if i is not None), _original(text, hit), len(items)
 
 
 def _original(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -79,7 +80,7 @@ def scanner(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 64
     total = benchmark.select(F.sum(size)).first()[0] or 0
     parts = -(-total // max_bytes) or 1
-    chosen = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null")
+    chosen = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
     made = []
     for part in range(parts):
         some = chosen if parts == 1 else chosen.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
@@ -87,12 +88,12 @@ def scanner(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text
     return made
 
 
-def _column(items: list[tuple[str, str | None]], n: int):
+def _column(items: list[tuple[str | None, str | None]], n: int):
     @F.pandas_udf(SCHEMA)
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found = automaton(items, n)
         for texts in batches:
-            yield pd.DataFrame([scan(t, found) for t in texts], columns=["n_words", "n_hit", "item_ids", "spans"])
+            yield pd.DataFrame([scan(t, found) for t in texts], columns=FIELDS)
 
     return marked
 
@@ -100,7 +101,7 @@ def _column(items: list[tuple[str, str | None]], n: int):
 def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", into: str = "hit", item_text: str = "text", item_id: str = "item_id", window_words: int = 13, max_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` with one more column ``into`` (SCHEMA): words, hit words, item ids and spans of the benchmark passages in the text.
 
-    A window is 13 consecutive words of an item; an item of fewer words, but not none, is one window. Null and empty texts have no words and no hits; an empty benchmark hits nothing; repeated items or rows change nothing. Columns of ``docs`` stay as they are; one named like ``into`` is replaced.
+    A window is 13 consecutive words of an item; an item of fewer words, but not none, is one window. Null and empty texts have no words and no hits; an empty benchmark hits nothing; repeated items or rows change nothing. An item without an id hits like any other; it is counted in n_items, but item_ids leave it out. Columns of ``docs`` stay as they are; one named like ``into`` is replaced.
     """
     found = [f(F.col(text)) for f in scanner(benchmark, item_id=item_id, text=item_text, window_words=window_words, max_bytes=max_bytes)]
     if len(found) == 1:
@@ -122,8 +123,9 @@ def _merged(parts: Column, text: Column) -> Column:
                 else:
                     spans.append((a, b))
             items = sorted({i for p in own for i in p["item_ids"]})
-            rows.append((own[0]["n_words"], sum(len(normalise(text[a:b])) for a, b in spans), items, spans))
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "spans"])
+            unnamed = any(p["n_items"] > len(p["item_ids"]) for p in own)
+            rows.append((own[0]["n_words"], sum(len(normalise(text[a:b])) for a, b in spans), items, spans, len(items) + unnamed))
+        return pd.DataFrame(rows, columns=FIELDS)
 
     return merge(parts, text)
 
@@ -138,7 +140,7 @@ def digest(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", tex
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     hit = mark(own, benchmark, **options).select("doc_id", "hit.*")
     return hit.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
         contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
     )

@@ -136,3 +136,22 @@ def test_decontamination_offsets_and_empty_tables(spark):
     kept = decontam.keep_clean(frame(spark, rows), bench(spark))
     assert kept.columns == ["doc_id", "text", "source", "fp", "hit"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in decontam.brute_force(rows, ITEMS) if not r[-1])
+
+
+def test_items_without_an_id_hit_too(spark):
+    import duckdb
+
+    items = [(None, " ".join(f"q{i}" for i in range(30))), (None, "short item here"), (3, "another short item here")]
+    rows = contaminated_docs() + [(20, "another short item here"), (21, " ".join(f"q{i}" for i in range(13)))]
+    rows = [*dict(rows).items()]  # the SQL takes doc_id for a key
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.sql("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = sorted(con.sql(decontam.ORACLE_SQL).fetchall())
+    for most in (64 << 20, 200):
+        assert sorted(map(tuple, decontam.digest(frame(spark, rows), bench(spark, items), max_bytes=most).collect())) == want
+    hit = {r.doc_id: r.hit for r in decontam.mark(frame(spark, rows), bench(spark, items)).collect()}
+    assert hit[21].n_hit == 13 and hit[21].item_ids == [] and hit[20].item_ids == ["3"]
+    assert not {21, 10} & {r.doc_id for r in decontam.keep_clean(frame(spark, rows), bench(spark, items)).collect()}
