@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm import segments as S
-from siftline.llm.common import materialise, width
+from siftline.llm.common import width
 
 _WORD_BITS = 64
 
@@ -71,14 +71,16 @@ class FMIndex:
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=self.sigma))))
         self.tree = Wavelet(text[order - 1], max(1, int(self.sigma - 1).bit_length()))
 
-    def statistics(self, text: np.ndarray, ends: np.ndarray, length: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
-        """Matching statistics of the streamed text: how far back from each of ``ends``, up to ``length`` symbols, the text still
+    def statistics(self, text: np.ndarray, ends: np.ndarray, length: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of the streamed text: how far back from each of ``ends``, up to its ``length`` symbols, the text still
         occurs ``least`` times in the index, and the first row of that interval of suffixes."""
         depth = np.zeros(len(ends), np.int64)
         rows = np.full(len(ends), -1)
         live = np.arange(len(ends))
         first, last = np.zeros(len(ends), np.int64), np.full(len(ends), self.before[-1])
-        for back in range(1, length + 1):
+        for back in range(1, int(length.max(initial=0)) + 1):
+            go = length[live] >= back
+            live, first, last = live[go], first[go], last[go]
             symbol = text[ends[live] - back]
             first = self.before[symbol] + self.tree.rank(symbol, first)
             last = self.before[symbol] + self.tree.rank(symbol, last)
@@ -90,23 +92,15 @@ class FMIndex:
         return depth, rows
 
 
-def repeated_windows(own: dict[str, np.ndarray], contents: list[bytes], n: int, keep_first: bool) -> np.ndarray:
+def repeated_windows(own: dict, keep_first: bool = True) -> np.ndarray:
     """A flag for each window of each segment: it occurs in another segment of the shard (earlier, with ``keep_first``)."""
-    sizes = np.array([len(c) // 8 for c in contents])
-    symbols = np.frombuffer(b"".join(contents), np.uint64)
-    _, named = np.unique(symbols, return_inverse=True)
-    ends = np.cumsum(sizes + 1)  # each segment is followed by a separator
-    at = np.arange(len(symbols)) + np.repeat(np.arange(len(sizes)), sizes)
-    text = np.ones(int(ends[-1]) + 1, np.int64)
-    text[at], text[-1] = named + 2, 0
-    row = np.repeat(np.arange(len(sizes)), own["windows"])
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(own["windows"]) - own["windows"], own["windows"])
-    begin = (ends - sizes - 1)[row] + offset
-    depth, interval = FMIndex(text).statistics(text, begin + n, n)
-    gone = depth >= n
+    text, row, begin, need = S.contracted(own, 8)
+    depth, interval = FMIndex(text).statistics(text, begin + need, need)
+    gone = depth >= need
     if keep_first:
         hit = np.flatnonzero(gone)
-        doc, start = own["id"][row[hit]], own["start"][row[hit]] + offset[hit]
+        inside = np.arange(len(row)) - (np.cumsum(own["windows"]) - own["windows"])[row]
+        doc, start = own["id"][row[hit]], own["start"][row[hit]] + inside[hit]
         order = np.lexsort((start, doc, interval[hit]))
         lead = np.concatenate(([True], np.diff(interval[hit][order]) != 0)) if len(hit) else np.empty(0, bool)
         # Rows of one id and start (an id with several texts) tie with the leader and stay.
@@ -117,23 +111,21 @@ def repeated_windows(own: dict[str, np.ndarray], contents: list[bytes], n: int,
     return gone
 
 
-def gone(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 20, gram: int = 6, hot: int = 20_000, shard_symbols: int = 1 << 20) -> DataFrame:
+def gone(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 20, gram: int = 6, coarse: int = 15, fine: int = 4, hot: int = 1 << 20, shard_symbols: int = 1 << 20) -> DataFrame:
     """Windows of ``words`` words that occur earlier, as runs: id, tkey, start (word), windows."""
-    own = S.keyed(docs, doc_id, text)
 
     def symbols(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, stops = S.words(raw, ends)
         return S.word_symbols(raw, starts, stops), np.searchsorted(starts, ends)
 
-    def cut(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
-        found = S.word_symbols(raw, *S.words(raw, np.array([len(raw)])))
-        return [found[a:b].tobytes() for a, b in zip(first, last, strict=True)]
+    def cut(_: np.ndarray, own: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        data = own.tobytes()
+        return [data[a:b] for a, b in zip((8 * first).tolist(), (8 * last).tolist(), strict=True)]
 
-    occ = materialise(S.occurrences(own, symbols, words, gram), "occurrences")
-    whole, alone = S.repeats(occ, both_ways=False)
-    content = S.fetch(own, alone, cut, words)
-    found = S.search(content, lambda o, c: repeated_windows(o, c, words, True), both_ways=False, unit=8, n=words, width=width(docs.sparkSession), hot=hot, shard_symbols=shard_symbols)
-    return whole.unionByName(found)
+    return S.repeated(
+        S.keyed(docs, doc_id, text), symbols=symbols, cut=cut, found=repeated_windows, both_ways=False,
+        unit=8, n=words, k=gram, coarse=coarse, fine=fine, width=width(docs.sparkSession), hot=hot, shard_symbols=shard_symbols,
+    )
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"

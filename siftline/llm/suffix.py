@@ -1,8 +1,8 @@
 """Suffix-array dedup: repeated byte strings, found in suffix arrays built by linear grouping.
 
-Segments of an anchor (see ``segments``) are cut into phrases at places that a few bytes decide, so equal stretches of bytes
-hold equal phrases. A shard's phrases are ranked and their suffixes sorted by Lyndon groups; the longest common prefixes of
-neighbours show which segments can hold a repeat of the length sought. Those are then checked byte for byte by window hashes.
+The distinct segments of repeated cores (see ``segments``) are dealt to shards. A shard's text has a symbol for each byte beside
+a core, and one for each core. Its suffixes are sorted by Lyndon groups; a window goes if the suffix that begins with it has all
+of the window in common with a neighbour in that order.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm import segments as S
-from siftline.llm.common import materialise, width
+from siftline.llm.common import single, width
 
 
 def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
@@ -93,97 +93,39 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def common_prefixes(text: list[int], order: list[int], stop: int) -> list[int]:
-    """For each suffix the longest prefix it shares with a neighbour in the order; symbols up to ``stop`` end a prefix."""
-    n = len(text)
-    place = [0] * n
-    for i, s in enumerate(order):
-        place[s] = i
-    best, h = [0] * n, 0
-    for s in range(n):
-        i = place[s]
-        if i:
-            other = order[i - 1]
-            while text[s + h] == text[other + h] and text[s + h] > stop:
-                h += 1
-            if h > best[s]:
-                best[s] = h
-            if h > best[other]:
-                best[other] = h
-            if h:
-                h -= 1
-        else:
-            h = 0
-    return best
-
-
-def candidates(contents: list[bytes], n: int, grain: int = 5) -> np.ndarray:
-    """Which segments can hold ``n`` bytes that another one holds as well: a necessary condition from the phrases' suffix array.
-
-    The 8 bytes before an edge decide it, so the edges at 8 bytes or more from the start of a shared stretch are shared too. Of the
-    phrase before the first of these up to 7 bytes of the stretch may be cut off, by an edge that bytes outside decided.
-    """
-    raw = np.frombuffer(b"".join(contents), np.uint8)
-    sizes = np.array([len(c) for c in contents])
-    ends = np.cumsum(sizes)
-    sums = S.Sums(S.byte_symbols(raw))
-    at = np.arange(8, len(raw))
-    edge = np.zeros(len(raw) + 1, bool)
-    inside = at - np.concatenate(([0], ends))[np.searchsorted(ends, at, "right")] >= 8  # context doesn't cross the start of a segment
-    edge[at] = (sums.of(at - 8, at) >> np.uint64(64 - grain) == 0) & inside
-    edge[0] = edge[ends] = True
-    cuts = np.flatnonzero(edge)
-    begin, stop = cuts[:-1], cuts[1:]
-    owner = np.searchsorted(ends, begin, "right")
-    _, rank = np.unique(sums.of(begin, stop), return_inverse=True)
-    # Symbols: 0 ends the text, 1 follows each segment.
-    slot = np.arange(len(begin)) + owner
-    text = np.ones(len(begin) + len(sizes) + 1, np.int64)
-    text[slot], text[-1] = rank + 2, 0
-    symbols = text.tolist()
-    shared = np.array(common_prefixes(symbols, suffix_array(symbols), 1))[slot]
-    length = stop - begin
-    last = np.minimum(np.arange(len(begin)) + shared, len(begin) - 1)  # the phrase after the shared ones
-    before = np.where(np.arange(len(begin)) > 0, np.roll(length, 1), 0)
-    reach = before + np.concatenate(([0], np.cumsum(length)))[last] - np.concatenate(([0], np.cumsum(length)))[:-1] + length[last]
-    possible = reach + 7 >= n  # with no shared phrase: two neighbours long enough by themselves
-    return np.bincount(owner[possible], minlength=len(sizes)) > 0
-
-
-def repeated_windows(own: dict[str, np.ndarray], contents: list[bytes], n: int) -> np.ndarray:
-    """A flag for each window of each segment: its bytes occur in another segment too."""
-    chosen = np.flatnonzero(candidates(contents, n))
-    row = np.repeat(np.arange(len(contents)), own["windows"])
-    gone = np.zeros(len(row), bool)
-    first = np.cumsum(own["windows"]) - own["windows"]
-    hashes, where = [], []
-    for i in chosen:
-        size = int(own["windows"][i])
-        at = np.arange(size)
-        hashes.append(S.Sums(S.byte_symbols(np.frombuffer(contents[i], np.uint8))).of(at, at + n))
-        where.append(first[i] + at)
-    if hashes:
-        every, places = np.concatenate(hashes), np.concatenate(where)
-        order = np.argsort(every, kind="stable")
-        same = np.diff(every[order]) == 0
-        twin = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        gone[places[order[twin]]] = True
-    return gone
-
-
-def gone(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 32, hot: int = 20_000, shard_symbols: int = 1 << 20) -> DataFrame:
+def shared_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """How many symbols, up to ``most``, each suffix shares with the one before it in the order."""
+    padded = np.concatenate((text, np.zeros(most, text.dtype)))
+    shared = np.zeros(len(order), np.int64)
+    alive = np.arange(1, len(order))
+    for j in range(most):
+        alive = alive[padded[order[alive] + j] == padded[order[alive - 1] + j]]
+        shared[alive] += 1
+    return shared
+
+
+def repeated_windows(own: dict) -> np.ndarray:
+    """A flag for each window of each segment: the suffix that begins with it shares all of it with a neighbour in the suffix array."""
+    text, _, begin, need = S.contracted(own, 1)
+    order = np.array(suffix_array(text.tolist()))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    shared = np.append(shared_prefixes(text, order, int(need.max())), 0)
+    at = place[begin]
+    return np.maximum(shared[at], shared[at + 1]) >= need
+
+
+def gone(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 32, coarse: int = 93, fine: int = 24, hot: int = 1 << 18, shard_symbols: int = 1 << 17) -> DataFrame:
     """Windows of ``length`` bytes that also start elsewhere, as runs: id, tkey, start (byte), windows."""
-    own = S.single(S.keyed(docs, doc_id, text))
 
-    def cut(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    def cut(raw: np.ndarray, _: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
         data = raw.tobytes()
         return [data[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
-    occ = materialise(S.occurrences(own, lambda raw, ends: (S.byte_symbols(raw), ends), length, gram), "occurrences")
-    whole, alone = S.repeats(occ, both_ways=True)
-    content = S.fetch(own, alone, cut, length)
-    found = S.search(content, lambda o, c: repeated_windows(o, c, length), both_ways=True, unit=1, n=length, width=width(docs.sparkSession), hot=hot, shard_symbols=shard_symbols)
-    return whole.unionByName(found)
+    return S.repeated(
+        single(S.keyed(docs, doc_id, text)), symbols=lambda raw, ends: (S.byte_symbols(raw), ends), cut=cut, found=repeated_windows, both_ways=True,
+        unit=1, n=length, k=gram, coarse=coarse, fine=fine, width=width(docs.sparkSession), hot=hot, shard_symbols=shard_symbols,
+    )
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
