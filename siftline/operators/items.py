@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
 import re
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,7 +47,7 @@ def bundle(records: DataFrame, *, least_sources: int = 1) -> DataFrame:
 
 
 # --- slices -----------------------------------------------------------------------------------------
-_BREAKS = (re.compile(r"^={3,}.*={3,}[ \t]*$", re.M), re.compile(r"^#{1,6}[ \t]+\S", re.M), re.compile(r"\n[ \t]*\n"), re.compile(r"(?<=[.!?])\s+"))
+_BREAKS = tuple(re.compile(p, re.M) for p in vocab.SLICE_BREAKS)
 
 
 def slice_spans(text: str, budget: int) -> list[tuple[int, int]]:
@@ -93,212 +90,31 @@ def windows(text: Column, budget: int) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of a text: split after ., ! and ?, and at line ends; trimmed; blank ones dropped."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences of a text: what ends in ., ! or ? before white space, or with its line; trimmed; blank ones dropped."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(vocab.SENTENCE), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def spans(items: DataFrame, terms: tuple[str, ...], *, item_id: str, text: str, most: int) -> DataFrame:
-    """(item_id, place, hits, sentence): sentences of 15 to 300 characters by distinct terms hit, earlier ones first."""
-    each = items.select(F.col(item_id).alias("item_id"), F.posexplode(sentences(F.col(text))).alias("place", "sentence"))
-    each = each.where(F.length("sentence").between(*vocab.SPAN_CHARS)).withColumn("hits", sum((F.contains(F.lower("sentence"), F.lit(t)).cast("int") for t in terms), F.lit(0))).where("hits > 0")
-    best = Window.partitionBy("item_id").orderBy(F.desc("hits"), "place")
-    return each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).select("item_id", "place", "hits", "sentence")
-
+def statements(text: Column) -> Column:
+    """Sentences as a comparison of captures takes them: parted after ., ! and ? before white space, and by blank lines."""
+    return F.filter(F.transform(F.split(text, vocab.STATEMENT_BREAK), lambda s: F.trim(s)), lambda s: s != "")
 
-# --- grounding --------------------------------------------------------------------------------------
-def exact(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """quotes (doc_id, quote_id, quote) against texts (doc_id, text): start, end, and whether the quote stands there only once."""
-    both = quotes.join(texts, "doc_id").withColumn("first", F.position("quote", "text"))
-    second = F.position("quote", "text", F.col("first") + 1)
-    return both.where("first > 0").select("doc_id", "quote_id", (F.col("first") - 1).alias("start"), (F.col("first") - 1 + F.length("quote")).alias("end"), (second > 0).alias("ambiguous"))
 
+def located(items: DataFrame, pattern: str, *, keys: list[str], text: str) -> DataFrame:
+    """Matches of a pattern in a text, trimmed of white space: keys, n, start, end, found. Places come from the lengths before each match."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.zip_with(F.slice(F.split(text, pattern), 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+    each = items.select(*keys, F.posexplode(pieces).alias("n", "p"))
+    upto = F.sum(F.col("p.gap") + F.length("p.m")).over(Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    lead = F.length("p.m") - F.length(F.regexp_replace("p.m", r"^\s+", ""))
+    own = each.select(*keys, "n", (upto - F.length("p.m") + lead).cast("int").alias("start"), F.regexp_replace("p.m", r"^\s+|\s+$", "").alias("found"))
+    return own.select(*keys, "n", "start", (F.col("start") + F.length("found")).alias("end"), "found").where("found <> ''")
 
-def mentions(items: DataFrame, texts: DataFrame, *, least: int = vocab.MIN_QUOTE, most_bytes: int = 64 << 20) -> DataFrame:
-    """(doc_id, quote_id, quote): documents that hold a quote of at least ``least`` characters; each text is scanned once.
 
-    The quotes go to the tasks as one automaton of at most ``most_bytes``, checked here; more of them are scanned part by part.
-    """
-    found = None
-    for rows in _parts(items, least, most_bytes):
-        one = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scan(rows), "doc_id long, quote_id long, quote string")
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _parts(items: DataFrame, least: int, most_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    long = items.where(F.length("quote") >= least).select(F.col("quote_id").cast("long").alias("quote_id"), "quote")
-    total = long.agg(F.sum(F.octet_length("quote") + 64)).first()[0] or 0
-    parts = total // most_bytes + 1
-    for part in range(parts):
-        yield [tuple(r) for r in long.where(F.pmod(F.xxhash64("quote"), F.lit(parts)) == part).toLocalIterator()]
-
-
-def _scan(rows: list[tuple[int, str]]):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton, ids = ahocorasick.Automaton(), {}
-        for quote_id, quote in rows:
-            ids.setdefault(quote, []).append(quote_id)
-        for quote in ids:
-            automaton.add_word(quote, quote)
-        if ids:
-            automaton.make_automaton()
-        for frame in batches:
-            out = []
-            for doc, text in zip(frame.doc_id, frame.text, strict=True):
-                if ids and text:
-                    out += [(doc, i, q) for q in {q for _, q in automaton.iter(text)} for i in ids[q]]
-            yield pd.DataFrame(out, columns=["doc_id", "quote_id", "quote"])
-
-    return scan
-
-
-_PLAIN = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", " ": " ", "…": "..."})
-
-
-def _plain(text: str) -> tuple[str, np.ndarray | None]:
-    """The text with plain quotes, dashes and blanks; and, where a character became several, the place in the text of each."""
-    plain = text.translate(_PLAIN)
-    return plain, None if len(plain) == len(text) else np.repeat(np.arange(len(text)), [len(_PLAIN.get(ord(c), c)) for c in text])
-
-
-def fuzzy_find(quote: str, text: str, least: float = 0.85) -> tuple[int, int, float] | None:
-    """The best window of the quote's length by difflib's ratio, on a step of an eighth of it; none under ``least``."""
-    (plain, at), wanted = _plain(text), quote.translate(_PLAIN)
-    size = len(wanted)
-    matcher, best = difflib.SequenceMatcher(None, autojunk=False), None
-    matcher.set_seq2(wanted)
-    for start in range(0, max(1, len(plain) - size + 1), max(1, size // 8)):
-        matcher.set_seq1(plain[start : start + size])
-        if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (r := matcher.ratio()) >= least and (best is None or r > best[2]):
-            best = (start, min(start + size, len(plain)), r)
-    return best and (best if at is None else (int(at[best[0]]), int(at[best[1] - 1]) + 1, best[2]))
-
-
-#: Bits of a limb; the one above takes the carry.
-_LIMB = 63
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-
-
-def _grams(codes: np.ndarray) -> np.ndarray:
-    return (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
-
-
-def common_lengths(masks: np.ndarray, size: int, lanes: np.ndarray) -> np.ndarray:
-    """The length of the longest common subsequence of a sequence of ``size`` symbols and each row of ``lanes``; masks: symbol -> limbs of the places where the sequence has it."""
-    full = np.uint64((1 << _LIMB) - 1)
-    rows = [np.full(len(lanes), full) for _ in range(masks.shape[1])]
-    columns, limbs = np.ascontiguousarray(lanes.T), np.ascontiguousarray(masks.T)
-    for symbols in columns:
-        carry = np.uint64(0)
-        for k, row in enumerate(rows):
-            both = row & limbs[k][symbols]
-            total = row + both + carry
-            carry = total >> np.uint64(_LIMB)
-            rows[k] = (total & full) | (row ^ both)
-    held = sum(np.bitwise_count(row).astype(np.int64) for row in rows)
-    return len(rows) * _LIMB - held
-
-
-class Near:
-    """Which quotes can nearly stand in which texts: a necessary condition for ``fuzzy_find``, so that no pair is lost.
-
-    A ratio r over a window of the quote's length n takes m = rn matched characters, in at most 2(n - m) + 1 runs. Two trigrams
-    are lost at the end of each run, so at least m - 2(2(n - m) + 1) places of the window begin a trigram of the quote. And m is
-    at most the longest common subsequence. Trigrams are counted first, then four neighbouring windows at once are aligned.
-    """
-
-    GROUP = 4
-
-    def __init__(self, quotes: list[str], least: float = 0.85):
-        self.least, plain = least, [_codes(q.translate(_PLAIN)) for q in quotes]
-        self.letters = np.unique(np.concatenate(plain)) if plain else np.empty(0, np.int64)
-        self.every = np.unique(np.concatenate([_grams(c) for c in plain])) if plain else np.empty(0, np.int64)
-        self.quotes = []
-        for codes in plain:
-            size, has = len(codes), np.zeros(len(self.every) + 1, bool)
-            has[np.searchsorted(self.every, _grams(codes))] = True
-            masks = np.zeros((len(self.letters) + 1, -(-size // _LIMB)), np.uint64)
-            at = np.arange(size)
-            np.bitwise_or.at(masks, (np.searchsorted(self.letters, codes), at // _LIMB), np.uint64(1) << (at % _LIMB).astype(np.uint64))
-            self.quotes.append((size, has, masks))
-
-    @staticmethod
-    def _places(known: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """The place of each value among the known ones, theirs being sorted; the number of these for others."""
-        at = np.searchsorted(known, found)
-        return np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == found), at, len(known)) if len(known) else at
-
-    def pairs(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(ordinal of the text, ordinal of the quote)."""
-        own = []
-        for text in texts:
-            codes = _codes(text.translate(_PLAIN))
-            own.append((self._places(self.letters, codes), self._places(self.every, _grams(codes))))
-        return [(t, q) for q, quote in enumerate(self.quotes) for t in self._texts(quote, own)]
-
-    def _texts(self, quote: tuple[int, np.ndarray, np.ndarray], own: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
-        size, has, masks = quote
-        step, found, lanes, where, short = max(1, size // 8), [], [], [], np.int64(len(self.letters))
-        width = size + (self.GROUP - 1) * step
-        for t, (letters, grams) in enumerate(own):
-            window = min(size, len(letters))
-            runs = (size + window) * (1 - self.least) + 1
-            wanted = (size + window) * self.least / 2 - 2 * runs
-            sums = np.concatenate(([0], np.cumsum(has[grams])))
-            starts = np.arange(0, max(1, len(letters) - size + 1), step)
-            count = sums[np.minimum(starts + max(window - 2, 0), len(sums) - 1)] - sums[np.minimum(starts, len(sums) - 1)]
-            groups = np.unique(starts[count >= wanted - 1e-6] // (self.GROUP * step)) * (self.GROUP * step)
-            if len(groups):
-                padded = np.concatenate((letters, np.full(width, short)))
-                lanes.append(padded[groups[:, None] + np.arange(width)])
-                where.append(np.stack((np.full(len(groups), t), np.full(len(groups), (size + window) * self.least / 2)), 1))
-        if lanes:
-            every, where = np.concatenate(lanes), np.concatenate(where)
-            for a in range(0, len(every), 8192):
-                common = common_lengths(masks, size, every[a : a + 8192])
-                found.append(where[a : a + 8192, 0][common >= where[a : a + 8192, 1] - 1e-6])
-            return np.unique(np.concatenate(found)).astype(int).tolist()
-        return []
-
-
-def near(items: DataFrame, texts: DataFrame, *, least: int = vocab.MIN_QUOTE, most_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, quote_id, quote, text): every pair in which a quote of at least ``least`` characters can stand, exactly or nearly; in parts as ``mentions``."""
-    found = None
-    for rows in _parts(items, least, most_bytes):
-        one = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_near(rows), "doc_id long, quote_id long, quote string, text string")
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _near(rows: list[tuple[int, str]]):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        quotes = sorted({q for _, q in rows})
-        ids: dict[str, list[int]] = {}
-        for quote_id, quote in rows:
-            ids.setdefault(quote, []).append(quote_id)
-        index = Near(quotes)
-        for frame in batches:
-            frame = frame[frame.text.notna() & (frame.text != "")]
-            size = frame.text.str.len().cumsum() // (1 << 20)
-            for _, some in frame.groupby(size):
-                docs, texts = some.doc_id.tolist(), some.text.tolist()
-                out = [(docs[t], i, quotes[q], texts[t]) for t, q in index.pairs(texts) for i in ids[quotes[q]]]
-                yield pd.DataFrame(out, columns=["doc_id", "quote_id", "quote", "text"])
-
-    return scan
-
-
-def fuzzy(pairs: DataFrame) -> DataFrame:
-    """pairs (doc_id, quote_id, quote, text) -> (doc_id, quote_id, start, end, ratio) of quotes that nearly stand in the text."""
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            rows = [(d, q, *found) for d, q, quote, text in zip(frame.doc_id, frame.quote_id, frame.quote, frame.text, strict=True) if (found := fuzzy_find(quote, text))]
-            yield pd.DataFrame(rows, columns=["doc_id", "quote_id", "start", "end", "ratio"])
-
-    return pairs.select("doc_id", "quote_id", "quote", "text").mapInPandas(find, "doc_id long, quote_id long, start int, end int, ratio double")
+def spans(items: DataFrame, terms: tuple[str, ...], *, item_id: str, text: str, most: int) -> DataFrame:
+    """(item_id, candidate_id, start, end, hits, sentence): the ``most`` sentences of 15 to 300 characters that hit most distinct terms, earlier ones first, numbered in their order in the text."""
+    wanted = tuple(dict.fromkeys(t.strip().lower() for t in terms if t.strip()))
+    each = located(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("__text")), vocab.SENTENCE, keys=["item_id"], text="__text")
+    each = each.where(F.length("found").between(*vocab.SPAN_CHARS)).withColumn("hits", sum((F.contains(F.lower("found"), F.lit(t)).cast("int") for t in wanted), F.lit(0))).where("hits > 0")
+    ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "start"))).where(F.col("place") <= most)
+    number = F.row_number().over(Window.partitionBy("item_id").orderBy("start")) - 1
+    return ranked.select("item_id", number.alias("candidate_id"), "start", "end", "hits", F.col("found").alias("sentence"))

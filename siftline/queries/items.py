@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline import vocab
 from siftline.functions import text as T
+from siftline.operators import grounding as G
 from siftline.operators import items as I
 from siftline.queries.base import Tables, query
 
@@ -96,14 +97,20 @@ def merge_candidates(t: Tables) -> DataFrame:
     return own.where("n > 1")
 
 
-@query("""WITH s AS (SELECT DISTINCT conv_id, turn // 2 AS snap, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]?'), lambda x: trim(x)), lambda x: x <> '')) AS sentence FROM conversations WHERE turn < 4)
-SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, count(*) FILTER (a.conv_id IS NULL)::BIGINT AS added, count(*) FILTER (b.conv_id IS NULL)::BIGINT AS removed
-FROM (SELECT * FROM s WHERE snap = 0) a FULL JOIN (SELECT * FROM s WHERE snap = 1) b ON a.conv_id = b.conv_id AND a.sentence = b.sentence GROUP BY 1""")
+_STATEMENTS = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(rf"""WITH s AS (SELECT DISTINCT conv_id, turn // 2 AS snap, unnest({_STATEMENTS}) AS sentence FROM conversations),
+p AS (SELECT conv_id, snap AS exchange, sentence, 1 AS new, 0 AS old FROM s UNION ALL SELECT conv_id, snap + 1, sentence, 0, 1 FROM s),
+m AS (SELECT conv_id, exchange, sentence, max(new) AS new, max(old) AS old FROM p GROUP BY 1, 2, 3)
+SELECT conv_id, exchange, count(*) FILTER (old = 0)::BIGINT AS added, count(*) FILTER (new = 0)::BIGINT AS removed FROM m GROUP BY 1, 2 HAVING max(new) = 1 AND max(old) = 1""")
 def sentence_diff(t: Tables) -> DataFrame:
-    """Sentences that came and went between the first and second exchange: one aggregate instead of a full outer join."""
-    own = t.conversations.where("turn < 4").select("conv_id", F.floor(F.col("turn") / 2).alias("snap"), F.explode(I.sentences(F.col("text"))).alias("sentence"))
-    seen = own.groupBy("conv_id", "sentence").agg(F.bool_or(F.col("snap") == 0).alias("old"), F.bool_or(F.col("snap") == 1).alias("new"))
-    return seen.groupBy("conv_id").agg(F.count_if(~F.col("old")).alias("added"), F.count_if(~F.col("new")).alias("removed"))
+    """Sentences that came and went between each exchange and the next, where both say something: one aggregate instead of a full outer join."""
+    own = t.conversations.select("conv_id", F.floor(F.col("turn") / 2).alias("snap"), F.explode(I.statements(F.col("text"))).alias("sentence"))
+    sides = F.explode(F.array(F.struct(F.col("snap").alias("exchange"), F.lit(1).alias("new"), F.lit(0).alias("old")), F.struct((F.col("snap") + 1).alias("exchange"), F.lit(0).alias("new"), F.lit(1).alias("old"))))
+    seen = own.select("conv_id", "sentence", sides.alias("s")).groupBy("conv_id", "s.exchange", "sentence").agg(F.max("s.new").alias("new"), F.max("s.old").alias("old"))
+    each = seen.groupBy("conv_id", "exchange").agg(F.count_if(F.col("old") == 0).alias("added"), F.count_if(F.col("new") == 0).alias("removed"), F.max("new").alias("new"), F.max("old").alias("old"))
+    return each.where("new = 1 AND old = 1").select("conv_id", "exchange", "added", "removed")
 
 
 # --- slices and spans ---------------------------------------------------------------------------------
@@ -128,14 +135,29 @@ def hard_windows(t: Tables) -> DataFrame:
 TERMS = ("the", "und", "que", "les", "tion")
 
 
-@query(f"""WITH s AS (SELECT doc_id AS item_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]?'), lambda x: trim(x)), lambda x: x <> '') AS every FROM documents),
+_SPANS = rf"""s AS (SELECT doc_id AS item_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]?(?:\s|$)'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS every FROM documents),
 e AS (SELECT item_id, i::INT AS place, every[i + 1] AS sentence FROM s, unnest(range(0, len(every))) AS r(i)),
-h AS (SELECT *, ({" + ".join(f"contains(lower(sentence), '{x}')::INT" for x in TERMS)}) AS hits FROM e WHERE len(sentence) BETWEEN 15 AND 300)
-SELECT item_id, place, hits, sentence FROM h WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, place) <= 5""")
-def span_rank_topn(t: Tables) -> DataFrame:
+h AS (SELECT *, ({" + ".join(f"contains(lower(sentence), '{x}')::INT" for x in TERMS)}) AS hits FROM e WHERE len(sentence) BETWEEN 15 AND 300),
+b AS (SELECT * FROM h WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, place) <= 5)"""
+
+
+def _spans(t: Tables) -> DataFrame:
     return I.spans(t.documents, TERMS, item_id="doc_id", text="text", most=5)
 
 
+@query(f"WITH {_SPANS} SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY place) - 1)::INT AS candidate_id, hits, sentence FROM b")
+def span_rank_topn(t: Tables) -> DataFrame:
+    return _spans(t).drop("start", "end")
+
+
+@query(f"WITH {_SPANS} SELECT item_id, count(*)::BIGINT AS spans, count(*)::BIGINT AS verbatim FROM b GROUP BY 1")
+def attach_spans(t: Tables) -> DataFrame:
+    """The spans as they are attached to items, and how many of them stand in the text at the places that they name."""
+    own = _spans(t).join(t.documents.select(F.col("doc_id").alias("item_id"), "text"), "item_id")
+    there = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("sentence")
+    return own.groupBy("item_id").agg(F.count("*").alias("spans"), F.count_if(there).alias("verbatim"))
+
+
 @query("""WITH n AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 6 AS batch FROM documents)
 SELECT source, batch::INT AS batch, count(*)::BIGINT AS items, substr(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)), 1, 16) AS batch_id FROM n GROUP BY 1, 2""")
 def batch_pack(t: Tables) -> DataFrame:
@@ -146,44 +168,90 @@ def batch_pack(t: Tables) -> DataFrame:
 
 
 # --- grounding: benchmark items are the quotes ----------------------------------------------------------
-_HITS = "h AS (SELECT d.doc_id, b.item_id AS quote_id, instr(d.text, b.text) AS first, b.text AS quote, d.text FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(b.text) >= 24)"
+_HITS = "h AS (SELECT d.doc_id, b.item_id AS quote_id, instr(d.text, b.text) AS first, b.text AS quote, d.text FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(b.text) >= 15)"
 
 
-def _quotes(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+def _quotes(t: Tables, quote: str = "text") -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("quote_id"), F.expr(quote).alias("quote"))
 
 
-def _exact(t: Tables) -> DataFrame:
-    texts = t.documents.select("doc_id", "text")
-    return I.exact(I.mentions(_quotes(t), texts), texts)
+def _texts(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", "text")
 
 
 @query(f"WITH {_HITS} SELECT doc_id, quote_id, (first - 1)::INT AS start, (first - 1 + len(quote))::INT AS \"end\" FROM h")
 def ground_exact(t: Tables) -> DataFrame:
-    return _exact(t).drop("ambiguous")
+    return G.mentions(_quotes(t), _texts(t)).drop("times")
 
 
 @query(f"WITH {_HITS} SELECT count(*)::BIGINT AS quotes, count(*) FILTER (contains(substr(text, first + 1), quote))::BIGINT AS ambiguous FROM h")
 def ground_ambiguous(t: Tables) -> DataFrame:
-    return _exact(t).agg(F.count("*").alias("quotes"), F.count_if("ambiguous").alias("ambiguous"))
+    return G.mentions(_quotes(t), _texts(t)).agg(F.count("*").alias("quotes"), F.count_if(F.col("times") > 1).alias("ambiguous"))
 
 
-@query(f"WITH {_HITS} SELECT item_id AS quote_id FROM benchmark WHERE item_id NOT IN (SELECT quote_id FROM h)")
+@query("SELECT item_id AS quote_id FROM benchmark WHERE item_id NOT IN (SELECT b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))")
 def ground_missing_anti(t: Tables) -> DataFrame:
     """Quotes that stand nowhere; here short ones are searched too, so that none is called missing unsearched."""
-    return _quotes(t).join(I.mentions(_quotes(t), t.documents.select("doc_id", "text"), least=1), "quote_id", "left_anti").select("quote_id")
+    return _quotes(t).join(G.mentions(_quotes(t), _texts(t), least=1), "quote_id", "left_anti").select("quote_id")
 
 
 @query(f"WITH {_HITS} SELECT doc_id, quote_id, substr(text, first, len(quote)) = quote AS verified FROM h")
 def verify_offsets(t: Tables) -> DataFrame:
-    own = _exact(t).join(t.documents.select("doc_id", "text"), "doc_id").join(_quotes(t), "quote_id")
+    own = G.mentions(_quotes(t), _texts(t)).join(_texts(t), "doc_id").join(_quotes(t), "quote_id")
     return own.select("doc_id", "quote_id", (F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("quote")).alias("verified"))
 
 
+#: Quotes as a careless hand copies them: no-break spaces, doubled blanks, a line end for the first blank.
+_LOOSE = "concat(replace(replace(text, ', ', concat(',', chr(160))), '. ', '.  '), ' ')"
+_NORMAL = r"trim(regexp_replace(replace(replace({0}, chr(160), ' '), '…', '...'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_NORMAL.format("text")} AS plain FROM documents), q AS (SELECT item_id AS quote_id, {_NORMAL.format(_LOOSE)} AS wanted, {_LOOSE} AS quote FROM benchmark)
+SELECT doc_id, quote_id, contains(substr(plain, instr(plain, wanted) + 1), wanted) AS ambiguous, wanted AS normal_form FROM d JOIN q ON contains(plain, wanted) WHERE len(quote) >= 15""")
+def ground_normalized(t: Tables) -> DataFrame:
+    """Quotes with other blanks than the text has, found by normal forms; the normal form of what stands at the place found is the quote's."""
+    own = G.mentions(_quotes(t, _LOOSE), _texts(t), normalised=True).join(_texts(t), "doc_id")
+    there = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    plain = F.trim(F.regexp_replace(F.replace(F.replace(there, F.lit("\u00a0"), F.lit(" ")), F.lit("…"), F.lit("...")), r"\s+", " "))
+    return own.select("doc_id", "quote_id", (F.col("times") > 1).alias("ambiguous"), plain.alias("normal_form"))
+
+
+#: Quotes with one sign in their middle changed: they stand nowhere exactly.
+_ALTERED = "concat(substr(text, 1, CAST(length(text) / 2 AS INT)), '#', substr(text, CAST(length(text) / 2 AS INT) + 2))"
+
+
 @query()
 def ground_fuzzy(t: Tables) -> DataFrame:
-    """Quotes that stand in documents exactly or nearly: every pair in which the best window reaches the ratio."""
-    return I.fuzzy(I.near(_quotes(t), t.documents.select("doc_id", "text")))
+    """Quotes with a slip that stand in documents nearly: every pair in which the best window reaches the ratio."""
+    return G.fuzzy(G.near(_quotes(t, _ALTERED), _texts(t)))
+
+
+#: The first third of the quotes as they are, the second loosely copied, the last with a slip.
+_EVERY = f"CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN {_LOOSE} ELSE {_ALTERED} END"
+
+
+@query()
+def ground_ladder(t: Tables) -> DataFrame:
+    """On which rung each quote stands in each text that can hold it: exact, normalized, fuzzy, ambiguous or missing."""
+    return G.ladder(G.near(_quotes(t, _EVERY), _texts(t)))
+
+
+_SLICED = "s AS (SELECT doc_id AS item_id, 's' || CAST(start // 6000 + 1 AS VARCHAR) AS slice_id, start, least(start + 6000, len(text)) AS stop, substr(text, start + 1, 6000) AS text FROM documents, unnest(range(0, len(text), 6000)) AS r(start))"
+
+
+@query(f"""WITH {_SLICED}, q AS (SELECT item_id, CASE WHEN item_id % 11 = 0 THEN 's99' ELSE slice_id END AS slice_id, start + item_id % 7 * 10 - CASE WHEN item_id % 13 = 0 THEN 200 ELSE 0 END AS start, item_id % 17 = 0 AS odd,
+  start + item_id % 7 * 10 + 40 - CASE WHEN item_id % 13 = 0 THEN 200 ELSE 0 END AS stop, substr(text, item_id % 7 * 10 + 1, CASE WHEN item_id % 5 = 0 THEN 12 ELSE 40 END) AS quote FROM s)
+SELECT q.item_id, q.slice_id, CASE WHEN len(quote) < 15 THEN 'short' WHEN s.item_id IS NULL THEN 'unknown slice' WHEN q.start < s.start OR q.stop > s.stop THEN 'outside' WHEN q.stop - q.start <> len(quote) THEN 'length'
+  WHEN substr(s.text, q.start - s.start + 1, q.stop - q.start) <> CASE WHEN odd THEN reverse(quote) ELSE quote END THEN 'text' END AS wrong
+FROM q LEFT JOIN s ON q.item_id = s.item_id AND q.slice_id = s.slice_id""")
+def verify_grounding(t: Tables) -> DataFrame:
+    """Cited offsets, some of them wrong in each way there is, against the windows of the documents."""
+    cut = t.documents.select(F.col("doc_id").alias("item_id"), F.explode(I.windows(F.col("text"), 6000)).alias("start"), "text")
+    slices = cut.select("item_id", F.concat(F.lit("s"), (F.floor(F.col("start") / 6000) + 1).cast("string")).alias("slice_id"), "start", F.least(F.col("start") + 6000, F.length("text")).alias("end"), F.substr("text", F.col("start") + 1, F.lit(6000)).alias("text"))
+    at = F.col("start") + F.col("item_id") % 7 * 10 - F.when(F.col("item_id") % 13 == 0, 200).otherwise(0)
+    said = F.substr("text", (F.col("item_id") % 7 * 10 + 1).cast("int"), F.when(F.col("item_id") % 5 == 0, 12).otherwise(40))
+    own = slices.select("item_id", F.when(F.col("item_id") % 11 == 0, "s99").otherwise(F.col("slice_id")).alias("slice_id"), at.cast("int").alias("start"), (at + 40).cast("int").alias("end"), F.when(F.col("item_id") % 17 == 0, F.reverse(said)).otherwise(said).alias("quote"))
+    return G.verify(own, slices).select("item_id", "slice_id", "wrong")
 
 
 @query("SELECT l.doc_id, d.source, l.quality FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id")

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftline import vocab
 from siftline.functions import html, urls
 from siftline.functions import text as T
-from siftline.operators import calibrate, evidence, export, gates, items, ledger
+from siftline.operators import calibrate, evidence, export, gates, grounding, items, ledger
 from siftline.operators.export import Clause, Filter
 from siftline.plans import funnel
 from siftline.sources import readers
@@ -27,12 +28,70 @@ def test_slices_partition_any_text():
     assert items.slice_spans("abc", 0) == [(0, 3)] and items.slice_spans("", 5) == []
 
 
+def test_slices_cut_where_texts_break():
+    cut = lambda t, n: [t[a:b] for a, b in items.slice_spans(t, n)]
+    assert cut("One is here.\nTwo is there.\nThree", 14) == ["One is here.\n", "Two is there.\n", "Three"]
+    assert cut('He said "so." Then v3.5 came (late.) And went.', 24) == ['He said "so." ', "Then v3.5 came (late.) ", "And went."]
+    assert cut("first line\nsecond line\n\nnew paragraph", 24) == ["first line\nsecond line\n\n", "new paragraph"]
+    assert cut("intro\n# Head\nbody text\n# Next\nmore", 22) == ["intro\n# Head\nbody text\n"[:6], "# Head\nbody text\n", "# Next\nmore"]
+    assert cut("=== SECTION: A (URI: u) ===\nx\n=== SECTION: B (URI: v) ===\ny", 31) == ["=== SECTION: A (URI: u) ===\nx\n", "=== SECTION: B (URI: v) ===\ny"]
+    assert cut("abcdefghij", 4) == ["abcd", "efgh", "ij"]
+
+
+def test_sentences_and_their_places(spark):
+    text = "  We moved to v3.5 of it. Costs fell by 4.2%!\nNo end here\nIs it so? Yes"
+    docs = spark.createDataFrame([(1, text)], "id int, text string")
+    got = items.located(docs, vocab.SENTENCE, keys=["id"], text="text").orderBy("start").collect()
+    assert all(text[r.start : r.end] == r.found for r in got)
+    assert [r.found for r in got] == ["We moved to", "5 of it.", "Costs fell by", "2%!", "No end here", "Is it so?", "Yes"]
+    assert docs.select(items.statements(F.col("text")).alias("x")).first().x == ["We moved to v3.5 of it.", "Costs fell by 4.2%!", "No end here\nIs it so?", "Yes"]
+    best = items.spans(docs, ("costs", "we", "IT ", "it"), item_id="id", text="text", most=1).collect()
+    assert best == []  # none of 15 characters
+    docs = spark.createDataFrame([(1, "Nothing of note stands here. We moved it all to the cloud. We like it. Then we rested for it.")], "id int, text string")
+    got = items.spans(docs, ("we", "IT ", "it", "cloud"), item_id="id", text="text", most=2).orderBy("candidate_id").collect()
+    assert [(r.candidate_id, r.start, r.hits, r.sentence) for r in got] == [(0, 29, 3, "We moved it all to the cloud."), (1, 71, 2, "Then we rested for it.")]
+
+
+def test_normal_forms_and_their_places():
+    text = "  \u201cWe\u00a0 moved\n it\u201d \u2014 so\u2026 \ufb01ne \u2022 x "
+    plain, at = grounding.normal(text)
+    assert plain == '"We moved it" -- so... fine - x' and len(at) == len(plain)
+    a, b, again = grounding.normal_find('"We moved it" --', text)
+    assert text[a:b] == "\u201cWe\u00a0 moved\n it\u201d \u2014" and not again
+    assert grounding.normal("") [0] == "" and grounding.normal(" \n ")[0] == "" and grounding.normal_find("  ", text) is None
+
+
+def test_quotes_climb_the_ladder(spark):
+    base = "Before it all. We migrated forty services to the cloud in a year. "
+    quote = "We migrated forty services to the cloud in a year."
+    assert grounding.resolve(quote, base) == ("exact", 15, 65)
+    assert grounding.resolve(quote, base + base) == ("ambiguous", None, None)
+    assert grounding.resolve(quote.replace("to the", "to\u00a0the"), base)[0] == "normalized"
+    assert grounding.resolve(quote.replace("to the", "to\u00a0the"), base * 2)[0] == "ambiguous"
+    rung, a, b = grounding.resolve(quote.replace("forty", "forly"), base)
+    assert rung == "fuzzy" and abs(a - 15) <= 6 and abs(b - 65) <= 6
+    assert grounding.resolve(quote.replace("forty", "forly"), base + "and much more in between, of another kind; " + base)[0] == "ambiguous"
+    assert grounding.resolve("Something else that nobody ever said", base) == ("missing", None, None)
+    rows = spark.createDataFrame([(1, 1, quote, base), (1, 2, "short", base), (2, 1, quote, None)], "doc_id long, quote_id long, quote string, text string")
+    assert {(r.doc_id, r.quote_id): r.rung for r in grounding.ladder(rows).collect()} == {(1, 1): "exact", (1, 2): "short", (2, 1): "missing"}
+    assert grounding.in_span(quote, quote) == (0, 50) and grounding.in_span("We\u00a0migrated forty", quote) == (0, 17)
+    assert grounding.in_span("not in it at all", quote) is None and grounding.in_span("e", quote) is None
+
+
+def test_variants_and_concepts():
+    assert vocab.variants(" Banking ") == ("banking", "fintech", *[v for v in vocab.SYNONYMS["fintech"] if v not in ("banking", "fintech")])
+    assert vocab.variants("consultancy")[0] == "consultancy" and vocab.variants("zebra") == ("zebra",) and vocab.variants(" ") == ()
+    assert vocab.concept("q1_delivery_proof") == "delivery_proof" and vocab.concept("abc12_my_certification") == "certification" and vocab.concept("delivery_proof") == "delivery_proof"
+    assert vocab.concept("long_prefix_growth_signal") == "growth_signal" and vocab.concept("nothing") == "" and vocab.concept("1_client_outcome") == "client_outcome"
+    assert len(vocab.TRACKING_PARAMS) == 25
+
+
 def test_fuzzy_find():
     text = "Some words before. We migrated forty services to the cloud in a year. And after."
     quote = "We migrated forty servicez to the cloud in a year."
-    found = items.fuzzy_find(quote, text)
+    found = grounding.fuzzy_find(quote, text)
     assert found and found[2] >= 0.85 and abs(found[0] - 19) <= len(quote) // 8
-    assert items.fuzzy_find("nothing like this at all, really nothing", text) is None
+    assert grounding.fuzzy_find("nothing like this at all, really nothing", text) is None
 
 
 def test_filters(spark):
@@ -158,19 +217,18 @@ def test_near_quotes_are_candidates(spark):
             texts.append(prose(rng.randrange(40)) + " " + form + " " + prose(30))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "doc_id long, text string")
     asked = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
-    want = {(d, q, *found) for d, t in enumerate(texts) for q, quote in enumerate(quotes) if t and (found := items.fuzzy_find(quote, t))}
-    got = {tuple(r) for r in items.fuzzy(items.near(asked, docs)).collect()}
+    want = {(d, q, *found) for d, t in enumerate(texts) for q, quote in enumerate(quotes) if t and (found := grounding.fuzzy_find(quote, t))}
+    got = {tuple(r) for r in grounding.fuzzy(grounding.near(asked, docs)).collect()}
     assert got == want and len({q for _, q, *_ in want}) == len(quotes) and sum(quotes[q] not in texts[d] for d, q, *_ in want) >= 12
 
 
 def test_fuzzy_offsets_are_of_the_text_as_it_was():
     text = "Well… so… it was… and then we migrated forty services to the cloud"
-    a, b, ratio = items.fuzzy_find("and then we migrated forty services to the cloud", text)
-    assert ratio >= 0.85 and abs(a - text.index("and then")) <= 6 and b <= len(text)
+    a, b, ratio, again = grounding.fuzzy_find("and then we migrated forty services to the cloud", text)
+    assert ratio >= 0.85 and not again and abs(a - text.index("and then")) <= 6 and b <= len(text)
 
 
 def test_short_quotes_are_searched(spark):
-    from siftline import vocab
     from siftline.queries.items import ground_exact, ground_missing_anti
 
     quotes = [(1, "fifteen letters"), (2, "twelve chars"), (3, "stands nowhere at all"), (4, "no, neither"), (5, "twenty-three characters")]
