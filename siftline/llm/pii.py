@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import SPACE, WORD, doc_key, materialise
+from siftline.llm.common import SPACE, WORD, doc_key, materialise, single
 
 #: Kind, pattern, and what a text must hold for it to be worth looking; in the order in which equal starts are listed.
 KINDS = (
@@ -70,18 +70,18 @@ def _pieces(text: Column, pattern: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """docs (id, tkey, text) -> (id, tkey, kind, start, end, value) of the pattern kinds; code points, end exclusive."""
-    some = docs.withColumn("row", F.monotonically_increasing_id()).where(F.col("text").rlike("[@0-9]"))
+    """docs (id, tkey, text), each pair of keys once -> (id, tkey, kind, start, end, value) of the pattern kinds; code points, end exclusive."""
+    some = docs.where(F.col("text").rlike("[@0-9]"))
     kinds = [
         F.struct(F.lit(kind).alias("kind"), F.when(F.instr("text", "@") > 0 if hint == "@" else F.col("text").rlike(hint), _pieces(F.col("text"), JAVA[kind])).alias("pieces"))
         for kind, _, hint in KINDS
     ]
-    each = some.select("row", "id", "tkey", F.explode(F.array(*kinds)).alias("k")).select("row", "id", "tkey", "k.kind", F.posexplode("k.pieces").alias("n", "p"))
-    so_far = Window.partitionBy("row", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    each = some.select("id", "tkey", F.explode(F.array(*kinds)).alias("k")).select("id", "tkey", "k.kind", F.posexplode("k.pieces").alias("n", "p"))
+    so_far = Window.partitionBy("id", "tkey", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.withColumn("end", F.sum(F.col("p.gap") + F.length("p.found")).over(so_far))
     placed = placed.select("id", "tkey", "kind", (F.col("end") - F.length("p.found")).alias("start"), "end", F.col("p.found").alias("value"))
     valid = reduce(lambda a, b: a | b, [(F.col("kind") == kind) & _valid(kind, F.col("value")) for kind, _, _ in KINDS])
-    return placed.where(valid).distinct()
+    return placed.where(valid)
 
 
 def _term(word: Column) -> Column:
@@ -89,9 +89,10 @@ def _term(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[\p{Punct}]+|[\p{Punct}]+$", "")
 
 
-def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A written table of keys, broadcast if a count shows that it has at most ``most`` rows; else the planner joins by shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+def _small(df: DataFrame, most: int = 48 << 20) -> DataFrame:
+    """A written table, broadcast if its rows hold at most ``most`` bytes (as JSON, and 32 more each); else the planner joins by shuffle."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def _terms(text: str = "text") -> Column:
@@ -105,28 +106,40 @@ def _free_terms(text: Column, at: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(marked, SPLIT), lambda w: ~F.contains(w, F.lit(_MARK))), _term))
 
 
+def _signed(of: str) -> list[Column]:
+    """A signature of the set of texts that a row of ``of`` stands in: equal sets have equal ones (128 bits)."""
+    return [F.bit_xor(F.xxhash64("tkey")).alias(f"{of}0"), F.bit_xor(F.xxhash64(F.lit(1), "tkey")).alias(f"{of}1")]
+
+
 def disclosing(docs: DataFrame, spans: DataFrame, *, least_docs: int = 3, floor: float = 0.5, share: float = 0.8) -> DataFrame:
-    """(term_hash): terms that disclose an entity. docs (id, tkey, text) and spans (id, tkey, kind, value).
+    """(term_hash): terms that disclose an entity. docs (id, tkey, text), each pair of keys once, and spans (id, tkey, kind, value).
 
     The share of a term's documents that hold the entity is taken over all documents. How often an entity occurs, and with how
     many texts a term must support it, counts distinct texts: copies tell nothing new. Words that overlap a span of the patterns
     are no candidates; all others are, whatever their length and characters. An entity of fewer than ``least_docs`` distinct texts
     discloses nothing here: what names it stays in the texts, the price of not taking chance neighbours for its names.
+
+    Entities that stand in the same texts have the same counts, and so have terms; each such class is one row. So the pairs of a
+    text that lists very many values and names are those of classes.
     """
     every = docs.select("tkey").distinct().count()
     entities = materialise(spans.select("tkey", F.xxhash64("kind", "value").alias("entity")).distinct(), "entities")
-    held = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least_docs)
-    shown = materialise(entities.join(held, "entity"), "shown")
-    # Words of the documents that hold an entity of at least least_docs texts, each word once a document.
+    held = entities.groupBy("entity").agg(F.count("*").alias("n_e"), *_signed("e")).where(F.col("n_e") >= least_docs)
+    shown = materialise(entities.join(held, "entity").select("tkey", "e0", "e1", "n_e").distinct(), "shown")
+    # Words of the texts that hold an entity of at least least_docs texts, each word once a text.
     holders = materialise(shown.select("tkey").distinct(), "holders")
-    at = spans.join(_small(holders), "tkey", "left_semi").groupBy("tkey").agg(F.collect_set(F.struct("start", "end")).alias("at"))  # bounded by a text's length
-    near = docs.join(_small(materialise(at, "holders-spans")), "tkey").select("tkey", F.explode(_free_terms(F.col("text"), F.col("at"))).alias("term"))
-    near = near.where("term <> ''").select("tkey", F.xxhash64("term").alias("term"))
-    near = materialise(near, "near-terms")
-    both = near.join(_small(shown), "tkey").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"), F.count_distinct("tkey").alias("support")).where(F.col("support") >= least_docs)
+    near_spans = spans.join(_small(holders), "tkey", "left_semi").groupBy("tkey").agg(F.collect_set(F.struct("start", "end")).alias("at"))  # bounded by a text's length
+    copies = docs.join(_small(holders), "tkey", "left_semi").groupBy("tkey").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    chosen = materialise(near_spans.join(copies, "tkey"), "holders-spans")
+    near = docs.join(_small(chosen), ["id", "tkey"]).select("tkey", "copies", F.explode(_free_terms(F.col("text"), F.col("at"))).alias("term"))
+    near = materialise(near.where("term <> ''").select("tkey", "copies", F.xxhash64("term").alias("term")), "near-terms")
     # A term stands in at least the documents seen here, so P(entity | term) is bounded by them: common words go before the corpus is counted.
-    seen = near.groupBy("term").agg(F.count("*").alias("n_near"))
-    both = materialise(both.join(seen, "term").where(F.col("n_te") >= floor * F.col("n_near")).drop("n_near"), "term-entity")
+    terms = near.groupBy("term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_near"), *_signed("t")).where(F.col("texts") >= least_docs)
+    terms = materialise(terms, "terms-classes")
+    kinds = near.join(terms.select("term", "t0", "t1", "n_near"), "term").select("tkey", "copies", "t0", "t1", "n_near").distinct()
+    both = kinds.join(_small(shown), "tkey").groupBy("t0", "t1", "n_near", "e0", "e1", "n_e").agg(F.sum("copies").alias("n_te"), F.count("*").alias("support"))
+    both = both.where((F.col("support") >= least_docs) & (F.col("n_te") >= floor * F.col("n_near"))).select("t0", "t1", "n_e", "n_te").distinct()
+    both = materialise(both.join(terms.select("term", "t0", "t1"), ["t0", "t1"]).select("term", "n_e", "n_te"), "term-entity")
     asked = materialise(both.select("term").distinct(), "asked-terms")
     words = docs.select(F.explode(_terms()).alias("term")).select(F.xxhash64("term").alias("term"))
     counted = words.join(_small(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
@@ -137,15 +150,24 @@ def disclosing(docs: DataFrame, spans: DataFrame, *, least_docs: int = 3, floor:
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, base: DataFrame) -> DataFrame:
-    """(id, tkey, kind, start, end, value) of words whose term is in ``terms`` and that lie in no base span."""
-    terms = _small(terms)
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    words = numbered.select("row", "id", "tkey", "text", F.explode(F.transform(_terms(), lambda t: F.xxhash64(t))).alias("term_hash"))
-    holders = words.join(terms, "term_hash", "left_semi").groupBy("row").agg(F.first("id").alias("id"), F.first("tkey").alias("tkey"), F.first("text").alias("text"))
-    each = holders.select("row", "id", "tkey", F.posexplode(_pieces(F.col("text"), WORD)).alias("n", "p"))
-    so_far = Window.partitionBy("row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.withColumn("end", F.sum(F.col("p.gap") + F.length("p.found")).over(so_far)).withColumn("term_hash", F.xxhash64(_term(F.col("p.found"))))
-    chosen = placed.join(terms, "term_hash", "left_semi").select("id", "tkey", (F.col("end") - F.length("p.found")).alias("start"), "end", F.col("p.found").alias("value")).distinct()
+    """(id, tkey, kind, start, end, value) of words whose term is in ``terms`` and that lie in no base span. docs as for ``base_spans``.
+
+    Hashes of terms meet the list first; the texts that hold some are then read with just these, and their words placed in one pass.
+    """
+    words = docs.select("id", "tkey", F.explode(F.transform(_terms(), lambda t: F.xxhash64(t))).alias("term_hash"))
+    holders = words.join(_small(terms), "term_hash", "left_semi").groupBy("id", "tkey").agg(F.collect_set("term_hash").alias("own"))  # bounded by a text's length
+    holders = materialise(holders, "term-holders")
+    none = F.array().cast("array<struct<start: int, value: string>>")
+
+    def step(at: Column, p: Column) -> Column:
+        start = at["pos"] + p["gap"]
+        listed = F.array_contains(F.col("own"), F.xxhash64(_term(p["found"])))
+        found = F.when(listed, F.concat(at["found"], F.array(F.struct(start.alias("start"), p["found"].alias("value"))))).otherwise(at["found"])
+        return F.struct((start + F.length(p["found"])).alias("pos"), found.alias("found"))
+
+    placed = F.aggregate(_pieces(F.col("text"), WORD), F.struct(F.lit(0).alias("pos"), none.alias("found")), step)["found"]
+    each = docs.join(_small(holders), ["id", "tkey"]).select("id", "tkey", F.explode(placed).alias("s")).select("id", "tkey", "s.*")
+    chosen = each.select("id", "tkey", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("value")).cast("long").alias("end"), "value")
     other = base.select("id", "tkey", F.col("start").alias("s"), F.col("end").alias("e"))
     free = chosen.join(other, (chosen.id == other.id) & (chosen.tkey == other.tkey) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e")), "left_anti")
     return free.select("id", "tkey", F.lit(TERM).alias("kind"), "start", "end", "value")
@@ -156,7 +178,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **optio
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     key, tkey = doc_key(F.col("doc_id"), F.col("text"))
     own = own.withColumns({"id": key, "tkey": tkey})
-    rows = own.select("id", "tkey", "text")
+    rows = single(own.select("id", "tkey", "text"))
     base = materialise(base_spans(rows), "base-spans")
     terms = materialise(disclosing(rows, base, **options), "terms")
     if terms.isEmpty():
