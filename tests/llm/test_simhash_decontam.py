@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from siftline.llm import decontam, simhash
@@ -69,7 +72,8 @@ def test_simhash_matches_brute_force(spark):
     assert got == brute_classes(rows)
 
 
-def test_simhash_links_random_balls(spark):
+@pytest.mark.parametrize("options", [{}, {"owners_in_task": 2}, {"segments": 2}, {"segments": 4, "owners_in_task": 3}])
+def test_simhash_links_random_balls(spark, options):
     rng = random.Random(2)
     fps = set()
     for _ in range(30):
@@ -80,7 +84,7 @@ def test_simhash_links_random_balls(spark):
                 at ^= 1 << rng.randrange(64)
             fps.add(at)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"), **options)).collect()}
     for a in fps:
         for b in fps:
             if a != b and (a ^ b).bit_count() <= 4:
@@ -88,6 +92,29 @@ def test_simhash_links_random_balls(spark):
                 assert roots[s] == roots[t]
 
 
+def test_entry_of_many_visitors_passes_in_blocks():
+    rng = np.random.default_rng(3)
+    fps = (np.uint64(5) << np.uint64(50)) ^ rng.integers(0, 1 << 8, 400).astype(np.uint64)
+    rows = [np.zeros(400, np.int64), fps.astype(np.int64), np.r_[np.ones(3, np.int64), np.zeros(397, np.int64)]]
+    batches = [pa.record_batch([pa.array(r[i : i + 7]) for r in rows], names=["key", "fp", "own"]) for i in range(0, 400, 7)]
+    found = {(a, b) for out in simhash._entries(4, held_rows=20)(iter(batches)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    root = {int(f): int(f) for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        assert (a ^ b).bit_count() <= 4
+        root[find(a)] = find(b)
+    for i, a in enumerate(fps.tolist()):
+        for j, b in enumerate(fps.tolist()):
+            if (i < 3 or j < 3) and (a ^ b).bit_count() <= 4:
+                assert find(a) == find(b)
+    assert len(found) < 3 * 400 and simhash.segments_for(10**6, 4) == 3 and simhash.segments_for(10**12, 4) == 2
+
+
 def test_simhash_empty_and_null_ids(spark):
     assert simhash.digest(frame(spark, [])).collect() == []
     got = simhash.digest(frame(spark, [(None, "a b c d e"), (3, "a b c d e")])).collect()
@@ -99,6 +126,10 @@ def test_keep_first_keeps_one_of_each_group(spark):
     kept = simhash.keep_first(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "source", "fp", "hit"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_classes(rows)})
+    # Rows that repeat an id with an unrelated text are documents of their own.
+    again = [*rows, (7, "quite another text with many words of its own"), (7, "quite another text with many words of its own")]
+    assert sorted(r.doc_id for r in simhash.keep_first(frame(spark, again)).collect()) == sorted([*{c for _, _, c in brute_classes(rows)}, 7])
+    assert simhash.keep_first(frame(spark, [])).collect() == []
 
 
 ITEMS = [(1, " ".join(f"q{i}" for i in range(30))), (2, "Short item, here!"), (3, None), (4, "..."), (5, " ".join(f"q{i}" for i in range(8, 25))), (6, "größe ß x")]
