@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftline import vocab
+
 HIDDEN = ("script", "style", "noscript", "template")
-CHROME = frozenset({"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "svg"})
 
 
 def title(html: Column) -> Column:
@@ -41,33 +43,48 @@ def stripped(html: Column) -> Column:
 
 
 class _Reader(HTMLParser):
-    """Text outside page chrome; text inside article or main counts alone if there is any."""
+    """Text outside page chrome. Elements are closed as browsers do: the end of one ends all that are open inside it.
+
+    Chrome are certain tags (but not the header of an article), certain roles, and divisions whose attributes hint at it; inside an
+    article or main part only the tags are. ``header`` of a page, unclosed, thus ends with the element around it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.chrome, self.inside, self.main, self.rest = 0, 0, [], []
+        self.open, self.hidden, self.found = [], None, []
+
+    def _is_chrome(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        content = {"article", "main"} & set(self.open)
+        if tag in vocab.CHROME_TAGS or tag in HIDDEN:
+            return tag != "header" or "article" not in content
+        if content:
+            return False
+        words = " ".join(w or "" for pair in attrs for w in pair)
+        return dict(attrs).get("role") in vocab.CHROME_ROLES or (tag == "div" and re.search(vocab.CHROME_HINT, words) is not None)
 
     def handle_starttag(self, tag, attrs):
-        if tag in CHROME:
-            self.chrome += 1
-        elif tag in ("article", "main"):
-            self.inside += 1
+        if tag not in vocab.VOID_TAGS:
+            if self.hidden is None and self._is_chrome(tag, attrs):
+                self.hidden = len(self.open)
+            self.open.append(tag)
 
     def handle_endtag(self, tag):
-        if tag in CHROME:
-            self.chrome = max(0, self.chrome - 1)
-        elif tag in ("article", "main"):
-            self.inside = max(0, self.inside - 1)
+        if tag not in vocab.VOID_TAGS:
+            # An end that nothing open answers to ends everything.
+            at = len(self.open) - 1 - self.open[::-1].index(tag) if tag in self.open else 0
+            del self.open[at:]
+            if self.hidden is not None and len(self.open) <= self.hidden:
+                self.hidden = None
 
     def handle_data(self, data):
-        if not self.chrome and data.strip():
-            (self.main if self.inside else self.rest).append(" ".join(data.split()))
+        if self.hidden is None and data.strip():
+            self.found.append(" ".join(data.split()))
 
 
 def read_html(html: str | None) -> str:
     reader = _Reader()
     reader.feed(html or "")
-    return "\n".join(reader.main or reader.rest)
+    return "\n".join(reader.found)
 
 
 def readable(html: Column) -> Column:

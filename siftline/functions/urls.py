@@ -93,10 +93,120 @@ def depth(url: Column) -> Column:
 
 def is_source_host(h: Column) -> Column:
     """Hosts that publish about entities and are none themselves."""
-    return any_of([contains_any(h, group) for group in (vocab.REGISTRY_HOSTS, vocab.REVIEW_HOSTS, vocab.COMMUNITY_HOSTS, vocab.ATS_HOSTS, vocab.PLATFORM_HOSTS)])
+    return any_of([contains_any(h, group) for group in (vocab.REGISTRY_HOSTS, vocab.REVIEW_HOSTS, vocab.COMMUNITY_HOSTS, vocab.ATS_HOSTS, vocab.PLATFORM_HOSTS, vocab.JOB_BOARD_HOSTS)])
 
 
 def linked_domains(text: Column) -> Column:
     """Firms' domains linked in a text, in order of appearance."""
     hosts = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"https?://([a-z0-9][a-z0-9.-]{2,80})"), F.lit(1)), lambda h: F.regexp_replace(F.regexp_replace(h, r"^www\.", ""), r"[.-]+$", ""))
     return F.array_distinct(F.filter(hosts, lambda h: any_of([F.endswith(h, F.lit(s)) for s in vocab.ENTITY_SUFFIXES]) & ~is_source_host(h)))
+
+
+def is_noise_host(h: Column) -> Column:
+    """Hosts of paper publishers, which are never evidence about a firm."""
+    return contains_any(F.lower(F.coalesce(h, F.lit(""))), vocab.NOISE_HOSTS)
+
+
+def is_content_path(url: Column) -> Column:
+    """Whether a page lies in a section of articles, which a host publishes but which isn't about it."""
+    return F.coalesce(path(url).rlike(vocab.CONTENT_PATH), F.lit(False))
+
+
+def is_directory(key: Column) -> Column:
+    """Whether an entity's own host is a directory of firms."""
+    own = F.trim(F.coalesce(key, F.lit("")))
+    return F.contains(own, F.lit(".")) & (category(F.concat(F.lit("https://"), own)) == "b2b_directory_audit")
+
+
+def attributed_entity(url: Column, text: Column, explicit: Column) -> Column:
+    """The entity a record is filed under: what it names itself, else its URL's; for a page of a source host the first firm it links, and none if there is none on platforms, boards and registries."""
+    key, named = entity(url), F.get(linked_domains(F.coalesce(text, F.lit(""))), F.lit(0))
+    closed = any_of([contains_any(key, g) for g in (vocab.PLATFORM_HOSTS, vocab.JOB_BOARD_HOSTS, vocab.REGISTRY_HOSTS)])
+    found = F.when(is_source_host(key) & named.isNotNull(), named).when(is_source_host(key) & closed, F.lit("")).otherwise(key)
+    return F.coalesce(F.nullif(F.trim(explicit), F.lit("")), found)
+
+
+def candidate_entities(url: Column, text: Column) -> Column:
+    """All entities that a page could be filed under: its host, or for source hosts and case studies the firms that it links; and a case study's last path part if that is a domain."""
+    h, linked = host(F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))), linked_domains(F.coalesce(text, F.lit("")))
+    study = F.lower(path(url)).rlike(vocab.CASE_STUDY_PATH)
+    slug = F.lower(F.element_at(F.filter(F.split(path(url), "/"), lambda p: p != ""), -1))
+    good = F.length(slug).between(3, 30) & ~slug.isin(*vocab.SLUG_STOP) & F.contains(slug, F.lit(".")) & ~is_source_host(slug)
+    own = F.when(h != "", F.array(h)).otherwise(F.array().cast("array<string>"))
+    more = F.when(study & (h != ""), F.concat(linked, F.when(F.coalesce(good, F.lit(False)), F.array(slug)).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.when((h != "") & is_source_host(h), linked).otherwise(F.concat(own, F.coalesce(more, F.array().cast("array<string>")))))
+
+
+def entity_domain(name: Column) -> Column:
+    """The host that an entity key is, if it has a label of two letters or more before its last dot; else empty."""
+    h = F.trim(F.substring_index(entity(name), "/", 1), F.lit("."))
+    return F.when((F.instr(h, ".") > 0) & (F.length(F.regexp_extract(h, r"^(.*)\.[^.]*$", 1)) >= 2), h).otherwise(F.lit(""))
+
+
+def attribution_terms(name: Column) -> Column:
+    """What a page must say to be about an entity: its key, or its first label if that is long enough to be a name."""
+    key = F.lower(entity(name))
+    label = F.substring_index(key, ".", 1)
+    terms = F.when((F.length(label) >= vocab.ATTRIBUTION_CHARS) & (label != key), F.array(key, label)).otherwise(F.array(key))
+    return F.when(F.trim(F.coalesce(name, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(terms)
+
+
+def is_attributed(text: Column, uri: Column, name: Column) -> Column:
+    """Whether a record is about an entity: its address holds a term, or its text says one as a word (a term with digits: not inside other words)."""
+    low, where = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(uri, F.lit("")))
+
+    def said(term: Column) -> Column:
+        exact = F.regexp_like(low, F.concat(F.lit(r"(?<![\w-])\Q"), term, F.lit(r"\E(?![\w-])")))
+        return F.contains(where, term) | F.when(term.rlike("[0-9]"), exact).otherwise(F.contains(F.concat(F.lit(" "), low, F.lit(" ")), F.concat(F.lit(" "), term, F.lit(" "))))
+
+    return F.exists(attribution_terms(name), said)
+
+
+def story_entity(url: Column, vendors: dict[str, tuple[str, tuple[str, ...]]]) -> Column:
+    """(entity, vendor) of a vendor's customer story: the path part after one of the vendor's story paths, without endings and numbers; vendors: name -> host, story paths."""
+    h, p = host(url), F.lower(path(url))
+    found = F.lit(None).cast("struct<entity: string, vendor: string>")
+    for vendor, (own, marks) in reversed(vendors.items()):
+        slug = F.lit("")
+        for mark in reversed(marks):
+            tail = F.regexp_extract(p, rf"\Q{mark}\E/*([^/]*)", 1)
+            bare = F.regexp_replace(F.regexp_replace(tail, r"\.(html?|php|aspx)$", ""), r"[-_](?:\d{4,}|[0-9a-f]{8,})$", "")
+            slug = F.when(F.length(bare) >= 3, bare).otherwise(slug)
+        found = F.when((h == own) | F.endswith(h, F.lit(f".{own}")), F.struct(F.replace(slug, F.lit("-"), F.lit("_")).alias("entity"), F.lit(vendor).alias("vendor"))).otherwise(found)
+    return found
+
+
+def could_name(url: Column, name: Column, vendors: dict[str, tuple[str, tuple[str, ...]]]) -> Column:
+    """Whether a story's address could name an entity: its first label stands in the slug, path or host, as it is or without signs."""
+    label = F.lower(F.substring_index(entity(name), ".", 1))
+    hay = F.lower(F.concat_ws(" ", F.coalesce(story_entity(url, vendors)["entity"], F.lit("")), path(url), host(url)))
+    squashed = lambda x: F.regexp_replace(x, "[^a-z0-9]", "")
+    return (label == "") | F.contains(hay, label) | F.contains(squashed(hay), squashed(label))
+
+
+def surface_urls(surface: str, domain: Column, paths: dict[str, tuple[str, ...]], templates: dict[str, tuple[str, ...]]) -> Column:
+    """Addresses to try for a surface of a firm: paths on its own host, else templates of its domain, slug and origin."""
+    values = {"domain": domain, "slug": F.substring_index(domain, ".", 1), "origin": F.concat(F.lit("https://"), domain)}
+
+    def filled(template: str) -> Column:
+        out = F.lit(template)
+        for key, value in values.items():
+            out = F.replace(out, F.lit(f"{{{key}}}"), value)
+        return out
+
+    made = [filled("https://{domain}" + p) for p in paths[surface]] if surface in paths else [filled(t) for t in templates.get(surface, ())]
+    return F.array(*made) if made else F.array().cast("array<string>")
+
+
+def question_site(url: Column) -> Column:
+    """The site name of a question-and-answer host; null for others."""
+    h = host(url)
+    known = F.element_at(F.create_map(*[F.lit(x) for pair in vocab.QUESTION_SITES.items() for x in pair]), h)
+    return F.coalesce(known, F.when(F.endswith(h, F.lit(".stackexchange.com")), F.regexp_replace(h, r"\.stackexchange\.com$", "")))
+
+
+def record_id(uri: Column, title: Column, slug) -> Column:
+    """An id from the host and up to eight words of the title; ``slug`` makes it fit."""
+    base = F.coalesce(F.nullif(host(uri), F.lit("")), uri)
+    words = F.slice(F.split(F.trim(F.regexp_replace(title, r"\s+", " ")), " "), 1, 8)
+    return slug(F.when(F.trim(F.coalesce(title, F.lit(""))) != "", F.concat(base, F.lit("-"), F.array_join(words, "-"))).otherwise(base))

@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline import vocab
 from siftline.functions import text as T
 
 KINDS = ("delivery_proof", "named_clients", "stack_delivery", "independent_validation", "delivery_hiring", "commercial_terms", "certification", "engineering_output", "growth_signal", "dated_events")
-MARKER = r"(?m)^={3,}[ \t]*SECTION:[ \t]*([A-Z_ ]+?)[ \t]*\(URI:[ \t]*([^)]*)\)[ \t]*={3,}[ \t]*$"
-_STOP = (
-    "the", "this", "that", "their", "our", "we", "it", "in", "for", "and", "with", "from", "overview", "about", "read", "more", "learn", "contact", "home",
-    "case", "study", "client", "clients", "customer", "customers", "they", "she", "he", "you", "certified", "premier", "advanced", "elite", "partner", "partners", "company",
-)
+MARKER = vocab.SECTION_MARK
 
 
 def technologies(text: Column) -> Column:
     """Capitalised words used inside sentences, without stop words and clients' names, sorted."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![.!?]\s)(?<![.!?])(?<!\w)([A-Z][A-Za-z0-9.+#-]{2,})\b"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(vocab.TECHNOLOGY), F.lit(1))
     clients = F.transform(F.regexp_extract_all(text, F.lit(vocab.CLIENT), F.lit(1)), lambda c: F.split(c, " ")[0])
-    return F.array_sort(F.array_except(F.array_distinct(F.filter(found, lambda w: ~F.lower(w).isin(*_STOP))), clients))
+    return F.array_sort(F.array_except(F.array_distinct(F.filter(found, lambda w: ~F.lower(w).isin(*vocab.NOT_TECHNOLOGIES))), clients))
 
 
 def _strip(text: Column) -> Column:
@@ -73,13 +69,109 @@ def capped_tier(tier: Column) -> Column:
     return out
 
 
+def tier_reasons(tier: str) -> Column:
+    """What keeps a claimed tier from being supported, in words; empty if nothing does. The lowest tier's own gaps come last where not even it is supported."""
+    need = lambda name: F.transform(missing(name), lambda k: F.concat(F.lit(f"{name} needs "), k))
+    own, floor = need(tier), list(vocab.TIER_MINIMUMS)[-1]
+    below = [name for name in list(vocab.TIER_MINIMUMS)[list(vocab.TIER_MINIMUMS).index(tier) + 1 :]]
+    some = F.lit(False)
+    for name in below:
+        some = some | (F.size(missing(name)) == 0)
+    return F.when(F.size(own) == 0, F.array().cast("array<string>")).when(some, own).otherwise(F.concat(own, need(floor)))
+
+
+def nearest_bar(bar: str) -> Column:
+    """The kinds that keep an entity from a lane's bar: none if it clears the bar or any tier above it, else those of the bar."""
+    order = list(vocab.TIER_MINIMUMS)
+    clears = [F.size(missing(name)) == 0 for name in order[: order.index(bar) + 1]]
+    return F.when(reduce(lambda a, b: a | b, clears), F.array().cast("array<string>")).otherwise(missing(bar))
+
+
+def claimed_technologies(parts: DataFrame) -> DataFrame:
+    """(entity, tech): technologies of first-party sections that speak of delivery."""
+    own = parts.where(F.col("category").isin(*vocab.FIRST_PARTY) & F.col("text").rlike(vocab.DELIVERY))
+    return own.select("entity", F.explode(technologies(F.col("text"))).alias("tech")).distinct()
+
+
 def contradictions(parts: DataFrame) -> DataFrame:
-    """(entity, kind): certifications and commercial terms that first parties claim and no independent source repeats."""
+    """(entity, kind, claim): what first parties claim and nobody else repeats.
+
+    Technologies delivered that no corroborating source names (if there are such sources), certifications and commercial terms that
+    no independent one repeats, and open roles that name technologies, but none of those claimed.
+    """
     t, own, vouching = F.col("text"), F.col("category").isin(*vocab.FIRST_PARTY), F.col("category").isin(*vocab.INDEPENDENT)
     flags = parts.groupBy("entity").agg(*[F.bool_or(side & t.rlike(p)).alias(n) for n, side, p in (
         ("cert_own", own, vocab.CERTIFIED), ("cert_other", vouching, vocab.CERTIFIED), ("terms_own", own, vocab.COMMERCIAL), ("terms_other", vouching, vocab.COMMERCIAL))])
-    found = F.array_compact(F.array(F.when(F.col("cert_own") & ~F.col("cert_other"), F.lit("certification_unverified")), F.when(F.col("terms_own") & ~F.col("terms_other"), F.lit("commercial_terms_unverified"))))
-    return flags.select("entity", F.explode(found).alias("kind"))
+    finding = lambda kind, claim: F.struct(F.lit(kind).alias("kind"), F.lit(claim).alias("claim"))
+    plain = F.array_compact(F.array(
+        F.when(F.col("cert_own") & ~F.col("cert_other"), finding("certification_unverified", "a vendor certification or partner tier is claimed")),
+        F.when(F.col("terms_own") & ~F.col("terms_other"), finding("commercial_terms_unverified", "commercial terms are stated")),
+    ))
+    listed = lambda names, most: F.array_join(F.slice(F.array_sort(F.collect_set(names)), 1, most), ", ")
+    claimed = claimed_technologies(parts)
+    heard = parts.where(F.col("category").isin(*vocab.CORROBORATING)).select("entity", "text")
+    named = claimed.join(heard, "entity").groupBy("entity", "tech").agg(F.bool_or(F.contains("text", F.col("tech"))).alias("named"))
+    alone = named.where("not named").groupBy("entity").agg(F.concat(F.lit("first-party delivery of "), listed("tech", 6)).alias("claim"))
+    roles = parts.where("category = 'ATS_REQUISITIONS'").select("entity", F.explode(technologies(t)).alias("tech")).distinct()
+    both = claimed.withColumn("said", F.lit(1)).unionByName(roles.withColumn("said", F.lit(0))).groupBy("entity", "tech").agg(F.max("said").alias("said"), F.min("said").alias("role"))
+    sides = both.groupBy("entity").agg(F.max("said").alias("any"), F.min("role").alias("roles"), F.bool_or((F.col("said") == 1) & (F.col("role") == 0)).alias("meet"), listed(F.when(F.col("said") == 1, F.col("tech")), 4).alias("names"))
+    against = sides.where("any = 1 AND roles = 0 AND NOT meet").select("entity", F.concat(F.lit("delivery of "), "names").alias("claim"))
+    return (
+        flags.select("entity", F.explode(plain).alias("f")).select("entity", "f.kind", "f.claim")
+        .unionByName(alone.select("entity", F.lit("stack_claim_uncorroborated").alias("kind"), "claim"))
+        .unionByName(against.select("entity", F.lit("hiring_contradicts_claimed_stack").alias("kind"), "claim"))
+    )
+
+
+def confidences(parts: DataFrame) -> DataFrame:
+    """(entity, kind, confidence, weight, category): each kind an entity has, and the section that carries it, an independent one before others.
+
+    parts as for ``coverage``, with ``ord``. A kind without a section that may carry it is unsupported.
+    """
+    c, at = F.col("category"), lambda condition, name: F.min_by(F.when(condition, F.col("category")), F.when(condition, F.col("ord"))).alias(name)
+    first = parts.groupBy("entity").agg(at(c.isin(*vocab.INDEPENDENT), "vouching"), at(c == "ATS_REQUISITIONS", "hiring"), at(c.isin(*vocab.FIRST_PARTY), "own"), at(F.lit(True), "any"))
+    carrier = {"independent_validation": F.col("vouching"), "delivery_hiring": F.col("hiring")} | {k: F.coalesce("vouching", "own") for k in ("delivery_proof", "stack_delivery")}
+    each = [F.when(F.col(k), F.struct(F.lit(k).alias("kind"), carrier.get(k, F.coalesce("vouching", "any")).alias("category"))) for k in KINDS]
+    found = coverage(parts).join(first, "entity").select("entity", F.explode(F.array_compact(F.array(*each))).alias("k"))
+    level = F.when(F.col("k.category").isNull(), "unsupported").otherwise("reported")
+    weight = F.element_at(F.create_map(*[F.lit(x) for pair in vocab.CONFIDENCE.items() for x in pair]), level)
+    return found.select("entity", "k.kind", level.alias("confidence"), weight.alias("weight"), F.coalesce("k.category", F.lit("unlabelled")).alias("category"))
+
+
+def read_out(parts: DataFrame, tier: str) -> DataFrame:
+    """One row per entity: what it lacks for a claimed tier, the tier supported, why, its contradictions, and its weakest kind."""
+    own = coverage(parts).select("entity", missing(tier).alias("missing"), capped_tier(F.lit(tier)).alias("supported"), tier_reasons(tier).alias("reasons"))
+    against = contradictions(parts).groupBy("entity").agg(F.count("*").alias("contradictions"))
+    weakest = confidences(parts).groupBy("entity").agg(F.min("weight").alias("weakest"))
+    size = parts.groupBy("entity").agg(F.count("*").alias("sections"))
+    joined = own.join(against, "entity", "left").join(weakest, "entity", "left").join(size, "entity")
+    return joined.select("entity", "missing", "supported", (F.col("supported") != tier).alias("capped"), "reasons", F.coalesce("contradictions", F.lit(0)).alias("contradictions"), F.coalesce("weakest", F.lit(0.0)).alias("weakest"), "sections")
+
+
+def document_sections(parts: DataFrame, source_category: Column) -> DataFrame:
+    """parts (entity, ord, category, uri, text, source_uri): a document without marked sections, but of a known source, is one section of that source's category."""
+    plain = F.bool_and(F.col("category") == "PREAMBLE").over(Window.partitionBy("entity")) & (F.coalesce("source_uri", F.lit("")) != "")
+    return parts.select("entity", "ord", F.when(plain, F.upper(source_category)).otherwise(F.col("category")).alias("category"), F.when(plain, F.col("source_uri")).otherwise(F.col("uri")).alias("uri"), "text")
+
+
+def bounds(dossiers: DataFrame, *, entity: str = "entity", text: str = "text") -> DataFrame:
+    """(entity, category, uri, start, end): where the body of each marked section lies in its dossier."""
+    heads = F.regexp_extract_all(text, F.lit(MARKER), F.lit(0))
+    pieces = F.zip_with(heads, F.slice(F.split(text, MARKER), 1, F.size(heads)), lambda h, b: F.struct(h.alias("head"), F.length(b).alias("gap")))
+    each = dossiers.select(F.col(entity).alias("entity"), F.length(text).alias("size"), F.posexplode(pieces).alias("n", "p"))
+    order = Window.partitionBy("entity").orderBy("n")
+    own = each.withColumn("start", F.sum(F.col("p.gap") + F.length("p.head")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    after = F.lead(F.col("start") - F.length("p.head")).over(order)
+    head = lambda n: F.trim(F.regexp_extract("p.head", MARKER, n))
+    return own.select("entity", F.upper(head(1)).alias("category"), head(2).alias("uri"), "start", F.coalesce(after, F.col("size")).cast("int").alias("end"))
+
+
+def at_offsets(quotes: DataFrame, where: DataFrame) -> DataFrame:
+    """quotes (entity, offset, ...) with the category and uri of the section that each offset lies in; empty outside any."""
+    own = where.withColumnRenamed("entity", "__entity")
+    inside = (F.col("entity") == F.col("__entity")) & (F.col("start") <= F.col("offset")) & (F.col("offset") < F.col("end"))
+    found = quotes.join(own, inside, "left")
+    return found.select(*quotes.columns, F.coalesce("category", F.lit("")).alias("category"), F.coalesce("uri", F.lit("")).alias("uri"))
 
 
 def gap_queries(entity: Column, kinds: Column, most: int = 3) -> Column:
@@ -102,12 +194,24 @@ def addresses(item: str, quote: Column, category: Column, terms: tuple[str, ...]
         "delivery_proof": quote.rlike(vocab.OUTCOME) & quote.rlike(vocab.DELIVERY), "client_outcome": quote.rlike(vocab.OUTCOME),
         "delivery_hiring": (category == "ATS_REQUISITIONS") | quote.rlike(vocab.HIRING), "independent_validation": quote.rlike(vocab.DELIVERY) | quote.rlike(vocab.OUTCOME),
         "growth_signal": quote.rlike(vocab.GROWTH), "certification": quote.rlike(vocab.CERTIFIED), "commercial_scale": quote.rlike(vocab.COMMERCIAL),
-        "vendor_alliance": quote.rlike(vocab.CERTIFIED) | quote.rlike(r"(?i)\bpartner(ship)?\b"), "published_engineering": quote.rlike(r"(?i)\b(open source|github|architecture|we built|engineering blog)\b"),
+        "vendor_alliance": quote.rlike(vocab.CERTIFIED) | quote.rlike(vocab.PARTNERSHIP), "published_engineering": quote.rlike(vocab.PUBLISHED),
     }
     if concept not in states:
         return F.lit(True)
-    third = (category == "") | category.isin(*vocab.INDEPENDENT) if concept == "independent_validation" else F.lit(True)
-    return F.coalesce(states[concept] & third, F.lit(False))
+    return F.coalesce(states[concept] & _may_speak(concept, category), F.lit(False))
+
+
+def _may_speak(concept: str, category: Column) -> Column:
+    return (category == "") | category.isin(*vocab.INDEPENDENT) if concept == "independent_validation" else F.lit(True)
+
+
+def refusal(item: str, quote: Column, category: Column, terms: tuple[str, ...] = ()) -> Column:
+    """Why a quote can't carry an item's claim; null where it can."""
+    concept = vocab.concept(item)
+    if not concept:
+        return F.lit(None).cast("string")
+    party = F.concat(F.lit("quote must come from a third party, not "), F.replace(F.lower(category), F.lit("_"), F.lit(" ")))
+    return F.when(~_may_speak(concept, category), party).when(~addresses(item, quote, category, terms), F.lit(f"quote does not state {vocab.REQUIREMENTS[concept]}"))
 
 
 def qualifies(item: str, category: Column) -> Column:

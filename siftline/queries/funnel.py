@@ -190,28 +190,110 @@ def gap_queries(t: Tables) -> DataFrame:
     return own.select("entity", F.explode(evidence.gap_queries(F.col("entity"), F.col("kinds"))).alias("question"))
 
 
-@query(f"""WITH {_PARTS}, f AS (SELECT entity, bool_or({_OWN} AND {_has(vocab.CERTIFIED)}) AS co, bool_or({_VOUCH} AND {_has(vocab.CERTIFIED)}) AS cv, bool_or({_OWN} AND {_has(vocab.COMMERCIAL)}) AS mo,
-  bool_or({_VOUCH} AND {_has(vocab.COMMERCIAL)}) AS mv FROM p GROUP BY 1)
-SELECT entity, 'certification_unverified' AS kind FROM f WHERE co AND NOT cv UNION ALL SELECT entity, 'commercial_terms_unverified' FROM f WHERE mo AND NOT mv""")
+#: The technologies of each of the texts above.
+_NAMED = "CASE ord % 11 WHEN 0 THEN ['Kafka'] WHEN 2 THEN ['Raised'] WHEN 3 THEN ['Corp', 'Delivered', 'Terraform'] WHEN 4 THEN ['Copyright'] WHEN 1 THEN [] WHEN 5 THEN [] ELSE ['Nothing'] END"
+_AGAINST = f"""f AS (SELECT entity, bool_or({_OWN} AND {_has(vocab.CERTIFIED)}) AS co, bool_or({_VOUCH} AND {_has(vocab.CERTIFIED)}) AS cv, bool_or({_OWN} AND {_has(vocab.COMMERCIAL)}) AS mo,
+  bool_or({_VOUCH} AND {_has(vocab.COMMERCIAL)}) AS mv FROM p GROUP BY 1),
+tc AS (SELECT DISTINCT entity, unnest({_NAMED}) AS tech FROM p WHERE {_OWN} AND {_has(vocab.DELIVERY)}),
+tr AS (SELECT DISTINCT entity, unnest({_NAMED}) AS tech FROM p WHERE category = 'ATS_REQUISITIONS'),
+tn AS (SELECT tc.entity, tc.tech FROM tc JOIN p ON tc.entity = p.entity WHERE {_VOUCH.replace("category", "p.category")} OR p.category = 'ATS_REQUISITIONS' GROUP BY 1, 2 HAVING NOT bool_or(contains(p.text, tc.tech))),
+cl AS (SELECT entity, list_sort(list(tech)) AS techs FROM tc GROUP BY 1), ro AS (SELECT entity, list(tech) AS techs FROM tr GROUP BY 1),
+found AS (
+  SELECT entity, 'certification_unverified' AS kind, 'a vendor certification or partner tier is claimed' AS claim FROM f WHERE co AND NOT cv
+  UNION ALL SELECT entity, 'commercial_terms_unverified', 'commercial terms are stated' FROM f WHERE mo AND NOT mv
+  UNION ALL SELECT entity, 'stack_claim_uncorroborated', 'first-party delivery of ' || array_to_string(list_slice(list_sort(list(tech)), 1, 6), ', ') FROM tn GROUP BY 1
+  UNION ALL SELECT cl.entity, 'hiring_contradicts_claimed_stack', 'delivery of ' || array_to_string(list_slice(cl.techs, 1, 4), ', ') FROM cl JOIN ro ON cl.entity = ro.entity WHERE NOT list_has_any(cl.techs, ro.techs))"""
+
+
+@query(f"WITH {_PARTS}, {_AGAINST} SELECT entity, kind, claim FROM found")
 def contradictions(t: Tables) -> DataFrame:
     return evidence.contradictions(parts(t))
 
 
-@query(f"""WITH {_PARTS} SELECT category, count(*) FILTER ({_has(vocab.OUTCOME)} AND {_has(vocab.DELIVERY)})::BIGINT AS delivery_proof,
-  count(*) FILTER (({_has(vocab.DELIVERY)} OR {_has(vocab.OUTCOME)}) AND {_VOUCH})::BIGINT AS independent_validation, count(*) FILTER ({_has(vocab.CERTIFIED)})::BIGINT AS certification,
-  count(*) FILTER (category = 'ATS_REQUISITIONS' OR {_has(vocab.HIRING)})::BIGINT AS delivery_hiring, count(*)::BIGINT AS quotes FROM p GROUP BY 1""")
+_REASONS = f"""CASE WHEN len({_LACKING}) = 0 THEN '' ELSE array_to_string(list_concat(list_transform({_LACKING}, lambda k: 'tier_1 needs ' || k), CASE WHEN stack_delivery THEN [] ELSE ['tier_3 needs stack_delivery'] END), '; ') END"""
+
+
+@query(f"WITH {_COVER} SELECT entity, {_REASONS} AS reasons FROM k")
+def tier_reasons(t: Tables) -> DataFrame:
+    return evidence.coverage(parts(t)).select("entity", F.array_join(evidence.tier_reasons("tier_1"), "; ").alias("reasons"))
+
+
+@query(f"WITH {_COVER} SELECT entity, CASE WHEN delivery_proof AND stack_delivery THEN '' ELSE array_to_string(list_filter({_LACKING}, lambda k: k <> 'independent_validation'), ',') END AS lacking FROM k")
+def nearest_tier_bar(t: Tables) -> DataFrame:
+    return evidence.coverage(parts(t)).select("entity", F.array_join(evidence.nearest_bar("tier_2"), ",").alias("lacking"))
+
+
+_CARRIED = {"independent_validation": "vouching", "delivery_hiring": "hiring", "delivery_proof": "coalesce(vouching, own)", "stack_delivery": "coalesce(vouching, own)"}
+_FIRST = f"""w AS (SELECT entity, arg_min(category, ord) FILTER ({_VOUCH}) AS vouching, arg_min(category, ord) FILTER (category = 'ATS_REQUISITIONS') AS hiring, arg_min(category, ord) FILTER ({_OWN}) AS own, arg_min(category, ord) AS every FROM p GROUP BY 1),
+cf AS ({" UNION ALL ".join(f"SELECT k.entity, '{x}' AS kind, {_CARRIED.get(x, 'coalesce(vouching, every)')} AS c FROM k JOIN w ON k.entity = w.entity WHERE k.{x}" for x in evidence.KINDS)})"""
+
+
+@query(f"WITH {_COVER}, {_FIRST} SELECT entity, kind, CASE WHEN c IS NULL THEN 'unsupported' ELSE 'reported' END AS confidence, CASE WHEN c IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, coalesce(c, 'unlabelled') AS category FROM cf")
+def claim_confidence(t: Tables) -> DataFrame:
+    return evidence.confidences(parts(t))
+
+
+@query(f"""WITH {_COVER}, {_AGAINST}, {_FIRST}, n AS (SELECT entity, count(*)::BIGINT AS sections FROM p GROUP BY 1), a AS (SELECT entity, count(*)::BIGINT AS contradictions FROM found GROUP BY 1),
+wk AS (SELECT entity, min(CASE WHEN c IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS weakest FROM cf GROUP BY 1)
+SELECT k.entity, array_to_string({_LACKING}, ',') AS missing, {_CAPPED} AS supported, {_CAPPED} <> 'tier_1' AS capped, {_REASONS} AS reasons, coalesce(contradictions, 0) AS contradictions, coalesce(weakest, 0.0::DOUBLE) AS weakest, sections
+FROM k JOIN n ON k.entity = n.entity LEFT JOIN a ON k.entity = a.entity LEFT JOIN wk ON k.entity = wk.entity""")
+def entity_evidence(t: Tables) -> DataFrame:
+    own = evidence.read_out(parts(t), "tier_1")
+    return own.withColumns({"missing": F.array_join("missing", ","), "reasons": F.array_join("reasons", "; ")})
+
+
+_STATES = {
+    "stack_delivery": "regexp_matches(text, '(?i)(kafka|terraform)')", "billable_delivery": f"{_has(vocab.OUTCOME)} AND {_has(vocab.DELIVERY)}", "delivery_proof": f"{_has(vocab.OUTCOME)} AND {_has(vocab.DELIVERY)}",
+    "client_outcome": _has(vocab.OUTCOME), "delivery_hiring": f"category = 'ATS_REQUISITIONS' OR {_has(vocab.HIRING)}", "independent_validation": f"({_has(vocab.DELIVERY)} OR {_has(vocab.OUTCOME)}) AND {_VOUCH}",
+    "growth_signal": _has(vocab.GROWTH), "certification": _has(vocab.CERTIFIED), "commercial_scale": _has(vocab.COMMERCIAL), "vendor_alliance": f"{_has(vocab.CERTIFIED)} OR {_has(vocab.PARTNERSHIP)}",
+    "published_engineering": _has(vocab.PUBLISHED),
+}
+STACK = ("Kafka", "Terraform")
+
+
+@query(f"WITH {_PARTS} SELECT category, " + ", ".join(f"count(*) FILTER ({v})::BIGINT AS {k}" for k, v in _STATES.items()) + ", count(*)::BIGINT AS quotes FROM p GROUP BY 1")
 def claim_addressing(t: Tables) -> DataFrame:
-    count = lambda item: F.count_if(evidence.addresses(item, F.col("text"), F.col("category"))).alias(item)
-    return parts(t).groupBy("category").agg(count("delivery_proof"), count("independent_validation"), count("certification"), count("delivery_hiring"), F.count("*").alias("quotes"))
+    count = lambda item: F.count_if(evidence.addresses(item, F.col("text"), F.col("category"), STACK)).alias(item)
+    return parts(t).groupBy("category").agg(*map(count, _STATES), F.count("*").alias("quotes"))
 
 
-@query(f"WITH {_PARTS} SELECT entity, replace(category, 'B2B_', '') AS category, count(*)::BIGINT AS n, sum(len(trim(text)))::BIGINT AS chars FROM p GROUP BY 1, 2")
-def section_lookup(t: Tables) -> DataFrame:
-    """Dossiers are written with section markers and parsed again; a marker's category has letters, blanks and underscores only."""
+_REFUSED = " ".join(
+    f"WHEN '{k}' THEN CASE " + (f"WHEN NOT {_VOUCH} THEN 'quote must come from a third party, not ' || replace(lower(category), '_', ' ') " if k == "independent_validation" else "")
+    + f"WHEN NOT ({v}) THEN {quoted(f'quote does not state {vocab.REQUIREMENTS[k]}')} END" for k, v in _STATES.items()
+)
+
+
+@query(f"WITH {_PARTS}, i AS (SELECT unnest([{', '.join(quoted(k) for k in _STATES)}]) AS item), r AS (SELECT item, category, CASE item {_REFUSED} END AS note FROM p CROSS JOIN i) SELECT item, note, count(*)::BIGINT AS n FROM r WHERE note IS NOT NULL GROUP BY 1, 2")
+def support_notes(t: Tables) -> DataFrame:
+    """Why each section's text cannot carry each concept's claim, counted."""
+    notes = F.array(*[F.struct(F.lit(k).alias("item"), evidence.refusal(k, F.col("text"), F.col("category"), STACK).alias("note")) for k in _STATES])
+    return parts(t).select(F.explode(notes).alias("x")).select("x.*").groupBy("item", "note").agg(F.count("*").alias("n")).where("note IS NOT NULL")
+
+
+def _marked(t: Tables) -> DataFrame:
+    """Dossiers with section markers; a marker's category has letters, blanks and underscores only."""
     marked = F.concat(F.lit("=== SECTION: "), F.replace("category", F.lit("B2B_"), F.lit("")), F.lit(" (URI: "), "uri", F.lit(") ===\n"), "text")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", marked.alias("x")))), lambda r: r.x)
-    dossiers = parts(t).groupBy("entity").agg(F.array_join(lines, "\n").alias("text"))
-    return evidence.sections(dossiers).groupBy("entity", "category").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return parts(t).groupBy("entity").agg(F.array_join(lines, "\n").alias("text"))
+
+
+@query(f"WITH {_PARTS} SELECT entity, replace(category, 'B2B_', '') AS category, count(*)::BIGINT AS n, sum(len(trim(text)))::BIGINT AS chars FROM p GROUP BY 1, 2")
+def section_lookup(t: Tables) -> DataFrame:
+    """Dossiers are written with section markers and parsed again."""
+    return evidence.sections(_marked(t)).groupBy("entity", "category").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+_LAID = f"""{_PARTS}, l AS (SELECT entity, ord, replace(category, 'B2B_', '') AS category, uri, len('=== SECTION: ' || replace(category, 'B2B_', '') || ' (URI: ' || uri || ') ===') AS head, len(text) AS body FROM p),
+b AS (SELECT *, sum(head + 1 + body + 1) OVER (PARTITION BY entity ORDER BY ord) - (head + 1 + body + 1) + head AS start, lead(ord) OVER (PARTITION BY entity ORDER BY ord) IS NULL AS ends FROM l),
+x AS (SELECT entity, category, uri, start, start + 1 + body + CASE WHEN ends THEN 0 ELSE 1 END AS stop FROM b),
+q AS (SELECT entity, ord AS quote, (ord * 37) % 900 AS "offset" FROM p)"""
+
+
+@query(f"""WITH {_LAID} SELECT q.entity, q.quote, coalesce(x.category, '') AS category, coalesce(x.uri, '') AS uri FROM q LEFT JOIN x ON q.entity = x.entity AND x.start <= q."offset" AND q."offset" < x.stop""")
+def section_at_offset(t: Tables) -> DataFrame:
+    """Offsets of quotes in dossiers, and the section that each lies in: a range join inside each entity."""
+    quotes = parts(t).select("entity", F.col("ord").alias("quote"), (F.col("ord") * 37 % 900).cast("int").alias("offset"))
+    return evidence.at_offsets(quotes, evidence.bounds(_marked(t))).select("entity", "quote", "category", "uri")
 
 
 @query(f"SELECT s_suppkey, CASE WHEN {sql_any('t', ('directory',))} THEN 'excluded' WHEN {sql_any('t', ('implementation', 'consultancy'))} THEN 'matched' ELSE 'missing' END AS signal FROM (SELECT s_suppkey, lower({_TEXT}) AS t FROM supplier)")

@@ -100,11 +100,6 @@ def surface_budget(t: Tables) -> DataFrame:
     return ranked.groupBy("host", "surface").agg(F.count_if(F.col("n") <= 3).alias("taken"), F.count_if(F.col("n") > 3).alias("trimmed"))
 
 
-@query(f"SELECT page_id, {_HOST.format('url')} AS host FROM pages WHERE {sql_any(_HOST.format('url'), ('spam', 'pills', 'casino'))}")
-def noise_hosts(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", U.host(F.col("url")).alias("host")).where(T.contains_any(F.col("host"), ("spam", "pills", "casino")))
-
-
 @query(f"""
 WITH d AS (SELECT page_id, url, len(regexp_replace({_PATH.format("url")}, '/+$', '')) - len(replace(regexp_replace({_PATH.format("url")}, '/+$', ''), '/', '')) AS depth FROM pages)
 SELECT page_id, url, depth::INT AS depth, row_number() OVER (ORDER BY depth DESC, url, page_id)::INT AS place FROM d QUALIFY place <= 50""")

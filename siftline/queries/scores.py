@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 from siftline.operators import calibrate, export, scoring
 from siftline.operators.export import Clause, Filter
 from siftline.queries.base import Tables, query
@@ -189,7 +188,6 @@ def quota_diagnosis(t: Tables) -> DataFrame:
 
 
 
-
 @query(f"WITH {_C}, n AS (SELECT record, score, o_totalprice / 600 AS expected, record % 5 = 0 AS held FROM c JOIN orders ON record = o_orderkey) SELECT held, count(*)::BIGINT AS n, round(avg(pow(score - expected, 2)), 4) AS mse, round(avg(abs(score - expected)), 4) AS mae FROM n GROUP BY 1")
 def calibration_errors(t: Tables) -> DataFrame:
     """Errors of derived scores, apart for the fifth held out. Observations are told apart by their id, not by a global row number."""
@@ -204,9 +202,3 @@ def calibration_fit(t: Tables) -> DataFrame:
     wide = strengths(t).groupBy("record").agg(*[F.coalesce(F.max(F.when(F.col("item") == i, F.col("strength"))), F.lit(0.0)).alias(i) for i in ITEMS])
     own = wide.join(t.orders.select(F.col("o_orderkey").alias("record"), F.col("o_orderpriority").alias("task"), (F.col("o_totalprice") / 600).alias("expected")), "record")
     return calibrate.fit(own, by="task", items=list(ITEMS), expected="expected")
-
-
-@query(f"WITH {_C}, p AS (SELECT record, greatest(0, least(100, round(score)))::INT AS score FROM c), w AS (SELECT CASE WHEN score >= 50 THEN 'high' ELSE 'low' END AS band, score FROM p) SELECT band, approx_count_distinct(score) > 0 AS any_score, min(score) AS least, max(score) AS most, count(*)::BIGINT AS n FROM w GROUP BY 1")
-def score_rows(t: Tables) -> DataFrame:
-    own = scores(t).withColumn("band", F.when(F.col("score") >= 50, "high").otherwise("low"))
-    return own.groupBy("band").agg((F.approx_count_distinct("score") > 0).alias("any_score"), F.min("score").alias("least"), F.max("score").alias("most"), F.count("*").alias("n"))

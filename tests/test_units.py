@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline import vocab
-from siftline.functions import html, urls
+from siftline.functions import html, parse, urls
 from siftline.functions import text as T
 from siftline.operators import calibrate, evidence, export, gates, grounding, items, ledger
 from siftline.operators.export import Clause, Filter
@@ -156,7 +156,7 @@ def test_urls(spark):
 def test_text_and_html(spark):
     t = F.col("t")
     assert one(spark, T.garbage(t), t="\x00" * 60 + "a" * 60) and not one(spark, T.garbage(t), t="\x00" * 20)
-    assert html.read_html("<nav>menu</nav><article><p>Hello <b>you</b></p></article><p>aside</p><script>x()</script>") == "Hello\nyou"
+    assert html.read_html("<nav>menu</nav><article><p>Hello <b>you</b></p></article><p>aside</p><script>x()</script>") == "Hello\nyou\naside"
     assert one(spark, F.array_join(evidence.technologies(t), ","), t="We moved clients Acme to Kafka. Then Terraform came") == "Kafka,Terraform"
 
 
@@ -237,3 +237,24 @@ def test_short_quotes_are_searched(spark):
     assert vocab.MIN_QUOTE == 15
     assert {(r.quote_id, r.start) for r in ground_exact(tables).collect()} == {(1, 6), (5, 44)}
     assert {r.quote_id for r in ground_missing_anti(tables).collect()} == {3, 4}
+
+
+def test_readable_text_closes_chrome_as_browsers_do():
+    read = html.read_html
+    assert read("<body><div><nav>menu<p>more</div><p>text</p></body>") == "text"
+    assert read('<div role="navigation">x</div><div class="cookie-note">y</div><section>z</section>') == "z"
+    assert read('<article><header>Title</header><div class="promo">copy</div></article><footer>end</footer>') == "Title\ncopy"
+    assert read("<form>a<br>b<input></form>c") == "c" and read(None) == "" and read("<p>one<p>two") == "one\ntwo"
+
+
+def test_json_in_prose():
+    assert parse.find_json('x {"a": 1, "b": [1, 2,],} y') == {"a": 1, "b": [1, 2]} and parse.find_json("```json\n[1,]\n```") == [1] and parse.find_json(" 5 ") == 5
+    assert parse.find_json("none") is None and parse.find_json(None) is None and parse.find_json("a {b} [1] {}") == [1]
+    assert parse.find_payload('q {"x": {"input_items": []}} {"output_schema": 1, "input_items": [2]}') == {"output_schema": 1, "input_items": [2]} and parse.find_payload("{") is None
+
+
+def test_bodies_and_ld():
+    assert parse.decode_body("é".encode("latin-1"), "text/html") == "é" and parse.decode_body("é".encode(), "text/html; charset=nonsense") == "é"
+    assert parse.decode_body("é".encode("utf-16-le"), "x; charset=utf-16-le") == "é" and parse.decode_body(None, None) == "" and "\ufffd" in parse.decode_body(b"\x81", None)
+    page = '<script type="application/ld+json">[{"@type":"JobPosting","hiringOrganization":[{"name":" A  b "}]},{"@type":"Person","text":"%s"},{"text":"untyped text"}]</script>' % ("long " * 20)
+    assert parse.ld_employer(page) == ("A b", "") and parse.ld_description(page) == "untyped text" and parse.ld_employer("") == ("", "") and parse.ld_description(None) == ""
