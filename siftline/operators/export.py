@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.operators.items import numbered
+
 OPS = ("==", "!=", ">=", "<=", ">", "<", "in", "not_in")
 Scalar = str | float | int | bool | None
 
@@ -94,3 +97,33 @@ def top(records: DataFrame, keys: list[Column], k: int) -> DataFrame:
 
 def bias_adjusted(score: Column, bias: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score - F.coalesce(bias, F.lit(0.0))))
+
+
+def typed(claim: Column, *, descending: bool = False) -> Column:
+    """A claim (JSON text) as a value whose natural order is the typed one: nulls, then numbers, then strings; descending, strings come before numbers."""
+    text = claim.isNotNull() & F.startswith(claim, F.lit('"')) & _number(claim).isNull()
+    number = F.when(~F.coalesce(text, F.lit(False)), _number(claim))
+    kind = F.when(number.isNotNull(), 2 if descending else 1).when(text, 1 if descending else 2).otherwise(0)
+    return F.struct(kind.alias("kind"), number.alias("number"), F.when(text, F.trim(claim, F.lit('"'))).alias("text"))
+
+
+def ranked(rows: DataFrame, value: Column, tie: str, *, descending: bool = False, stretches: int = 64) -> DataFrame:
+    """All rows with their rank from 1 in the order of ``value`` (a struct), equal ones in the order of the whole number ``tie``.
+
+    No task sorts everything: distinct values are counted, the counts summed over stretches of values between fixed marks, and the
+    rows of a value numbered in stretches of ``tie``. The marks come from a bounded sample and only balance the tasks.
+    """
+    own = rows.withColumn("__v", value)
+    counts = own.groupBy("__v").agg(F.count("*").alias("n"))
+    some = sorted((tuple(r["__v"]) for r in counts.orderBy(F.xxhash64("__v")).limit(32 * stretches).select("__v").collect()), key=lambda v: [(x is not None, x if x is not None else 0) for x in v])
+    kinds = [f.dataType.simpleString() for f in own.schema["__v"].dataType.fields]
+    mark = lambda v: F.struct(*[F.lit(x).cast(k).alias(n) for x, k, n in zip(v, kinds, own.schema["__v"].dataType.fieldNames(), strict=True)])
+    marks = [mark(v) for v in some[:: max(1, len(some) // stretches)]]
+    stretch = reduce(lambda a, b: a + b, [(F.col("__v") >= m).cast("int") for m in marks], F.lit(0))
+    order = (F.desc if descending else F.asc)
+    placed = counts.withColumn("__s", stretch)
+    inside = F.sum("n").over(Window.partitionBy("__s").orderBy(order("__v")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    sums = placed.groupBy("__s").agg(F.sum("n").alias("m"))  # a row for each stretch
+    before = sums.select("__s", (F.sum("m").over(Window.orderBy(order("__s"))) - F.col("m")).alias("__base"))
+    first = placed.withColumn("__at", inside).join(F.broadcast(before), "__s").select("__v", (F.col("__base") + F.col("__at")).alias("__first"))
+    return numbered(own, by="__v", order=tie, into="__n").join(first, "__v").withColumn("rank", (F.col("__first") + F.col("__n") + 1).cast("int")).drop("__v", "__n", "__first")

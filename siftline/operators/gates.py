@@ -6,6 +6,7 @@ later gates are absent from the trace. Silence is unknown, never a pass; a snipp
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import product
 
@@ -28,6 +29,22 @@ class Profile:
     locations: tuple[str, ...] = ()
     verticals: tuple[str, ...] = ()
 
+    @classmethod
+    def of(cls, given: dict | None) -> Profile:
+        """A profile from loose settings: one word stands for a list, blanks and what is no number for nothing."""
+        given = given or {}
+
+        def words(key: str) -> tuple[str, ...]:
+            value = given.get(key)
+            listed = [value] if isinstance(value, str) else value if isinstance(value, (list, tuple, set)) else []
+            return tuple(str(v) for v in listed if str(v).strip())
+
+        def number(key: str) -> int:
+            value = str(given.get(key) or 0)
+            return int(value) if re.fullmatch(r"-?\d+", value) else 0
+
+        return cls(str(given.get("allows") or "services"), number("size_min"), number("size_max"), words("locations"), words("verticals"))
+
     @property
     def live(self) -> tuple[str, ...]:
         asked = {"kind": self.allows == "services", "size": self.size_min or self.size_max, "location": self.locations, "vertical": self.verticals}
@@ -40,6 +57,19 @@ class Profile:
         return Profile(self.allows, max(self.size_min, other.size_min), min(ceilings, default=0), shared(self.locations, other.locations), shared(self.verticals, other.verticals))
 
 
+def reachable(evidence: str, gates: tuple[str, ...], grade: str) -> bool:
+    """Whether a rung can judge text of a grade: a rung of fetched pages, and any that asks for the vertical, needs fetched text."""
+    return grade == "fetched" or not (evidence == "fetched" or "vertical" in gates)
+
+
+def check_ladder(ladder: tuple[tuple[str, str, tuple[str, ...]], ...]) -> None:
+    """Raises on a ladder whose rungs lack a name or gates, repeat none of the known ones, or name an unknown grade."""
+    for at, (name, evidence, gates) in enumerate(ladder):
+        wrong = "no name" if not name.strip() else f"grade {evidence!r}" if evidence not in ("snippet", "fetched") else "no gates" if not gates else next((f"gate {g!r}" for g in gates if g not in GATES), None)
+        if wrong:
+            raise ValueError(f"rung {at}: {wrong}")
+
+
 def _count(text: Column, terms: tuple[str, ...]) -> Column:
     return F.size(T.matches(text, terms))
 

@@ -32,10 +32,20 @@ def by_ids(items: DataFrame, ids: DataFrame, *, fuzzy: bool = False) -> DataFram
 
 
 def distinct_ids(items: DataFrame, *, order: str) -> DataFrame:
-    """Ids that repeat get a digest of their source; the first of each keeps its name."""
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(order))
+    """Ids that repeat get a digest of their source; the first of each keeps its name. A minimum, so no task gathers an id's rows."""
+    first = items.groupBy("item_id").agg(F.min(order).alias("__first"))
     renamed = F.concat("item_id", F.lit("_"), F.substring(T.digest(F.col(order).cast("string")), 1, 8))
-    return items.withColumn("item_id", F.when(place > 1, renamed).otherwise(F.col("item_id")))
+    return items.join(first, "item_id").withColumn("item_id", F.when(F.col(order) == F.col("__first"), F.col("item_id")).otherwise(renamed)).drop("__first")
+
+
+def numbered(rows: DataFrame, *, by: str, order: str, into: str = "place", span: int = 100_000) -> DataFrame:
+    """Rows of each ``by`` numbered from 0 in the order of a whole number. In two steps over stretches of ``span``, so that a frequent ``by`` is spread."""
+    part = F.floor(F.col(order) / span)
+    inside = F.row_number().over(Window.partitionBy(by, "__part").orderBy(order)) - 1
+    own = rows.withColumn("__part", part).withColumn("__at", inside)
+    sizes = rows.groupBy(by, part.alias("__part")).agg(F.count("*").alias("n"))
+    before = sizes.select(by, "__part", (F.sum("n").over(Window.partitionBy(by).orderBy("__part")) - F.col("n")).alias("__base"))
+    return own.join(before, [by, "__part"]).withColumn(into, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
 
 
 def bundle(records: DataFrame, *, least_sources: int = 1) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline import vocab
 from siftline.functions import urls as U
+from siftline.functions.text import contains_any
 
 
 def sightings(pages: DataFrame, *, url: str, text: str, signals: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -37,6 +38,24 @@ def proposals(seen: DataFrame, signals: dict[str, tuple[str, ...]], *, least: in
     return seen.where(F.col("sightings") >= least).select("domain", "sightings", category.alias("category"), confidence.alias("confidence"), best.alias("best"), second.alias("second"), "samples")
 
 
+def precise(samples: Column) -> Column:
+    """The category that sample addresses prove by themselves: two of its markers, or one that decides; null if none does."""
+    low = F.lower(F.coalesce(samples, F.lit("")))
+    out = F.lit(None).cast("string")
+    for kind, markers in reversed(vocab.PRECISE_SIGNALS.items()):
+        seen = reduce(lambda a, b: a + b, [F.contains(low, F.lit(m)).cast("int") for m in markers])
+        out = F.when((seen >= 2) | contains_any(low, [m for m in markers if m in vocab.DECISIVE_SIGNALS]), F.lit(kind)).otherwise(out)
+    return out
+
+
 def promotions(proposed: DataFrame, *, confidence: float = vocab.REGISTRY_CONFIDENCE, lead: float = vocab.REGISTRY_LEAD) -> DataFrame:
-    """Proposals confident enough whose best category leads the second clearly."""
-    return proposed.where((F.col("confidence") >= confidence) & (F.col("best") >= lead * F.col("second")))
+    """Proposals that precise signals prove, or that are confident enough with a best category that leads the second clearly."""
+    proven = precise(F.col("samples"))
+    sure = (F.col("confidence") >= confidence) & (F.col("best") >= lead * F.col("second"))
+    return proposed.withColumn("category", F.coalesce(proven, F.when(sure, F.col("category")))).where("category IS NOT NULL")
+
+
+def grown(registry: DataFrame, promoted: DataFrame, demoted: DataFrame) -> DataFrame:
+    """The registry (domain, category, promoted_by) after a pass: what was promoted joins it unless it is there, what was demoted leaves it."""
+    fresh = promoted.select("domain", "category", F.lit("auto").alias("promoted_by")).join(registry, "domain", "left_anti")
+    return registry.unionByName(fresh).join(demoted.select("domain").distinct(), "domain", "left_anti")

@@ -43,6 +43,20 @@ def shrunk(score: Column, n: Column, prior: Column | float = vocab.ROUTE_PRIOR,
     return F.round(share * F.coalesce(score, F.lit(0.0)) + (1 - share) * (prior if isinstance(prior, Column) else F.lit(prior)), 4)
 
 
+def final(routes: DataFrame, scores: DataFrame, evaluations: DataFrame, cooldowns: DataFrame, *, now: str, share: float = vocab.EVAL_SHARE) -> DataFrame:
+    """routes (route_id) -> (route_id, score): history, blended with the latest evaluation where there is one.
+
+    scores (route_id, base_score), evaluations (route_id, composite, created_at), cooldowns (route_id, until). A route without
+    history has the prior; a cooled-down one scores 0; all others lie between .01 and 1.
+    """
+    latest = evaluations.groupBy("route_id").agg(F.max_by("composite", F.struct("created_at", "composite")).alias("composite"))
+    cold = cooldowns.where(F.col("until") > F.lit(now).cast("timestamp_ntz")).select("route_id", F.lit(True).alias("cold")).distinct()
+    both = routes.join(scores.select("route_id", "base_score"), "route_id", "left").join(latest, "route_id", "left").join(cold, "route_id", "left")
+    base = F.coalesce("base_score", F.lit(vocab.ROUTE_PRIOR))
+    blended = F.coalesce(share * F.col("composite") + (1 - share) * base, base)
+    return both.select("route_id", F.when(F.col("cold"), 0.0).otherwise(F.round(F.greatest(F.lit(vocab.SCORE_FLOOR), F.least(F.lit(1.0), blended)), 4)).alias("score"))
+
+
 def ranked(scores: DataFrame, *, score: str = "score", seed: str = "0") -> DataFrame:
     """Routes by score, ties by a digest of seed and route. One row a route, so the global order is small."""
     tie = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("route_id")).cast("binary"), 256), 1, 6), 16, 10).cast("long")

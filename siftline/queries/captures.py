@@ -65,15 +65,17 @@ def lane_item_filter(t: Tables) -> DataFrame:
     return t.pages.select(fits.alias("kept")).groupBy("kept").agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT conv_id || ':' || role AS key, md5(string_agg(text, ' ' ORDER BY turn, text)) AS v FROM conversations WHERE turn < 3 GROUP BY 1), b AS (SELECT conv_id || ':' || role AS key, md5(string_agg(text, ' ' ORDER BY turn, text)) AS v FROM conversations WHERE turn < 5 AND role <> 'system' GROUP BY 1)
+@query("""WITH s AS (SELECT conv_id || ':' || role || ':' || (turn // 2) AS key, md5(string_agg(text, ' ' ORDER BY turn, text)) AS v FROM conversations GROUP BY 1),
+a AS (SELECT * FROM s WHERE right(key, 1)::INT % 2 = 0 OR key LIKE '%user%'), b AS (SELECT key, CASE WHEN key LIKE '%1%' THEN v || '.' ELSE v END AS v FROM s WHERE key NOT LIKE '%system%')
 SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.key = b.key WHERE a.v IS DISTINCT FROM b.v""")
 def snapshot_diff(t: Tables) -> DataFrame:
-    def state(rows: DataFrame) -> DataFrame:
-        said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r.text), " ")
-        return rows.groupBy(F.concat_ws(":", "conv_id", "role").alias("key")).agg(F.md5(said.cast("binary")).alias("v"))
-
-    own = t.conversations
-    return capture.snapshot_diff(state(own.where("turn < 3")), state(own.where("turn < 5 AND role <> 'system'")), key="key", value="v")
+    """Two captures of what each role said in each exchange: one without some exchanges, one without the system's and with others edited."""
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r.text), " ")
+    key = F.concat_ws(":", "conv_id", "role", F.floor(F.col("turn") / 2).cast("string"))
+    state = t.conversations.groupBy(key.alias("key")).agg(F.md5(said.cast("binary")).alias("v"))
+    old = state.where((F.right("key", F.lit(1)).cast("int") % 2 == 0) | F.contains("key", F.lit("user")))
+    new = state.where(~F.contains("key", F.lit("system"))).withColumn("v", F.when(F.contains("key", F.lit("1")), F.concat("v", F.lit("."))).otherwise(F.col("v")))
+    return capture.snapshot_diff(old, new, key="key", value="v")
 
 
 @query(f"WITH {funnel._COVER} SELECT count(*)::BIGINT AS entities, count(*) FILTER (stack_delivery)::BIGINT AS meeting, round(count(*) FILTER (stack_delivery) / count(*)::DOUBLE, 4) AS share FROM k")

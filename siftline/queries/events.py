@@ -73,6 +73,20 @@ def route_shrinkage(t: Tables) -> DataFrame:
     return pair.join(own, "route_id").select("route_id", "task_name", routes.shrunk(F.col("pair_score"), F.col("total"), F.col("route_score")).alias("score"))
 
 
+@query(f"""WITH {_ATTEMPTS}, {_stats("route_id")}, b AS (SELECT route_id, {_BASE} AS base FROM s), v AS (SELECT 'route_' || (user_id % 12) AS route_id, round(value / 100, 4) AS composite, ts FROM events WHERE user_id % 12 < 9 AND event_id % 50 = 0),
+l AS (SELECT route_id, arg_max(composite, (ts, composite)) AS composite FROM v GROUP BY 1), c AS (SELECT DISTINCT 'route_' || (user_id % 12) AS route_id FROM events WHERE event_id % 100 = 7 AND user_id % 12 < 4 AND ts + INTERVAL 300 HOUR > TIMESTAMP '{NOW}'),
+r AS (SELECT 'route_' || i.i AS route_id FROM (SELECT unnest(range(0, 14))) AS i(i))
+SELECT r.route_id, CASE WHEN c.route_id IS NOT NULL THEN 0.0::DOUBLE ELSE round(greatest(0.01::DOUBLE, least(1.0::DOUBLE, coalesce(0.6::DOUBLE * composite + 0.4::DOUBLE * coalesce(base, 0.55::DOUBLE), base, 0.55::DOUBLE))), 4) END AS score
+FROM r LEFT JOIN b ON r.route_id = b.route_id LEFT JOIN l ON r.route_id = l.route_id LEFT JOIN c ON r.route_id = c.route_id""")
+def route_final_score(t: Tables) -> DataFrame:
+    """History blended with the latest evaluation; no score while cooled down; two routes have no history at all."""
+    route = F.concat(F.lit("route_"), F.col("user_id") % 12)
+    evaluations = t.events.where("user_id % 12 < 9 AND event_id % 50 = 0").select(route.alias("route_id"), F.round(F.col("value") / 100, 4).alias("composite"), F.col("ts").alias("created_at"))
+    cooldowns = t.events.where("event_id % 100 = 7 AND user_id % 12 < 4").select(route.alias("route_id"), (F.col("ts") + F.expr("INTERVAL 300 HOURS")).alias("until"))
+    every = t.spark.range(14).select(F.concat(F.lit("route_"), "id").alias("route_id"))
+    return routes.final(every, _scored(t), evaluations, cooldowns, now=NOW)
+
+
 @query(f"""WITH {_ATTEMPTS}, {_stats("route_id")}, b AS (SELECT route_id, {_SHRUNK.format(_BASE, "0.55::DOUBLE")} AS score FROM s)
 SELECT route_id, score, row_number() OVER (ORDER BY score DESC, {_TIE} DESC, route_id)::INT AS route_rank FROM b""")
 def route_rank(t: Tables) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline import vocab
@@ -162,7 +162,7 @@ def attach_spans(t: Tables) -> DataFrame:
 SELECT source, batch::INT AS batch, count(*)::BIGINT AS items, substr(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)), 1, 16) AS batch_id FROM n GROUP BY 1, 2""")
 def batch_pack(t: Tables) -> DataFrame:
     """Batches of six of a source's items, each named by a digest of its ids."""
-    own = t.documents.select("source", "doc_id", F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 6).cast("int").alias("batch"))
+    own = I.numbered(t.documents.select("source", "doc_id"), by="source", order="doc_id").withColumn("batch", F.floor(F.col("place") / vocab.BATCH_ITEMS).cast("int"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
     return own.groupBy("source", "batch").agg(F.count("*").alias("items"), F.substring(T.digest(ids), 1, 16).alias("batch_id"))
 

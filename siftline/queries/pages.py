@@ -164,7 +164,24 @@ def registry_proposals(t: Tables) -> DataFrame:
     return registry.proposals(seen, _SIGNALS).select("domain", "sightings", "category", "confidence", "samples")
 
 
-@query(f"""{_SIGHT}, {_TOP} SELECT domain, category FROM p WHERE sightings >= {vocab.REGISTRY_SIGHTINGS} AND confidence >= {vocab.REGISTRY_CONFIDENCE} AND best >= {vocab.REGISTRY_LEAD} * second""")
+_PROVEN = "CASE WHEN contains(lower(samples), '/careers') OR contains(lower(samples), '/jobs') OR contains(lower(samples), 'jobposting') THEN 'ats_requisitions' WHEN contains(lower(samples), '/comments') OR contains(lower(samples), '/thread') THEN 'community_and_social' END"
+_KEPT = f"""{_SIGHT}, {_TOP}, k AS (SELECT domain, coalesce({_PROVEN}, CASE WHEN confidence >= {vocab.REGISTRY_CONFIDENCE} AND best >= {vocab.REGISTRY_LEAD} * second THEN category END) AS category FROM p WHERE sightings >= {vocab.REGISTRY_SIGHTINGS})"""
+
+
+def _promoted(t: Tables) -> DataFrame:
+    return registry.promotions(registry.proposals(registry.sightings(t.pages, url="url", text="html", signals=_SIGNALS), _SIGNALS)).select("domain", "category")
+
+
+@query(f"{_KEPT} SELECT domain, category FROM k WHERE category IS NOT NULL")
 def registry_promotions(t: Tables) -> DataFrame:
-    seen = registry.sightings(t.pages, url="url", text="html", signals=_SIGNALS)
-    return registry.promotions(registry.proposals(seen, _SIGNALS)).select("domain", "category")
+    return _promoted(t)
+
+
+@query(f"""{_KEPT}, old AS (SELECT DISTINCT domain, 'vendor_registry' AS category, 'manual' AS promoted_by FROM s WHERE len(domain) % 3 = 0),
+g AS (SELECT * FROM old UNION ALL SELECT domain, category, 'auto' FROM k WHERE category IS NOT NULL AND domain NOT IN (SELECT domain FROM old))
+SELECT domain, category, promoted_by FROM g WHERE len(domain) % 5 <> 0""")
+def registry_growth(t: Tables) -> DataFrame:
+    """The registry after a pass that promotes and demotes."""
+    domains = t.pages.select(U.host(F.col("url")).alias("domain")).distinct()
+    old = domains.where(F.length("domain") % 3 == 0).select("domain", F.lit("vendor_registry").alias("category"), F.lit("manual").alias("promoted_by"))
+    return registry.grown(old, _promoted(t), domains.where(F.length("domain") % 5 == 0))

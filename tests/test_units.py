@@ -10,7 +10,7 @@ from siftline.functions import text as T
 from siftline.operators import calibrate, evidence, export, gates, grounding, items, ledger
 from siftline.operators.export import Clause, Filter
 from siftline.plans import funnel
-from siftline.sources import readers
+from siftline.sources import packets, readers
 
 
 def one(spark, column, **values):
@@ -258,3 +258,47 @@ def test_bodies_and_ld():
     assert parse.decode_body("é".encode("utf-16-le"), "x; charset=utf-16-le") == "é" and parse.decode_body(None, None) == "" and "\ufffd" in parse.decode_body(b"\x81", None)
     page = '<script type="application/ld+json">[{"@type":"JobPosting","hiringOrganization":[{"name":" A  b "}]},{"@type":"Person","text":"%s"},{"text":"untyped text"}]</script>' % ("long " * 20)
     assert parse.ld_employer(page) == ("A b", "") and parse.ld_description(page) == "untyped text" and parse.ld_employer("") == ("", "") and parse.ld_description(None) == ""
+
+
+def test_packets_and_frozen_inputs(spark, tmp_path):
+    records = spark.createDataFrame([("a", 1.5, ["x"]), ("b", None, [])], "item_id string, score double, notes array<string>")
+    receipts = spark.createDataFrame([(0.5, 10), (None, 7)], "cost double, tokens int")
+    packets.write_packet(records, str(tmp_path / "p"), run_id="r", task={"name": "t"}, receipts=receipts)
+    header, back = packets.read_packet(spark, str(tmp_path / "p"))
+    assert header["total_records"] == 2 and header["total_cost"] == 0.5 and header["total_tokens"] == 17 and {r.item_id for r in back.collect()} == {"a", "b"}
+    records.limit(1).write.mode("append").json(str(tmp_path / "p" / "records"))
+    with pytest.raises(ValueError):
+        packets.read_packet(spark, str(tmp_path / "p"))
+    assert packets.digest(records).first() == packets.digest(records.orderBy("score")).first() != packets.digest(records.limit(1)).first()
+    frozen = packets.freeze({"records": records}, str(tmp_path / "f"), run_id="r", sampled=["a"])
+    assert frozen["inputs"]["records"]["rows"] == 2 and spark.read.parquet(str(tmp_path / "f" / "records")).count() == 2
+
+
+def test_tables_that_leave(spark, tmp_path):
+    rows = spark.createDataFrame([("i", "text, with\nlines", ["u", "v"], ["A", "B"])], "item_id string, text string, source_uris array<string>, source_categories array<string>")
+    packets.write_dossiers(rows, str(tmp_path / "d"))
+    back = spark.read.csv(str(tmp_path / "d"), header=True, multiLine=True, escape='"').first()
+    assert back.asDict() == {"item_id": "i", "text": "text, with\nlines", "source_uri": None, "source_count": "1", "source_categories": "A,B", "source_backends": None, "source_uris": "u v"}
+    packets.write_rung_csv(spark.createDataFrame([(1, "c", "i", ["kind"])], "extra int, candidate string, item_id string, gates array<string>"), str(tmp_path / "r"))
+    back = spark.read.csv(str(tmp_path / "r"), header=True, escape='"')
+    assert back.columns == ["item_id", "candidate", "extra", "gates"] and back.first().gates == '["kind"]'
+
+
+def test_id_lists(spark, tmp_path):
+    got = lambda g: sorted(r.item_id for r in packets.ids(spark, g).collect())
+    (tmp_path / "a.csv").write_text("name,id\nx,1\ny, 2 \nz,\n")
+    (tmp_path / "b.json").write_text('{"records": [{"item_id": "q"}, {"item_id": "r"}]}')
+    (tmp_path / "c.txt").write_text("one\n\n two \n")
+    (tmp_path / "d.jsonl").write_text('{"id": 7}\n{"id": 8}\n')
+    assert got(["a", " b ", ""]) == ["a", "b"] and got("a, b;c\nd") == ["a", "b", "c", "d"] and got(str(tmp_path / "a.csv")) == ["1", "2"]
+    assert got(str(tmp_path / "b.json")) == ["q", "r"] and got(str(tmp_path / "c.txt")) == ["one", "two"] and got(str(tmp_path / "d.jsonl")) == ["7", "8"]
+
+
+def test_profiles_and_ladders():
+    assert gates.Profile.of({"size_min": "20", "size_max": "many", "locations": "germany", "verticals": ["retail", " "]}) == gates.Profile(size_min=20, locations=("germany",), verticals=("retail",))
+    assert gates.Profile.of(None) == gates.Profile()
+    assert gates.reachable("snippet", ("kind",), "snippet") and not gates.reachable("snippet", ("vertical",), "snippet") and not gates.reachable("fetched", ("kind",), "snippet") and gates.reachable("fetched", ("vertical",), "fetched")
+    gates.check_ladder(vocab.LADDER)
+    for bad in ((" ", "snippet", ("kind",)), ("a", "guess", ("kind",)), ("a", "snippet", ()), ("a", "snippet", ("colour",))):
+        with pytest.raises(ValueError):
+            gates.check_ladder((bad,))
