@@ -60,21 +60,26 @@ def _mask(lane: int) -> Column:
 
 
 def may_hold(keys: DataFrame, filter_: DataFrame, *, blocks: int) -> DataFrame:
-    """Rows of ``keys`` (key, ...) whose key may be in the filter; none that is in it is lost."""
+    """``keys`` (key, ...) with a column ``maybe``: the key may be in the filter. None that is in it is denied; a null key is."""
     probe = keys.withColumns({"block": _block(F.col("key"), blocks), "a": F.hash(F.lit(11), "key"), "b": F.hash(F.lit(23), "key")})
     hit = reduce(lambda x, y: x & y, [F.col(f"w{i}").bitwiseAND(_mask(i)) != 0 for i in range(LANES)])
-    return probe.join(filter_, "block").where(hit).drop("block", "a", "b", *[f"w{i}" for i in range(LANES)])
+    found = probe.join(filter_, "block", "left").withColumn("maybe", F.coalesce(hit, F.lit(False)) & F.col("key").isNotNull())
+    return found.drop("block", "a", "b", *[f"w{i}" for i in range(LANES)])
 
 
-def listed(keys: DataFrame, list_: DataFrame, *, keys_per_block: int = 32, blocks: int | None = None) -> DataFrame:
-    """Rows of ``keys`` (key, ...) whose key is in ``list_`` (key): filter first, then an exact join of the possible hits.
+def listed(keys: DataFrame, list_: DataFrame, *, keys_per_block: int = 32, blocks: int | None = None, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """``keys`` (key, ...) with a column ``hit``: the key is in ``list_`` (key).
 
-    Null keys are never listed. The filter has 16 bits a key; joins are left to the planner, which broadcasts only what it knows to be small.
+    The filter, of 16 bits a key, is asked first, where the rows lie: it is broadcast if its blocks hold at most ``broadcast_bytes``,
+    and else joined by block. Only possible hits are shuffled to the exact join; the others are settled. Null keys are never listed.
     """
     distinct = materialise(list_.where("key is not null").select("key").distinct(), "url-list")
     blocks = blocks or distinct.count() // keys_per_block + 1
     filter_ = materialise(bloom(distinct, blocks=blocks), "bloom")
-    return may_hold(keys.where("key is not null"), filter_, blocks=blocks).join(distinct, "key", "left_semi")
+    probed = may_hold(keys, F.broadcast(filter_) if blocks * 8 * (LANES + 1) <= broadcast_bytes else filter_, blocks=blocks)
+    settled = probed.where("not maybe").withColumn("hit", F.lit(False))
+    exact = probed.where("maybe").join(distinct.withColumn("hit", F.lit(True)), "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return settled.unionByName(exact).drop("maybe")
 
 
 def repeated_urls(pages: DataFrame, *, url: str = "url") -> DataFrame:
@@ -91,9 +96,9 @@ def judge(pages: DataFrame, list_: DataFrame, *, page_id: str = "page_id", url:
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"))
     own = own.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("key"))
     own = own.withColumn("r", rule(F.col("host"), F.col("path"), rules))
-    hits = listed(own.where("r is null").select("key").distinct(), list_, **options).select("key", F.lit("block").alias("hit"))
-    judged = own.join(hits, "key", "left")
-    verdict = F.coalesce("r.verdict", F.when(F.col("r").isNull(), F.col("hit")), F.lit("allow"))
+    own = own.withColumn("key", F.when(F.col("r").isNull(), F.col("key")))  # what a rule judges needs no list
+    judged = listed(own, list_, **options)
+    verdict = F.coalesce("r.verdict", F.when(F.col("hit"), F.lit("block")), F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
 
 
