@@ -44,9 +44,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\n\r\f]+"), lambda w: w != "")
 
 
+def prose_words(text: Column) -> Column:
+    """How many words there are once boilerplate is taken out."""
+    return F.regexp_count(F.regexp_replace(F.coalesce(text, F.lit("")), vocab.BOILERPLATE, " "), F.lit(r"[^ \t\n\r\f]+"))
+
+
 def is_prose(text: Column, least: int = 20) -> Column:
-    """Real sentences, not chrome: enough words once boilerplate is taken out."""
-    return F.size(words(F.regexp_replace(F.coalesce(text, F.lit("")), vocab.BOILERPLATE, " "))) >= least
+    """Real sentences, not chrome: enough words."""
+    return prose_words(text) >= least
 
 
 def digest(text: Column) -> Column:

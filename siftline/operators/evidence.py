@@ -39,17 +39,25 @@ def sections(dossiers: DataFrame, *, entity: str = "entity", text: str = "text")
 
 
 def coverage(parts: DataFrame) -> DataFrame:
-    """parts (entity, category, uri, text) -> one row per entity with a flag for each kind; one pass, partial aggregation."""
+    """parts (entity, category, uri, text) -> one row per entity with a flag for each kind; one pass, partial aggregation.
+
+    What a section shows is worked out once, in a generator, which keeps the optimizer from repeating it in each aggregate.
+    """
     t, c = F.col("text"), F.col("category")
     has = lambda pattern: F.coalesce(t.rlike(pattern), F.lit(False))
-    own, vouching = c.isin(*vocab.FIRST_PARTY), c.isin(*vocab.INDEPENDENT)
-    any_ = F.bool_or
-    output = T.is_prose(t) & ((c == "COMMUNITY_AND_SOCIAL") | F.contains(F.col("uri"), F.lit("github.com")) | F.contains(F.col("uri"), F.lit("/blog")))
-    return parts.groupBy("entity").agg(
-        any_(has(vocab.OUTCOME) & has(vocab.DELIVERY)).alias("delivery_proof"), any_(has(vocab.CLIENT)).alias("named_clients"),
-        (any_(own & (F.size(technologies(t)) > 0)) & any_(has(vocab.DELIVERY))).alias("stack_delivery"), any_(vouching & T.is_prose(t)).alias("independent_validation"),
-        any_((c == "ATS_REQUISITIONS") & T.is_prose(t, 10)).alias("delivery_hiring"), any_(has(vocab.COMMERCIAL)).alias("commercial_terms"), any_(has(vocab.CERTIFIED)).alias("certification"),
-        any_(output).alias("engineering_output"), (any_(has(vocab.GROWTH)) & any_(has(vocab.YEAR))).alias("growth_signal"), any_(has(vocab.YEAR)).alias("dated_events"),
+    outlet = (c == "COMMUNITY_AND_SOCIAL") | F.contains(F.col("uri"), F.lit("github.com")) | F.contains(F.col("uri"), F.lit("/blog"))
+    shown = {
+        "words": T.prose_words(t), "delivery": has(vocab.DELIVERY), "proof": has(vocab.DELIVERY) & has(vocab.OUTCOME), "client": has(vocab.CLIENT), "stack": F.when(c.isin(*vocab.FIRST_PARTY), F.size(technologies(t)) > 0),
+        "terms": has(vocab.COMMERCIAL), "certified": has(vocab.CERTIFIED), "growth": has(vocab.GROWTH), "year": has(vocab.YEAR),
+        "vouching": c.isin(*vocab.INDEPENDENT), "hiring": c == "ATS_REQUISITIONS", "outlet": outlet,
+    }
+    flags = parts.select("entity", F.inline(F.array(F.struct(*[v.alias(k) for k, v in shown.items()]))))
+    any_ = lambda x: F.coalesce(F.bool_or(F.col(x) if isinstance(x, str) else x), F.lit(False))
+    prose = F.col("words") >= 20
+    return flags.groupBy("entity").agg(
+        any_("proof").alias("delivery_proof"), any_("client").alias("named_clients"), (any_("stack") & any_("delivery")).alias("stack_delivery"), any_(F.col("vouching") & prose).alias("independent_validation"),
+        any_(F.col("hiring") & (F.col("words") >= 10)).alias("delivery_hiring"), any_("terms").alias("commercial_terms"), any_("certified").alias("certification"), any_(F.col("outlet") & prose).alias("engineering_output"),
+        (any_("growth") & any_("year")).alias("growth_signal"), any_("year").alias("dated_events"),
     )
 
 
