@@ -37,6 +37,25 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
+def absolute(link: Column, base: Column) -> Column:
+    """A link as an address: what starts with a scheme as it is, ``//`` with the base's scheme, ``/`` at its host, ``?`` at its path, others in its folder. Empty for other schemes than http."""
+    scheme, origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, "^(.*/)[^/]*$", 1)).otherwise("/")
+    joined = (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, link)).when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+        .when(F.startswith(link, F.lit("?")), F.concat(origin, path, link)).otherwise(F.concat(origin, folder, link))
+    )
+    for _ in range(4):  # a few steps up
+        joined = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"(?<![:/])/(?!\.\./)[^/?#]+/\.\./", "/")
+    return F.when(joined.rlike("(?i)^https?://"), joined).otherwise("")
+
+
+def resolved_links(html: Column, base: Column) -> Column:
+    """Distinct addresses that a page links to, in order."""
+    return F.array_distinct(F.filter(F.transform(links(html), lambda x: absolute(x, base)), lambda x: x != ""))
+
+
 def stripped(html: Column) -> Column:
     """The text of the visible HTML with tags out and white space collapsed."""
     return F.trim(F.regexp_replace(F.regexp_replace(visible(html), r"(?s)<[^>]*>", " "), r"\s+", " "))

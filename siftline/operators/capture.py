@@ -7,7 +7,10 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.text import contains_any, normal
+from siftline.functions import html as H
+from siftline.functions import parse as P
+from siftline.functions import urls as U
+from siftline.functions.text import contains_any, normal, slug
 
 
 def capture_time(stamp: Column) -> Column:
@@ -73,3 +76,62 @@ def snapshot_diff(old: DataFrame, new: DataFrame, *, key: str, value: str) -> Da
     sides = both.groupBy(key).agg(F.max("o").alias("o"), F.max("n").alias("n"))
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o") != F.col("n"), "changed")
     return sides.select(key, change.alias("change")).where("change IS NOT NULL")
+
+
+def records(responses: DataFrame) -> DataFrame:
+    """responses (url, content_type, body binary) -> item rows: item_id, text, title, source_uri, metadata.
+
+    HTML gives its readable text, or the longest text of its JSON-LD where that is longer and the page gives under 200 characters;
+    plain text is taken as it is. Other kinds and empty texts give no row. Metadata: evidence, kind, links' hosts, the page's own
+    summary, the hiring firm, and what the address says if it is an archive's.
+    """
+    kind = F.lower(F.trim(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1)))
+    own = responses.withColumn("kind", kind).withColumn("raw", P.body(F.col("body"), F.coalesce("content_type", F.lit(""))))
+    page, plain = F.col("kind").isin("text/html", "application/xhtml+xml", ""), (F.col("kind") == "text/plain") | F.endswith("url", F.lit(".txt"))
+    read = own.withColumn("readable", H.readable(F.when(page & ~plain, F.col("raw")))).withColumn("ld", P.ld(F.when(page & ~plain, F.col("raw"))))
+    better = (F.length("readable") < 200) & (F.length("ld.description") > F.length("readable"))
+    text = F.when(plain, F.trim("raw")).when(page, F.when(better, F.col("ld.description")).otherwise(F.col("readable")))
+    title = F.coalesce(F.nullif(F.when(page & ~plain, H.title(F.col("raw"))), F.lit("")), U.host(F.col("url")))
+    archived = P.capture_parts(F.col("url"))
+    hosts = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(H.resolved_links(F.col("raw"), F.col("url")), U.host), lambda h: (h != "") & (h != U.host(F.col("url")))))), ",")
+    facts = {
+        "evidence": F.lit("fetched"), "content_type": F.when(page & ~plain, F.coalesce(F.nullif("kind", F.lit("")), F.lit("text/html"))), "outbound_hosts": F.when(page & ~plain, F.nullif(hosts, F.lit(""))),
+        "meta_description": F.when(page & ~plain, F.nullif(H.description(F.col("raw")), F.lit(""))), "hiring_organization": F.nullif("ld.employer", F.lit("")),
+        "original_url": archived["original"], "snapshot_timestamp": archived["timestamp"],
+    }
+    metadata = F.map_filter(F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    made = read.select(U.record_id(F.col("url"), title, slug).alias("item_id"), text.alias("text"), title.alias("title"), F.col("url").alias("source_uri"), metadata.alias("metadata"))
+    return made.where(F.coalesce(F.col("text"), F.lit("")) != "")
+
+
+def resolved_domains(hits: DataFrame) -> DataFrame:
+    """hits (name, url) -> (name, domain): the host most of a name's hits lie on, the shorter of equals; hosts of sources and such without a dot don't count."""
+    own = hits.select("name", U.host(F.col("url")).alias("domain"))
+    counts = own.where(F.contains("domain", F.lit(".")) & ~U.is_source_host(F.col("domain"))).groupBy("name", "domain").agg(F.count("*").alias("n"))
+    return counts.groupBy("name").agg(F.min_by("domain", F.struct(-F.col("n"), F.length("domain"), "domain")).alias("domain"))
+
+
+def entity_sources(items: DataFrame) -> DataFrame:
+    """items (entity, uri, text, seq) -> (entity, uri, text): the last text of each source of an entity; an item without a source stands under its entity."""
+    return items.groupBy("entity", F.coalesce(F.nullif("uri", F.lit("")), F.col("entity")).alias("uri")).agg(F.max_by("text", "seq").alias("text"))
+
+
+def merged(items: DataFrame) -> DataFrame:
+    """items (item_id, text, seq) -> one row for each id: its texts in order, parted by blank lines, empty ones left out, and how many rows more there were."""
+    lines = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    said = F.filter(F.transform(lines, lambda r: r.text), lambda x: x.isNotNull() & (x != ""))
+    return items.groupBy("item_id").agg(F.array_join(said, "\n\n").alias("text"), (F.count("*") - 1).alias("extra"))
+
+
+def firm_matches(company: dict[str, Column], *, words: tuple[str, ...] = (), batch: str = "", tags: tuple[str, ...] = ()) -> Column:
+    """Whether a listed firm (status, batch, tags and industries as arrays, name, line, text) is active, of the batch, of one of the tags, and says all words."""
+    have = F.transform(F.concat(company["tags"], company["industries"]), F.lower)
+    said = F.lower(F.concat_ws(" ", company["name"], company["line"], company["text"], F.array_join(have, " ")))
+    ok = F.coalesce(company["status"] == "Active", F.lit(True))
+    if batch:
+        ok &= F.lower(F.coalesce(company["batch"], F.lit(""))) == batch.lower()
+    if tags:
+        ok &= F.arrays_overlap(have, F.array(*[F.lit(t.lower()) for t in tags]))
+    for word in words:
+        ok &= F.contains(said, F.lit(word.lower()))
+    return ok

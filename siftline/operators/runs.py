@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline import vocab
+from siftline.functions import urls as U
 from siftline.operators import scoring
 
 OPEN = ("pending", "leased")
@@ -176,3 +177,40 @@ def facet_label(value: Column) -> Column:
         F.when(value.isNull() | value.isin("null", '""', "[]", "{}"), F.lit(None)).when(value == "true", "yes").when(value == "false", "no")
         .when(F.startswith(value, F.lit("[")), F.nullif(F.array_join(listed, " · "), F.lit(""))).otherwise(plain)
     )
+
+
+def backed(quotes: DataFrame) -> DataFrame:
+    """quotes (record, supports array) -> (record, backed): the items that any quote of a record supports, sorted; records that back none are left out."""
+    return quotes.select("record", F.explode("supports").alias("item")).groupBy("record").agg(F.array_sort(F.collect_set("item")).alias("backed"))
+
+
+def record_text(text: Column, quotes: Column) -> Column:
+    """A record's own text, or its quotes (an array) in a row where it has none."""
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", text).otherwise(F.trim(F.array_join(quotes, " ")))
+
+
+def candidate_name(metadata: Column, uri: Column, text: Column, item_id: Column) -> Column:
+    """What a record is called: the entity or domain it names, the entity of its address, its id."""
+    named = [F.nullif(F.trim(F.try_element_at(metadata, F.lit(k))), F.lit("")) for k in ("entity", "domain")]
+    placed = F.when(F.trim(F.coalesce(uri, F.lit(""))) != "", F.nullif(U.attributed_entity(uri, text, F.lit("")), F.lit("")))
+    return F.coalesce(*named, placed, item_id)
+
+
+def item_entity(metadata: Column, uri: Column, text: Column, item_id: Column) -> Column:
+    """The entity a captured item is filed under, if that is a plain id; items without an address are filed under themselves, others nowhere."""
+    explicit = F.coalesce(*[F.nullif(F.trim(F.try_element_at(metadata, F.lit(k))), F.lit("")) for k in ("entity", "website", "hiring_domain", "hiring_organization")])
+    plain = lambda c: c.rlike("^[A-Za-z0-9_.-]{1,128}$") & (c != "unknown_entity")
+    said, derived = U.attributed_entity(uri, text, explicit), U.attributed_entity(uri, text, F.lit(""))
+    return F.when(plain(said), said).when(plain(derived), derived).when(F.coalesce(uri, F.lit("")) != "", F.lit("")).otherwise(item_id)
+
+
+def truth(quotes: DataFrame) -> DataFrame:
+    """quotes (entity, quote, exact, addressed, page, asked) -> counts by exact, addressed and live: confirmed on the page, missing, unreachable (no page), not_checked."""
+    live = F.when(~F.col("asked"), "not_checked").when(F.coalesce("page", F.lit("")) == "", "unreachable").when(F.contains("page", F.col("quote")), "confirmed").otherwise("missing")
+    return quotes.withColumn("live", live).groupBy("exact", "addressed", "live").agg(F.count("*").alias("quotes"), F.count_distinct("entity").alias("entities"))
+
+
+def lacking_required(coverage: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """(entity, missing): entities whose flags lack a required kind."""
+    gaps = F.array_compact(F.array(*[F.when(~F.col(k), F.lit(k)) for k in required]))
+    return coverage.select("entity", gaps.alias("missing")).where(F.size("missing") > 0)

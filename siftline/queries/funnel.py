@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline import vocab
 from siftline.functions import text as T
-from siftline.operators import evidence, gates
+from siftline.operators import evidence, gates, runs
 from siftline.queries.base import Tables, query, quoted, sql_any, sql_matches, sql_says
 
 PROFILE = gates.Profile(size_min=20, size_max=800, locations=("united kingdom", "germany"), verticals=("fintech", "retail"))
@@ -181,6 +181,12 @@ def evidence_gaps(t: Tables) -> DataFrame:
     return evidence.coverage(parts(t)).select("entity", F.array_join(lacking, ",").alias("missing")).where("missing <> ''")
 
 
+@query(f"WITH {_COVER} SELECT entity, array_to_string(list_filter([CASE WHEN NOT named_clients THEN 'named_clients' END, CASE WHEN NOT dated_events THEN 'dated_events' END], lambda x: x IS NOT NULL), ',') AS missing FROM k WHERE NOT (named_clients AND dated_events)")
+def required_kinds(t: Tables) -> DataFrame:
+    """Entities that lack a kind which a run requires."""
+    return runs.lacking_required(evidence.coverage(parts(t)), ("named_clients", "dated_events")).withColumn("missing", F.array_join("missing", ","))
+
+
 _ASK = " ".join(f"WHEN {quoted(k)} THEN replace({quoted(v)}, '{{entity}}', entity)" for k, v in vocab.KIND_QUERIES.items())
 
 

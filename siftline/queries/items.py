@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline import vocab
 from siftline.functions import text as T
+from siftline.operators import capture
 from siftline.operators import grounding as G
 from siftline.operators import items as I
 from siftline.queries.base import Tables, query
@@ -90,11 +91,11 @@ def bundle_min_sources(t: Tables) -> DataFrame:
     return I.bundle(records(t), least_sources=3).drop("text")
 
 
-@query("SELECT md5(lower(trim(text))) AS key, count(*)::BIGINT AS n, min(conv_id) AS first_conv FROM conversations GROUP BY 1 HAVING count(*) > 1")
+@query("""SELECT conv_id AS item_id, md5(string_agg(nullif(text, ''), chr(10) || chr(10) ORDER BY turn, text)) AS text, (count(*) - 1)::BIGINT AS extra FROM conversations GROUP BY 1""")
 def merge_candidates(t: Tables) -> DataFrame:
-    """Turns said more than once, by their normal form."""
-    own = t.conversations.groupBy(F.md5(F.lower(F.trim("text")).cast("binary")).alias("key")).agg(F.count("*").alias("n"), F.min("conv_id").alias("first_conv"))
-    return own.where("n > 1")
+    """Records of one id as one: their texts in order, and how many were merged into the first."""
+    own = capture.merged(t.conversations.select(F.col("conv_id").alias("item_id"), "text", F.struct("turn", "text").alias("seq")))
+    return own.withColumn("text", F.md5(F.nullif("text", F.lit("")).cast("binary")))
 
 
 _STATEMENTS = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"

@@ -119,11 +119,22 @@ def page_links(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.explode(H.links(F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-@query(f"""
-WITH l AS (SELECT {_HOST.format("url")} AS own, unnest(regexp_extract_all(html, '(?i)href="(https?://[^"#]*)', 1)) AS link FROM pages)
-SELECT own, {_HOST.format("link")} AS host, count(*)::BIGINT AS n FROM l WHERE {_HOST.format("link")} <> own GROUP BY 1, 2""")
+#: Pages with some links more: relative ones, one up, one without scheme, one of another kind, one to another host.
+_LINKED = "concat('<a href=\"/root/x\">a</a><a class=b href=\"next\">b</a><a href=\"//cdn.else.org/y?z=1\">c</a><a href=\"mailto:a@b.c\">d</a><a href=\"?q=2\">e</a><a href=\"https://partner', CAST(page_id % 5 AS VARCHAR(9)), '.com/p#f\">f</a>')"
+_ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+_FOLDER = f"CASE WHEN contains({_PATH.format('url')}, '/') THEN regexp_extract({_PATH.format('url')}, '^(.*/)[^/]*$', 1) ELSE '/' END"
+
+
+@query(f"""SELECT page_id, unnest([{_ORIGIN} || '/root/x', {_ORIGIN} || {_FOLDER} || 'next', regexp_extract(url, '^([A-Za-z]+:)', 1) || '//cdn.else.org/y?z=1', {_ORIGIN} || {_PATH.format("url")} || '?q=2', 'https://partner' || (page_id % 5) || '.com/p']) AS link FROM pages""")
+def resolved_links(t: Tables) -> DataFrame:
+    """Links as addresses, whatever form they have in the page."""
+    return t.pages.select("page_id", F.explode(H.resolved_links(F.expr(_LINKED), F.col("url"))).alias("link"))
+
+
+@query(f"""WITH l AS (SELECT {_HOST.format("url")} AS own, unnest(['cdn.else.org', 'partner' || (page_id % 5) || '.com']) AS host FROM pages)
+SELECT own, host, count(*)::BIGINT AS n FROM l WHERE host <> own GROUP BY 1, 2""")
 def outbound_hosts(t: Tables) -> DataFrame:
-    links = t.pages.select(U.host(F.col("url")).alias("own"), F.explode(F.regexp_extract_all("html", F.lit('(?i)href="(https?://[^"#]*)'), F.lit(1))).alias("link"))
+    links = t.pages.select(U.host(F.col("url")).alias("own"), F.explode(H.resolved_links(F.expr(_LINKED), F.col("url"))).alias("link"))
     return links.select("own", U.host(F.col("link")).alias("host")).where("host <> own").groupBy("own", "host").agg(F.count("*").alias("n"))
 
 

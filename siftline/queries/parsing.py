@@ -10,6 +10,7 @@ from siftline.functions import html as H
 from siftline.functions import parse as P
 from siftline.functions import text as T
 from siftline.functions import urls as U
+from siftline.operators import capture, runs
 from siftline.queries.base import Tables, query, sql_any
 from siftline.queries.pages import _HOST, _SLUG
 
@@ -200,3 +201,75 @@ def directory_hosts(t: Tables) -> DataFrame:
     key = F.when(F.col("s_suppkey") % 3 == 0, "reviews.clutch.co").when(F.col("s_suppkey") % 3 == 1, "firm.com").otherwise("clutch")
     text = F.when(F.col("s_suppkey") % 4 == 0, "A Case Study of ours").otherwise("we sell shoes")
     return t.supplier.select(F.col("s_suppkey").alias("id"), U.is_directory(key).alias("directory"), T.contains_any(F.lower(text), vocab.PRACTICE_SIGNALS).alias("practice"))
+
+
+# --- records from responses and lists -----------------------------------------------------------------
+_LONG = "repeat('words of the posting ', 20)"
+_BODY = f"""CASE page_id % 5 WHEN 0 THEN concat('<html><head><title> T', CAST(page_id AS VARCHAR(9)), ' </title><meta name="description" content="sum"></head><body><nav>menu</nav><p>Short page</p><a href="https://out.org/x">go</a></body></html>')
+  WHEN 1 THEN concat('<script type="application/ld+json">{{"@type":"JobPosting","hiringOrganization":"Firm","description":"', {_LONG}, '"}}</script><p>tiny</p>') WHEN 2 THEN ' plain text ' WHEN 3 THEN '<nav>only chrome</nav>' ELSE 'binary' END"""
+_KIND = "CASE page_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN '' WHEN 2 THEN 'text/plain' WHEN 3 THEN 'text/html' ELSE 'image/png' END"
+_FROM = "CASE WHEN page_id % 10 = 0 THEN concat('https://web.archive.org/web/20240102id_/https://a.com/p', CAST(page_id AS VARCHAR(9))) ELSE concat('https://a', CAST(page_id AS VARCHAR(9)), '.com/p') END"
+
+
+@query(f"""WITH r AS (SELECT page_id, {_FROM} AS url FROM pages WHERE page_id % 5 < 3), h AS (SELECT *, regexp_extract(url, '://([^/]*)', 1) AS host FROM r)
+SELECT url AS source_uri, CASE page_id % 5 WHEN 0 THEN 'Short page' || chr(10) || 'go' WHEN 1 THEN trim({_LONG}) ELSE 'plain text' END AS text, CASE WHEN page_id % 5 = 0 THEN 'T' || page_id ELSE host END AS title,
+  host || '-' || CASE WHEN page_id % 5 = 0 THEN 'T' || page_id ELSE host END AS item_id,
+  array_to_string(list_sort(list_filter(['evidence=fetched', CASE WHEN page_id % 5 < 2 THEN 'content_type=text/html' END, CASE WHEN page_id % 5 = 0 THEN 'outbound_hosts=out.org' END, CASE WHEN page_id % 5 = 0 THEN 'meta_description=sum' END,
+    CASE WHEN page_id % 5 = 1 THEN 'hiring_organization=Firm' END, CASE WHEN page_id % 10 = 0 THEN 'original_url=https://a.com/p' || page_id END, CASE WHEN page_id % 10 = 0 THEN 'snapshot_timestamp=20240102' END], lambda x: x IS NOT NULL)), ' ') AS facts FROM h""")
+def response_records(t: Tables) -> DataFrame:
+    """Responses of several kinds, encodings and addresses as item rows."""
+    own = capture.records(t.pages.select(F.expr(_FROM).alias("url"), F.expr(_KIND).alias("content_type"), F.expr(_BODY).cast("binary").alias("body")))
+    facts = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e.key, F.lit("="), e.value))), " ")
+    return own.select("source_uri", "text", "title", "item_id", facts.alias("facts"))
+
+
+@query("""WITH h AS (SELECT o_custkey % 97 AS name, CASE o_orderkey % 5 WHEN 0 THEN 'firm' || (o_custkey % 7) || '.com' WHEN 1 THEN 'other.io' WHEN 2 THEN 'x.org' END AS domain FROM orders),
+c AS (SELECT name, domain, count(*) AS n FROM h WHERE domain IS NOT NULL GROUP BY 1, 2) SELECT name, domain FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, len(domain), domain) = 1""")
+def entity_resolution(t: Tables) -> DataFrame:
+    """The domain of a name from search hits; social and code hosts don't count."""
+    url = "CASE o_orderkey % 5 WHEN 0 THEN concat('https://www.firm', CAST(o_custkey % 7 AS VARCHAR(9)), '.com/a') WHEN 1 THEN 'https://other.io' WHEN 2 THEN 'https://x.org/b' WHEN 3 THEN 'https://github.com/c' ELSE 'https://localhost/d' END"
+    return capture.resolved_domains(t.orders.select((F.col("o_custkey") % 97).alias("name"), F.expr(url).alias("url")))
+
+
+@query("""WITH i AS (SELECT 'e' || (o_custkey % 50) AS entity, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'u' || (o_orderkey % 4) END AS uri, o_orderkey::VARCHAR AS text, o_orderkey AS seq FROM orders)
+SELECT entity, coalesce(nullif(uri, ''), entity) AS uri, arg_max(text, seq) AS text FROM i GROUP BY 1, 2""")
+def entity_sources(t: Tables) -> DataFrame:
+    own = t.orders.select(F.concat(F.lit("e"), F.col("o_custkey") % 50).alias("entity"), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.concat(F.lit("u"), F.col("o_orderkey") % 4)).alias("uri"), F.col("o_orderkey").cast("string").alias("text"), F.col("o_orderkey").alias("seq"))
+    return capture.entity_sources(own)
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey % 3 <> 1 AND p_partkey % 5 = 0 AND (p_partkey % 2 = 0 OR p_partkey % 7 = 0) AND contains(lower(p_name || ' ' || p_type), 'a')")
+def firm_matches(t: Tables) -> DataFrame:
+    """Listed firms that are active, of a batch, of a tag or industry, and say a word."""
+    key, none = F.col("p_partkey"), F.array().cast("array<string>")
+    firm = {
+        "status": F.when(key % 3 == 0, "Active").when(key % 3 == 1, "Closed"), "batch": F.when(key % 5 == 0, "W24"), "tags": F.when(key % 2 == 0, F.array(F.lit("Data"))).otherwise(none),
+        "industries": F.when(key % 7 == 0, F.array(F.lit("DATA"), F.lit("x"))).otherwise(none), "name": F.col("p_name"), "line": F.lit(None).cast("string"), "text": F.col("p_type"),
+    }
+    return t.part.where(capture.firm_matches(firm, batch="w24", tags=("data",)) & F.contains(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("a"))).select(key.alias("id"))
+
+
+@query("""SELECT l_orderkey AS record, array_to_string(list_sort(list(DISTINCT 'q' || (l_linenumber % 3))), ',') AS backed FROM lineitem WHERE l_linenumber % 4 <> 0 GROUP BY 1""")
+def backed_items(t: Tables) -> DataFrame:
+    """The checklist items that any quote of a record names in its support."""
+    tags = F.when(F.col("l_linenumber") % 4 != 0, F.array(F.concat(F.lit("q"), F.col("l_linenumber") % 3))).otherwise(F.array().cast("array<string>"))
+    return runs.backed(t.lineitem.select(F.col("l_orderkey").alias("record"), tags.alias("supports"))).select("record", F.array_join("backed", ",").alias("backed"))
+
+
+@query("""SELECT s_suppkey AS item_id, CASE s_suppkey % 4 WHEN 0 THEN 'Named' WHEN 1 THEN 'dom.com' WHEN 2 THEN 'firm' || s_suppkey || '.com' ELSE s_suppkey::VARCHAR END AS candidate, CASE WHEN s_suppkey % 3 = 0 THEN 'first second' ELSE 'own text' END AS text FROM supplier""")
+def candidate_names(t: Tables) -> DataFrame:
+    """What a record is called, and what it says: its own text, or else its quotes."""
+    key = F.col("s_suppkey")
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    meta = F.when(key % 4 == 0, F.create_map(F.lit("entity"), F.lit(" Named "))).when(key % 4 == 1, F.create_map(F.lit("entity"), F.lit(" "), F.lit("domain"), F.lit("dom.com"))).otherwise(empty)
+    uri = F.when(key % 4 == 2, F.concat(F.lit("https://www.firm"), key, F.lit(".com/x")))
+    text = runs.record_text(F.when(key % 3 != 0, "own text").otherwise("  "), F.array(F.lit("first"), F.lit("second")))
+    return t.supplier.select(key.alias("item_id"), runs.candidate_name(meta, uri, text, key.cast("string")).alias("candidate"), text.alias("text"))
+
+
+@query("""SELECT o_orderkey % 2 = 0 AS exact, o_orderkey % 3 = 0 AS addressed, CASE o_orderkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'missing' WHEN 2 THEN 'unreachable' ELSE 'not_checked' END AS live, count(*)::BIGINT AS quotes, count(DISTINCT o_custkey)::BIGINT AS entities FROM orders GROUP BY 1, 2, 3""")
+def truth_counts(t: Tables) -> DataFrame:
+    """Sampled quotes by whether they are exact, speak to their claim, and still stand on the page."""
+    page = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("so "), "o_orderpriority", F.lit(" it is"))).when(F.col("o_orderkey") % 4 == 1, "gone").when(F.col("o_orderkey") % 4 == 2, "")
+    own = t.orders.select(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("quote"), (F.col("o_orderkey") % 2 == 0).alias("exact"), (F.col("o_orderkey") % 3 == 0).alias("addressed"), page.alias("page"), (F.col("o_orderkey") % 4 != 3).alias("asked"))
+    return runs.truth(own)
