@@ -69,7 +69,7 @@ def weights(own: DataFrame, *, max_repeats: float | None = 2.0, target_entropy:
     return powers.select("src", "total", (F.col("power") / F.lit(z or 1.0)).alias("weight"), F.greatest(F.col("power") * F.lit(most or 1.0), F.col("total").cast("double")).alias("share"))
 
 
-def order(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeats: float | None = 2.0, target_entropy: float | None = None, block_tokens: int = 1 << 20, seed: int = 7, rows_in_task: int = 20_000) -> DataFrame:
+def order(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeats: float | None = 2.0, target_entropy: float | None = None, block_tokens: int = 1 << 20, seed: int = 7, rows_in_task: int = 4096) -> DataFrame:
     """One row per document and epoch: doc_id, key (hash of the text), source, tokens, weight, epoch, block, slot.
 
     Every row of ``docs`` comes in epoch 0; the rows of small sources come again in later epochs. A null source is a source
@@ -83,11 +83,11 @@ def order(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     rated = materialise(weights(own, max_repeats=max_repeats, target_entropy=target_entropy), "weights")
     rows, budget = own.count(), rated.agg(F.sum("share")).first()[0] or 0.0
     blocks = max(1, -int(-budget // block_tokens))
-    buckets = min(65_536, rows // rows_in_task + 1)
+    buckets = rows // rows_in_task + 1
     # The number of sources isn't bounded, so the join is left to the planner.
     epochs = own.join(rated, "src").withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("share") / F.col("total") - 1e-9) - 1).cast("int"))))
     drawn = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch").cast("string"), F.lit(str(seed))).cast("binary"))
-    epochs = epochs.withColumn("drawn", drawn).withColumn("bucket", F.floor(F.conv(F.substring("drawn", 1, 4), 16, 10).cast("int") * buckets / 65_536).cast("int"))
+    epochs = epochs.withColumn("drawn", drawn).withColumn("bucket", F.floor(F.conv(F.substring("drawn", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
     heaps = epochs.groupBy("src", "epoch", "bucket").agg(F.sum("tokens").alias("heap"))
     heaps = heaps.select("src", "epoch", "bucket", (F.sum("heap").over(Window.partitionBy("src", "epoch").orderBy("bucket")) - F.col("heap")).alias("base"))
     inside = Window.partitionBy("src", "epoch", "bucket").orderBy("drawn", "key").rowsBetween(Window.unboundedPreceding, 0)
@@ -106,14 +106,20 @@ def digest(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with its rows as often as the mix takes them, at least once; all columns stay."""
+    """``docs`` with its rows as often as the mix takes them, at least once; all columns stay.
+
+    Rows that repeat id and text are drawn one by one: together they come as often as the mix takes them.
+    """
     keys = [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("__id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("__key")]
     taken = order(docs, doc_id=doc_id, text=text, **options).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.coalesce("key", F.lit(0)).alias("__key"), "epoch")
-    # A repeated row is in the order as often as in docs; each copy takes the epochs once.
-    times = taken.groupBy("__id", "__key").agg((F.count("*") / F.count_if(F.col("epoch") == 0)).alias("__times"))
+    # A repeated row is in epoch 0 as often as in docs.
+    times = materialise(taken.groupBy("__id", "__key").agg(F.count("*").alias("__times"), F.count_if(F.col("epoch") == 0).alias("__copies")), "times")
     often = docs.select("*", *keys).join(times, ["__id", "__key"])
-    again = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round("__times").cast("int"))))
-    return often.withColumn("__n", again).drop("__id", "__key", "__times", "__n")
+    alone = often.where("__copies = 1").withColumn("__row", F.lit(1))
+    copies = often.where("__copies > 1").withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))))
+    own = F.floor(F.col("__times") / F.col("__copies")) + (F.col("__row") <= F.col("__times") % F.col("__copies")).cast("int")
+    every = alone.unionByName(copies).withColumn("__n", F.explode(F.sequence(F.lit(1), own.cast("int"))))
+    return every.drop("__id", "__key", "__times", "__copies", "__row", "__n")
 
 
 ORACLE_SQL = rf"""
