@@ -16,15 +16,27 @@ def decayed(created_at: Column, now: str, half_life_hours: float = vocab.ROUTE_H
 
 def stats(attempts: DataFrame, *, now: str, by: tuple[str, ...] = ("route_id",), half_life_hours: float = vocab.ROUTE_HALF_LIFE_HOURS) -> DataFrame:
     """attempts (route_id, outcome, duration_seconds, cost, created_at, ...) -> decayed counts, latency and cost per ``by``."""
-    w = decayed(F.col("created_at"), now, half_life_hours)
-    weighed = attempts.withColumn("w", w)
+    return _weighed(attempts, now, half_life_hours).groupBy(*by).agg(*_sums())
+
+
+def stats_pair(attempts: DataFrame, *, now: str, task: str = "task_name", half_life_hours: float = vocab.ROUTE_HALF_LIFE_HOURS) -> DataFrame:
+    """As ``stats``, of each route and task and of each route over all tasks (``task`` null), from one scan."""
+    weighed = _weighed(attempts, now, half_life_hours)
+    return weighed.groupingSets([["route_id"], ["route_id", task]], "route_id", task).agg(*_sums())
+
+
+def _weighed(attempts: DataFrame, now: str, half_life_hours: float) -> DataFrame:
+    return attempts.withColumn("w", decayed(F.col("created_at"), now, half_life_hours))
+
+
+def _sums() -> list[Column]:
     share = lambda kind: F.round(F.sum(F.when(F.col("outcome") == kind, F.col("w")).otherwise(0.0)), 6)
     timed = F.when(F.col("duration_seconds").isNotNull(), F.col("w"))
-    return weighed.groupBy(*by).agg(
+    return [
         F.round(F.sum("w"), 6).alias("total"), share("verified").alias("completed"), share("grounding_failed").alias("grounding_failures"),
         share("schema_failed").alias("schema_violations"), share("rate_limited").alias("rate_limits"),
         F.round(F.sum(F.col("duration_seconds") * F.col("w")) / F.sum(timed), 6).alias("avg_duration"), F.round(F.sum("cost"), 6).alias("total_cost"), F.count("*").alias("attempts"),
-    )
+    ]
 
 
 def base_score() -> Column:

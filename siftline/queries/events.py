@@ -67,10 +67,11 @@ g AS (SELECT route_id AS r, {_BASE.replace("completed", "c").replace("grounding_
   round(sum(CASE WHEN outcome = 'schema_failed' THEN w ELSE 0.0::DOUBLE END), 6) AS m, round(sum(CASE WHEN outcome = 'rate_limited' THEN w ELSE 0.0::DOUBLE END), 6) AS l, round(sum(duration_seconds * w) / sum(w), 6) AS d FROM a GROUP BY 1))
 SELECT route_id, task_name, {_SHRUNK.format("pair_score", "route_score")} AS score FROM p JOIN g ON p.route_id = g.r""")
 def route_shrinkage(t: Tables) -> DataFrame:
-    """A pair's score drawn to its route's."""
-    pair = routes.stats(attempts(t), now=NOW, by=("route_id", "task_name")).withColumn("pair_score", routes.base_score())
-    own = _scored(t).select("route_id", F.col("base_score").alias("route_score"))
-    return pair.join(own, "route_id").select("route_id", "task_name", routes.shrunk(F.col("pair_score"), F.col("total"), F.col("route_score")).alias("score"))
+    """A pair's score drawn to its route's; both come from one scan."""
+    both = routes.stats_pair(attempts(t), now=NOW).withColumn("own", routes.base_score())
+    route = F.max(F.when(F.col("task_name").isNull(), F.col("own"))).over(Window.partitionBy("route_id"))
+    scored = both.withColumn("route_score", route).where("task_name IS NOT NULL")
+    return scored.select("route_id", "task_name", routes.shrunk(F.col("own"), F.col("total"), F.col("route_score")).alias("score"))
 
 
 @query(f"""WITH {_ATTEMPTS}, {_stats("route_id")}, b AS (SELECT route_id, {_BASE} AS base FROM s), v AS (SELECT 'route_' || (user_id % 12) AS route_id, round(value / 100, 4) AS composite, ts FROM events WHERE user_id % 12 < 9 AND event_id % 50 = 0),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import calibrate, export, scoring
 from siftline.operators.export import Clause, Filter
+from siftline.operators.items import numbered
 from siftline.queries.base import Tables, query
 
 SCORED_AT = "1998-12-31 00:00:00"
@@ -197,6 +198,15 @@ def calibration_errors(t: Tables) -> DataFrame:
     return own.groupBy((F.col("record") % 5 == 0).alias("held")).agg(F.count("*").alias("n"), F.round(F.avg(e * e), 4).alias("mse"), F.round(F.avg(F.abs(e)), 4).alias("mae"))
 
 
+@query(f"WITH {_C}, n AS (SELECT record, score, o_totalprice / 600 AS expected, (row_number() OVER (ORDER BY record) - 1) % 5 = 0 AS held FROM c JOIN orders ON record = o_orderkey) SELECT held, count(*)::BIGINT AS n, round(avg(pow(score - expected, 2)), 4) AS mse, round(avg(abs(score - expected)), 4) AS mae FROM n GROUP BY 1")
+def calibration_stride(t: Tables) -> DataFrame:
+    """Errors of derived scores, apart for each fifth observation by its place, counted in stretches of ids."""
+    own = scores(t).join(t.orders.select(F.col("o_orderkey").alias("record"), (F.col("o_totalprice") / 600).alias("expected")), "record").withColumn("all", F.lit(0))
+    e = F.col("score") - F.col("expected")
+    placed = numbered(own, by="all", order="record", span=1_000)
+    return placed.groupBy((F.col("place") % 5 == 0).alias("held")).agg(F.count("*").alias("n"), F.round(F.avg(e * e), 4).alias("mse"), F.round(F.avg(F.abs(e)), 4).alias("mae"))
+
+
 @query()
 def calibration_fit(t: Tables) -> DataFrame:
     """Checklist points fitted to expected scores of each priority's records, from sums that Spark aggregates."""
