@@ -285,7 +285,7 @@ def search(content: DataFrame, found: Callable, *, both_ways: bool, unit: int, w
 
     partitions = int(max(width, min(shards, 4 * width)))
     columns = ["core", "twin", "id", "tkey", "start", "windows", "span", "left", "right"]
-    dealt = usual.withColumn("shard", F.pmod(F.xxhash64("core", "twin"), F.lit(shards))).repartition(partitions, "shard").sortWithinPartitions("shard", "core", "id", "start", "tkey")
+    dealt = usual.withColumn("shard", F.pmod(F.xxhash64("core", "twin"), F.lit(shards))).repartitionById(partitions, (F.col("shard") % partitions).cast("int")).sortWithinPartitions("shard", "core", "id", "start", "tkey")
     out = dealt.select("shard", *columns).mapInArrow(shard, GONE)
     if large.isEmpty():
         return out
@@ -380,7 +380,7 @@ def covered(starts: np.ndarray, windows: np.ndarray, n: int, size: int) -> np.nd
 
 
 def with_gone(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, text) with the removed windows of each: doc_id, text, at."""
+    """Rows of docs (doc_id, text) with the removed windows of each: doc_id, text, at (the columns of ``gone`` but the keys)."""
     own = docs.select("doc_id", "text", *[c.alias(a) for c, a in zip(doc_key(F.col("doc_id"), F.coalesce("text", F.lit(""))), ("id", "tkey"), strict=True)])
-    lists = gone.groupBy("id", "tkey").agg(F.collect_list(F.struct("start", "windows")).alias("at"))  # bounded by a document's length
+    lists = gone.groupBy("id", "tkey").agg(F.collect_list(F.struct(*[c for c in gone.columns if c not in ("id", "tkey")])).alias("at"))  # bounded by a document's length
     return own.join(lists, ["id", "tkey"], "left").select("doc_id", "text", "at")
