@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +16,11 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, though the body uses it in many places; keeps plans small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
     """Whether the text holds one of the terms, as they are: one pattern, so that plans stay small."""
     return text.rlike("|".join(rf"\Q{t}\E" for t in terms)) if terms else F.lit(False)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftline import vocab
-from siftline.functions.text import any_of, contains_any
+from siftline.functions.text import any_of, contains_any, let
 
 
 def host(url: Column) -> Column:
@@ -120,35 +120,46 @@ def is_directory(key: Column) -> Column:
 
 def attributed_entity(url: Column, text: Column, explicit: Column) -> Column:
     """The entity a record is filed under: what it names itself, else its URL's; for a page of a source host the first firm it links, and none if there is none on platforms, boards and registries."""
-    key, named = entity(url), F.get(linked_domains(F.coalesce(text, F.lit(""))), F.lit(0))
-    closed = any_of([contains_any(key, g) for g in (vocab.PLATFORM_HOSTS, vocab.JOB_BOARD_HOSTS, vocab.REGISTRY_HOSTS)])
-    found = F.when(is_source_host(key) & named.isNotNull(), named).when(is_source_host(key) & closed, F.lit("")).otherwise(key)
+
+    def placed(x: Column) -> Column:
+        closed = any_of([contains_any(x["key"], g) for g in (vocab.PLATFORM_HOSTS, vocab.JOB_BOARD_HOSTS, vocab.REGISTRY_HOSTS)])
+        return F.when(~is_source_host(x["key"]), x["key"]).when(x["named"].isNotNull(), x["named"]).when(closed, F.lit("")).otherwise(x["key"])
+
+    found = let(F.struct(entity(url).alias("key"), F.get(linked_domains(F.coalesce(text, F.lit(""))), F.lit(0)).alias("named")), placed)
     return F.coalesce(F.nullif(F.trim(explicit), F.lit("")), found)
 
 
 def candidate_entities(url: Column, text: Column) -> Column:
     """All entities that a page could be filed under: its host, or for source hosts and case studies the firms that it links; and a case study's last path part if that is a domain."""
-    h, linked = host(F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))), linked_domains(F.coalesce(text, F.lit("")))
-    study = F.lower(path(url)).rlike(vocab.CASE_STUDY_PATH)
+    none = F.array().cast("array<string>")
     slug = F.lower(F.element_at(F.filter(F.split(path(url), "/"), lambda p: p != ""), -1))
-    good = F.length(slug).between(3, 30) & ~slug.isin(*vocab.SLUG_STOP) & F.contains(slug, F.lit(".")) & ~is_source_host(slug)
-    own = F.when(h != "", F.array(h)).otherwise(F.array().cast("array<string>"))
-    more = F.when(study & (h != ""), F.concat(linked, F.when(F.coalesce(good, F.lit(False)), F.array(slug)).otherwise(F.array().cast("array<string>"))))
-    return F.array_distinct(F.when((h != "") & is_source_host(h), linked).otherwise(F.concat(own, F.coalesce(more, F.array().cast("array<string>")))))
+    own = F.struct(
+        host(F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))).alias("host"), linked_domains(F.coalesce(text, F.lit(""))).alias("linked"),
+        F.lower(path(url)).rlike(vocab.CASE_STUDY_PATH).alias("study"), slug.alias("slug"),
+    )
+
+    def every(x: Column) -> Column:
+        good = F.length(x["slug"]).between(3, 30) & ~x["slug"].isin(*vocab.SLUG_STOP) & F.contains(x["slug"], F.lit(".")) & ~is_source_host(x["slug"])
+        more = F.when(x["study"], F.concat(x["linked"], F.when(F.coalesce(good, F.lit(False)), F.array(x["slug"])).otherwise(none))).otherwise(none)
+        return F.when(x["host"] == "", none).when(is_source_host(x["host"]), x["linked"]).otherwise(F.concat(F.array(x["host"]), more))
+
+    return F.array_distinct(let(own, every))
 
 
 def entity_domain(name: Column) -> Column:
     """The host that an entity key is, if it has a label of two letters or more before its last dot; else empty."""
     h = F.trim(F.substring_index(entity(name), "/", 1), F.lit("."))
-    return F.when((F.instr(h, ".") > 0) & (F.length(F.regexp_extract(h, r"^(.*)\.[^.]*$", 1)) >= 2), h).otherwise(F.lit(""))
+    return let(h, lambda x: F.when(F.length(F.regexp_extract(x, r"^(.*)\.[^.]*$", 1)) >= 2, x).otherwise(F.lit("")))
 
 
 def attribution_terms(name: Column) -> Column:
     """What a page must say to be about an entity: its key, or its first label if that is long enough to be a name."""
-    key = F.lower(entity(name))
-    label = F.substring_index(key, ".", 1)
-    terms = F.when((F.length(label) >= vocab.ATTRIBUTION_CHARS) & (label != key), F.array(key, label)).otherwise(F.array(key))
-    return F.when(F.trim(F.coalesce(name, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(terms)
+
+    def terms(key: Column) -> Column:
+        label = F.substring_index(key, ".", 1)
+        return F.when((F.length(label) >= vocab.ATTRIBUTION_CHARS) & (label != key), F.array(key, label)).otherwise(F.array(key))
+
+    return F.when(F.trim(F.coalesce(name, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(let(F.lower(entity(name)), terms))
 
 
 def is_attributed(text: Column, uri: Column, name: Column) -> Column:
@@ -178,10 +189,10 @@ def story_entity(url: Column, vendors: dict[str, tuple[str, tuple[str, ...]]]) -
 
 def could_name(url: Column, name: Column, vendors: dict[str, tuple[str, tuple[str, ...]]]) -> Column:
     """Whether a story's address could name an entity: its first label stands in the slug, path or host, as it is or without signs."""
-    label = F.lower(F.substring_index(entity(name), ".", 1))
     hay = F.lower(F.concat_ws(" ", F.coalesce(story_entity(url, vendors)["entity"], F.lit("")), path(url), host(url)))
     squashed = lambda x: F.regexp_replace(x, "[^a-z0-9]", "")
-    return (label == "") | F.contains(hay, label) | F.contains(squashed(hay), squashed(label))
+    own = F.struct(F.lower(F.substring_index(entity(name), ".", 1)).alias("label"), hay.alias("hay"))
+    return let(own, lambda x: (x["label"] == "") | F.contains(x["hay"], x["label"]) | F.contains(squashed(x["hay"]), squashed(x["label"])))
 
 
 def surface_urls(surface: str, domain: Column, paths: dict[str, tuple[str, ...]], templates: dict[str, tuple[str, ...]]) -> Column:

@@ -106,7 +106,7 @@ def image_alts(t: Tables) -> DataFrame:
 
 
 # --- attribution --------------------------------------------------------------------------------------
-_WHERE = {0: "'https://www.reddit.com/r/s-' || {s} || '/x'", 1: "'https://www.' || {s} || '.com/case-studies/acme.io'", 2: "'https://' || {s} || '.net/blog/post'", 3: "'https://clutch.co/profile/' || {s}", 4: "'https://oup.com/' || {s}", 5: "'https://math.stackexchange.com/questions/' || page_id"}
+_WHERE = {0: "'https://www.reddit.com/r/s-' || {s} || '/x'", 1: "'https://www.' || {s} || '.com/case-studies/acme.io'", 2: "'https://x' || {s} || '.net/blog/post'", 3: "'https://clutch.co/profile/' || {s}", 4: "'https://oup.com/' || {s}", 5: "'https://math.stackexchange.com/questions/' || page_id"}
 _URL = "CASE page_id % 6 " + " ".join(f"WHEN {k} THEN {v.format(s=_SLUG)}" for k, v in _WHERE.items()) + " END"
 _TEXT = "CASE WHEN page_id % 4 < 2 THEN concat('see https://www.first-firm.com/a and https://other.io, https://github.com/x') ELSE 'no links' END"
 _OWN = "CASE WHEN page_id % 9 = 0 THEN ' named.com ' ELSE '' END"
@@ -118,7 +118,7 @@ def _records(t: Tables) -> DataFrame:
 
 
 _LINKED = "page_id % 4 < 2"
-_ENTITY = f"""CASE WHEN own <> '' THEN 'named.com' WHEN page_id % 6 = 0 THEN CASE WHEN {_LINKED} THEN 'first-firm.com' ELSE 'reddit.com' END WHEN page_id % 6 = 1 THEN slug || '.com' WHEN page_id % 6 = 2 THEN slug || '.net' WHEN page_id % 6 = 3 THEN replace(slug, '-', '_') || '.com'
+_ENTITY = f"""CASE WHEN own <> '' THEN 'named.com' WHEN page_id % 6 = 0 THEN CASE WHEN {_LINKED} THEN 'first-firm.com' ELSE 'reddit.com' END WHEN page_id % 6 = 1 THEN slug || '.com' WHEN page_id % 6 = 2 THEN 'x' || slug || '.net' WHEN page_id % 6 = 3 THEN replace(slug, '-', '_') || '.com'
   WHEN page_id % 6 = 4 THEN 'oup.com' ELSE CASE WHEN {_LINKED} THEN 'first-firm.com' ELSE 'math.stackexchange.com' END END"""
 
 
@@ -128,7 +128,7 @@ def entity_attribution(t: Tables) -> DataFrame:
     return _records(t).select("page_id", U.attributed_entity(F.col("src"), F.col("text"), F.col("own")).alias("entity"))
 
 
-@query(f"""WITH {_MADE} SELECT page_id, CASE page_id % 6 WHEN 1 THEN slug || '.com' || CASE WHEN {_LINKED} THEN ' first-firm.com other.io' ELSE '' END || ' acme.io' WHEN 2 THEN slug || '.net' WHEN 4 THEN 'oup.com' ELSE CASE WHEN {_LINKED} THEN 'first-firm.com other.io' ELSE '' END END AS entities FROM m""")
+@query(f"""WITH {_MADE} SELECT page_id, CASE page_id % 6 WHEN 1 THEN slug || '.com' || CASE WHEN {_LINKED} THEN ' first-firm.com other.io' ELSE '' END || ' acme.io' WHEN 2 THEN 'x' || slug || '.net' WHEN 4 THEN 'oup.com' ELSE CASE WHEN {_LINKED} THEN 'first-firm.com other.io' ELSE '' END END AS entities FROM m""")
 def candidate_entities(t: Tables) -> DataFrame:
     return _records(t).select("page_id", F.array_join(U.candidate_entities(F.col("src"), F.col("text")), " ").alias("entities"))
 
