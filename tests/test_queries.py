@@ -81,7 +81,7 @@ def test_near_quotes_by_brute_force(spark):
     loose = {i: q.replace(", ", ",\u00a0").replace(". ", ".  ") + " " for i, q in items}
     every = [(i, {0: q, 1: loose[i], 2: dict(altered)[i]}[i % 3]) for i, q in items]
     want = {(d, i, *found) for d, t in docs for i, q in every if t and (found := grounding.resolve(q, t))[0] != "missing"}
-    assert {r for r in got if r[2] != "missing"} == want and {r[2] for r in want} >= {"exact", "fuzzy"}
+    assert {r for r in got if r[2] != "missing"} == want and {r[2] for r in want} >= {"exact", "normalized"}
 
 
 def test_calibration_fits(spark):
