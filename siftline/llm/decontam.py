@@ -88,10 +88,23 @@ def scanner(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text
     return made
 
 
+#: The automaton that this worker built last, with its key: Spark reuses workers for task after task.
+_built: dict[str, ahocorasick.Automaton] = {}
+
+
+def _kept(key: str, items: list[tuple[str | None, str | None]], n: int) -> ahocorasick.Automaton:
+    if key not in _built:
+        _built.clear()
+        _built[key] = automaton(items, n)
+    return _built[key]
+
+
 def _column(items: list[tuple[str | None, str | None]], n: int):
+    key = hashlib.sha256(repr((n, items)).encode("utf-8", "surrogatepass")).hexdigest()
+
     @F.pandas_udf(SCHEMA)
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        found = automaton(items, n)
+        found = _kept(key, items, n)
         for texts in batches:
             yield pd.DataFrame([scan(t, found) for t in texts], columns=FIELDS)
 
