@@ -229,7 +229,7 @@ def digest(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shard
     return dealt(own, placed, shards=shards, rows_in_task=rows_in_task).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def shard(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards: int = 8, capacity: int | None = None, rows_in_task: int = 20_000, **options) -> DataFrame:
+def shard(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards: int = 8, capacity: int | None = None, rows_in_task: int = 4096, **options) -> DataFrame:
     """``docs`` with two more columns: shard, and slot in the shard, as in ``digest``. Columns of those names are replaced; all others stay."""
     sizes = materialise(docs.select(text_hash(F.col(text)).alias("h"), text_size(F.col(text)).alias("size")).groupBy("h").agg(F.sum("size").alias("size")), "sizes")
     placed = place(sizes, shards=shards, capacity=capacity, **options)
