@@ -36,8 +36,8 @@ def matches(text: Column, terms: Sequence[str]) -> Column:
     if not terms:
         return F.array().cast("array<string>")
     forms = F.from_json(F.lit(json.dumps([list(dict.fromkeys((t, *vocab.variants(t)))) for t in terms])), "array<array<string>>")
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.transform(F.filter(forms, lambda f: F.exists(f, lambda v: F.contains(low, v))), lambda f: F.get(f, F.lit(0)))
+    said = lambda low: F.filter(forms, lambda f: F.exists(f, lambda v: F.contains(low, v)))
+    return F.transform(let(F.lower(F.coalesce(text, F.lit(""))), said), lambda f: F.get(f, F.lit(0)))
 
 
 def normal(text: Column) -> Column:
