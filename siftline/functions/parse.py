@@ -1,21 +1,20 @@
-"""Parsers of small foreign texts: robots rules, sitemaps, capture indexes, JSON-LD, JSON in prose, undeclared encodings.
+"""Parsers of small foreign texts: robots rules, sitemaps, capture indexes, JSON-LD, JSON in prose, bodies of responses.
 
-The first three are Column expressions; the others need a parser and are Arrow UDFs over small helpers.
+All are Column expressions but two: JSON inside prose, and bodies in an encoding that Spark doesn't read, are Arrow UDFs over small helpers.
 """
 
 from __future__ import annotations
 
-import codecs
 import json
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftline import vocab
+from siftline.functions import urls
 
 
 def robots(text: Column, agent: str = "siftline") -> Column:
@@ -39,8 +38,12 @@ def robots(text: Column, agent: str = "siftline") -> Column:
 
 
 def _inside(block: Column, tag: str) -> Column:
-    """The text of an element's first child of that name; empty if there is none."""
-    return F.trim(F.regexp_extract(block, rf"(?s)<(?:[\w-]+:)?{tag}\b[^>]*>([^<]*)<", 1))
+    """The text of an element's first child of that name, entities read; empty if there is none."""
+    found = F.regexp_extract(block, rf"(?s)<(?:[\w-]+:)?{tag}\b[^>]*>\s*<!\[CDATA\[(.*?)\]\]>", 1)
+    plain = F.regexp_extract(block, rf"(?s)<(?:[\w-]+:)?{tag}\b[^>]*>\s*([^<]*)<", 1)
+    for sign, entity in vocab.XML_ENTITIES.items():  # the ampersand last, so that nothing is read twice
+        plain = F.replace(plain, F.lit(entity), F.lit(sign))
+    return F.trim(F.coalesce(F.nullif(found, F.lit("")), plain))
 
 
 def sitemap(xml: Column) -> Column:
@@ -68,13 +71,10 @@ def captures(payload: Column) -> Column:
     return F.filter(made, lambda c: (c["timestamp"] != "") & (c["original"] != ""))
 
 
-CAPTURE_URL = r"(?i)^https?://web\.archive\.org/web/(\d{4,14})[a-z_]*/(.+)$"
-
-
 def capture_parts(url: Column) -> Column:
     """(original, timestamp) of an archive's capture address; null for others."""
     own = F.trim(url)
-    return F.when(own.rlike(CAPTURE_URL), F.struct(F.regexp_extract(own, CAPTURE_URL, 2).alias("original"), F.regexp_extract(own, CAPTURE_URL, 1).alias("timestamp")))
+    return F.when(own.rlike(vocab.CAPTURE_URL), F.struct(F.regexp_extract(own, vocab.CAPTURE_URL, 2).alias("original"), F.regexp_extract(own, vocab.CAPTURE_URL, 1).alias("timestamp")))
 
 
 def capture_url(original: Column, timestamp: Column) -> Column:
@@ -89,97 +89,124 @@ def epoch(text: Column) -> Column:
 
 
 # --- JSON-LD ----------------------------------------------------------------------------------------
-_BLOCK = re.compile(r"<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", re.I | re.S)
+#: So many wrappers (lists, graphs) around each other are opened; what lies deeper isn't read.
+WRAPPERS = 4
 
 
-def _nodes(value) -> Iterator[dict]:
-    """The objects of a JSON-LD value: those of a list or graph, else the value itself."""
-    if isinstance(value, list):
-        for entry in value:
-            yield from _nodes(entry)
-    elif isinstance(value, dict):
-        yield from _nodes(value["@graph"]) if "@graph" in value else iter([value])
+def _part(value: Column, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f"$['{name}']", kind)
 
 
-def ld_nodes(html: str | None) -> Iterator[tuple[set[str], dict]]:
-    """Types and content of the JSON-LD objects of a page; broken blocks are passed over."""
-    for block in _BLOCK.findall(html or ""):
-        try:
-            value = json.loads(block)
-        except ValueError:
-            continue
-        for node in _nodes(value):
-            types = node.get("@type") or []
-            yield {str(t).lower() for t in ([types] if isinstance(types, str) else types)}, node
+def _string(value: Column) -> Column:
+    """A text value with white space collapsed; empty for all others."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.trim(F.regexp_replace(F.try_variant_get(value, "$", "string"), r"\s+", " "))).otherwise("")
 
 
-def _flat(value) -> str:
-    return " ".join(value.split()) if isinstance(value, str) else ""
+def ld_nodes(html: Column) -> Column:
+    """The JSON-LD objects of a page as variants, in order. Broken blocks, and those that name a key twice, are passed over; null has none."""
+    blocks = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(vocab.LD_BLOCK), F.lit(1))
+    nodes = F.transform(blocks, F.try_parse_json)
+    for _ in range(WRAPPERS):
+        opened = F.transform(F.filter(nodes, lambda n: n.isNotNull()), lambda n: F.coalesce(_part(n, "@graph"), n))
+        nodes = F.flatten(F.transform(opened, lambda n: F.coalesce(F.try_variant_get(n, "$", "array<variant>"), F.array(n))))
+    return F.filter(nodes, lambda n: F.startswith(F.schema_of_variant(n), F.lit("OBJECT")))
 
 
-def ld_employer(html: str | None) -> tuple[str, str]:
-    """Name and address of the firm that a page's first job posting with a named firm is from; empty if there is none."""
-    for types, node in ld_nodes(html):
-        if "jobposting" in types:
-            firm = node.get("hiringOrganization")
-            firm = firm[0] if isinstance(firm, list) and firm else firm
-            name, url = (_flat(firm), "") if isinstance(firm, str) else (_flat(str(firm.get("name") or "")), str(firm.get("url") or firm.get("sameAs") or "").strip()) if isinstance(firm, dict) else ("", "")
-            if name or url:
-                return name, url
-    return "", ""
+def _types(node: Column) -> Column:
+    one = F.array(F.coalesce(_part(node, "@type", "string"), F.lit("")))
+    return F.filter(F.transform(F.coalesce(_part(node, "@type", "array<string>"), one), F.lower), lambda t: t.isNotNull() & (t != ""))
 
 
-def ld_description(html: str | None) -> str:
-    """The longest text that a page's JSON-LD gives of an article, posting, product or page."""
-    wanted = set(vocab.LD_TYPES)
-    found = [_flat(node.get(key)) for types, node in ld_nodes(html) if not types or types & wanted for key in ("articleBody", "description", "text")]
-    return max(found, key=len, default="")
+def ld_employers(nodes: Column) -> Column:
+    """(name, domain) of the firm that each job posting names, in order; a source's own host is no domain."""
 
+    def firm(node: Column) -> Column:
+        said = _part(node, "hiringOrganization")
+        said = F.coalesce(F.get(F.try_variant_get(said, "$", "array<variant>"), F.lit(0)), said)
+        name = F.coalesce(F.nullif(_string(said), F.lit("")), F.trim(F.regexp_replace(_part(said, "name", "string"), r"\s+", " ")), F.lit(""))
+        address = F.coalesce(F.nullif(F.trim(_part(said, "url", "string")), F.lit("")), F.trim(_part(said, "sameAs", "string")), F.lit(""))
+        domain = F.when(address == "", "").otherwise(F.coalesce(urls.entity(address), F.lit("")))
+        return F.struct(name.alias("name"), F.when(urls.is_source_host(domain), "").otherwise(domain).alias("domain"))
 
-def ld(html: Column) -> Column:
-    """(employer, employer_url, description) of a page's JSON-LD."""
+    return F.transform(F.filter(nodes, lambda n: F.array_contains(_types(n), "jobposting")), firm)
 
-    @F.pandas_udf("employer string, employer_url string, description string")
-    def read(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(*ld_employer(p), ld_description(p)) for p in pages], columns=["employer", "employer_url", "description"])
 
-    return read(html)
+def ld_descriptions(nodes: Column) -> Column:
+    """What the articles, postings, products, pages and untyped objects say, each text once."""
+    kinds = F.array(*map(F.lit, vocab.LD_TYPES))
+    telling = F.filter(nodes, lambda n: (F.size(_types(n)) == 0) | F.arrays_overlap(_types(n), kinds))
+    return F.filter(F.flatten(F.transform(telling, lambda n: F.array(*(_string(_part(n, k)) for k in vocab.LD_TEXTS)))), lambda t: t != "")
 
 
-# --- JSON in prose ----------------------------------------------------------------------------------
-_FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S)
-_TRAILING = re.compile(r",\s*([\]}])")
-_DECODER = json.JSONDecoder()
+def ld(html: Column) -> Column:
+    """(employer, domain, description) of a page's JSON-LD: the first posting that names a firm or its domain, and the longest text (of equally long ones the first)."""
+    nodes = ld_nodes(html)
+    named = F.get(F.filter(ld_employers(nodes), lambda e: (e["name"] != "") | (e["domain"] != "")), F.lit(0))
+    told = F.array_max(F.transform(ld_descriptions(nodes), lambda t, i: F.struct(F.length(t).alias("size"), (-i).alias("place"), t.alias("text"))))
+    none = F.lit("")
+    return F.struct(F.coalesce(named["name"], none).alias("employer"), F.coalesce(named["domain"], none).alias("domain"), F.coalesce(told["text"], none).alias("description"))
 
 
-def _objects(text: str) -> Iterator[dict | list]:
-    """Objects and lists that begin at a bracket of the text, outermost first."""
-    for m in re.finditer(r"[{\[]", text):
+# --- JSON in prose ----------------------------------------------------------------------------------
+#: Brackets nested deeper than this are not read as JSON.
+DEEPEST = 500
+_SIGN = re.compile(r"\\.|[\"\[\]{}]", re.S)
+_SPARE = re.compile(r"(\"(?:\\.|[^\"\\])*\")|,(?=\s*[\]}])", re.S)
+
+
+def _balanced(text: str, quoted: bool) -> Iterator[tuple[int, int]]:
+    """Spans from a bracket to the one that closes it, if the text begins outside (or inside) of a string."""
+    around: list[list[int]] = []  # place and height of each bracket that is open
+    for sign in _SIGN.finditer(text):
+        kind = sign[0]
+        if kind == '"':
+            quoted = not quoted
+        elif quoted or len(kind) > 1:
+            continue
+        elif kind in "[{":
+            around.append([sign.start(), 1])
+        elif around and text[around[-1][0]] + kind in ("[]", "{}"):
+            begin, height = around.pop()
+            if around:
+                around[-1][1] = max(around[-1][1], height + 1)
+            if height <= DEEPEST:
+                yield begin, sign.end()
+        else:
+            around.clear()
+
+
+def _spans(text: str) -> list[str]:
+    """All that may be a JSON object or list, by where it begins. Prose may hold any number of quotes, so both readings of them are taken."""
+    return [text[a:b] for a, b in sorted({*_balanced(text, False), *_balanced(text, True)})]
+
+
+def _readings(text: str) -> Iterator[str]:
+    """What may be the JSON of an answer, the likeliest first: all of it, what is fenced, what lies in brackets; then with commas forgiven before closing brackets."""
+    fenced = text.split(vocab.FENCE, 2)[1:2] if text.count(vocab.FENCE) > 1 else []
+    fenced = [f.removeprefix("json").strip() for f in fenced]
+    yield from [text, *fenced]
+    yield from (_SPARE.sub(r"\1", f) for f in fenced)
+    inner = _spans(text)
+    yield from inner
+    yield from (_SPARE.sub(r"\1", f) for f in inner)
+
+
+def _values(readings: Iterator[str]) -> Iterator:
+    for reading in readings:
         try:
-            yield _DECODER.raw_decode(text, m.start())[0]
-        except ValueError:
+            yield json.loads(reading)
+        except (ValueError, RecursionError):
             continue
 
 
 def find_json(text: str | None):
-    """The JSON that a worker's answer holds: all of it, else what a fence holds, else the first object or list; commas before closing brackets are forgiven last. None if there is none."""
-    own = (text or "").strip()
-    fence = _FENCE.search(own)
-    tries = [own] + ([fence[1].strip(), _TRAILING.sub(r"\1", fence[1].strip())] if fence else [])
-    for t in tries:
-        try:
-            return json.loads(t)
-        except ValueError:
-            continue
-    for t in (own, _TRAILING.sub(r"\1", own)):
-        for found in _objects(t):
-            return found
-    return None
+    """The JSON that a worker's answer holds; None if there is none."""
+    return next(_values(_readings((text or "").strip())), None)
 
 
 def find_payload(text: str | None, keys: tuple[str, ...] = ("input_items", "output_schema")):
     """The first object in a prompt that has all of the keys."""
-    return next((o for o in _objects(text or "") if isinstance(o, dict) and set(keys) <= o.keys()), None)
+    return next((o for o in _values(iter(_spans(text or ""))) if isinstance(o, dict) and set(keys) <= o.keys()), None)
 
 
 def answer(text: Column) -> Column:
@@ -198,42 +225,49 @@ def canonical_json(pairs: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(pairs.items())]), {"ignoreNullFields": "false"})
 
 
-# --- encodings --------------------------------------------------------------------------------------
-def decode_body(raw: bytes | None, content_type: str | None) -> str:
-    """The text of a response: by the encoding that its header names, else UTF-8, else Windows-1252; what still fails is marked."""
-    said = re.search(r"charset=([\w-]+)", content_type or "")
-    for encoding in ([said[1]] if said else []) + ["utf-8", "windows-1252"]:
-        try:
-            codecs.lookup(encoding)
-            return (raw or b"").decode(encoding)
-        except (LookupError, UnicodeDecodeError):
-            continue
-    return (raw or b"").decode("utf-8", "replace")
+# --- bodies of responses ----------------------------------------------------------------------------
+def body(raw: Column, content_type: Column) -> Column:
+    """The text of a response. A declared encoding that fits goes first, else UTF-8 if it is that, else Windows-1252; what that lacks is marked in UTF-8. Null is empty.
 
+    Spark reads all but declared encodings of other names: only such rows have anything for the Python helper.
+    """
+    said = F.lower(F.regexp_extract(F.coalesce(content_type, F.lit("")), vocab.CHARSET, 1))
+    octets = F.coalesce(raw, F.lit(b""))
+    unicode, latin = octets.cast("string"), F.decode(octets, "ISO-8859-1")
+    high = {bytes([b]).decode("latin-1"): bytes([b]).decode("windows-1252", "ignore") for b in range(0x80, 0xA0)}
+    known, lacking = [k for k, v in high.items() if v], "".join(k for k, v in high.items() if not v)
+    windows = F.translate(latin, "".join(known), "".join(high[k] for k in known))
+    usual = F.when(F.is_valid_utf8(unicode), unicode).when(~latin.rlike(f"[{lacking}]"), windows).otherwise(F.make_valid_utf8(unicode))
+    foreign = ~said.isin("", *vocab.UTF8_NAMES, *vocab.LATIN_NAMES)
 
-def body(raw: Column, content_type: Column) -> Column:
     @F.pandas_udf("string")
-    def read(raws: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([decode_body(r, k) for r, k in zip(raws, kinds, strict=True)], dtype=object)
+    def declared(raws: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([_decoded(r, n) for r, n in zip(raws, names, strict=True)], dtype=object)
 
-    return read(raw, content_type)
+    return F.when(said.isin(*vocab.LATIN_NAMES), latin).otherwise(F.coalesce(declared(F.when(foreign, octets), said), usual))
 
 
-# --- images -----------------------------------------------------------------------------------------
-_IMAGE = r"(?i)<img\b[^>]*?\balt=(?:\"([^\"]*)\"|'([^']*)')[^>]*>"
+def _decoded(raw: bytes | None, encoding: str) -> str | None:
+    """The text, if the encoding is known and fits."""
+    try:
+        return None if raw is None else raw.decode(encoding)
+    except (LookupError, ValueError):
+        return None
 
 
+# --- images -----------------------------------------------------------------------------------------
 def exposed_alts(html: Column) -> Column:
-    """HTML in which images have given way to what their alternatives say, where that names something: three characters or more, and no mere kind of image."""
-    entities = {"&amp;": "&", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " "}
-    images = F.regexp_extract_all(html, F.lit(_IMAGE), F.lit(0))
+    """HTML in which images have given way to what their alternatives say, where that names something: three characters or more, and no mere kind of image.
+
+    An entity counts as one character, a non-breaking space as a blank. Images without an alternative stay.
+    """
 
-    def said(image: Column) -> Column:
-        raw = F.coalesce(F.nullif(F.regexp_extract(image, _IMAGE, 1), F.lit("")), F.regexp_extract(image, _IMAGE, 2))
-        plain = F.trim(reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), entities.items(), raw))
+    def shown(piece: Column) -> Column:
+        image = F.regexp_extract(piece, vocab.IMAGE, 0)
+        said = F.concat(F.regexp_extract(piece, vocab.IMAGE, 1), F.regexp_extract(piece, vocab.IMAGE, 2))
+        plain = F.trim(F.regexp_replace(F.regexp_replace(said, "&nbsp;|&#160;|\u00a0", " "), "&#?\\w+;", "\u00a4"))
         named = (F.length(plain) >= 3) & ~F.lower(F.regexp_replace(plain, r"[\W_]+", "")).isin(*vocab.GENERIC_ALTS)
-        return F.when(named, F.concat(F.lit(" "), raw, F.lit(" "))).otherwise(F.lit(" "))
+        rest = F.substring(piece, F.length(image) + 1, F.length(piece))
+        return F.when(image == "", piece).otherwise(F.concat(F.when(named, F.concat(F.lit(" "), said, F.lit(" "))).otherwise(F.lit(" ")), rest))
 
-    gaps = F.split(html, _IMAGE)
-    woven = F.zip_with(gaps, F.concat(F.transform(images, said), F.array(F.lit(""))), lambda g, i: F.concat(F.coalesce(g, F.lit("")), F.coalesce(i, F.lit(""))))
-    return F.coalesce(F.array_join(woven, ""), html)
+    return F.array_join(F.transform(F.split(html, r"(?i)(?=<img\b)"), shown), "")

@@ -61,27 +61,38 @@ def iso_epoch(t: Tables) -> DataFrame:
     return t.events.select("event_id", P.epoch(F.expr(_TIMES)).alias("seconds"))
 
 
-_LD = """concat('<html><script type="application/ld+json">{broken</script><script type="application/ld+json">{"@graph":[{"@type":"WebSite","description":"', repeat('longer than all the others ', 9), '"},{"@type":["JobPosting"],"hiringOrganization":', CASE page_id % 3 WHEN 0 THEN '" Big  Firm "' WHEN 1 THEN concat('{"name":"Firm ', CAST(page_id AS VARCHAR(9)), '","sameAs":"https://firm', CAST(page_id AS VARCHAR(9)), '.com/x"}') ELSE '[]' END,
-  ',"description":"Page ', CAST(page_id AS VARCHAR(9)), '  of many","text":"short"}]}</script>', html)"""
-
-
-@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Big Firm' WHEN 1 THEN 'Firm ' || page_id ELSE '' END AS employer, CASE WHEN page_id % 3 = 1 THEN 'firm' || page_id || '.com' ELSE '' END AS domain, 'Page ' || page_id || ' of many' AS description FROM pages""")
+def _ld_page(t: Tables) -> DataFrame:
+    """Pages with JSON-LD made of their own titles, addresses and paragraphs: a broken block, then a graph in which a source's posting goes before the firm's."""
+    title, told = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.regexp_extract("html", "<p>([^<]{40,})", 1)
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), '(?s)^\\{"x":(.*)\\}$', 1)
+    firm = F.when(F.col("page_id") % 3 == 0, F.to_json(F.struct(title.alias("name"), F.col("url").alias("sameAs")))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("["), F.to_json(F.struct(F.col("url"))), F.lit("]"))).otherwise(quoted(title))
+    graph = F.concat(
+        F.lit('{"@graph":[{"@type":"JobPosting","hiringOrganization":{"url":"https://www.linkedin.com/company/x"}},[{"@type":["Thing","JobPosting"],"hiringOrganization":'), firm, F.lit(',"description":'), quoted(title),
+        F.lit('}],{"@type":"Article","articleBody":'), quoted(told), F.lit('},{"@type":"Person","text":'), quoted(F.repeat(told, 2)), F.lit("}]}"),
+    )
+    block = lambda c: F.concat(F.lit('<script type="application/ld+json">'), c, F.lit("</script>"))
+    return t.pages.select("page_id", F.concat(block(F.lit("{broken")), block(graph), "html").alias("html"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_HOST.format("url")} AS host, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, trim(regexp_replace(regexp_extract(html, '<p>([^<]{{40,}})', 1), '\s+', ' ', 'g')) AS told FROM pages)
+SELECT page_id, CASE WHEN page_id % 3 = 1 THEN '' ELSE title END AS employer, CASE WHEN page_id % 3 < 2 AND NOT ({sql_any("host", vocab.PLATFORM_HOSTS)}) THEN host ELSE '' END AS domain, CASE WHEN length(told) > length(title) THEN told ELSE title END AS description FROM p""")
 def json_ld(t: Tables) -> DataFrame:
-    """Who hires and what a page is about, from its JSON-LD; source hosts are no employer's."""
-    own = t.pages.select("page_id", P.ld(F.expr(_LD)).alias("d"))
-    domain = F.when(F.col("d.employer_url") != "", U.entity(F.col("d.employer_url"))).otherwise("")
-    return own.select("page_id", "d.employer", F.when(U.is_source_host(domain), "").otherwise(domain).alias("domain"), "d.description")
-
+    """Who hires and what a page is about, from its JSON-LD; source hosts are no employer's, and a posting that names no firm is passed over."""
+    return _ld_page(t).select("page_id", P.ld(F.col("html")).alias("d")).select("page_id", "d.*")
 
-_ANSWER = """CASE o_orderkey % 8 WHEN 0 THEN concat('{"score": ', CAST(o_custkey AS VARCHAR(20)), ', "a": [1, 2]}') WHEN 1 THEN concat('Here it is:\n```json\n{"score": ', CAST(o_custkey AS VARCHAR(20)), ',}\n``` done') WHEN 2 THEN concat('So {not this} but {"score": ', CAST(o_custkey AS VARCHAR(20)), '} or {"x": 1}')
-  WHEN 3 THEN concat('well {"score": ', CAST(o_custkey AS VARCHAR(20)), ', } then') WHEN 4 THEN 'nothing here' WHEN 5 THEN '' WHEN 6 THEN concat('{"o": {"input_items": 1, "output_schema": ', CAST(o_custkey AS VARCHAR(20)), '}') ELSE '"just words"' END"""
 
-
-@query("""SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN '{"a":[1,2],"score":' || o_custkey || '}' WHEN 1 THEN '{"score":' || o_custkey || '}' WHEN 2 THEN '{"score":' || o_custkey || '}' WHEN 3 THEN '{"score":' || o_custkey || '}'
-  WHEN 6 THEN '{"input_items":1,"output_schema":' || o_custkey || '}' WHEN 7 THEN '"just words"' END AS found FROM orders""")
+@query("""SELECT doc_id AS id, '{"chars":' || length(coalesce(text, '')) || ',"md5":"' || md5(coalesce(text, '')) || '"}' AS found FROM documents WHERE doc_id % 8 <> 7 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 8 = 7""")
 def answer_json(t: Tables) -> DataFrame:
-    """The JSON inside workers' answers, whatever is around it."""
-    return t.orders.select(F.col("o_orderkey").alias("id"), P.answer(F.expr(_ANSWER)).alias("found"))
+    """The JSON inside answers whose prose is the documents' own: bare, fenced, after other brackets, with a spare comma, with a quote that is left open, or missing."""
+    text, kind = F.coalesce("text", F.lit("")), F.col("doc_id") % 8
+    told = F.to_json(F.struct(F.length(text).alias("chars"), F.md5(text.cast("binary")).alias("md5")))
+    spare = F.regexp_replace(told, r"\}$", ", }")
+    prose = F.translate(text, "[]{}`", "()()'")
+    answer = (
+        F.when(kind == 0, told).when(kind == 1, F.concat(prose, F.lit("\n```json\n"), told, F.lit("\n```\n"), prose)).when(kind == 2, F.concat(F.lit("{not this} "), prose, told, F.lit(" or [1]")))
+        .when(kind == 3, F.concat(prose, spare)).when(kind == 4, F.concat(F.lit('{ " '), prose, told, prose)).when(kind == 5, F.concat(F.lit("```\n"), spare, F.lit("```"))).when(kind == 6, F.concat(F.lit("[["), told, prose)).otherwise(prose)
+    )
+    return t.documents.select(F.col("doc_id").alias("id"), P.answer(answer).alias("found"))
 
 
 @query("""SELECT o_orderkey AS id, sha256('{"custkey":' || o_custkey || ',"note":null,"status":"' || o_orderstatus || '"}') AS digest FROM orders""")
@@ -89,20 +100,27 @@ def json_digest(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("id"), T.digest(P.canonical_json({"status": F.col("o_orderstatus"), "custkey": F.col("o_custkey"), "note": F.lit(None).cast("string")})).alias("digest"))
 
 
-@query("SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]')")
+@query("SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents")
 def body_decode(t: Tables) -> DataFrame:
-    """Texts sent as UTF-8 or Latin-1, with and without saying so; those that Latin-1 can write."""
-    text = F.coalesce("text", F.lit(""))
-    own = t.documents.where(~text.rlike("[^\\x00-\\x7F\\u00A0-\\u00FF]")).select("doc_id", text.alias("text"))
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
-    kind = F.when(F.col("doc_id") % 2 == 0, "text/plain; charset=no-such").when(F.col("doc_id") % 4 == 1, "text/plain; charset=iso-8859-1").otherwise("text/plain")
-    return own.select("doc_id", F.md5(P.body(raw, kind).cast("binary")).alias("text"))
+    """All texts as bodies in UTF-8, Latin-1 or UTF-16, with and without saying so; only those that Latin-1 can write are sent in it."""
+    text, kind = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    own = t.documents.select("doc_id", text.alias("text"), F.when(text.rlike("[^\\x00-\\x7F\\u00A0-\\u00FF]"), kind % 2).otherwise(kind).alias("kind"))
+    raw = F.when(F.col("kind") == 0, F.encode("text", "UTF-8")).when(F.col("kind") == 1, F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "ISO-8859-1"))
+    said = F.when(F.col("kind") == 0, "text/plain; charset=no-such").when(F.col("kind") == 1, "text/plain; charset=utf-16-le").when(F.col("kind") == 2, "text/plain; charset=ISO-8859-1").otherwise("text/plain")
+    return own.select("doc_id", F.md5(P.body(raw, said).cast("binary")).alias("text"))
+
+
+_WORD = r"regexp_extract(html, '<title>\s*([^<\s&]*)', 1)"
 
 
-@query("""SELECT page_id, '<p>a ' || CASE page_id % 4 WHEN 0 THEN ' Team of ' || page_id || ' ' WHEN 1 THEN ' ' WHEN 2 THEN ' ' ELSE ' it''s us ' END || ' b</p>' AS shown FROM pages""")
+@query(rf"""WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, {_WORD} AS word FROM pages)
+SELECT page_id, '<p> ' || title || '  ' || '  ' || CASE WHEN length(word) >= 3 AND lower(regexp_replace(word, '[^A-Za-z0-9]+', '', 'g')) NOT IN ({", ".join(f"'{g}'" for g in vocab.GENERIC_ALTS)}) THEN ' ' || word || ' ' ELSE ' ' END || '<img src=x></p>' AS shown FROM p WHERE length(title) >= 5 AND NOT contains(title, '"')""")
 def image_alts(t: Tables) -> DataFrame:
-    image = "CASE page_id % 4 WHEN 0 THEN concat('<img src=x alt=\"Team of ', CAST(page_id AS VARCHAR(9)), '\" w=1>') WHEN 1 THEN '<IMG ALT=\"Logo\">' WHEN 2 THEN '<img alt=''ab''/>' ELSE '<img alt=\"it''s us\">' END"
-    return t.pages.select("page_id", P.exposed_alts(F.concat(F.lit("<p>a "), F.expr(image), F.lit(" b</p>"))).alias("shown"))
+    """Images that pages' titles, a kind of image, an entity and single words of titles stand for."""
+    title, word = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.regexp_extract("html", r"<title>\s*([^<\s&]*)", 1)
+    own = t.pages.select("page_id", title.alias("title"), word.alias("word")).where((F.length("title") >= 5) & ~F.contains("title", F.lit('"')))
+    images = F.concat(F.lit('<p><img src=x alt="'), "title", F.lit('" w=1> <IMG ALT="Logo"><img alt=\'&amp;&#39;\'/><img alt="'), "word", F.lit('"><img src=x></p>'))
+    return own.select("page_id", P.exposed_alts(images).alias("shown"))
 
 
 # --- attribution --------------------------------------------------------------------------------------

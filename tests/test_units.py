@@ -253,11 +253,45 @@ def test_json_in_prose():
     assert parse.find_payload('q {"x": {"input_items": []}} {"output_schema": 1, "input_items": [2]}') == {"output_schema": 1, "input_items": [2]} and parse.find_payload("{") is None
 
 
-def test_bodies_and_ld():
-    assert parse.decode_body("é".encode("latin-1"), "text/html") == "é" and parse.decode_body("é".encode(), "text/html; charset=nonsense") == "é"
-    assert parse.decode_body("é".encode("utf-16-le"), "x; charset=utf-16-le") == "é" and parse.decode_body(None, None) == "" and "\ufffd" in parse.decode_body(b"\x81", None)
-    page = '<script type="application/ld+json">[{"@type":"JobPosting","hiringOrganization":[{"name":" A  b "}]},{"@type":"Person","text":"%s"},{"text":"untyped text"}]</script>' % ("long " * 20)
-    assert parse.ld_employer(page) == ("A b", "") and parse.ld_description(page) == "untyped text" and parse.ld_employer("") == ("", "") and parse.ld_description(None) == ""
+def test_json_in_odd_prose():
+    deep = "[" * 100_000
+    assert parse.find_json(deep) is None and parse.find_json(deep + "]" * 100_000) is not None and parse.find_json('{"a":' * 100_000) is None and parse.find_payload(deep) is None
+    assert parse.find_json('{bad "x} then {"a": 1}') == {"a": 1} and parse.find_json('he said "so {"a": "}", "b": "\\""}') == {"a": "}", "b": '"'}
+    assert parse.find_json('[1, "a, ]",]') == [1, "a, ]"] and parse.find_json('text ``` {"a": 1,} ``` more') == {"a": 1} and parse.find_json("``` no") is None
+    assert parse.find_json("((([{)]}") is None and parse.find_json('"it\'s [not') is None and parse.find_json("null") is None
+
+
+def test_bodies(spark):
+    bodies = [
+        ("é".encode("latin-1"), "text/html", "é"), ("é".encode(), "text/html; charset=nonsense", "é"), ("é".encode("utf-16-le"), "x; charset=utf-16-le", "é"), (None, None, ""), (b"\x81", None, "\ufffd"), (b"\x93q\x94", "", "“q”"),
+        (b"\xe9\x93", "a; charset=ISO-8859-1", "é\x93"), ("中".encode("gbk"), "x; charset=gbk", "中"), (b"\xff\xfe", "x;charset=utf-8", "ÿþ"), ("é".encode(), "x; charset=hex", "é"), (b"", "x; charset=utf-16", ""), ("中".encode(), "x; charset=ascii", "中"),
+    ]
+    table = spark.createDataFrame(bodies, "raw binary, kind string, want string")
+    assert [r.got for r in table.select(parse.body(table.raw, table.kind).alias("got")).collect()] == [w for _, _, w in bodies]
+
+
+def test_ld(spark):
+    block = lambda text: f'<script type="application/ld+json">{text}</script>'
+    posting = lambda firm: f'{{"@type":"JobPosting","hiringOrganization":{firm}}}'
+    pages = [
+        (block('[%s,{"@type":"Person","text":"%s"},{"text":"untyped text"}]' % (posting('[{"name":" A  b "}]'), "long " * 20)), ("A b", "", "untyped text")),
+        (block(f'[{posting(chr(123) + chr(34) + "url" + chr(34) + ":" + chr(34) + "https://linkedin.com/x" + chr(34) + chr(125))},{posting(chr(123) + chr(34) + "name" + chr(34) + ":" + chr(34) + "Real Firm" + chr(34) + chr(125))}]'), ("Real Firm", "", "")),
+        (block('{"@graph":{"@type":["X","jobPosting"],"hiringOrganization":"  S  t ","description":"d1"}}') + block("{bad") + block(posting('"Later"')), ("S t", "", "d1")),
+        (block(posting("[]")) + block(posting("7")) + block(posting('{"name":"","sameAs":"https://www.firm.com/x"}')), ("", "firm.com", "")),
+        (block("[" * 100_000) + block('{"description":"after"}'), ("", "", "after")), ("", ("", "", "")), (None, ("", "", "")), (block('[[[{"text":"inner"}]]]'), ("", "", "inner")), (block('{"@type":null,"text":"no type"}'), ("", "", "no type")),
+        (block('{"@type":"Product","description":["a list"],"text":"same"}') + block('{"text":"also"}'), ("", "", "same")),
+    ]
+    table = spark.createDataFrame([(p,) for p, _ in pages], "html string")
+    assert [tuple(r.got) for r in table.select(parse.ld(table.html).alias("got")).collect()] == [w for _, w in pages]
+
+
+def test_sitemaps_captures_and_images(spark):
+    one = lambda function, text: spark.createDataFrame([(text,)], "x string").select(function(F.col("x")).alias("got")).first().got
+    found = one(parse.sitemap, "<urlset><url><loc> https://a.com/?x=1&amp;y=&lt;&amp;lt; </loc><lastmod>2024</lastmod></url><url><loc><![CDATA[https://b.com/?a&b]]></loc></url></urlset>")
+    assert [tuple(p) for p in found.pages] == [("https://a.com/?x=1&y=<&lt;", "2024"), ("https://b.com/?a&b", None)] and found.sitemaps == []
+    assert tuple(one(parse.capture_parts, "https://web.archive.org/web/2024if_/https://a.com")) == ("https://a.com", "2024") and one(parse.capture_parts, "https://web.archive.org/web/2024long_/https://a.com") is None
+    images = '<img src=x alt="Team &amp; co" w=1>b<IMG ALT=\'Logo\'>c<img alt="it\'s us">e<img src=q>f<img alt="&amp;&eacute;">g<img alt="Hero-Image"><img alt="back ground">'
+    assert one(parse.exposed_alts, images) == " Team &amp; co b c it's us e<img src=q>f g Hero-Image  " and one(parse.exposed_alts, None) is None and one(parse.exposed_alts, "") == ""
 
 
 def test_packets_and_frozen_inputs(spark, tmp_path):
