@@ -38,14 +38,45 @@ def distinct_ids(items: DataFrame, *, order: str) -> DataFrame:
     return items.join(first, "item_id").withColumn("item_id", F.when(F.col(order) == F.col("__first"), F.col("item_id")).otherwise(renamed)).drop("__first")
 
 
+def same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null; the columns of the left, then the others of the right."""
+    other = right.select(*(F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns))
+    on = [left[k].eqNullSafe(other[f"__{k}"]) for k in keys]
+    return left.join(other, on).drop(*(f"__{k}" for k in keys))
+
+
+#: Marks of stretches: so many lists of so many.
+_MARKS = 32
+
+
+def stretches(rows: DataFrame, order: str, span: int) -> Column:
+    """The stretch of each row in an order of numbers, all of about as many rows and of ``span`` or more: there are at most 1,024.
+
+    Cut at quantiles of the whole table, so that it doesn't matter how the numbers are spread. One row comes to the driver.
+    """
+    many = _MARKS * _MARKS
+    shares = [(i + 1) / many for i in range(many - 1)]
+    told = rows.agg(F.count(order).alias("n"), F.percentile_approx(order, shares, 10 * many).alias("marks")).first()
+    marks = sorted(set(told["marks"] or []))
+    marks = marks[:: max(1, round(len(marks) / (told["n"] // span)))] if told["n"] > span else []
+    if not marks:
+        return F.lit(0)
+    kind, at = rows.schema[order].dataType, F.col(order)
+    fine = [marks[i : i + _MARKS] for i in range(0, len(marks), _MARKS)]
+    value = lambda m: F.lit(m).cast(kind)
+    coarse = F.size(F.filter(F.array(*(value(f[0]) for f in fine)), lambda m: m <= at))
+    inner = F.size(F.filter(F.get(F.array(*(F.array(*map(value, f)) for f in fine)), coarse - 1), lambda m: m <= at))
+    return F.when(at.isNull(), -1).when(coarse == 0, 0).otherwise((coarse - 1) * _MARKS + inner)
+
+
 def numbered(rows: DataFrame, *, by: str, order: str, into: str = "place", span: int = 100_000) -> DataFrame:
-    """Rows of each ``by`` numbered from 0 in the order of a whole number. In two steps over stretches of ``span``, so that a frequent ``by`` is spread."""
-    part = F.floor(F.col(order) / span)
+    """Rows of each ``by`` numbered from 0 in the order of a number, nulls first. In two steps over stretches of the order, so that a frequent ``by`` is spread."""
     inside = F.row_number().over(Window.partitionBy(by, "__part").orderBy(order)) - 1
-    own = rows.withColumn("__part", part).withColumn("__at", inside)
-    sizes = rows.groupBy(by, part.alias("__part")).agg(F.count("*").alias("n"))
+    own = rows.withColumn("__part", stretches(rows, order, span))
+    sizes = own.groupBy(by, "__part").agg(F.count("*").alias("n"))
     before = sizes.select(by, "__part", (F.sum("n").over(Window.partitionBy(by).orderBy("__part")) - F.col("n")).alias("__base"))
-    return own.join(before, [by, "__part"]).withColumn(into, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
+    placed = same(own.withColumn("__at", inside), before, [by, "__part"])
+    return placed.withColumn(into, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
 
 
 def bundle(records: DataFrame, *, least_sources: int = 1) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline import vocab
 from siftline.functions import text as T
+from siftline.operators import batches as B
 from siftline.operators import capture
 from siftline.operators import grounding as G
 from siftline.operators import items as I
@@ -168,6 +169,17 @@ def batch_pack(t: Tables) -> DataFrame:
     return own.groupBy("source", "batch").agg(F.count("*").alias("items"), F.substring(T.digest(ids), 1, 16).alias("batch_id"))
 
 
+@query("""WITH RECURSIVE n AS (SELECT source, doc_id, length(coalesce(text, ''))::BIGINT AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents),
+r AS (SELECT source, doc_id, p, c, 0::BIGINT AS batch, 1 AS items, c AS chars FROM n WHERE p = 1
+  UNION ALL SELECT n.source, n.doc_id, n.p, n.c, CASE WHEN r.items < 6 AND r.chars + n.c <= 6000 THEN r.batch ELSE r.batch + 1 END, CASE WHEN r.items < 6 AND r.chars + n.c <= 6000 THEN r.items + 1 ELSE 1 END,
+  CASE WHEN r.items < 6 AND r.chars + n.c <= 6000 THEN r.chars + n.c ELSE n.c END FROM r JOIN n ON n.source IS NOT DISTINCT FROM r.source AND n.p = r.p + 1)
+SELECT source, batch, count(*)::BIGINT AS items, sum(c)::BIGINT AS chars, substr(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)), 1, 16) AS batch_id FROM r GROUP BY 1, 2""")
+def batch_budget(t: Tables) -> DataFrame:
+    """Batches of at most six of a source's items and 6,000 characters; a longer item is a batch of its own."""
+    own = t.documents.select("source", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    return B.batch_ids(B.packed(own, by="source", order="doc_id", size="size", most_items=vocab.BATCH_ITEMS, most_chars=6000), by="source", order="doc_id", digest=T.digest)
+
+
 # --- grounding: benchmark items are the quotes ----------------------------------------------------------
 _HITS = "h AS (SELECT d.doc_id, b.item_id AS quote_id, instr(d.text, b.text) AS first, b.text AS quote, d.text FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(b.text) >= 15)"
 
