@@ -97,6 +97,14 @@ def single(own: DataFrame) -> DataFrame:
     return own.join(again, ["id", "tkey"], "left_anti").unionByName(own.join(again, ["id", "tkey"], "left_semi").dropDuplicates(["id", "tkey"]))
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that the table doesn't have, whatever it holds."""
+    known, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def width(spark: SparkSession) -> int:
     """How many partitions a shuffle has in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -11,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.common import fresh, materialise
+
 #: Bytes that words keep: digits, letters (lower-cased) and everything beyond ASCII; the rest separates words.
 _KEPT = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 SCHEMA = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start: int, end: int>>, n_items long"
@@ -22,43 +27,76 @@ def normalise(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_KEPT).split()
 
 
-def windows(items: Iterable[tuple[str | None, str | None]], n: int) -> dict[str, set[str | None]]:
-    """Each window of ``n`` words (a shorter item: all its words), framed by blanks, and the items that hold it."""
-    found: dict[str, set[str | None]] = {}
+@dataclass
+class Passages:
+    """An automaton over blocks of the items' words, and around each block what has to stand beside it for a window.
+
+    A window of n words holds a whole block of ``block`` = (n + 1) // 2 words of its item, counted from the item's begin. So the
+    automaton needs each word of an item once, not n times, and a block that occurs is grown to both sides word by word.
+    """
+
+    n: int
+    blocks: ahocorasick.Automaton
+
+    @property
+    def block(self) -> int:
+        return (self.n + 1) // 2
+
+
+def automaton(items: Iterable[tuple[str | None, str | None]], n: int) -> Passages:
+    """Items of fewer than ``n`` words are one pattern each; of the others all whole blocks, with up to n - block words at both sides."""
+    out = Passages(n, ahocorasick.Automaton())
+    size, same = out.block, {}
+    patterns: dict[str, tuple[set, dict]] = {}  # items that are the pattern; items by the words at both sides
     for item, text in items:
-        words = normalise(text)
-        for i in range(max(1, len(words) - n + 1) if words else 0):
-            found.setdefault(f" {b' '.join(words[i : i + n]).decode('latin-1')} ", set()).add(item)
-    return found
-
-
-def automaton(items: Iterable[tuple[str | None, str | None]], n: int) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton()
-    for window, ids in windows(items, n).items():
-        out.add_word(window, (window.count(" ") - 1, len(window), tuple(ids)))
-    if len(out):
-        out.make_automaton()
+        words = [same.setdefault(w, w) for w in normalise(text)]
+        if 0 < len(words) < n:
+            patterns.setdefault(_framed(words), (set(), {}))[0].add(item)
+        for i in range(0, len(words) - size + 1, size) if len(words) >= n else ():
+            sides = tuple(words[max(0, i - n + size) : i]), tuple(words[i + size : i + n])
+            patterns.setdefault(_framed(words[i : i + size]), (set(), {}))[1].setdefault(sides, set()).add(item)
+    for pattern, (whole, sides) in patterns.items():
+        out.blocks.add_word(pattern, (pattern.count(" ") - 1, len(pattern), tuple(whole), tuple((x, y, tuple(ids)) for (x, y), ids in sides.items())))
+    if len(out.blocks):
+        out.blocks.make_automaton()
     return out
 
 
-def scan(text: str | None, found: ahocorasick.Automaton) -> tuple[int, int, list[str], list[tuple[int, int]], int]:
+def _framed(words: list[bytes]) -> str:
+    return f" {b' '.join(words).decode('latin-1')} "
+
+
+def scan(text: str | None, found: Passages) -> tuple[int, int, list[str], list[tuple[int, int]], int]:
     """Words, hit words, ids of items with occurring windows, the hit runs as code-point offsets of the original text, and the number of these items: all without an id count as one."""
     words = normalise(text)
-    if not words or not len(found):
+    if not words or not len(found.blocks):
         return len(words), 0, [], [], 0
-    line = f" {b' '.join(words).decode('latin-1')} "
-    hits = list(found.iter(line))
+    line = _framed(words)
+    hits = list(found.blocks.iter(line))
     if not hits:
         return len(words), 0, [], [], 0
     blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 0x20)
     edges = np.zeros(len(words) + 1, np.int64)
     items: set[str | None] = set()
-    for end, (size, length, ids) in hits:
+    for end, (size, length, whole, sides) in hits:
         first = int(np.searchsorted(blanks, end - length + 1))
-        edges[first] += 1
-        edges[first + size] -= 1
-        items.update(ids)
+        if whole:
+            edges[first] += 1
+            edges[first + size] -= 1
+            items.update(whole)
+        for before, after, ids in sides:
+            a = b = 0
+            while a < len(before) and a < first and before[-1 - a] == words[first - 1 - a]:
+                a += 1
+            while b < len(after) and first + size + b < len(words) and after[b] == words[first + size + b]:
+                b += 1
+            if a + size + b >= found.n:
+                edges[first - a] += 1
+                edges[first + size + b] -= 1
+                items.update(ids)
     hit = np.cumsum(edges[:-1]) > 0
+    if not hit.any():
+        return len(words), 0, [], [], 0
     return len(words), int(hit.sum()), sorted(i for i in items if i is not None), _original(text, hit), len(items)
 
 
@@ -72,27 +110,30 @@ def _original(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(code_point[starts[a]]), int(code_point[ends[b - 1]])) for a, b in zip(runs[::2], runs[1::2], strict=True)]
 
 
-def scanner(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text", window_words: int = 13, max_bytes: int = 64 << 20) -> list:
-    """Column functions text -> SCHEMA, one for each part of the benchmark of at most ``max_bytes`` of text; almost always one.
+#: Words of an item that are taken at a time; the next take begins with the words that a window needs of the one before.
+TAKE = 1 << 16
 
-    The items go to the executors in the function's closure, so each part's size is checked here first; a larger benchmark is scanned part by part.
-    """
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 64
-    total = benchmark.select(F.sum(size)).first()[0] or 0
-    parts = -(-total // max_bytes) or 1
-    chosen = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
-    made = []
-    for part in range(parts):
-        some = chosen if parts == 1 else chosen.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
-        made.append(_column([(r.i, r.t) for r in some.toLocalIterator()], window_words))
-    return made
+
+def parts(benchmark: DataFrame, *, item_id: str, text: str, window_words: int, max_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The items in lists of at most ``max_bytes`` of text and framing (and one take), one after the other: the driver holds one. A long item comes in takes that share words."""
+    held, size = [], 0
+    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
+        words = normalise(row.t)
+        for begin in range(0, max(1, len(words) - window_words + 1), TAKE):
+            take = b" ".join(words[begin : begin + TAKE + window_words - 1]).decode("utf-8", "surrogatepass")
+            if held and size + 2 * len(take) > max_bytes:
+                yield held
+                held, size = [], 0
+            held.append((row.i, take))
+            size += 2 * len(take) + 64
+    yield held
 
 
 #: The automaton that this worker built last, with its key: Spark reuses workers for task after task.
-_built: dict[str, ahocorasick.Automaton] = {}
+_built: dict[str, Passages] = {}
 
 
-def _kept(key: str, items: list[tuple[str | None, str | None]], n: int) -> ahocorasick.Automaton:
+def _kept(key: str, items: list[tuple[str | None, str | None]], n: int) -> Passages:
     if key not in _built:
         _built.clear()
         _built[key] = automaton(items, n)
@@ -111,15 +152,28 @@ def _column(items: list[tuple[str | None, str | None]], n: int):
     return marked
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", into: str = "hit", item_text: str = "text", item_id: str = "item_id", window_words: int = 13, max_bytes: int = 64 << 20) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", into: str = "hit", item_text: str = "text", item_id: str = "item_id", window_words: int = 13, max_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with one more column ``into`` (SCHEMA): words, hit words, item ids and spans of the benchmark passages in the text.
 
     A window is 13 consecutive words of an item; an item of fewer words, but not none, is one window. Null and empty texts have no words and no hits; an empty benchmark hits nothing; repeated items or rows change nothing. An item without an id hits like any other; it is counted in n_items, but item_ids leave it out. Columns of ``docs`` stay as they are; one named like ``into`` is replaced.
+
+    A benchmark of more than ``max_bytes`` (twice its text) is scanned part by part: a worker builds one automaton, of at most that many
+    nodes or so, and each part's hits are written before the next part is read.
     """
-    found = [f(F.col(text)) for f in scanner(benchmark, item_id=item_id, text=item_text, window_words=window_words, max_bytes=max_bytes)]
-    if len(found) == 1:
-        return docs.withColumn(into, found[0])
-    return docs.withColumn(into, _merged(F.array(*found), F.col(text)))
+    lists = parts(benchmark, item_id=item_id, text=item_text, window_words=window_words, max_bytes=max_bytes)
+    first, second = next(lists), next(lists, None)
+    if second is None:
+        return docs.withColumn(into, _column(first, window_words)(F.col(text)))
+    own = docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"), F.col(text).alias("t"))
+    found = []
+    for n, items in enumerate(chain((first, second), lists)):
+        hit = own.select("h", "h2", _column(items, window_words)("t").alias("own")).where("own.n_hit > 0").dropDuplicates(["h", "h2"])
+        found.append(materialise(hit, f"hits-{n}"))
+    every = reduce(DataFrame.unionByName, found).groupBy("h", "h2").agg(F.collect_list("own").alias("own"))  # a row for each part at most
+    key, key2, name = fresh(docs, "h"), fresh(docs, "h2"), fresh(docs, "own")
+    every = materialise(every, "hits").select(F.col("h").alias(key), F.col("h2").alias(key2), F.col("own").alias(name))
+    joined = docs.withColumns({key: F.xxhash64(text), key2: F.xxhash64(F.lit(1), text)}).join(every, [key, key2], "left")
+    return joined.withColumn(into, _merged(F.col(name), F.col(text))).drop(key, key2, name)
 
 
 def _merged(parts: Column, text: Column) -> Column:
@@ -129,6 +183,7 @@ def _merged(parts: Column, text: Column) -> Column:
     def merge(parts: pd.Series, texts: pd.Series) -> pd.DataFrame:
         rows = []
         for own, text in zip(parts, texts, strict=True):
+            own = [] if own is None else own
             spans: list[tuple[int, int]] = []
             for a, b in sorted((s["start"], s["end"]) for p in own for s in p["spans"]):
                 if spans and a <= spans[-1][1]:
@@ -137,7 +192,7 @@ def _merged(parts: Column, text: Column) -> Column:
                     spans.append((a, b))
             items = sorted({i for p in own for i in p["item_ids"]})
             unnamed = any(p["n_items"] > len(p["item_ids"]) for p in own)
-            rows.append((own[0]["n_words"], sum(len(normalise(text[a:b])) for a, b in spans), items, spans, len(items) + unnamed))
+            rows.append((len(normalise(text)), sum(len(normalise(text[a:b])) for a, b in spans), items, spans, len(items) + unnamed))
         return pd.DataFrame(rows, columns=FIELDS)
 
     return merge(parts, text)
@@ -161,26 +216,9 @@ def digest(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", tex
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """``docs`` without its contaminated rows; all columns stay."""
-    hit = mark(docs, benchmark, text=text, into="__hit", **options)
-    return hit.where(~contaminated(F.col("__hit.n_words"), F.col("__hit.n_hit"))).drop("__hit")
-
-
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], n: int = 13) -> list[tuple]:
-    """The contract said plainly, for tests."""
-    out = []
-    for doc, text in docs:
-        words = normalise(text)
-        hit, own = set(), set()
-        for item, t in items:
-            w = normalise(t)
-            for i in range(max(1, len(w) - n + 1) if w else 0):
-                seq = w[i : i + n]
-                for j in range(len(words) - len(seq) + 1):
-                    if words[j : j + len(seq)] == seq:
-                        hit.update(range(j, j + len(seq)))
-                        own.add(str(item))
-        out.append((doc, len(words), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)))
-    return out
+    name = fresh(docs, "hit")
+    hit = mark(docs, benchmark, text=text, into=name, **options)
+    return hit.where(~contaminated(F.col(f"{name}.n_words"), F.col(f"{name}.n_hit"))).drop(name)
 
 
 ORACLE_SQL = r"""

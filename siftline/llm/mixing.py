@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import NULL_ID, WORD, materialise
+from siftline.llm.common import NULL_ID, WORD, fresh, materialise
 
 STEPS = 40
 #: Where the search for a target entropy ends; exponents above 1 favour large sources.
@@ -110,16 +110,18 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **option
 
     Rows that repeat id and text are drawn one by one: together they come as often as the mix takes them.
     """
-    keys = [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("__id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("__key")]
-    taken = order(docs, doc_id=doc_id, text=text, **options).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.coalesce("key", F.lit(0)).alias("__key"), "epoch")
+    names = {stem: fresh(docs, stem) for stem in ("id", "key", "times", "copies", "row", "n")}
+    id_, key, times_, copies_, row, n = names.values()
+    keys = [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias(id_), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias(key)]
+    taken = order(docs, doc_id=doc_id, text=text, **options).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(id_), F.coalesce("key", F.lit(0)).alias(key), "epoch")
     # A repeated row is in epoch 0 as often as in docs.
-    times = materialise(taken.groupBy("__id", "__key").agg(F.count("*").alias("__times"), F.count_if(F.col("epoch") == 0).alias("__copies")), "times")
-    often = docs.select("*", *keys).join(times, ["__id", "__key"])
-    alone = often.where("__copies = 1").withColumn("__row", F.lit(1))
-    copies = often.where("__copies > 1").withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))))
-    own = F.floor(F.col("__times") / F.col("__copies")) + (F.col("__row") <= F.col("__times") % F.col("__copies")).cast("int")
-    every = alone.unionByName(copies).withColumn("__n", F.explode(F.sequence(F.lit(1), own.cast("int"))))
-    return every.drop("__id", "__key", "__times", "__copies", "__row", "__n")
+    times = materialise(taken.groupBy(id_, key).agg(F.count("*").alias(times_), F.count_if(F.col("epoch") == 0).alias(copies_)), "times")
+    often = docs.select("*", *keys).join(times, [id_, key])
+    alone = often.where(F.col(copies_) == 1).withColumn(row, F.lit(1))
+    copies = often.where(F.col(copies_) > 1).withColumn(row, F.row_number().over(Window.partitionBy(id_, key).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))))
+    own = F.floor(F.col(times_) / F.col(copies_)) + (F.col(row) <= F.col(times_) % F.col(copies_)).cast("int")
+    every = alone.unionByName(copies).withColumn(n, F.explode(F.sequence(F.lit(1), own.cast("int"))))
+    return every.drop(*names.values())
 
 
 ORACLE_SQL = rf"""

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import NULL_ID, doc_key, materialise, width
+from siftline.llm.common import NULL_ID, doc_key, fresh, materialise, width
 
 BITS = 64
 
@@ -240,10 +240,11 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     All columns stay. Rows of one id with unrelated texts are documents of their own. Of rows that repeat id and text one stays.
     Null and empty texts are near copies of each other. An empty table gives none.
     """
-    keys = dict(zip(("__id", "__tkey"), doc_key(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))), strict=True))
+    id_, tkey, row = (fresh(docs, stem) for stem in ("id", "tkey", "row"))
+    keys = dict(zip((id_, tkey), doc_key(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))), strict=True))
     own = with_fingerprint(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[c.alias(k) for k, c in keys.items()]), into="fp", words=words, seed=seed)
-    own = materialise(own.select("doc_id", "__id", "__tkey", "fp"), "fingerprints")
-    chosen = own.join(_named(own, distance, segments), "fp").groupBy("root").agg(F.min(F.struct("__id", "__tkey")).alias("k")).select("k.*")
-    out = docs.withColumns(keys).join(materialise(chosen, "kept"), ["__id", "__tkey"], "left_semi")
-    order = Window.partitionBy("__id", "__tkey").orderBy(F.to_json(F.struct(*[F.col(c) for c in docs.columns])))
-    return out.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop(*keys, "__row")
+    own = materialise(own.select("doc_id", id_, tkey, "fp"), "fingerprints")
+    chosen = own.join(_named(own, distance, segments), "fp").groupBy("root").agg(F.min(F.struct(id_, tkey)).alias("k")).select("k.*")
+    out = docs.withColumns(keys).join(materialise(chosen, "kept"), [id_, tkey], "left_semi")
+    order = Window.partitionBy(id_, tkey).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    return out.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(*keys, row)

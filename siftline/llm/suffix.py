@@ -150,9 +150,13 @@ def _pieces(own: DataFrame, short: DataFrame, passage: int, length: int) -> Data
 def gone(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, passage: int = 256, gram: int = 32, coarse: int = 93, fine: int = 24, hot: int = 1 << 18, shard_symbols: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
     """Windows that also start elsewhere, as runs (id, tkey, start (byte), windows): those of ``length`` bytes, and those of the shorter ``passage``.
 
-    A repeated string of ``length`` bytes lies in bytes that repeated passages cover, so these runs alone are searched for it.
+    A repeated string of ``length`` bytes lies in bytes that repeated passages cover, so these runs alone are searched for it; where
+    ``passage`` is not the shorter one, ``length`` stands for both. ``length`` and ``passage`` are over ``gram``.
     """
     own, rest = single(S.keyed(docs, doc_id, text)), {"gram": gram, "hot": hot, "shard_symbols": shard_symbols}
+    if passage >= length:
+        found = materialise(_gone(own, length=length, coarse=min(coarse, length - gram), fine=min(fine, length - gram), **rest), "passages")
+        return found, found
     short = materialise(_gone(own, length=passage, coarse=passage, fine=max(1, fine * passage // length), **rest), "passages")
     pieces = _pieces(own, short, passage, length)
     found = _gone(pieces.select("id", F.col("part").alias("tkey"), "text"), length=length, coarse=coarse, fine=fine, **rest)
@@ -169,13 +173,15 @@ def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lengt
 
     A byte is removed if a string of ``length`` bytes covers it that also starts at any other place, in this document or
     another. Strings are judged on the input and never cross documents. n_passages are the bytes that repeated strings of
-    ``passage`` bytes cover, which are shorter; it tells of repeats, and removes nothing. Null and empty texts have no bytes.
+    ``passage`` bytes cover, which are shorter (or of ``length``, if that is less); it tells of repeats, and removes nothing. Null and empty texts have no bytes.
     Repeated rows (same id and text) are one document and share its result; equal texts of different ids remove each other. A
     null id is an id. With ``digest_only`` kept is the SHA-256 of those bytes in hex.
     """
+    passage = min(passage, length)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     long, short = gone(own, length=length, passage=passage, **options)
-    joined = S.with_gone(own, long.withColumn("size", F.lit(length)).unionByName(short.withColumn("size", F.lit(passage))))
+    runs = long.withColumn("size", F.lit(length))
+    joined = S.with_gone(own, runs if passage == length else runs.unionByName(short.withColumn("size", F.lit(passage))))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

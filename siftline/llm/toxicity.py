@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.llm.common import fresh
+
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 SCHEMA = "score double, sentences array<struct<start: int, end: int, score: double>>"
@@ -158,4 +160,5 @@ def digest(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
 def keep_civil(docs: DataFrame, labels: DataFrame, *, text: str = "text", threshold: float = 0.5, model: Model | None = None, **options) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
     model = model or fit(docs, labels, text=text, **options)
-    return docs.withColumn("__score", scored(F.col(text), model, locate=False)["score"]).where(F.col("__score") < threshold).drop("__score")
+    name = fresh(docs, "score")
+    return docs.withColumn(name, scored(F.col(text), model, locate=False)["score"]).where(F.col(name) < threshold).drop(name)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.llm import ann, mixing, sharding, substring, suffix, toxicity, urlfilter
 
@@ -325,15 +326,16 @@ def test_tables_are_deleted(spark):
 def test_pipeline_stages_by_brute_force(spark):
     """Each stage on odd rows (null, empty, repeated, very long, clashing columns) against a plain version of what it decides."""
     import corpus_pipeline
-    from siftline.llm import decontam
-    from tests.llm.test_simhash_decontam import brute_classes, plain_fingerprint
+    from tests.llm.test_simhash_decontam import brute_classes, brute_force, plain_fingerprint
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontaminate", "mix", "shard"]
     sf = "/root/testdata/sf0.001"
     stages = dict(corpus_pipeline.STAGES)
     rows, _, docs = odd_documents(spark)
-    docs = docs.drop("__row")
-    own = [r[:6] for r in rows]
+    # The stages' own helper columns have these names where a table leaves them free.
+    clashes = ("__id", "__hit", "__Score", "__n", "__key", "__tkey", "__times", "a.b")
+    docs = docs.withColumns({c: F.lit(f"kept {c}") for c in clashes})
+    own = [tuple(r) for r in docs.collect()]
     order = lambda found: sorted(map(tuple, found), key=str)
 
     model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
@@ -368,12 +370,12 @@ def test_pipeline_stages_by_brute_force(spark):
 
     docs = spark.createDataFrame([tuple(r) for r in kept], docs.schema)
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-    bad = {(d, t) for (d, t), r in zip([(r[0], r[1]) for r in kept], decontam.brute_force([(r[0], r[1]) for r in kept], items), strict=True) if r[-1]}
+    bad = {(d, t) for (d, t), r in zip([(r[0], r[1]) for r in kept], brute_force([(r[0], r[1]) for r in kept], items), strict=True) if r[-1]}
     want = [tuple(r) for r in kept if (r[0], r[1]) not in bad]
     got = stages["decontaminate"](spark, docs, sf)
     assert got.columns == docs.columns and order(got.collect()) == order(want) and bad
 
-    docs = spark.createDataFrame([*want, want[0], want[0]], docs.schema)
+    docs = spark.createDataFrame([*want, want[0], want[0]], docs.schema)  # repeated rows
     got = stages["mix"](spark, docs, sf)
     taken = Counter(r.doc_id for r in mixing.digest(docs).collect())
     mixed = [tuple(r) for r in got.collect()]
@@ -411,3 +413,16 @@ def test_suffix_array_at_the_border_and_repeated_rows(spark, hot):
         shared = text(399 + i % 12)
         rows += [(10 + 2 * i, text(rng.randrange(60)) + shared + text(rng.randrange(60))), (11 + 2 * i, text(rng.randrange(60)) + shared + text(rng.randrange(60)))]
     assert sorted(map(tuple, suffix.digest(frame(spark, rows), hot=hot).collect()), key=str) == brute_bytes(rows)
+
+
+@pytest.mark.parametrize("length", [100, 200, 256, 300, 410])
+def test_suffix_array_at_other_lengths(spark, length):
+    """Repeats about as long as they have to be, on both sides of the shorter passage."""
+    rng = random.Random(length)
+    text = lambda n: "".join(chr(rng.randrange(97, 123)) for _ in range(n))
+    rows = corpus()
+    for i in range(40):
+        shared = text(length - 6 + i % 12)
+        rows += [(10 + 2 * i, text(rng.randrange(60)) + shared + text(rng.randrange(60))), (11 + 2 * i, text(rng.randrange(60)) + shared + text(rng.randrange(60)))]
+    rows += [(500, text(30) + (both := text(240)) + text(20)), (501, text(25) + both)]
+    assert sorted(map(tuple, suffix.digest(frame(spark, rows), length=length, shard_symbols=2000).collect()), key=str) == brute_bytes(rows, length, min(256, length))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -132,6 +133,24 @@ def test_keep_first_keeps_one_of_each_group(spark):
     assert simhash.keep_first(frame(spark, [])).collect() == []
 
 
+def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], n: int = 13) -> list[tuple]:
+    """The contract said plainly, for tests."""
+    out = []
+    for doc, text in docs:
+        words = decontam.normalise(text)
+        hit, own = set(), set()
+        for item, t in items:
+            w = decontam.normalise(t)
+            for i in range(max(1, len(w) - n + 1) if w else 0):
+                seq = w[i : i + n]
+                for j in range(len(words) - len(seq) + 1):
+                    if words[j : j + len(seq)] == seq:
+                        hit.update(range(j, j + len(seq)))
+                        own.add(str(item))
+        out.append((doc, len(words), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)))
+    return out
+
+
 ITEMS = [(1, " ".join(f"q{i}" for i in range(30))), (2, "Short item, here!"), (3, None), (4, "..."), (5, " ".join(f"q{i}" for i in range(8, 25))), (6, "größe ß x")]
 
 
@@ -150,9 +169,9 @@ def contaminated_docs():
 
 def test_decontamination_matches_brute_force(spark):
     rows = contaminated_docs()
-    want = sorted(decontam.brute_force(rows, ITEMS))
+    want = sorted(brute_force(rows, ITEMS))
     assert sorted(map(tuple, decontam.digest(frame(spark, rows), bench(spark)).collect())) == want
-    assert sorted(map(tuple, decontam.digest(frame(spark, rows), bench(spark), max_bytes=200).collect())) == want
+    assert sorted(map(tuple, decontam.digest(frame(spark, rows), bench(spark), max_bytes=400).collect())) == want
     assert any(r[-1] for r in want) and not all(r[-1] for r in want)
 
 
@@ -166,7 +185,7 @@ def test_decontamination_offsets_and_empty_tables(spark):
     assert decontam.digest(frame(spark, []), bench(spark)).collect() == []
     kept = decontam.keep_clean(frame(spark, rows), bench(spark))
     assert kept.columns == ["doc_id", "text", "source", "fp", "hit"]
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in decontam.brute_force(rows, ITEMS) if not r[-1])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in brute_force(rows, ITEMS) if not r[-1])
 
 
 def test_items_without_an_id_hit_too(spark):
@@ -181,8 +200,48 @@ def test_items_without_an_id_hit_too(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     want = sorted(con.sql(decontam.ORACLE_SQL).fetchall())
-    for most in (64 << 20, 200):
+    for most in (64 << 20, 400):
         assert sorted(map(tuple, decontam.digest(frame(spark, rows), bench(spark, items), max_bytes=most).collect())) == want
     hit = {r.doc_id: r.hit for r in decontam.mark(frame(spark, rows), bench(spark, items)).collect()}
     assert hit[21].n_hit == 13 and hit[21].item_ids == [] and hit[20].item_ids == ["3"]
     assert not {21, 10} & {r.doc_id for r in decontam.keep_clean(frame(spark, rows), bench(spark, items)).collect()}
+
+
+def test_decontamination_in_takes_and_other_windows(spark, monkeypatch):
+    """Long items come in takes that share words; windows of other sizes have blocks of other sizes; blocks that very many items share are kept apart by what stands beside them."""
+    import random
+
+    rng = random.Random(3)
+    words = lambda n: " ".join(rng.choice(["a", "b", "cc", "Dd", "é"]) for _ in range(n))
+    items = [(i, words(rng.randrange(1, 40))) for i in range(40)] + [(99, words(300))]
+    rows = [(i, words(rng.randrange(0, 30)) + " " + (items[i][1] if i % 3 == 0 else items[-1][1][i * 3 : i * 3 + 90]) + "; " + words(20)) for i in range(40)]
+    monkeypatch.setattr(decontam, "TAKE", 5)
+    for n in (1, 2, 5, 6, 13):
+        want = sorted(brute_force(rows, items, n))
+        for most in (8 << 20, 1500):
+            assert sorted(map(tuple, decontam.digest(frame(spark, rows), bench(spark, items), window_words=n, max_bytes=most).collect())) == want
+
+
+def test_automaton_stays_in_bounds():
+    """A part at its bound: no more nodes than bytes, and what a process grows by (in one of its own)."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, sys
+from siftline.llm import decontam
+rng = random.Random(1)
+rows = [(str(i), " ".join("w%d" % rng.randrange(200_000) for _ in range(400))) for i in range(2500)]  # 7 MB
+class Rows:
+    def select(self, *_): return self
+    def toLocalIterator(self): return (type("R", (), {"i": i, "t": t}) for i, t in rows)
+decontam.F = type("F", (), {"col": staticmethod(lambda n: type("C", (), {"cast": lambda s, k: s, "alias": lambda s, k: s})())})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+lists = list(decontam.parts(Rows(), item_id="i", text="t", window_words=13, max_bytes=8 << 20))
+for part in lists:
+    built = decontam.automaton(part, 13)
+    assert built.blocks.get_stats()["nodes_count"] < 8 << 20
+print(len(lists), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    parts, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert parts == 2 and grown < 1000
