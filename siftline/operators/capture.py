@@ -34,6 +34,37 @@ def may_fetch(path: Column, rules: tuple[tuple[str, bool], ...]) -> Column:
     return reach(True) >= reach(False)
 
 
+_ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+
+
+def origin(url: Column) -> Column:
+    """Scheme and authority of an address in lower case: what a robots file is valid for. Empty where there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(F.trim(url), F.lit("")), _ORIGIN, 1))
+
+
+def robots_table(files: DataFrame, *, origin: str = "origin", text: str = "text", agent: str = "siftline") -> DataFrame:
+    """Robots files as rules (origin, prefix, allowed), each prefix once; where a file both allows and denies one, it allows."""
+    read = files.select(F.col(origin).alias("origin"), P.robots(F.col(text), agent).alias("r"))
+    told = lambda kind, allowed: F.transform(f"r.{kind}", lambda p: F.struct(p.alias("prefix"), F.lit(allowed).alias("allowed")))
+    each = read.select("origin", F.explode(F.concat(told("allow", True), told("disallow", False))).alias("rule"))
+    return each.select("origin", "rule.*").groupBy("origin", "prefix").agg(F.bool_or("allowed").alias("allowed"))
+
+
+def permitted(pages: DataFrame, rules: DataFrame, *, url: str = "url", into: str = "allowed") -> DataFrame:
+    """``pages`` with whether their origin's rules let them be fetched: the rule of the longest prefix of the path decides; without one all is allowed.
+
+    A prefix join by equality: of each distinct address' path the prefixes of those lengths that its origin's rules have are looked
+    up. No address meets a rule that is not its own, and a frequent origin is no group of a task. Null addresses are allowed.
+    """
+    path = F.coalesce(F.nullif(F.regexp_extract(F.trim(url), _ORIGIN + "([^?#]*)", 2), F.lit("")), F.lit("/"))
+    urls = pages.select(F.col(url).alias("address"), origin(F.col(url)).alias("origin"), path.alias("path")).where("address IS NOT NULL AND origin <> ''").distinct()
+    lengths = rules.groupBy("origin").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    probes = urls.join(lengths, "origin").select("address", "origin", "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    hits = probes.select("address", "origin", "n", F.substring("path", F.lit(1), F.col("n")).alias("prefix")).join(rules, ["origin", "prefix"])
+    denied = hits.groupBy("address").agg(F.max(F.struct("n", "allowed")).alias("rule")).where(~F.col("rule.allowed")).select(F.col("address").alias("__denied"))
+    return pages.join(denied, pages[url] == denied["__denied"], "left").withColumn(into, F.col("__denied").isNull()).drop("__denied")
+
+
 def discovery_quality(hits: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """hits (backend, query, key, captured): per backend queries, hits, distinct results, captured and skipped ones, and whether the share is enough."""
     own = hits.groupBy("backend").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pandas as pd
@@ -79,6 +80,27 @@ def numbered(rows: DataFrame, *, by: str, order: str, into: str = "place", span:
     return placed.withColumn(into, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
 
 
+def seeded_sample(rows: DataFrame, *, order: str, size: int, seed: int, span: int = 100_000) -> DataFrame:
+    """``size`` rows (all, if there are fewer) with ``turn``, their place in the sample: those that Python's generator of this seed draws from the rows in the order of a number.
+
+    Places are drawn on the driver, and the rows at these places selected by counting rows in stretches: nothing is sorted as a whole.
+    Equal numbers go by the row's other columns; rows without a number are never drawn.
+    """
+    own = rows.where(F.col(order).isNotNull())
+    part = stretches(own, order, span)
+    counts = {r["p"]: r["n"] for r in own.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # at most 1,024 rows
+    drawn = random.Random(seed).sample(range(sum(counts.values())), min(size, sum(counts.values())))
+    base, wanted = 0, []
+    for p in sorted(counts):
+        wanted += [(p, place - base + 1, turn) for turn, place in enumerate(drawn) if base <= place < base + counts[p]]
+        base += counts[p]
+    chosen = rows.sparkSession.createDataFrame(wanted, "__part int, __at int, turn int")
+    others = [F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)))]
+    placed = own.withColumn("__part", part).join(F.broadcast(chosen.select("__part").distinct()), "__part", "left_semi")  # only stretches from which something is drawn
+    placed = placed.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(order, *others)))
+    return placed.join(F.broadcast(chosen), ["__part", "__at"]).drop("__part", "__at")
+
+
 def bundle(records: DataFrame, *, least_sources: int = 1) -> DataFrame:
     """records (entity, ord, category, uri, text) -> dossiers: text of all sections in order, first uri, counts; at least ``least_sources`` sections."""
     section = F.concat(F.lit("=== SECTION: "), "category", F.lit(" (URI: "), "uri", F.lit(") ===\n"), "text")

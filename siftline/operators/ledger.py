@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline import vocab
+from siftline.operators.items import same, stretches
 
 
 def _last(value: str | Column, when: Column) -> Column:
@@ -52,6 +53,27 @@ def trajectory(scores: DataFrame) -> DataFrame:
     return scores.withColumn("delta", F.round(F.col("score") - before, 6))
 
 
+def merged(logs: dict[str, DataFrame], *, values: tuple[str, ...], span: int = 100_000) -> DataFrame:
+    """Unlike logs (entity, at, seq and some of ``values`` each) as one, in the order of at, log and seq; each row shows, of every value, the last that is known.
+
+    ``at`` is a number. Rows lie in stretches of it; inside a stretch values are carried on by a window of one entity, and between
+    stretches by its last known values, of which there is a row for each stretch: no task holds all rows of an entity that fills the
+    logs. A value that was never known is null; a null entity is one of its own.
+    """
+    every = None
+    for name, log in logs.items():
+        own = log.select("entity", F.col("at"), F.lit(name).alias("log"), "seq", *(F.col(v) if v in log.columns else F.lit(None).alias(v) for v in values))
+        every = own if every is None else every.unionByName(own)
+    every = every.withColumn("__part", stretches(every, "at", span))
+    inside = Window.partitionBy("entity", "__part").orderBy("at", "log", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    filled = every.select("entity", "at", "log", "seq", "__part", *(F.last(v, ignorenulls=True).over(inside).alias(v) for v in values))
+    place = F.struct("at", "log", "seq")
+    known = every.groupBy("entity", "__part").agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), place)).alias(v) for v in values))
+    earlier = Window.partitionBy("entity").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = known.select("entity", "__part", *(F.last(v, ignorenulls=True).over(earlier).alias(f"__{v}") for v in values))
+    return same(filled, carried, ["entity", "__part"]).select("entity", "at", "log", "seq", *(F.coalesce(v, f"__{v}").alias(v) for v in values))
+
+
 def movers(scores: DataFrame, *, least: float = 0.0) -> DataFrame:
     """Entities whose last two scores differ by more than ``least``."""
     newest = Window.partitionBy("entity").orderBy(F.desc("seen_at"), F.desc("event_id"))

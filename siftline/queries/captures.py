@@ -40,6 +40,23 @@ def robots_rules(t: Tables) -> DataFrame:
     return t.pages.select("page_id", capture.may_fetch(U.path(F.col("url")), _RULES).alias("allowed"))
 
 
+_FILES = r"""f AS (SELECT lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) AS origin, max(coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/')) AS most FROM pages GROUP BY 1)"""
+
+
+@query(rf"""WITH {_FILES},
+r AS (SELECT origin, regexp_extract(most, '^(/[^/]*)', 1) AS prefix, false AS allowed FROM f WHERE origin <> '' UNION ALL SELECT origin, most, true FROM f WHERE origin <> '' UNION ALL SELECT origin, '/en/1', false FROM f WHERE origin <> ''),
+p AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) AS origin, coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages)
+SELECT p.page_id, p.url, coalesce(max(CASE WHEN r.allowed THEN length(r.prefix) END), -1) >= coalesce(max(CASE WHEN NOT r.allowed THEN length(r.prefix) END), -1) AS allowed
+FROM p LEFT JOIN r ON r.origin = p.origin AND starts_with(p.path, r.prefix) GROUP BY 1, 2""")
+def robots_pages(t: Tables) -> DataFrame:
+    """All pages against the robots files of their origins, which deny the first folder of an origin's last path and one more, and allow that path."""
+    path = F.coalesce(F.nullif(U.path(F.col("url")), F.lit("")), F.lit("/"))
+    last = t.pages.groupBy(capture.origin(F.col("url")).alias("origin")).agg(F.max(path).alias("most"))
+    lines = (F.lit("User-agent: other\nDisallow: /\n\nUSER-AGENT: *\nDisallow: "), F.regexp_extract("most", "^(/[^/]*)", 1), F.lit(" # folder\nAllow: "), F.col("most"), F.lit("\nDisallow: /en/1\nDisallow:\nUser-agent: late\nDisallow: /fr"))
+    rules = capture.robots_table(last.where("origin <> ''").select("origin", F.concat(*lines).alias("text")))
+    return capture.permitted(t.pages.select("page_id", "url"), rules)
+
+
 @query("""WITH h AS (SELECT role AS backend, conv_id AS query, md5(text) AS key, len(text) > 100 AS captured FROM conversations),
 q AS (SELECT backend, count(DISTINCT query)::BIGINT AS queries, count(*)::BIGINT AS hits, count(DISTINCT key)::BIGINT AS "unique", count(*) FILTER (captured)::BIGINT AS captured, count(*) FILTER (NOT captured)::BIGINT AS skipped FROM h GROUP BY 1)
 SELECT *, round(captured / (captured + skipped)::DOUBLE, 3) AS share, round(captured / (captured + skipped)::DOUBLE, 3) >= 0.5 AS enough FROM q""")

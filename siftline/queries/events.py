@@ -237,6 +237,19 @@ def score_trajectory(t: Tables) -> DataFrame:
     return ledger.trajectory(ledger_events(t).where("score > 0").select("entity", "seen_at", "event_id", "score"))
 
 
+_FILLED = ", ".join(f"last_value({v} IGNORE NULLS) OVER (PARTITION BY entity ORDER BY \"at\", log, seq ROWS UNBOUNDED PRECEDING) AS {v}" for v in ("score", "rung", "because"))
+
+
+@query(f"""WITH {_LEDGER}, u AS (SELECT entity, epoch_us(seen_at) AS "at", 'scores' AS log, event_id AS seq, score, rung, NULL::VARCHAR AS because FROM l WHERE score > 0
+  UNION ALL SELECT entity, epoch_us(seen_at), 'verdicts', event_id, NULL, NULL, because FROM l WHERE outcome = 'eliminated')
+SELECT entity, "at", log, seq, {_FILLED} FROM u""")
+def merged_trajectory(t: Tables) -> DataFrame:
+    """Scores and eliminations as one log, in which each row shows the entity's last score, rung and reason."""
+    own = ledger_events(t).withColumns({"at": F.unix_micros(F.col("seen_at").cast("timestamp")), "seq": F.col("event_id")})
+    logs = {"scores": own.where("score > 0").select("entity", "at", "seq", "score", "rung"), "verdicts": own.where("outcome = 'eliminated'").select("entity", "at", "seq", "because")}
+    return ledger.merged(logs, values=("score", "rung", "because"), span=2_000)
+
+
 @query(f"""WITH {_LEDGER}, r AS (SELECT entity, score, row_number() OVER (PARTITION BY entity ORDER BY seen_at DESC, event_id DESC) AS place FROM l WHERE score > 0),
 b AS (SELECT entity, max(score) FILTER (place = 1) AS now, max(score) FILTER (place = 2) AS before FROM r WHERE place <= 2 GROUP BY 1)
 SELECT entity, now, before, round(now - before, 6) AS delta FROM b WHERE before IS NOT NULL AND abs(round(now - before, 6)) > 5""")

@@ -278,6 +278,12 @@ def truth_sample(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":7")).cast("binary")).alias("drawn")).orderBy("drawn", "doc_id").limit(25)
 
 
+@query()
+def truth_sample_seeded(t: Tables) -> DataFrame:
+    """Twenty-five documents as a seeded generator draws them from all, in its order."""
+    return I.seeded_sample(t.documents.select("doc_id", "source"), order="doc_id", size=25, seed=7)
+
+
 @query("SELECT n_name, count(*)::BIGINT AS suppliers, round(sum(s_acctbal), 2) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def pointer_join(t: Tables) -> DataFrame:
     own = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
