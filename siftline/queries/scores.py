@@ -213,3 +213,22 @@ def calibration_fit(t: Tables) -> DataFrame:
     wide = strengths(t).groupBy("record").agg(*[F.coalesce(F.max(F.when(F.col("item") == i, F.col("strength"))), F.lit(0.0)).alias(i) for i in ITEMS])
     own = wide.join(t.orders.select(F.col("o_orderkey").alias("record"), F.col("o_orderpriority").alias("task"), (F.col("o_totalprice") / 600).alias("expected")), "record")
     return calibrate.fit(own, by="task", items=list(ITEMS), expected="expected")
+
+
+def observations(t: Tables) -> DataFrame:
+    """Expected scores of the records; each fifth by its place is held out."""
+    own = t.orders.select(F.col("o_orderkey").alias("record"), (F.col("o_totalprice") / 600).alias("expected"), F.lit(0).alias("all"))
+    own = own.join(quotes(t).select("record").distinct(), "record", "left_semi")
+    return numbered(own, by="all", order="record", span=1_000).select("record", "expected", (F.col("place") % 5 == 0).alias("held"))
+
+
+START = calibrate.Calibration({k: float(v) for k, v in ITEMS.items()}, dict(WEIGHTS), 0.3, HALF_LIVES)
+
+
+@query()
+def calibration_tables(t: Tables) -> DataFrame:
+    """Points, source weights and half-lives fitted together to expected scores, with the errors of the fitted tables and of those held out."""
+    found, errors = calibrate.fit_tables(quotes(t), observations(t), START, sweeps=4)
+    values = [("points", k, v) for k, v in found.points.items()] + [("weights", k, v) for k, v in found.weights.items()] + [("weights", "", found.default)] + [("halves", k, v) for k, v in found.half_lives.items()]
+    rows = [(kind, name, round(value, 6), round(errors["train"][0], 4), round(errors["held"][0], 4)) for kind, name, value in values]
+    return t.spark.createDataFrame(rows, "kind string, name string, value double, mse double, held_mse double")

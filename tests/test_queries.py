@@ -90,7 +90,7 @@ def test_calibration_fits(spark):
     for r in found:
         totals[r[0]] = totals.get(r[0], 0) + r.points
     assert set(totals.values()) == {100} and all(r.mse >= 0 for r in found)
-    assert set(QUERIES) - set(ORACLES) == {"slice_partition", "readable_text", "density_gate", "ground_fuzzy", "ground_ladder", "calibration_fit", "truth_sample_seeded"}
+    assert set(QUERIES) - set(ORACLES) == {"slice_partition", "readable_text", "density_gate", "ground_fuzzy", "ground_ladder", "calibration_fit", "calibration_tables", "truth_sample_seeded"}
 
 
 def test_entry_points_hold_all_queries(spark):
