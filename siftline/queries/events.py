@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.operators import ledger, routes
+from siftline.operators import ledger, quota, routes
 from siftline.queries.base import Tables, query
 
 NOW = "2024-01-31 00:00:00"
@@ -347,16 +347,52 @@ def id_sets(t: Tables) -> DataFrame:
 
 
 
+_LANE = "CAST(regexp_extract(entity, '([0-9]+)$', 1) AS INT) % 5"
+
+
+@query(f"""WITH {_LEDGER}, e AS (SELECT {_LANE} AS lane, entity, arg_min(rung, event_id) FILTER (outcome = 'eliminated') AS fell, count(*) FILTER (outcome = 'eliminated') > 0 AS gone, arg_max(score, event_id) FILTER (score > 0) AS score FROM l GROUP BY 1, 2),
+n AS (SELECT lane, count(*)::BIGINT AS surfaced, count(*) FILTER (NOT gone)::BIGINT AS stood, count(score)::BIGINT AS scored, count(*) FILTER (score < 199)::BIGINT AS below, max(score) FILTER (score < 199) AS best_below FROM e GROUP BY 1),
+r AS (SELECT lane, fell, count(*) AS n FROM e WHERE gone GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY lane ORDER BY count(*) DESC, fell) <= 3),
+w AS (SELECT lane, string_agg(fell || ': ' || n, ', ' ORDER BY n DESC, fell) AS eliminated_at FROM r GROUP BY 1),
+f AS (SELECT *, stood > 0 AND surfaced >= 4 * stood AS narrow, coalesce(best_below >= 0.85 * 199, false) AS close FROM n LEFT JOIN w USING (lane))
+SELECT lane, surfaced, stood, surfaced - stood AS eliminated, scored, below, best_below, coalesce(eliminated_at, '') AS eliminated_at,
+  CASE WHEN narrow AND close THEN 'funnel, bar' WHEN narrow THEN 'funnel' WHEN close THEN 'bar' ELSE 'search' END AS findings, CASE WHEN narrow THEN 'funnel' WHEN close THEN 'bar' ELSE 'search' END AS stage FROM f""")
+def quota_shortfall(t: Tables) -> DataFrame:
+    """Lanes of the ledger: what surfaced, stood and was eliminated, and what holds each back."""
+    found = quota.shortfall(ledger_events(t).withColumn("lane", F.expr(_LANE)), least_score=199)
+    return found.withColumns({"eliminated_at": F.array_join("eliminated_at", ", "), "findings": F.array_join("findings", ", ")}).drop("lever")
+
+
+def _stream_path(spark) -> str:
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id, event_type, user_id FROM events")
+def stream_insert_ignore(t: Tables) -> DataFrame:
+    """Each event once, from two runs of a stream: the second finds files that hold half of the first's events again, with other contents, which are ignored."""
+    from siftline.streaming.once import first_of_each, write_once
+
+    path = _stream_path(t.spark)
+    own = t.events.select("event_id", F.col("ts").cast("timestamp").alias("at"), "event_type", "user_id")
+    middle = F.col("event_id") % 10
+    for first, last, again in ((0, 5, -1), (3, 9, 5)):
+        late = middle.between(first, again)
+        own.where(middle.between(first, last)).withColumn("event_type", F.when(late, "again").otherwise(F.col("event_type"))).write.mode("append").parquet(f"{path}/in")
+        stream = t.spark.readStream.schema(own.schema).parquet(f"{path}/in")
+        write_once(first_of_each(stream, keys=["event_id"], at="at", within="3650 days"), f"{path}/out", f"{path}/state")
+    return t.spark.read.parquet(f"{path}/out").select("event_id", "event_type", "user_id")
+
+
 @query("""SELECT entity, outcome, score, sightings FROM (""" + LEDGER_STATE_SQL + """)""")
 def stream_ledger_state(t: Tables) -> DataFrame:
     """The ledger folded by a stream over the files of events; the last state of each entity."""
-    import uuid
-
     from siftline.streaming.ledger import stream_state
 
     spark = t.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = _stream_path(spark)
     events = spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*")
     own = events.select("event_id", *[F.expr(_LEDGER_SPARK[k]).alias(k) for k in ("entity", "outcome", "score")])
     out = stream_state(own)
