@@ -50,14 +50,16 @@ _NAMED = "(CASE WHEN contains(replace({0}, '-', '_'), '.') THEN replace({0}, '-'
 _LAST = "list_filter(parts, lambda p: p NOT IN ({0}))"
 
 
-@query(f"""
-WITH f AS (SELECT page_id, lower({_CASE}) AS src FROM pages), p AS (SELECT *, {_HOST.format("src")} AS h, {_PARTS} AS parts FROM f)
-SELECT page_id, CASE
+#: The entity of an address whose host is h and whose path has these parts.
+_ENTITY = f"""CASE
   WHEN {sql_any("h", vocab.ATS_SLUG_HOSTS)} AND len(parts) > 0 THEN {_NAMED.format("parts[1]")}
   WHEN {sql_any("h", vocab.REGISTRY_HOSTS)} AND list_contains(parts, 'partners') THEN {_NAMED.format("(" + _LAST.format("'partners', 'en-us', 'marketplace'") + ")[-1]")}
   WHEN {sql_any("h", vocab.PLATFORM_HOSTS)} OR {sql_any("h", vocab.REGISTRY_HOSTS)} THEN h
   WHEN {sql_any("h", ("clutch.co", "g2.com"))} AND len({_LAST.format("'profile', 'it-services', 'products'")}) > 0 THEN {_NAMED.format("(" + _LAST.format("'profile', 'it-services', 'products'") + ")[-1]")}
-  WHEN starts_with(h, 'careers.') AND len(h) - len(replace(h, '.', '')) >= 2 THEN substr(h, 9) ELSE h END AS entity FROM p""")
+  WHEN starts_with(h, 'careers.') AND len(h) - len(replace(h, '.', '')) >= 2 THEN substr(h, 9) ELSE h END"""
+
+
+@query(f"""WITH f AS (SELECT page_id, lower({_CASE}) AS src FROM pages), p AS (SELECT *, {_HOST.format("src")} AS h, {_PARTS} AS parts FROM f) SELECT page_id, {_ENTITY} AS entity FROM p""")
 def entity_key(t: Tables) -> DataFrame:
     return _found(t).select("page_id", U.entity(F.col("src")).alias("entity"))
 

@@ -12,7 +12,7 @@ from siftline.functions import text as T
 from siftline.functions import urls as U
 from siftline.operators import capture, runs
 from siftline.queries.base import Tables, query, sql_any
-from siftline.queries.pages import _HOST, _SLUG
+from siftline.queries.pages import _ENTITY, _HOST, _PARTS, _PATH
 
 _ROBOTS = "concat('User-agent: other\nDisallow: /hidden\n\n# all\nUser-Agent: *\nUser-agent: bot\nDisallow: /p', CAST(page_id % 7 AS VARCHAR(9)), ' # no\nAllow: /p', CAST(page_id % 7 AS VARCHAR(9)), '/open\nDisallow:\n', CASE WHEN page_id % 2 = 0 THEN 'User-agent: late\nDisallow: /late\n' ELSE 'Disallow: /more\n' END)"
 
@@ -124,66 +124,89 @@ def image_alts(t: Tables) -> DataFrame:
 
 
 # --- attribution --------------------------------------------------------------------------------------
-_WHERE = {0: "'https://www.reddit.com/r/s-' || {s} || '/x'", 1: "'https://www.' || {s} || '.com/case-studies/acme.io'", 2: "'https://x' || {s} || '.net/blog/post'", 3: "'https://clutch.co/profile/' || {s}", 4: "'https://oup.com/' || {s}", 5: "'https://math.stackexchange.com/questions/' || page_id"}
-_URL = "CASE page_id % 6 " + " ".join(f"WHEN {k} THEN {v.format(s=_SLUG)}" for k, v in _WHERE.items()) + " END"
-_TEXT = "CASE WHEN page_id % 4 < 2 THEN concat('see https://www.first-firm.com/a and https://other.io, https://github.com/x') ELSE 'no links' END"
-_OWN = "CASE WHEN page_id % 9 = 0 THEN ' named.com ' ELSE '' END"
-_MADE = f"m AS (SELECT page_id, {_SLUG} AS slug, {_URL} AS src, {_TEXT} AS text, {_OWN} AS own FROM pages)"
+#: Both engines read these. Records are made of the first two words of pages' titles, which also decide of what kind they are.
+_W1 = "coalesce(nullif(lower(regexp_extract(html, '<title> *([A-Za-z]+)', 1)), ''), 'firm')"
+_W2 = "coalesce(nullif(lower(regexp_extract(html, '<title> *[^ <]+ +([A-Za-z]+)', 1)), ''), 'other')"
+_SRC = """CASE length(w1) % 8 WHEN 0 THEN concat('https://www.reddit.com/r/', w1, '-s/x') WHEN 1 THEN concat('https://www.', w1, '.com/case-studies/', w2, '.io') WHEN 2 THEN concat('https://x', w1, '.net/blog/', w2) WHEN 3 THEN concat('https://clutch.co/profile/', w1, '-', w2)
+  WHEN 4 THEN concat('https://oup.com/', w1) WHEN 5 THEN concat('https://math.stackexchange.com/questions/', w2) WHEN 6 THEN concat('https://careers.', w1, '.com/jobs') ELSE url END"""
+_SAYS = "CASE WHEN length(w2) % 3 = 0 THEN concat(w2, ' links to nobody') ELSE concat(w1, ': see https://www.', w1, '-', w2, '.com/a, https://github.com/', w2, ' and https://', w2, '.io.') END"
+_OWN = "CASE WHEN length(w2) % 7 = 0 THEN concat(' ', w2, '.net ') ELSE '' END"
+_NAME = "CASE length(w2) % 4 WHEN 0 THEN concat('https://www.', w1, w2, '.com/about') WHEN 1 THEN concat(w1, '.io') WHEN 2 THEN concat(w1, '.', w2, '. & co.') ELSE '' END"
+_SOURCE_HOSTS = (*vocab.REGISTRY_HOSTS, *vocab.REVIEW_HOSTS, *vocab.COMMUNITY_HOSTS, *vocab.ATS_HOSTS, *vocab.PLATFORM_HOSTS, *vocab.JOB_BOARD_HOSTS)
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_LINKED = (
+    r"list_filter(list_transform(regexp_extract_all(lower(text), 'https?://([a-z0-9][a-z0-9.-]{2,80})', 1), lambda x: regexp_replace(regexp_replace(x, '^www\.', ''), '[.-]+$', '')), lambda x: "
+    + "(" + " OR ".join(f"ends_with(x, '{e}')" for e in vocab.ENTITY_SUFFIXES) + f") AND NOT {sql_any('x', _SOURCE_HOSTS)})"
+)
+_PLAIN = r"regexp_replace(regexp_replace(lower(trim(name)), '[^a-z0-9_.-]+', '_', 'g'), '^[_.]+|[_.]+$', '', 'g')"
+_MADE = f"""w AS (SELECT page_id, url, {_W1} AS w1, {_W2} AS w2 FROM pages), m AS (SELECT page_id, {_SRC} AS src, {_SAYS} AS text, {_OWN} AS own, {_NAME} AS name, w1, w2 FROM w),
+r AS (SELECT *, {_HOST.format("lower(src)")} AS h, {_PARTS.replace("src", "lower(src)")} AS parts, {_LINKED} AS every, CASE WHEN contains(name, '/') THEN {_HOST.format("name")} ELSE {_PLAIN} END AS key FROM m)"""
+_TERMS = f"CASE WHEN trim(name) = '' THEN [] WHEN length(split_part(key, '.', 1)) >= {vocab.ATTRIBUTION_CHARS} AND split_part(key, '.', 1) <> key THEN [key, split_part(key, '.', 1)] ELSE [key] END"
 
 
 def _records(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.expr(_SLUG).alias("slug"), F.expr(_URL).alias("src"), F.expr(_TEXT).alias("text"), F.expr(_OWN).alias("own"))
+    words = t.pages.select("page_id", "url", F.expr(_W1).alias("w1"), F.expr(_W2).alias("w2"))
+    return words.select("page_id", F.expr(_SRC).alias("src"), F.expr(_SAYS).alias("text"), F.expr(_OWN).alias("own"), F.expr(_NAME).alias("name"), "w1", "w2")
 
 
-_LINKED = "page_id % 4 < 2"
-_ENTITY = f"""CASE WHEN own <> '' THEN 'named.com' WHEN page_id % 6 = 0 THEN CASE WHEN {_LINKED} THEN 'first-firm.com' ELSE 'reddit.com' END WHEN page_id % 6 = 1 THEN slug || '.com' WHEN page_id % 6 = 2 THEN 'x' || slug || '.net' WHEN page_id % 6 = 3 THEN replace(slug, '-', '_') || '.com'
-  WHEN page_id % 6 = 4 THEN 'oup.com' ELSE CASE WHEN {_LINKED} THEN 'first-firm.com' ELSE 'math.stackexchange.com' END END"""
-
-
-@query(f"WITH {_MADE} SELECT page_id, {_ENTITY} AS entity FROM m")
+@query(f"""WITH {_MADE}, k AS (SELECT *, {_ENTITY} AS found FROM r)
+SELECT page_id, CASE WHEN trim(own) <> '' THEN trim(own) WHEN NOT {sql_any("found", _SOURCE_HOSTS)} THEN found WHEN len(every) > 0 THEN every[1] WHEN {sql_any("found", (*vocab.PLATFORM_HOSTS, *vocab.JOB_BOARD_HOSTS, *vocab.REGISTRY_HOSTS))} THEN '' ELSE found END AS entity FROM k""")
 def entity_attribution(t: Tables) -> DataFrame:
     """The entity that each record is filed under."""
     return _records(t).select("page_id", U.attributed_entity(F.col("src"), F.col("text"), F.col("own")).alias("entity"))
 
 
-@query(f"""WITH {_MADE} SELECT page_id, CASE page_id % 6 WHEN 1 THEN slug || '.com' || CASE WHEN {_LINKED} THEN ' first-firm.com other.io' ELSE '' END || ' acme.io' WHEN 2 THEN 'x' || slug || '.net' WHEN 4 THEN 'oup.com' ELSE CASE WHEN {_LINKED} THEN 'first-firm.com other.io' ELSE '' END END AS entities FROM m""")
+@query(f"""WITH {_MADE}, l AS (SELECT *, {_ONCE.format("every")} AS linked, lower(regexp_extract(src, '([^/?#]*)/*([?#].*)?$', 1)) AS slug FROM r),
+c AS (SELECT page_id, CASE WHEN h = '' THEN [] WHEN {sql_any("h", _SOURCE_HOSTS)} THEN linked ELSE list_concat([h], CASE WHEN regexp_matches(array_to_string(list_concat([''], parts), '/'), '{vocab.CASE_STUDY_PATH}') THEN
+  list_concat(linked, CASE WHEN length(slug) BETWEEN 3 AND 30 AND slug NOT IN ({", ".join(f"'{x}'" for x in vocab.SLUG_STOP)}) AND contains(slug, '.') AND NOT {sql_any("slug", _SOURCE_HOSTS)} THEN [slug] ELSE [] END) ELSE [] END) END AS e FROM l)
+SELECT page_id, array_to_string({_ONCE.format("e")}, ' ') AS entities FROM c""")
 def candidate_entities(t: Tables) -> DataFrame:
     return _records(t).select("page_id", F.array_join(U.candidate_entities(F.col("src"), F.col("text")), " ").alias("entities"))
 
 
-@query(f"WITH {_MADE} SELECT page_id, page_id % 6 = 4 AS noise, page_id % 6 = 2 AS content, CASE WHEN page_id % 6 = 5 THEN 'math' END AS site, page_id % 6 IN (0, 3, 5) AS source_host FROM m")
+@query(f"""WITH {_MADE} SELECT page_id, {sql_any("h", vocab.NOISE_HOSTS)} AS noise, regexp_matches({_PATH.format("src")}, '{vocab.CONTENT_PATH}') AS content,
+  CASE {" ".join(f"WHEN h = '{k}' THEN '{v}'" for k, v in vocab.QUESTION_SITES.items())} WHEN ends_with(h, '.stackexchange.com') THEN left(h, length(h) - 18) END AS site, {sql_any("h", _SOURCE_HOSTS)} AS source_host FROM r""")
 def host_rules(t: Tables) -> DataFrame:
     """Noise hosts, paths of articles, question sites, hosts of sources."""
     src = F.col("src")
     return _records(t).select("page_id", U.is_noise_host(U.host(src)).alias("noise"), U.is_content_path(src).alias("content"), U.question_site(src).alias("site"), U.is_source_host(U.host(src)).alias("source_host"))
 
 
-@query(f"SELECT page_id, {_HOST.format('url')} AS host FROM pages WHERE page_id % 5 <> 0 AND {sql_any(_HOST.format('url'), vocab.NOISE_HOSTS)} UNION ALL SELECT page_id, 'journals.' || (['oup.com', 'arxiv.org'])[page_id % 2 + 1] FROM pages WHERE page_id % 5 = 0")
-def noise_hosts(t: Tables) -> DataFrame:
-    """Pages of publishers; every fifth page stands for one."""
-    h = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("journals."), F.when(F.col("page_id") % 2 == 0, "oup.com").otherwise("arxiv.org"))).otherwise(U.host(F.col("url")))
-    return t.pages.select("page_id", h.alias("host")).where(U.is_noise_host(F.col("host")))
+@query(rf"""WITH {_MADE} SELECT page_id, CASE WHEN length(regexp_extract(trim(key, '.'), '^(.*)\.[^.]*$', 1)) >= 2 THEN trim(key, '.') ELSE '' END AS domain, array_to_string({_TERMS}, ' ') AS terms FROM r WHERE trim(name) <> ''
+UNION ALL SELECT page_id, '', '' FROM r WHERE trim(name) = ''""")
+def entity_domains(t: Tables) -> DataFrame:
+    """Domains of entities, and what a page must say to be about them."""
+    name = F.col("name")
+    return _records(t).select("page_id", U.entity_domain(name).alias("domain"), F.array_join(U.attribution_terms(name), " ").alias("terms"))
 
 
-_NAME = "CASE s_suppkey % 5 WHEN 0 THEN concat('https://www.longname', CAST(s_suppkey AS VARCHAR(9)), '.com/about') WHEN 1 THEN 'ab.io' WHEN 2 THEN 'x.io' WHEN 3 THEN 'No Domain' ELSE '' END"
+@query(f"""WITH {_MADE} SELECT page_id, len(list_filter({_TERMS}, lambda x: contains(lower(src), x) OR CASE WHEN regexp_matches(x, '[0-9]') THEN regexp_matches(lower(text), '(^|[^a-z0-9_-])' || x || '($|[^a-z0-9_-])') ELSE contains(' ' || lower(text) || ' ', ' ' || x || ' ') END)) > 0 AS attributed FROM r""")
+def attribution_filter(t: Tables) -> DataFrame:
+    """Whether a record is about the entity that it was found for: by its address, or by a word of its text."""
+    return _records(t).select("page_id", U.is_attributed(F.col("text"), F.col("src"), F.col("name")).alias("attributed"))
 
 
-@query("""SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN 'longname' || s_suppkey || '.com' WHEN 1 THEN 'ab.io' ELSE '' END AS domain,
-  CASE s_suppkey % 5 WHEN 0 THEN 'longname' || s_suppkey || '.com longname' || s_suppkey WHEN 1 THEN 'ab.io' WHEN 2 THEN 'x.io' WHEN 3 THEN 'no_domain' ELSE '' END AS terms FROM supplier""")
-def entity_domains(t: Tables) -> DataFrame:
-    """Domains of entities, and what a page must say to be about them."""
-    name = F.expr(_NAME)
-    return t.supplier.select(F.col("s_suppkey").alias("id"), U.entity_domain(name).alias("domain"), F.array_join(U.attribution_terms(name), " ").alias("terms"))
+@query(f"WITH {_MADE} SELECT count(*) FILTER (h = '' OR NOT {sql_any('h', _SOURCE_HOSTS)})::BIGINT AS kept, count(*) FILTER ({sql_any('h', _SOURCE_HOSTS)})::BIGINT AS dropped, length(w1) % 8 AS kind FROM r GROUP BY 3")
+def attribution_split(t: Tables) -> DataFrame:
+    """How many records of each kind lie on hosts of firms, and how many are dropped as those of sources."""
+    source = U.is_source_host(U.host(F.col("src")))
+    return _records(t).groupBy((F.length("w1") % 8).cast("long").alias("kind")).agg(F.count_if(~source).alias("kept"), F.count_if(source).alias("dropped"))
 
 
-_SAYS = "CASE s_suppkey % 7 WHEN 0 THEN concat('We used LongName', CAST(s_suppkey AS VARCHAR(9)), ', gladly') WHEN 1 THEN concat('xlongname', CAST(s_suppkey AS VARCHAR(9)), 'x') WHEN 2 THEN 'ab.io and more' ELSE 'someone else' END"
-_AT = "CASE WHEN s_suppkey % 11 = 0 THEN concat('https://longname', CAST(s_suppkey AS VARCHAR(9)), '.com/x') ELSE 'https://else.net' END"
+@query(f"""WITH {_MADE}, k AS (SELECT *, CASE WHEN length(w2) % 3 = 0 THEN w1 ELSE h END AS own_key FROM r)
+SELECT page_id, contains(own_key, '.') AND {sql_any("own_key", vocab.REVIEW_HOSTS)} AND NOT {sql_any("own_key", vocab.REGISTRY_HOSTS)} AS directory, {sql_any("lower(w1 || ' case study ' || text)", vocab.PRACTICE_SIGNALS)} AS practice FROM k""")
+def directory_hosts(t: Tables) -> DataFrame:
+    """Entities that are directories, and texts that speak of a practice."""
+    key = F.when(F.length("w2") % 3 == 0, F.col("w1")).otherwise(U.host(F.col("src")))
+    text = F.concat(F.col("w1"), F.lit(" case study "), F.col("text"))
+    return _records(t).select("page_id", U.is_directory(key).alias("directory"), T.contains_any(F.lower(text), vocab.PRACTICE_SIGNALS).alias("practice"))
 
 
-@query("""SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN s_suppkey % 7 = 0 OR s_suppkey % 11 = 0 WHEN 1 THEN s_suppkey % 7 = 2 ELSE false END AS attributed FROM supplier""")
-def attribution_filter(t: Tables) -> DataFrame:
-    """Whether a record is about the entity that it was found for: by its address, or by a word of its text."""
-    return t.supplier.select(F.col("s_suppkey").alias("id"), U.is_attributed(F.expr(_SAYS), F.expr(_AT), F.expr(_NAME)).alias("attributed"))
+@query(f"SELECT page_id, {_HOST.format('url')} AS host FROM pages WHERE page_id % 5 <> 0 AND {sql_any(_HOST.format('url'), vocab.NOISE_HOSTS)} UNION ALL SELECT page_id, 'journals.' || (['oup.com', 'arxiv.org'])[page_id % 2 + 1] FROM pages WHERE page_id % 5 = 0")
+def noise_hosts(t: Tables) -> DataFrame:
+    """Pages of publishers; every fifth page stands for one."""
+    h = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("journals."), F.when(F.col("page_id") % 2 == 0, "oup.com").otherwise("arxiv.org"))).otherwise(U.host(F.col("url")))
+    return t.pages.select("page_id", h.alias("host")).where(U.is_noise_host(F.col("host")))
 
 
 VENDORS = {"cloud": ("vendor.com", ("/customers/", "/stories/")), "data": ("data.io", ("/case/",))}
@@ -213,14 +236,6 @@ def record_ids(t: Tables) -> DataFrame:
     return t.pages.where((host != "") & ~host.rlike("[^A-Za-z0-9.-]")).select("page_id", U.record_id(F.col("url"), title, T.slug).alias("record_id"))
 
 
-@query("SELECT s_suppkey AS id, s_suppkey % 3 = 0 AS directory, s_suppkey % 4 = 0 AS practice FROM supplier")
-def directory_hosts(t: Tables) -> DataFrame:
-    """Entities that are directories, and texts that speak of a practice."""
-    key = F.when(F.col("s_suppkey") % 3 == 0, "reviews.clutch.co").when(F.col("s_suppkey") % 3 == 1, "firm.com").otherwise("clutch")
-    text = F.when(F.col("s_suppkey") % 4 == 0, "A Case Study of ours").otherwise("we sell shoes")
-    return t.supplier.select(F.col("s_suppkey").alias("id"), U.is_directory(key).alias("directory"), T.contains_any(F.lower(text), vocab.PRACTICE_SIGNALS).alias("practice"))
-
-
 # --- records from responses and lists -----------------------------------------------------------------
 _LONG = "repeat('words of the posting ', 20)"
 _BODY = f"""CASE page_id % 5 WHEN 0 THEN concat('<html><head><title> T', CAST(page_id AS VARCHAR(9)), ' </title><meta name="description" content="sum"></head><body><nav>menu</nav><p>Short page</p><a href="https://out.org/x">go</a></body></html>')
