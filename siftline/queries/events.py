@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+from contextlib import suppress
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -364,10 +368,17 @@ def quota_shortfall(t: Tables) -> DataFrame:
 
 
 def _stream_path(spark) -> str:
-    import uuid
-
+    """A new folder for a stream's files, which goes with the driver's process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        with suppress(Exception):  # the session may have been stopped, or its gateway be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    atexit.register(delete)
+    return path
 
 
 @query("SELECT event_id, event_type, user_id FROM events")
