@@ -148,13 +148,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def digest(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, **options) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted.
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, and sentences: those that score 0.5 or more by themselves, as ``start:end`` in code points, comma-joined.
 
     Null and empty texts have no sentence, so score 0. A null id is not held out and has no label. Repeated rows score alike.
     """
     model = model or fit(docs, labels, doc_id=doc_id, text=text, **options)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), scored(F.col(text), model, locate=False).alias("s"))
-    return own.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("s.score").alias("score"), (F.col("s.score") >= 0.5).cast("int").alias("predicted"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), scored(F.col(text), model).alias("s"))
+    told = F.transform("s.sentences", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return own.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("s.score").alias("score"), (F.col("s.score") >= 0.5).cast("int").alias("predicted"), F.array_join(told, ",").alias("sentences"))
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, *, text: str = "text", threshold: float = 0.5, model: Model | None = None, **options) -> DataFrame:

@@ -227,6 +227,10 @@ def test_toxicity_learns_from_document_labels(spark):
     assert held and np.mean([p == y for p, y in held]) > 0.97
     assert got[900].score == got[901].score == 0 and not got[None].held_out
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in labels)
+    for i, text in rows:  # the sentences that are located are those with the words
+        if i is not None and got[i].held_out:
+            spans = [tuple(map(int, x.split(":"))) for x in got[i].sentences.split(",") if x]
+            assert [bool(re.search("stinker|blockhead", text[a:b])) for a, b in spans] == [True] * len(re.findall("stinker|blockhead", text or ""))
     model = toxicity.fit(docs, known)
     score, found = model.scorer().document("All good here. You stinker of a man. Fine.", True)
     assert score > 0.5 and [(a, b) for a, b, _ in found] == [(14, 35)]
