@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from siftline import vocab
 from siftline.functions import urls
+from siftline.functions.text import let
 
 
 def robots(text: Column, agent: str = "siftline") -> Column:
@@ -125,8 +126,8 @@ def ld_employers(nodes: Column) -> Column:
         said = F.coalesce(F.get(F.try_variant_get(said, "$", "array<variant>"), F.lit(0)), said)
         name = F.coalesce(F.nullif(_string(said), F.lit("")), F.trim(F.regexp_replace(_part(said, "name", "string"), r"\s+", " ")), F.lit(""))
         address = F.coalesce(F.nullif(F.trim(_part(said, "url", "string")), F.lit("")), F.trim(_part(said, "sameAs", "string")), F.lit(""))
-        domain = F.when(address == "", "").otherwise(F.coalesce(urls.entity(address), F.lit("")))
-        return F.struct(name.alias("name"), F.when(urls.is_source_host(domain), "").otherwise(domain).alias("domain"))
+        found = let(address, lambda a: F.when(a == "", "").otherwise(F.coalesce(urls.entity(a), F.lit(""))))
+        return F.struct(name.alias("name"), let(found, lambda d: F.when(urls.is_source_host(d), "").otherwise(d)).alias("domain"))
 
     return F.transform(F.filter(nodes, lambda n: F.array_contains(_types(n), "jobposting")), firm)
 
@@ -140,11 +141,17 @@ def ld_descriptions(nodes: Column) -> Column:
 
 def ld(html: Column) -> Column:
     """(employer, domain, description) of a page's JSON-LD: the first posting that names a firm or its domain, and the longest text (of equally long ones the first)."""
-    nodes = ld_nodes(html)
-    named = F.get(F.filter(ld_employers(nodes), lambda e: (e["name"] != "") | (e["domain"] != "")), F.lit(0))
-    told = F.array_max(F.transform(ld_descriptions(nodes), lambda t, i: F.struct(F.length(t).alias("size"), (-i).alias("place"), t.alias("text"))))
-    none = F.lit("")
-    return F.struct(F.coalesce(named["name"], none).alias("employer"), F.coalesce(named["domain"], none).alias("domain"), F.coalesce(told["text"], none).alias("description"))
+
+    def read(nodes: Column) -> Column:
+        named = F.get(F.filter(ld_employers(nodes), lambda e: (e["name"] != "") | (e["domain"] != "")), F.lit(0))
+        told = F.array_max(F.transform(ld_descriptions(nodes), lambda t, i: F.struct(F.length(t).alias("size"), (-i).alias("place"), t.alias("text"))))
+        return F.struct(named.alias("firm"), told.alias("told"))
+
+    def plain(x: Column) -> Column:
+        none = F.lit("")
+        return F.struct(F.coalesce(x["firm"]["name"], none).alias("employer"), F.coalesce(x["firm"]["domain"], none).alias("domain"), F.coalesce(x["told"]["text"], none).alias("description"))
+
+    return let(let(ld_nodes(html), read), plain)
 
 
 # --- JSON in prose ----------------------------------------------------------------------------------
