@@ -13,40 +13,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.text import let
+
 #: Words of a schema that say nothing about a value.
 SILENT = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "format"}
 #: Kinds of numbers among variants.
 NUMBERS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "DECIMAL", "FLOAT", "DOUBLE")
 
 
-def _kind(value: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+def _read(value: Column) -> Column:
+    """A variant with its kind, which is worked out once for all that is asked about it."""
+    return F.struct(value.alias("v"), F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0).alias("kind"))
 
 
-def _number(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
+def _number(x: Column) -> Column:
+    return F.try_variant_get(x["v"], "$", "double")
 
 
-def _is(value: Column, kind: str) -> Column:
-    own = _kind(value)
+def _is(x: Column, kind: str) -> Column:
     if kind in ("number", "integer"):
-        whole = own.isin(*NUMBERS)
-        return whole if kind == "number" else whole & (_number(value) % 1 == 0)
+        return x["kind"].isin(*NUMBERS) if kind == "number" else x["kind"].isin(*NUMBERS) & (_number(x) % 1 == 0)
     names = {"null": "VOID", "boolean": "BOOLEAN", "string": "STRING", "array": "ARRAY", "object": "OBJECT"}
     if kind not in names:
         raise ValueError(f"no JSON type: {kind!r}")
-    return own == names[kind]
+    return x["kind"] == names[kind]
 
 
-def _equals(value: Column, wanted) -> Column:
+def _equals(x: Column, wanted) -> Column:
     if wanted is None:
-        return _is(value, "null")
+        return _is(x, "null")
     if isinstance(wanted, bool):
-        return _is(value, "boolean") & (F.try_variant_get(value, "$", "boolean") == wanted)
+        return _is(x, "boolean") & (F.try_variant_get(x["v"], "$", "boolean") == wanted)
     if isinstance(wanted, int | float):
-        return _is(value, "number") & (_number(value) == float(wanted))
+        return _is(x, "number") & (_number(x) == float(wanted))
     if isinstance(wanted, str):
-        return _is(value, "string") & (F.try_variant_get(value, "$", "string") == wanted)
+        return _is(x, "string") & (F.try_variant_get(x["v"], "$", "string") == wanted)
     raise ValueError(f"only plain values can be listed: {wanted!r}")
 
 
@@ -73,27 +74,34 @@ def violations(value: Column, schema: dict | bool, at: Column | None = None) ->
     none = F.array().cast("array<string>")
     if isinstance(schema, bool):
         return none if schema else F.array(F.concat(place, F.lit(": false")))
+    found = let(_read(value), lambda x: _broken(x, schema, place))
+    return found if at is not None else F.when(value.isNull(), F.array(F.concat(place, F.lit(": json")))).otherwise(found)
+
+
+def _broken(x: Column, schema: dict, place: Column) -> Column:
+    """The violations of a value that ``_read`` gave."""
+    value, none = x["v"], F.array().cast("array<string>")
     rules: list[tuple[str, Column]] = []  # word, and when it is violated
     deeper: list[Column] = []
-    number, string, array, object_ = (_is(value, k) for k in ("number", "string", "array", "object"))
+    number, string, array, object_ = (_is(x, k) for k in ("number", "string", "array", "object"))
     text, items = F.try_variant_get(value, "$", "string"), _list(value)
     for word, said in schema.items():
         if word in SILENT:
             continue
         if word == "type":
             kinds = [said] if isinstance(said, str) else said
-            one = _is(value, kinds[0])
+            one = _is(x, kinds[0])
             for k in kinds[1:]:
-                one = one | _is(value, k)
+                one = one | _is(x, k)
             rules.append((word, ~one))
         elif word in ("enum", "const"):
             listed = said if word == "enum" else [said]
             one = F.lit(False)
             for w in listed:
-                one = one | _equals(value, w)
+                one = one | _equals(x, w)
             rules.append((word, ~one))
         elif word in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"):
-            n, limit = _number(value), float(said)
+            n, limit = _number(x), float(said)
             rules.append((word, number & {"minimum": n < limit, "maximum": n > limit, "exclusiveMinimum": n <= limit, "exclusiveMaximum": n >= limit, "multipleOf": n % limit != 0}[word]))
         elif word in ("minLength", "maxLength"):
             rules.append((word, string & (F.length(text) < said if word == "minLength" else F.length(text) > said)))
@@ -102,22 +110,22 @@ def violations(value: Column, schema: dict | bool, at: Column | None = None) ->
         elif word in ("minItems", "maxItems"):
             rules.append((word, array & (F.size(items) < said if word == "minItems" else F.size(items) > said)))
         elif word == "uniqueItems":
-            told = F.transform(items, lambda x: F.to_json(x))
+            told = F.transform(items, lambda i: F.to_json(i))
             rules.append((word, array & F.lit(bool(said)) & (F.size(F.array_distinct(told)) < F.size(told))))
         elif word == "required":
             missing = F.filter(F.array(*(F.when(_part(value, name).isNull(), F.concat(place, F.lit(f".{name}: required"))) for name in said)), lambda x: x.isNotNull())
             deeper.append(F.when(object_, missing).otherwise(none) if said else none)
         elif word == "properties":
             for name, sub in said.items():
-                part = _part(value, name)
-                deeper.append(F.when(object_ & part.isNotNull(), violations(part, sub, F.concat(place, F.lit(f".{name}")))).otherwise(none))
+                held = let(_part(value, name), lambda p: F.when(p.isNotNull(), violations(p, sub, F.concat(place, F.lit(f".{name}")))).otherwise(none))  # noqa: B023
+                deeper.append(F.when(object_, held).otherwise(none))
         elif word == "additionalProperties":
             known = F.array(*map(F.lit, schema.get("properties", {}))) if schema.get("properties") else none
             others = F.filter(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: ~F.array_contains(known, e["key"]))
             found = F.flatten(F.transform(others, lambda e: F.array(F.concat(place, F.lit("."), e["key"], F.lit(": additional"))) if said is False else violations(e["value"], said, F.concat(place, F.lit("."), e["key"]))))
             deeper.append(F.when(object_, found).otherwise(none))
         elif word == "items":
-            found = F.flatten(F.transform(items, lambda x, i: violations(x, said, F.concat(place, F.lit("["), i.cast("string"), F.lit("]")))))
+            found = F.flatten(F.transform(items, lambda item, i: violations(item, said, F.concat(place, F.lit("["), i.cast("string"), F.lit("]")))))
             deeper.append(F.when(array, found).otherwise(none))
         elif word == "allOf":
             deeper += [violations(value, sub, place) for sub in said]
@@ -130,13 +138,12 @@ def violations(value: Column, schema: dict | bool, at: Column | None = None) ->
         else:
             raise ValueError(f"not a known word of a schema: {word!r}")
     own = F.filter(F.array(*(F.when(F.coalesce(broken, F.lit(False)), F.concat(place, F.lit(f": {word}"))) for word, broken in rules)), lambda x: x.isNotNull()) if rules else none
-    out = F.concat(own, *deeper) if deeper else own
-    return out if at is not None else F.when(value.isNull(), F.array(F.concat(place, F.lit(": json")))).otherwise(out)
+    return F.concat(own, *deeper) if deeper else own
 
 
 def checked(rows: DataFrame, claims: str, schema: dict, *, into: str = "violations") -> DataFrame:
     """The rows with the sorted violations of their JSON text ``claims``. Text that is no JSON, or names a key twice, violates ``json``."""
-    return rows.withColumn(into, F.array_sort(violations(F.try_parse_json(claims), schema)))
+    return rows.withColumn(into, F.array_sort(let(F.try_parse_json(claims), lambda v: violations(v, schema))))
 
 
 # --- inference --------------------------------------------------------------------------------------
