@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -123,7 +123,11 @@ def fuzzy_find(quote: str, text: str, least: float = vocab.FUZZY_RATIO) -> tuple
         return None
     matcher, hits, best = difflib.SequenceMatcher(None, autojunk=False), [], None
     matcher.set_seq2(wanted)
-    for start in range(0, max(1, len(plain) - size + 1), max(1, size // 8)):
+    codes, starts = _codes(wanted), np.arange(0, max(1, len(plain) - size + 1), max(1, size // 8))
+    letters = np.unique(codes)
+    padded = np.concatenate((_places(letters, _codes(plain)), np.full(size, len(letters))))
+    fits = _fitting(_masks(codes, letters), size, padded, starts, min(size, len(plain)), least)  # difflib is slow: only where it may reach the ratio
+    for start in starts[fits].tolist():
         matcher.set_seq1(plain[start : start + size])
         if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (r := matcher.ratio()) >= least:
             hits.append(start)
@@ -138,12 +142,14 @@ def fuzzy_find(quote: str, text: str, least: float = vocab.FUZZY_RATIO) -> tuple
 
     start, end = _original(at, best[0], size)
     windows = [(start, end)] + [(s, e) for d in vocab.REPAIR_STEPS for s in (max(0, start - d), start) for e in (min(len(text), end + d), end)]
-    start, end = max(windows, key=fit)
+    start, end = max(dict.fromkeys(windows), key=fit)
     return start, end, fit((start, end)), hits[-1] - hits[0] >= size
 
 
 #: Bits of a limb; the one above takes the carry.
 _LIMB = 63
+#: So few sequences are compared one by one.
+_FEW = 64
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
@@ -152,6 +158,9 @@ def _grams(codes: np.ndarray) -> np.ndarray:
 
 def common_lengths(masks: np.ndarray, size: int, lanes: np.ndarray) -> np.ndarray:
     """The length of the longest common subsequence of a sequence of ``size`` symbols and each row of ``lanes``; masks: symbol -> limbs of the places where the sequence has it."""
+    if len(lanes) < _FEW:
+        whole, every = [sum(int(limb) << (_LIMB * k) for k, limb in enumerate(limbs)) for limbs in masks], (1 << size) - 1
+        return np.array([size - reduce(lambda row, c: ((row + (row & whole[c])) | (row & ~whole[c])) & every, lane, every).bit_count() for lane in lanes.tolist()], np.int64)
     full = np.uint64((1 << _LIMB) - 1)
     rows = [np.full(len(lanes), full) for _ in range(masks.shape[1])]
     columns, limbs = np.ascontiguousarray(lanes.T), np.ascontiguousarray(masks.T)
@@ -166,73 +175,167 @@ def common_lengths(masks: np.ndarray, size: int, lanes: np.ndarray) -> np.ndarra
     return len(rows) * _LIMB - held
 
 
+#: Characters of a text that are aligned as one word of bits.
+_BLOCK = 16
+#: Blocks that are aligned side by side, so that their words stay in a core's cache.
+_LANES = 32_768
+
+
+def block_costs(blocks: np.ndarray, quote: np.ndarray) -> np.ndarray:
+    """The least edit distance of each block of 16 symbols and any stretch of the quote: Myers' bit vectors, a block a word."""
+    symbols, order = np.unique(quote, return_inverse=True)
+    out = np.empty(len(blocks), np.int64)
+    for some, into in zip(*(np.array_split(x, -(-len(blocks) // _LANES)) for x in (blocks, out)), strict=True) if len(blocks) else ():
+        has = [np.packbits(some.ravel() == s, bitorder="little").view("<u2") for s in symbols]
+        up, down = np.full(len(some), 0xFFFF, np.uint16), np.zeros(len(some), np.uint16)
+        score, best = np.full(len(some), _BLOCK, np.int16), np.full(len(some), _BLOCK, np.int16)
+        diagonal, right, left = (np.empty(len(some), np.uint16) for _ in range(3))
+        last = right.view(np.int16), left.view(np.int16), np.empty(len(some), np.int16)
+        for k in order.tolist():
+            np.bitwise_and(has[k], up, out=diagonal)
+            np.add(diagonal, up, out=diagonal)
+            np.bitwise_xor(diagonal, up, out=diagonal)
+            np.bitwise_or(diagonal, has[k], out=diagonal)
+            np.bitwise_or(diagonal, down, out=diagonal)
+            np.bitwise_or(diagonal, up, out=right)
+            np.invert(right, out=right)
+            np.bitwise_or(right, down, out=right)
+            np.bitwise_and(diagonal, up, out=left)
+            np.right_shift(last[0], 15, out=last[2])  # -1 where the last row grows
+            np.subtract(score, last[2], out=score)
+            np.right_shift(last[1], 15, out=last[2])
+            np.add(score, last[2], out=score)
+            np.minimum(best, score, out=best)
+            np.add(right, right, out=right)
+            np.add(left, left, out=left)
+            np.bitwise_or(diagonal, right, out=up)
+            np.invert(up, out=up)
+            np.bitwise_or(up, left, out=up)
+            np.bitwise_and(diagonal, right, out=down)
+        into[:] = best
+    return out
+
+
+def _masks(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """symbol -> limbs of the places where the sequence has it, for ``common_lengths``; the last row is that of other symbols."""
+    masks, at = np.zeros((len(letters) + 1, -(-len(codes) // _LIMB)), np.uint64), np.arange(len(codes))
+    np.bitwise_or.at(masks, (np.searchsorted(letters, codes), at // _LIMB), np.uint64(1) << (at % _LIMB).astype(np.uint64))
+    return masks
+
+
+def _places(known: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The place of each value among the known ones, theirs being sorted; the number of these for others."""
+    at = np.searchsorted(known, found)
+    return np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == found), at, len(known)) if len(known) else at
+
+
+def _fitting(masks: np.ndarray, size: int, letters: np.ndarray, starts: np.ndarray, window: np.ndarray | int, least: float) -> np.ndarray:
+    """Of windows of a text (its places among the letters, padded at the end) those with so long a common subsequence that the ratio may be reached."""
+    kept = [
+        common_lengths(masks, size, letters[some[:, None] + np.arange(size)]) >= (size + wide) * least / 2 - 1e-6
+        for a in range(0, len(starts), 2048) for some, wide in [(starts[a : a + 2048], window if isinstance(window, int) else window[a : a + 2048])]
+    ]
+    return np.concatenate(kept) if kept else np.zeros(0, bool)
+
+
 class Near:
     """Which quotes can nearly stand in which texts: a necessary condition for ``fuzzy_find``, so that no pair is lost.
 
-    A ratio r over a window of the quote's length n takes m = rn matched characters, in at most 2(n - m) + 1 runs. Two trigrams
-    are lost at the end of each run, so at least m - 2(2(n - m) + 1) places of the window begin a trigram of the quote. And m is
-    at most the longest common subsequence. Trigrams are counted first, then four neighbouring windows at once are aligned.
+    A ratio r over a window of w characters and a quote of n takes m = r(n + w)/2 matched characters, in at most n + w - 2m + 1 runs.
+    Two trigrams are lost at the end of each run, so at least m - 2(n + w - 2m + 1) places of the window begin a trigram of the quote.
+    That tells languages apart, and is counted for all quotes at once. Then n + w - 2m insertions and deletions turn the quote
+    into the window, and what they cost falls to the window's blocks, each of which costs at least the edit distance to the
+    stretch of the quote that is nearest to it: so the sum over the blocks inside a window is at most n + w - 2m. Unlike texts of
+    one language cost half as much again. Last, m is at most the longest common subsequence of the window itself.
     """
 
-    GROUP = 4
+    #: Quotes whose trigrams are counted at once, a byte a quote.
+    GROUP = 256
 
     def __init__(self, quotes: list[str], least: float = vocab.FUZZY_RATIO):
-        self.least, plain = least, [_codes(normal(q)[0]) for q in quotes]
-        self.letters = np.unique(np.concatenate(plain)) if plain else np.empty(0, np.int64)
-        self.every = np.unique(np.concatenate([_grams(c) for c in plain])) if plain else np.empty(0, np.int64)
-        self.quotes = []
-        for codes in plain:
-            size, has = len(codes), np.zeros(len(self.every) + 1, bool)
-            has[np.searchsorted(self.every, _grams(codes))] = True
-            masks = np.zeros((len(self.letters) + 1, -(-size // _LIMB)), np.uint64)
-            at = np.arange(size)
-            np.bitwise_or.at(masks, (np.searchsorted(self.letters, codes), at // _LIMB), np.uint64(1) << (at % _LIMB).astype(np.uint64))
-            self.quotes.append((size, has, masks))
-
-    @staticmethod
-    def _places(known: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """The place of each value among the known ones, theirs being sorted; the number of these for others."""
-        at = np.searchsorted(known, found)
-        return np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == found), at, len(known)) if len(known) else at
+        self.least, self.many = least, len(quotes)
+        plain = [(q, _codes(normal(quote)[0])) for q, quote in enumerate(quotes)]
+        self.empty, plain = [q for q, codes in plain if not len(codes)], [x for x in plain if len(x[1])]
+        self.groups = []
+        for a in range(0, len(plain), self.GROUP):
+            some = plain[a : a + self.GROUP]
+            letters, every = np.unique(np.concatenate([c for _, c in some])), np.unique(np.concatenate([_grams(c) for _, c in some]))
+            has = np.zeros((len(every) + 1, len(some)), np.uint8)
+            for k, (_, codes) in enumerate(some):
+                has[np.searchsorted(every, _grams(codes)), k] = 1
+            self.groups.append((letters, every, has, [(q, np.searchsorted(letters, codes), _masks(codes, letters)) for q, codes in some]))
 
     def pairs(self, texts: list[str]) -> list[tuple[int, int]]:
         """(ordinal of the text, ordinal of the quote)."""
-        own = []
-        for text in texts:
-            codes = _codes(normal(text)[0])
-            own.append((self._places(self.letters, codes), self._places(self.every, _grams(codes))))
-        return [(t, q) for q, quote in enumerate(self.quotes) for t in self._texts(quote, own)]
-
-    def _texts(self, quote: tuple[int, np.ndarray, np.ndarray], own: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
-        size, has, masks = quote
-        step, found, lanes, where, short = max(1, size // 8), [], [], [], np.int64(len(self.letters))
-        width = size + (self.GROUP - 1) * step
-        for t, (letters, grams) in enumerate(own):
-            window = min(size, len(letters))
-            runs = (size + window) * (1 - self.least) + 1
-            wanted = (size + window) * self.least / 2 - 2 * runs
-            sums = np.concatenate(([0], np.cumsum(has[grams])))
-            starts = np.arange(0, max(1, len(letters) - size + 1), step)
-            count = sums[np.minimum(starts + max(window - 2, 0), len(sums) - 1)] - sums[np.minimum(starts, len(sums) - 1)]
-            groups = np.unique(starts[count >= wanted - 1e-6] // (self.GROUP * step)) * (self.GROUP * step)
-            if len(groups):
-                padded = np.concatenate((letters, np.full(width, short)))
-                lanes.append(padded[groups[:, None] + np.arange(width)])
-                where.append(np.stack((np.full(len(groups), t), np.full(len(groups), (size + window) * self.least / 2)), 1))
-        if lanes:
-            every, where = np.concatenate(lanes), np.concatenate(where)
-            for a in range(0, len(every), 8192):
-                common = common_lengths(masks, size, every[a : a + 8192])
-                found.append(where[a : a + 8192, 0][common >= where[a : a + 8192, 1] - 1e-6])
-            return np.unique(np.concatenate(found)).astype(int).tolist()
-        return []
+        own = [_codes(normal(text)[0]) for text in texts]
+        found = [(t, q) for q in self.empty for t in range(len(texts))]
+        for letters, every, has, quotes in self.groups:
+            found += self._group(letters, every, has, quotes, own)
+        return sorted(found, key=lambda x: (x[1], x[0]))
+
+    def _group(self, letters, every, has, quotes, own: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        many = np.array([-(-len(codes) // _BLOCK) for codes in own], np.int64)
+        if not many.sum():
+            return
+        first, other = np.cumsum(many) - many, len(letters)
+        # All texts one after the other, each filled up to whole blocks.
+        text, grams = np.full(many.sum() * _BLOCK, other, np.int32), np.full(many.sum() * _BLOCK, len(every), np.int32)
+        for at, codes in zip((first * _BLOCK).tolist(), own, strict=True):
+            text[at : at + len(codes)] = _places(letters, codes)
+            if len(codes) > 2:
+                grams[at : at + len(codes) - 2] = _places(every, _grams(codes))
+        blocks, counts, grams = text.reshape(-1, _BLOCK), np.empty((len(quotes), many.sum()), np.uint8), grams.reshape(-1, _BLOCK)
+        for a in range(0, len(grams), 2048):
+            some = np.zeros((len(grams[a : a + 2048]), len(quotes)), np.uint8)
+            for places in grams[a : a + 2048].T:
+                some += has[places]
+            counts[:, a : a + 2048] = some.T
+        owner = np.repeat(np.arange(len(own)), many)
+        size = np.array([len(codes) for codes in own], np.int64)[owner]
+        start = (np.arange(len(blocks)) - first[owner]) * _BLOCK
+        longest = max(len(codes) for _, codes, _ in quotes)
+        padded = np.concatenate((text, np.full(longest, other, np.int32)))
+        for counted, (q, quote, masks) in zip(counts, quotes, strict=True):
+            at, starts = self._windows(quote, counted, blocks, start, size)
+            if len(at):
+                window = np.minimum(len(quote), size[at])
+                # A window that runs beyond its text is that of a text shorter than the quote.
+                lanes = np.where(np.arange(len(quote)) < window[:, None], padded[(first[owner[at]] * _BLOCK + starts)[:, None] + np.arange(len(quote))], other)
+                fits = _fitting(masks, len(quote), lanes.ravel(), np.arange(len(at)) * len(quote), window, self.least)
+                yield from ((t, q) for t in np.unique(owner[at[fits]]).tolist())
+
+    def _windows(self, quote: np.ndarray, counted: np.ndarray, blocks: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that may reach the ratio by their blocks: the block each starts in, and its start in its text."""
+        n, step, here = len(quote), max(1, len(quote) // 8), np.arange(len(blocks))
+        window = np.minimum(n, size)
+        spare = (n + window) * (1 - self.least)
+        sums = np.concatenate(([0], np.cumsum(counted, dtype=np.int64)))
+        after = np.minimum(here + (n + _BLOCK - 2) // _BLOCK + 1, len(blocks))
+        may = (sums[after] - sums[here] >= (n + window) * self.least / 2 - 2 * (spare + 1) - 1e-6) & (start <= np.maximum(size - n, 0))
+        at = np.flatnonzero(may)
+        costs, full = np.zeros(len(blocks) + 1, np.int64), start + _BLOCK <= size
+        # Three quarters of the blocks are nearly always enough to rule a window out.
+        for turn in (here % 4 != 3, here % 4 == 3):
+            edges = np.bincount(at, minlength=len(blocks) + 1) - np.bincount(after[at], minlength=len(blocks) + 1)
+            used = np.flatnonzero((np.cumsum(edges[:-1]) > 0) & turn & full)
+            costs[used + 1] = block_costs(blocks[used], quote)
+            sums, inner = np.cumsum(costs), np.minimum(at + 1, len(blocks))
+            beyond = np.minimum(at + np.maximum(window[at] // _BLOCK, 1), len(blocks))
+            at = at[sums[beyond] - sums[inner] <= spare[at] + 1e-6]
+        starts = -(-start[at] // step)[:, None] * step + np.arange(0, _BLOCK, step)
+        good = (starts < start[at][:, None] + _BLOCK) & (starts <= np.maximum(size[at] - n, 0)[:, None])
+        return np.repeat(at, good.sum(1)), starts[good]
 
 
 def near(items: DataFrame, texts: DataFrame, *, least: int = vocab.MIN_QUOTE, most_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, quote_id, quote, text): every pair in which a quote of at least ``least`` characters can stand, exactly or nearly; in parts as ``mentions``."""
-    found = None
+    """(doc_id, quote_id, quote, text): every pair in which a quote of at least ``least`` characters can stand, exactly or nearly; in parts as ``mentions``.
+
+    The work lies in the tasks, so texts are dealt out anew: a file may hold very many of them in one stretch.
+    """
+    spark, found = texts.sparkSession, None
+    dealt = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
     for rows in _parts(items, least, most_bytes):
-        one = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_near(rows), "doc_id long, quote_id long, quote string, text string")
+        one = dealt.mapInPandas(_near(rows), "doc_id long, quote_id long, quote string, text string")
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -246,7 +349,7 @@ def _near(rows: list[tuple[int, str]]):
         index = Near(quotes)
         for frame in batches:
             frame = frame[frame.text.notna() & (frame.text != "")]
-            size = frame.text.str.len().cumsum() // (1 << 20)
+            size = frame.text.str.len().cumsum() // (1 << 22)
             for _, some in frame.groupby(size):
                 docs, texts = some.doc_id.tolist(), some.text.tolist()
                 out = [(docs[t], i, quotes[q], texts[t]) for t, q in index.pairs(texts) for i in ids[quotes[q]]]

@@ -1,3 +1,4 @@
+import difflib
 import random
 
 import numpy as np
@@ -222,6 +223,38 @@ def test_near_quotes_are_candidates(spark):
     assert got == want and len({q for _, q, *_ in want}) == len(quotes) and sum(quotes[q] not in texts[d] for d, q, *_ in want) >= 12
 
 
+def test_blocks_cost_their_least_edit_distance():
+    """Bit vectors against the plain table; texts of one file are dealt to many tasks, and difflib sees only windows that may reach the ratio."""
+    rng = random.Random(5)
+
+    def least(block, quote):
+        row = [0] * (len(quote) + 1)
+        for i, x in enumerate(block):
+            new = [i + 1]
+            for j, y in enumerate(quote):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        return min(row)
+
+    for size in (1, 2, 17, 60, 130):
+        quote, blocks = [rng.randrange(4) for _ in range(size)], [[rng.randrange(5) for _ in range(16)] for _ in range(70)]
+        assert grounding.block_costs(np.array(blocks), np.array(quote)).tolist() == [least(b, quote) for b in blocks]
+
+
+def test_near_quotes_are_searched_by_many_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} of one file") for i in range(64)], "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "text 7 of one fine")], "quote_id long, quote string")
+    assert grounding.near(asked, docs).rdd.getNumPartitions() >= 4 and {r.doc_id for r in grounding.near(asked, docs).collect()} >= {7}
+    rng, seen, own = random.Random(9), [], difflib.SequenceMatcher.set_seq1
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    quote = prose(40)
+    text = prose(4000) + " " + quote[:90] + "#" + quote[91:]
+    monkeypatch.setattr(difflib.SequenceMatcher, "set_seq1", lambda self, a: (seen.append(a), own(self, a))[1])
+    found = grounding.fuzzy_find(quote, text)
+    assert abs(found[0] - len(text) + len(quote)) <= 8 and len(seen) < 60
+
+
 def test_fuzzy_offsets_are_of_the_text_as_it_was():
     text = "Well… so… it was… and then we migrated forty services to the cloud"
     a, b, ratio, again = grounding.fuzzy_find("and then we migrated forty services to the cloud", text)
