@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,10 +138,8 @@ def slice_spans(text: str, budget: int) -> list[tuple[int, int]]:
 def slices(items: DataFrame, *, item_id: str, text: str, budget: int = vocab.SLICE_CHARS) -> DataFrame:
     """(item_id, slice_id, start, end, partial); the slices of an item partition its text."""
 
-    @F.pandas_udf("array<struct<start: int, end: int>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "end": b} for a, b in slice_spans(t or "", budget)])
-
+    # By the hundred rows, not in batches of Arrow: those hold 10,000 texts, however long.
+    cut = F.udf(lambda t: slice_spans(t or "", budget), "array<struct<start: int, end: int>>", useArrow=False)
     own = items.select(F.col(item_id).alias("item_id"), F.posexplode(cut(F.col(text))).alias("n", "s"), F.length(text).alias("size"))
     return own.select("item_id", F.concat(F.lit("s"), F.col("n") + 1).alias("slice_id"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), (F.col("s.end") - F.col("s.start") < F.col("size")).alias("partial"))
 

@@ -223,6 +223,15 @@ def test_near_quotes_are_candidates(spark):
     assert got == want and len({q for _, q, *_ in want}) == len(quotes) and sum(quotes[q] not in texts[d] for d, q, *_ in want) >= 12
 
 
+def test_slices_take_texts_by_the_hundred(spark):
+    """Batches of Arrow hold 10,000 texts, however long."""
+    docs = spark.createDataFrame([(1, "one. two"), (2, None), (3, "")], "doc_id long, text string")
+    own = items.slices(docs, item_id="doc_id", text="text", budget=5)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
+    assert {tuple(r) for r in own.collect()} == {(1, "s1", 0, 5, True), (1, "s2", 5, 8, True)}
+
+
 def test_blocks_cost_their_least_edit_distance():
     """Bit vectors against the plain table; texts of one file are dealt to many tasks, and difflib sees only windows that may reach the ratio."""
     rng = random.Random(5)
