@@ -19,11 +19,13 @@ def mentions(items: DataFrame, texts: DataFrame, *, normalised: bool = False, le
     """(doc_id, quote_id, start, end, times): where a quote of at least ``least`` characters stands first in a text, and how often.
 
     ``normalised`` compares normal forms; places are those of the text as it is. Each text is scanned once. The quotes go to the
-    tasks as one automaton of at most ``most_bytes``, checked here; more of them are scanned part by part.
+    tasks as one automaton of at most ``most_bytes``, checked here; more of them are scanned part by part. Texts come to Python by
+    the hundred, not in batches of Arrow: those hold 10,000 rows, however long.
     """
     found = None
     for rows in _parts(items, least, most_bytes):
-        one = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scan(rows, normalised), "doc_id long, quote_id long, start int, end int, times long")
+        seen = F.udf(_scan(rows, normalised), "array<struct<quote_id: long, start: int, end: int, times: long>>", useArrow=False)
+        one = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(seen("text")).alias("m")).select("doc_id", "m.*")
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -37,29 +39,28 @@ def _parts(items: DataFrame, least: int, most_bytes: int) -> Iterator[list[tuple
 
 
 def _scan(rows: list[tuple[int, str]], normalised: bool):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton, ids = ahocorasick.Automaton(), {}
-        for quote_id, quote in rows:
-            if wanted := normal(quote)[0] if normalised else quote:
-                ids.setdefault(wanted, []).append(quote_id)
-        for wanted in ids:
-            automaton.add_word(wanted, wanted)
-        if ids:
-            automaton.make_automaton()
-        for frame in batches:
-            out = []
-            for doc, text in zip(frame.doc_id, frame.text, strict=True):
-                plain, at = normal(text) if normalised and text else (text, None)
-                seen: dict[str, list[int]] = {}
-                if ids and plain:
-                    for last, wanted in automaton.iter(plain):
-                        seen.setdefault(wanted, [last - len(wanted) + 1, 0])[1] += 1
-                for wanted, (first, times) in seen.items():
-                    place = (first, first + len(wanted)) if at is None else _original(at, first, len(wanted))
-                    out += [(doc, i, *place, times) for i in ids[wanted]]
-            yield pd.DataFrame(out, columns=["doc_id", "quote_id", "start", "end", "times"])
+    ids: dict[str, list[int]] = {}
+    automata = []
+
+    def scan(text: str | None) -> list[tuple[int, int, int, int]]:
+        if not automata:  # once a task
+            import ahocorasick
+
+            for quote_id, quote in rows:
+                if wanted := normal(quote)[0] if normalised else quote:
+                    ids.setdefault(wanted, []).append(quote_id)
+            automata.append(ahocorasick.Automaton())
+            for wanted in ids:
+                automata[0].add_word(wanted, wanted)
+            if ids:
+                automata[0].make_automaton()
+        plain, at = normal(text) if normalised and text else (text, None)
+        seen: dict[str, list[int]] = {}
+        if ids and plain:
+            for last, wanted in automata[0].iter(plain):
+                seen.setdefault(wanted, [last - len(wanted) + 1, 0])[1] += 1
+        places = {w: (first, first + len(w)) if at is None else _original(at, first, len(w)) for w, (first, _) in seen.items()}
+        return [(i, *places[w], times) for w, (_, times) in seen.items() for i in ids[w]]
 
     return scan
 

@@ -232,6 +232,15 @@ def test_slices_take_texts_by_the_hundred(spark):
     assert {tuple(r) for r in own.collect()} == {(1, "s1", 0, 5, True), (1, "s2", 5, 8, True)}
 
 
+def test_mentions_take_texts_by_the_hundred(spark):
+    docs = spark.createDataFrame([(1, "a quote that stands, a quote that stands"), (2, None), (3, ""), (None, "here a quote that stands")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "a quote that stands"), (8, "a quote that stands"), (9, "not there at all, no")], "quote_id long, quote string")
+    found = grounding.mentions(asked, docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "InPandas" not in plan
+    assert {tuple(r) for r in found.collect()} == {(d, q, a, a + 19, n) for q in (7, 8) for d, a, n in ((1, 0, 2), (None, 5, 1))}
+
+
 def test_blocks_cost_their_least_edit_distance():
     """Bit vectors against the plain table; texts of one file are dealt to many tasks, and difflib sees only windows that may reach the ratio."""
     rng = random.Random(5)
