@@ -38,27 +38,40 @@ def sections(dossiers: DataFrame, *, entity: str = "entity", text: str = "text")
     return dossiers.select(F.col(entity).alias("entity"), F.posexplode(every).alias("ord", "s")).select("entity", "ord", "s.category", "s.uri", "s.text")
 
 
-def coverage(parts: DataFrame) -> DataFrame:
-    """parts (entity, category, uri, text) -> one row per entity with a flag for each kind; one pass, partial aggregation.
-
-    What a section shows is worked out once, in a generator, which keeps the optimizer from repeating it in each aggregate.
-    """
+def _signs() -> dict[str, Column]:
+    """What one section (category, uri, text) shows."""
     t, c = F.col("text"), F.col("category")
     has = lambda pattern: F.coalesce(t.rlike(pattern), F.lit(False))
     outlet = (c == "COMMUNITY_AND_SOCIAL") | F.contains(F.col("uri"), F.lit("github.com")) | F.contains(F.col("uri"), F.lit("/blog"))
-    shown = {
-        "words": T.prose_words(t), "delivery": has(vocab.DELIVERY), "proof": has(vocab.DELIVERY) & has(vocab.OUTCOME), "client": has(vocab.CLIENT), "stack": F.when(c.isin(*vocab.FIRST_PARTY), F.size(technologies(t)) > 0),
+    spoken = c.isin(*vocab.INDEPENDENT) | (c == "ATS_REQUISITIONS") | outlet  # whose words are counted
+    return {
+        "words": F.when(spoken, T.prose_words(t)), "delivery": has(vocab.DELIVERY), "proof": has(vocab.DELIVERY) & has(vocab.OUTCOME), "client": has(vocab.CLIENT), "stack": F.when(c.isin(*vocab.FIRST_PARTY), F.size(technologies(t)) > 0),
         "terms": has(vocab.COMMERCIAL), "certified": has(vocab.CERTIFIED), "growth": has(vocab.GROWTH), "year": has(vocab.YEAR),
         "vouching": c.isin(*vocab.INDEPENDENT), "hiring": c == "ATS_REQUISITIONS", "outlet": outlet,
     }
-    flags = parts.select("entity", F.inline(F.array(F.struct(*[v.alias(k) for k, v in shown.items()]))))
-    any_ = lambda x: F.coalesce(F.bool_or(F.col(x) if isinstance(x, str) else x), F.lit(False))
+
+
+def _any(condition: str | Column) -> Column:
+    return F.coalesce(F.bool_or(F.col(condition) if isinstance(condition, str) else condition), F.lit(False))
+
+
+def _kinds() -> list[Column]:
+    """A flag for each kind, as aggregates of ``_signs``."""
     prose = F.col("words") >= 20
-    return flags.groupBy("entity").agg(
-        any_("proof").alias("delivery_proof"), any_("client").alias("named_clients"), (any_("stack") & any_("delivery")).alias("stack_delivery"), any_(F.col("vouching") & prose).alias("independent_validation"),
-        any_(F.col("hiring") & (F.col("words") >= 10)).alias("delivery_hiring"), any_("terms").alias("commercial_terms"), any_("certified").alias("certification"), any_(F.col("outlet") & prose).alias("engineering_output"),
-        (any_("growth") & any_("year")).alias("growth_signal"), any_("year").alias("dated_events"),
-    )
+    return [
+        _any("proof").alias("delivery_proof"), _any("client").alias("named_clients"), (_any("stack") & _any("delivery")).alias("stack_delivery"), _any(F.col("vouching") & prose).alias("independent_validation"),
+        _any(F.col("hiring") & (F.col("words") >= 10)).alias("delivery_hiring"), _any("terms").alias("commercial_terms"), _any("certified").alias("certification"), _any(F.col("outlet") & prose).alias("engineering_output"),
+        (_any("growth") & _any("year")).alias("growth_signal"), _any("year").alias("dated_events"),
+    ]
+
+
+def coverage(parts: DataFrame) -> DataFrame:
+    """parts (entity, category, uri, text) -> one row per entity with a flag for each kind; one pass, partial aggregation.
+
+    What a section shows is worked out once, in a generator, which keeps the optimizer from repeating it in each aggregate.
+    """
+    flags = parts.select("entity", F.inline(F.array(F.struct(*[v.alias(k) for k, v in _signs().items()]))))
+    return flags.groupBy("entity").agg(*_kinds())
 
 
 def missing(tier: str) -> Column:
@@ -101,6 +114,12 @@ def claimed_technologies(parts: DataFrame) -> DataFrame:
     return own.select("entity", F.explode(technologies(F.col("text"))).alias("tech")).distinct()
 
 
+def _unheard(claimed: DataFrame, parts: DataFrame) -> DataFrame:
+    """claimed (entity, tech) -> those that no corroborating source names, if there are such sources."""
+    heard = parts.where(F.col("category").isin(*vocab.CORROBORATING)).select("entity", "text")
+    return claimed.join(heard, "entity").groupBy("entity", "tech").agg(F.bool_or(F.contains("text", F.col("tech"))).alias("named")).where("not named")
+
+
 def contradictions(parts: DataFrame) -> DataFrame:
     """(entity, kind, claim): what first parties claim and nobody else repeats.
 
@@ -117,9 +136,7 @@ def contradictions(parts: DataFrame) -> DataFrame:
     ))
     listed = lambda names, most: F.array_join(F.slice(F.array_sort(F.collect_set(names)), 1, most), ", ")
     claimed = claimed_technologies(parts)
-    heard = parts.where(F.col("category").isin(*vocab.CORROBORATING)).select("entity", "text")
-    named = claimed.join(heard, "entity").groupBy("entity", "tech").agg(F.bool_or(F.contains("text", F.col("tech"))).alias("named"))
-    alone = named.where("not named").groupBy("entity").agg(F.concat(F.lit("first-party delivery of "), listed("tech", 6)).alias("claim"))
+    alone = _unheard(claimed, parts).groupBy("entity").agg(F.concat(F.lit("first-party delivery of "), listed("tech", 6)).alias("claim"))
     roles = parts.where("category = 'ATS_REQUISITIONS'").select("entity", F.explode(technologies(t)).alias("tech")).distinct()
     both = claimed.withColumn("said", F.lit(1)).unionByName(roles.withColumn("said", F.lit(0))).groupBy("entity", "tech").agg(F.max("said").alias("said"), F.min("said").alias("role"))
     sides = both.groupBy("entity").agg(F.max("said").alias("any"), F.min("role").alias("roles"), F.bool_or((F.col("said") == 1) & (F.col("role") == 0)).alias("meet"), listed(F.when(F.col("said") == 1, F.col("tech")), 4).alias("names"))
@@ -136,24 +153,52 @@ def confidences(parts: DataFrame) -> DataFrame:
 
     parts as for ``coverage``, with ``ord``. A kind without a section that may carry it is unsupported.
     """
+    first = parts.groupBy("entity").agg(*_first())
+    found = coverage(parts).join(first, "entity").select("entity", F.explode(_carried()).alias("k"))
+    return found.select("entity", "k.kind", _level(F.col("k")).alias("confidence"), _weight(F.col("k")).alias("weight"), F.coalesce("k.category", F.lit("unlabelled")).alias("category"))
+
+
+def _first() -> list[Column]:
+    """The categories of an entity's first sections, as aggregates."""
     c, at = F.col("category"), lambda condition, name: F.min_by(F.when(condition, F.col("category")), F.when(condition, F.col("ord"))).alias(name)
-    first = parts.groupBy("entity").agg(at(c.isin(*vocab.INDEPENDENT), "vouching"), at(c == "ATS_REQUISITIONS", "hiring"), at(c.isin(*vocab.FIRST_PARTY), "own"), at(F.lit(True), "any"))
-    carrier = {"independent_validation": F.col("vouching"), "delivery_hiring": F.col("hiring")} | {k: F.coalesce("vouching", "own") for k in ("delivery_proof", "stack_delivery")}
-    each = [F.when(F.col(k), F.struct(F.lit(k).alias("kind"), carrier.get(k, F.coalesce("vouching", "any")).alias("category"))) for k in KINDS]
-    found = coverage(parts).join(first, "entity").select("entity", F.explode(F.array_compact(F.array(*each))).alias("k"))
-    level = F.when(F.col("k.category").isNull(), "unsupported").otherwise("reported")
-    weight = F.element_at(F.create_map(*[F.lit(x) for pair in vocab.CONFIDENCE.items() for x in pair]), level)
-    return found.select("entity", "k.kind", level.alias("confidence"), weight.alias("weight"), F.coalesce("k.category", F.lit("unlabelled")).alias("category"))
+    return [at(c.isin(*vocab.INDEPENDENT), "first_vouching"), at(c == "ATS_REQUISITIONS", "first_hiring"), at(c.isin(*vocab.FIRST_PARTY), "first_own"), at(F.lit(True), "first_any")]
+
+
+def _carried() -> Column:
+    """(kind, category) of the kinds an entity has, by the flags and first sections."""
+    carrier = {"independent_validation": F.col("first_vouching"), "delivery_hiring": F.col("first_hiring")} | {k: F.coalesce("first_vouching", "first_own") for k in ("delivery_proof", "stack_delivery")}
+    return F.array_compact(F.array(*[F.when(F.col(k), F.struct(F.lit(k).alias("kind"), carrier.get(k, F.coalesce("first_vouching", "first_any")).alias("category"))) for k in KINDS]))
+
+
+def _level(carried: Column) -> Column:
+    return F.when(carried["category"].isNull(), "unsupported").otherwise("reported")
+
+
+def _weight(carried: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in vocab.CONFIDENCE.items() for x in pair]), _level(carried))
 
 
 def read_out(parts: DataFrame, tier: str) -> DataFrame:
     """One row per entity: what it lacks for a claimed tier, the tier supported, why, its contradictions, and its weakest kind."""
-    own = coverage(parts).select("entity", missing(tier).alias("missing"), capped_tier(F.lit(tier)).alias("supported"), tier_reasons(tier).alias("reasons"))
-    against = contradictions(parts).groupBy("entity").agg(F.count("*").alias("contradictions"))
-    weakest = confidences(parts).groupBy("entity").agg(F.min("weight").alias("weakest"))
-    size = parts.groupBy("entity").agg(F.count("*").alias("sections"))
-    joined = own.join(against, "entity", "left").join(weakest, "entity", "left").join(size, "entity")
-    return joined.select("entity", "missing", "supported", (F.col("supported") != tier).alias("capped"), "reasons", F.coalesce("contradictions", F.lit(0)).alias("contradictions"), F.coalesce("weakest", F.lit(0.0)).alias("weakest"), "sections")
+    # One pass over the sections, each read once; a section has another row for each technology that it claims or asks for.
+    own, hiring = F.col("category").isin(*vocab.FIRST_PARTY), F.col("category") == "ATS_REQUISITIONS"
+    signs = {k: v for k, v in _signs().items() if k not in ("stack", "proof")} | {"outcome": F.coalesce(F.col("text").rlike(vocab.OUTCOME), F.lit(False)), "own": own, "techs": F.when(own | hiring, technologies(F.col("text")))}
+    read = parts.select("entity", "ord", "category", F.inline(F.array(F.struct(*[v.alias(k) for k, v in signs.items()])))).withColumns({"stack": F.when(F.col("own"), F.size("techs") > 0), "proof": F.col("delivery") & F.col("outcome")})
+    claims = F.col("own") & F.col("delivery")
+    named = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.when(claims | F.col("hiring"), F.col("techs")), F.array().cast("array<string>")))
+    every = read.withColumn("claims", claims).withColumn("tech", F.explode(named)).drop("techs")
+    dossiers = every.groupBy("entity").agg(
+        *_kinds(), *_first(), F.count_if(F.col("tech").isNull()).alias("sections"),
+        (_any(F.col("own") & F.col("certified")) & ~_any(F.col("vouching") & F.col("certified"))).alias("cert_alone"), (_any(F.col("own") & F.col("terms")) & ~_any(F.col("vouching") & F.col("terms"))).alias("terms_alone"),
+        F.collect_set(F.when(F.col("claims"), F.col("tech"))).alias("claimed"), F.collect_set(F.when(F.col("hiring"), F.col("tech"))).alias("roles"),
+    )
+    alone = _unheard(claimed_technologies(parts), parts).select("entity").distinct().withColumn("alone", F.lit(True))
+    against = (F.size("claimed") > 0) & (F.size("roles") > 0) & ~F.arrays_overlap("claimed", "roles")
+    many = sum((F.coalesce(x, F.lit(False)).cast("long") for x in (F.col("cert_alone"), F.col("terms_alone"), F.col("alone"), against)), F.lit(0).cast("long"))
+    weakest = F.coalesce(F.array_min(F.transform(_carried(), _weight)), F.lit(0.0))
+    joined = dossiers.where("entity IS NOT NULL").join(alone, "entity", "left")
+    judged = joined.select("entity", missing(tier).alias("missing"), capped_tier(F.lit(tier)).alias("supported"), tier_reasons(tier).alias("reasons"), many.alias("contradictions"), weakest.alias("weakest"), "sections")
+    return judged.select("entity", "missing", "supported", (F.col("supported") != tier).alias("capped"), "reasons", "contradictions", "weakest", "sections")
 
 
 def document_sections(parts: DataFrame, source_category: Column) -> DataFrame:

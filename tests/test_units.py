@@ -241,6 +241,21 @@ def test_mentions_take_texts_by_the_hundred(spark):
     assert {tuple(r) for r in found.collect()} == {(d, q, a, a + 19, n) for q in (7, 8) for d, a, n in ((1, 0, 2), (None, 5, 1))}
 
 
+def test_evidence_is_read_in_one_pass(spark, tmp_path):
+    """Each section once for the dossier, and once on each side of the claims that others may repeat; the figures are those of the operators."""
+    texts = ("The team migrated Kafka and cut cost by 40% for Acme Corp", "We hire for Terraform work, apply now", "Nothing of note", None, "certified, with blended rate plans")
+    kinds = ("FIRST_PARTY_PRACTICE", "ATS_REQUISITIONS", "VENDOR_REGISTRY", None)
+    rows = [(f"e{i % 37}" if i % 50 else None, i, kinds[i % 4] if i % 9 else kinds[0], f"https://x/{i}", texts[i * i % 5]) for i in range(400)]
+    spark.createDataFrame(rows, "entity string, ord long, category string, uri string, text string").write.parquet(f"{tmp_path}/p")
+    parts = spark.read.parquet(f"{tmp_path}/p")
+    read = evidence.read_out(parts, "tier_1")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
+    sums = lambda df, column: {r[0]: r[1] for r in df.where("entity IS NOT NULL").groupBy("entity").agg(column).collect()}
+    found, weak, many = sums(evidence.contradictions(parts), F.count("*")), sums(evidence.confidences(parts), F.min("weight")), sums(parts, F.count("*"))
+    got = {r.entity: (r.contradictions, r.weakest, r.sections) for r in read.collect()}
+    assert got == {e: (found.get(e, 0), weak.get(e, 0.0), n) for e, n in many.items()} and found and len(set(found.values())) > 1
+
+
 def test_blocks_cost_their_least_edit_distance():
     """Bit vectors against the plain table; texts of one file are dealt to many tasks, and difflib sees only windows that may reach the ratio."""
     rng = random.Random(5)
