@@ -254,7 +254,7 @@ class Near:
     GROUP = 256
 
     def __init__(self, quotes: list[str], least: float = vocab.FUZZY_RATIO):
-        self.least, self.many = least, len(quotes)
+        self.least = least
         plain = [(q, _codes(normal(quote)[0])) for q, quote in enumerate(quotes)]
         self.empty, plain = [q for q, codes in plain if not len(codes)], [x for x in plain if len(x[1])]
         self.groups = []

@@ -256,6 +256,14 @@ def test_evidence_is_read_in_one_pass(spark, tmp_path):
     assert got == {e: (found.get(e, 0), weak.get(e, 0.0), n) for e, n in many.items()} and found and len(set(found.values())) > 1
 
 
+def test_ladder_is_climbed_by_many_tasks(spark):
+    quote = "we moved forty services of theirs to the new cluster in May"
+    texts = [quote + " and more", "so " + quote.replace(" ", "  "), "so " + quote.replace("forty", "forly") + ".", "something else that was said at length, again and again"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(9, None)], "doc_id long, text string").coalesce(1)
+    found = grounding.ladder(grounding.near(spark.createDataFrame([(1, quote)], "quote_id long, quote string"), docs))
+    assert found.rdd.getNumPartitions() >= 4 and {r.doc_id: r.rung for r in found.collect()} == {0: "exact", 1: "normalized", 2: "fuzzy"}
+
+
 def test_blocks_cost_their_least_edit_distance():
     """Bit vectors against the plain table; texts of one file are dealt to many tasks, and difflib sees only windows that may reach the ratio."""
     rng = random.Random(5)
