@@ -74,17 +74,37 @@ def _form(character: str) -> str:
     return unicodedata.normalize("NFKC", vocab.PLAIN_SIGNS.get(character, character))
 
 
-def normal(text: str) -> tuple[str, np.ndarray]:
-    """The text in plain signs and compatibility forms with white space collapsed, and the place in the text of each of its characters."""
-    codes, inverse = np.unique(_codes(text), return_inverse=True)
+#: Characters below it are looked up; those of most texts are.
+_COMMON = 0x3000
+
+
+@lru_cache(maxsize=1)
+def _singles() -> np.ndarray:
+    """The form of each common character, white space as a blank; -1 where it has more than one character or none."""
+    forms = [_form(chr(c)) for c in range(_COMMON)]
+    return np.array([-1 if len(f) != 1 else 0x20 if f.isspace() else ord(f) for f in forms], np.int64)
+
+
+def _spread(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forms of characters, white space as blanks, and the ordinal of the character that each is of."""
+    if not len(codes):
+        return codes, codes
+    if codes.max() < _COMMON and (out := _singles()[codes]).min() >= 0:
+        return out, np.arange(len(codes))
+    codes, inverse = np.unique(codes, return_inverse=True)
     forms = [_form(chr(c)) if not 0xD800 <= c < 0xE000 else "\ufffd" for c in codes.tolist()]
     sizes = np.array([len(f) for f in forms], np.int64)
     flat = _codes("".join(forms))
     at = np.repeat(np.arange(len(inverse)), sizes[inverse])
     inside = np.arange(len(at)) - np.repeat(np.cumsum(sizes[inverse]) - sizes[inverse], sizes[inverse])
-    out = flat[(np.cumsum(sizes) - sizes)[inverse][at] + inside] if len(at) else flat
-    blank = np.isin(out, [c for c in set(flat.tolist()) if chr(c).isspace()])
-    out = np.where(blank, 0x20, out)
+    out = flat[(np.cumsum(sizes) - sizes)[inverse][at] + inside]
+    return np.where(np.isin(out, [c for c in set(flat.tolist()) if chr(c).isspace()]), 0x20, out), at
+
+
+def normal(text: str) -> tuple[str, np.ndarray]:
+    """The text in plain signs and compatibility forms with white space collapsed, and the place in the text of each of its characters."""
+    out, at = _spread(_codes(text))
+    blank = out == 0x20
     kept = ~(blank & np.concatenate(([True], blank[:-1]))) if len(out) else blank
     out, at = out[kept], at[kept]
     if len(out) and out[-1] == 0x20:
@@ -162,16 +182,18 @@ def common_lengths(masks: np.ndarray, size: int, lanes: np.ndarray) -> np.ndarra
     if len(lanes) < _FEW:
         whole, every = [sum(int(limb) << (_LIMB * k) for k, limb in enumerate(limbs)) for limbs in masks], (1 << size) - 1
         return np.array([size - reduce(lambda row, c: ((row + (row & whole[c])) | (row & ~whole[c])) & every, lane, every).bit_count() for lane in lanes.tolist()], np.int64)
-    full = np.uint64((1 << _LIMB) - 1)
+    full, top = np.uint64((1 << _LIMB) - 1), np.uint64(_LIMB)
     rows = [np.full(len(lanes), full) for _ in range(masks.shape[1])]
     columns, limbs = np.ascontiguousarray(lanes.T), np.ascontiguousarray(masks.T)
+    both, total, carry = (np.empty(len(lanes), np.uint64) for _ in range(3))
     for symbols in columns:
-        carry = np.uint64(0)
-        for k, row in enumerate(rows):
-            both = row & limbs[k][symbols]
-            total = row + both + carry
-            carry = total >> np.uint64(_LIMB)
-            rows[k] = (total & full) | (row ^ both)
+        carry[:] = 0
+        for limb, row in zip(limbs, rows, strict=True):
+            np.bitwise_and(np.take(limb, symbols, out=both, mode="clip"), row, out=both)
+            np.add(np.add(row, both, out=total), carry, out=total)
+            np.right_shift(total, top, out=carry)
+            np.bitwise_and(total, full, out=total)
+            np.bitwise_or(np.bitwise_xor(row, both, out=row), total, out=row)
     held = sum(np.bitwise_count(row).astype(np.int64) for row in rows)
     return len(rows) * _LIMB - held
 
@@ -239,93 +261,213 @@ def _fitting(masks: np.ndarray, size: int, letters: np.ndarray, starts: np.ndarr
     return np.concatenate(kept) if kept else np.zeros(0, bool)
 
 
+class Chunks:
+    """What chunks of a few symbols cost at least in each of some quotes: the least number of insertions and deletions that turn any stretch of the quote into the chunk.
+
+    Texts repeat short chunks, so each is worked out once, for all quotes together. A bit is a quote; for every place of the quotes
+    and every cost there is a word that says in which of them the chunk so far can end there at that cost. Chunks that begin alike
+    share their steps.
+    """
+
+    #: Symbols of a chunk, if their places among the letters fit a word.
+    SIZE = 6
+    #: Costs are told apart up to this one; what costs more counts as one more.
+    MOST = 2
+    #: Chunks whose steps are taken at once.
+    TURN = 512
+    #: One chunk of a text in so many may be taken with any symbol at its end.
+    RARE = 5
+
+    def __init__(self, quotes: list[np.ndarray], letters: int, room: int):
+        self.any, self.bits = letters + 1, (letters + 1).bit_length()
+        self.size, self.room = min(self.SIZE, 63 // self.bits), room
+        self.masks = []
+        for a in range(0, len(quotes), 64):
+            some = quotes[a : a + 64]
+            mask = np.zeros((letters + 2, max(map(len, some))), np.uint64)
+            mask[self.any] = ~np.uint64(0)
+            for k, quote in enumerate(some):
+                mask[quote, np.arange(len(quote))] |= np.uint64(1 << k)
+            self.masks.append(mask)
+        self.known, self.column, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((len(quotes), 0), np.uint8)
+
+    def keys(self, text: np.ndarray) -> np.ndarray:
+        """The chunks of a text of so many whole ones, a number each."""
+        return reduce(lambda key, symbols: (key << self.bits) | symbols, text.reshape(-1, self.size).T.astype(np.int64))
+
+    def costs(self, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """At most what each of the chunks costs, which are in order and stand so many times: a row for each quote, a column for each chunk.
+
+        One that is new and stands once is taken with any symbol at its end, so that others share it; unless there are many of these,
+        as then too few windows could be ruled out.
+        """
+        rare = (times == 1) & (_places(self.known, keys) == len(self.known))
+        rare &= self.RARE * np.count_nonzero(rare) < times.sum()
+        keys, back = np.unique(np.where(rare, (keys >> self.bits << self.bits) | self.any, keys), return_inverse=True)
+        at = _places(self.known, keys)
+        new = keys[at == len(self.known)]
+        if len(self.known) + len(new) > self.room:  # those that the texts don't hold now are forgotten
+            at = at[at < len(self.known)]
+            self.known, self.held = self.known[at], np.take(self.held, self.column[at], axis=1)
+            self.column = np.arange(len(at))
+        if len(new):
+            many, known = len(self.known), np.concatenate((self.known, new))
+            if len(known) > self.held.shape[1]:
+                wider = np.empty((len(self.held), len(known) * 5 // 4), np.uint8)
+                wider[:, :many] = self.held[:, :many]
+                self.held = wider
+            for a in range(0, len(new), 65_536):
+                some = new[a : a + 65_536]
+                self.held[:, many + a : many + a + len(some)] = self._work_out(some)
+            order = np.argsort(known, kind="stable")
+            self.known, self.column = known[order], np.concatenate((self.column, np.arange(many, len(known))))[order]
+        return np.take(self.held, self.column[np.searchsorted(self.known, keys)][back], axis=1)
+
+    def _work_out(self, keys: np.ndarray) -> np.ndarray:
+        chunks = np.stack([(keys >> (self.bits * k)) & ((1 << self.bits) - 1) for k in reversed(range(self.size))], axis=1)
+        new = np.ones(chunks.shape, bool)
+        np.logical_or.accumulate(chunks[1:] != chunks[:-1], axis=1, out=new[1:])
+        ends = np.empty((self.MOST + 1, len(chunks), len(self.masks)), np.uint64)
+        for k, mask in enumerate(self.masks):
+            turn = max(1, min(self.TURN, (1 << 18) // mask.shape[1]))
+            for a in range(0, len(chunks), turn):
+                fresh = new[a : a + turn].copy()
+                fresh[0] = True
+                ends[:, a : a + turn, k] = self._ends(chunks[a : a + turn], fresh, mask)
+        costs = np.full((len(self.masks) * 64, len(chunks)), self.MOST + 1, np.uint8)
+        for end in ends:
+            costs -= np.unpackbits(end.astype("<u8").view(np.uint8), axis=1, bitorder="little").T
+        return costs[: len(self.held)]
+
+    def _ends(self, chunks: np.ndarray, fresh: np.ndarray, mask: np.ndarray) -> list[np.ndarray]:
+        """In which quotes each chunk costs 0, at most 1 and so on; fresh: which symbols don't begin as the chunk before."""
+        rows, node = [np.full((1, mask.shape[1] + 1), ~np.uint64(0))] * (self.MOST + 1), np.zeros(len(chunks), np.int64)
+        for k in range(self.size - 1):
+            at = np.flatnonzero(fresh[:, k])
+            has, before, rows = mask[chunks[at, k]], [row[node[at]] for row in rows], []
+            for d, row in enumerate(before):
+                end = np.empty_like(row)
+                end[:, 0] = before[d - 1][:, 0] if d else 0
+                inner = np.bitwise_and(row[:, :-1], has, out=end[:, 1:])
+                if d:  # a symbol of the chunk is left out, or one of the quote
+                    np.bitwise_or(inner, before[d - 1][:, 1:], out=inner)
+                    np.bitwise_or(inner, rows[-1][:, :-1], out=inner)
+                rows.append(end)
+            node = np.cumsum(fresh[:, k]) - 1
+        # Of the last symbol it doesn't matter where it ends.
+        has, out = mask[chunks[:, -1]], []
+        for d, row in enumerate(rows):
+            end = row[node, :-1]
+            out.append(np.bitwise_or.reduce(np.bitwise_and(end, has, out=end), axis=1))
+            if d:
+                out[d] |= out[d - 1] | np.bitwise_or.reduce(rows[d - 1], axis=1)[node]
+        return out
+
+
 class Near:
     """Which quotes can nearly stand in which texts: a necessary condition for ``fuzzy_find``, so that no pair is lost.
 
-    A ratio r over a window of w characters and a quote of n takes m = r(n + w)/2 matched characters, in at most n + w - 2m + 1 runs.
-    Two trigrams are lost at the end of each run, so at least m - 2(n + w - 2m + 1) places of the window begin a trigram of the quote.
-    That tells languages apart, and is counted for all quotes at once. Then n + w - 2m insertions and deletions turn the quote
-    into the window, and what they cost falls to the window's blocks, each of which costs at least the edit distance to the
-    stretch of the quote that is nearest to it: so the sum over the blocks inside a window is at most n + w - 2m. Unlike texts of
-    one language cost half as much again. Last, m is at most the longest common subsequence of the window itself.
+    A ratio r over a window of w characters and a quote of n takes m = r(n + w)/2 matched characters. Then n + w - 2m insertions and
+    deletions turn the quote into the window, and what they cost falls to the window's chunks, each of which costs at least what
+    turns the nearest stretch of the quote into it: so the sum over the chunks inside a window is at most n + w - 2m. Unlike texts
+    cost a fifth to a half more. Where that leaves many windows, as of long quotes, blocks of 16 characters are aligned likewise.
+    Last, m is at most the longest common subsequence of the window itself.
     """
 
-    #: Quotes whose trigrams are counted at once, a byte a quote.
+    #: Quotes whose chunks are worked out at once.
     GROUP = 256
+    #: Bytes of chunks that are kept for the texts to come, a byte a quote.
+    ROOM = 192 << 20
+    #: More windows than these are told apart by their blocks.
+    MANY = 4096
 
     def __init__(self, quotes: list[str], least: float = vocab.FUZZY_RATIO):
         self.least = least
-        plain = [(q, _codes(normal(quote)[0])) for q, quote in enumerate(quotes)]
+        # Quotes of one word of bits are nearly as long as each other.
+        plain = sorted(((q, _codes(normal(quote)[0])) for q, quote in enumerate(quotes)), key=lambda x: len(x[1]))
         self.empty, plain = [q for q, codes in plain if not len(codes)], [x for x in plain if len(x[1])]
         self.groups = []
         for a in range(0, len(plain), self.GROUP):
             some = plain[a : a + self.GROUP]
-            letters, every = np.unique(np.concatenate([c for _, c in some])), np.unique(np.concatenate([_grams(c) for _, c in some]))
-            has = np.zeros((len(every) + 1, len(some)), np.uint8)
-            for k, (_, codes) in enumerate(some):
-                has[np.searchsorted(every, _grams(codes)), k] = 1
-            self.groups.append((letters, every, has, [(q, np.searchsorted(letters, codes), _masks(codes, letters)) for q, codes in some]))
+            letters = np.unique(np.concatenate([c for _, c in some]))
+            placed = [(q, np.searchsorted(letters, codes)) for q, codes in some]
+            self.groups.append((letters, Chunks([c for _, c in placed], len(letters), self.ROOM // len(plain)), placed))
 
     def pairs(self, texts: list[str]) -> list[tuple[int, int]]:
         """(ordinal of the text, ordinal of the quote)."""
         own = [_codes(normal(text)[0]) for text in texts]
         found = [(t, q) for q in self.empty for t in range(len(texts))]
-        for letters, every, has, quotes in self.groups:
-            found += self._group(letters, every, has, quotes, own)
+        for letters, chunks, quotes in self.groups:
+            found += self._group(letters, chunks, quotes, own)
         return sorted(found, key=lambda x: (x[1], x[0]))
 
-    def _group(self, letters, every, has, quotes, own: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        many = np.array([-(-len(codes) // _BLOCK) for codes in own], np.int64)
-        if not many.sum():
-            return
-        first, other = np.cumsum(many) - many, len(letters)
-        # All texts one after the other, each filled up to whole blocks.
-        text, grams = np.full(many.sum() * _BLOCK, other, np.int32), np.full(many.sum() * _BLOCK, len(every), np.int32)
-        for at, codes in zip((first * _BLOCK).tolist(), own, strict=True):
-            text[at : at + len(codes)] = _places(letters, codes)
-            if len(codes) > 2:
-                grams[at : at + len(codes) - 2] = _places(every, _grams(codes))
-        blocks, counts, grams = text.reshape(-1, _BLOCK), np.empty((len(quotes), many.sum()), np.uint8), grams.reshape(-1, _BLOCK)
-        for a in range(0, len(grams), 2048):
-            some = np.zeros((len(grams[a : a + 2048]), len(quotes)), np.uint8)
-            for places in grams[a : a + 2048].T:
-                some += has[places]
-            counts[:, a : a + 2048] = some.T
-        owner = np.repeat(np.arange(len(own)), many)
-        size = np.array([len(codes) for codes in own], np.int64)[owner]
-        start = (np.arange(len(blocks)) - first[owner]) * _BLOCK
-        longest = max(len(codes) for _, codes, _ in quotes)
-        padded = np.concatenate((text, np.full(longest, other, np.int32)))
-        for counted, (q, quote, masks) in zip(counts, quotes, strict=True):
-            at, starts = self._windows(quote, counted, blocks, start, size)
-            if len(at):
-                window = np.minimum(len(quote), size[at])
-                # A window that runs beyond its text is that of a text shorter than the quote.
-                lanes = np.where(np.arange(len(quote)) < window[:, None], padded[(first[owner[at]] * _BLOCK + starts)[:, None] + np.arange(len(quote))], other)
-                fits = _fitting(masks, len(quote), lanes.ravel(), np.arange(len(at)) * len(quote), window, self.least)
-                yield from ((t, q) for t in np.unique(owner[at[fits]]).tolist())
-
-    def _windows(self, quote: np.ndarray, counted: np.ndarray, blocks: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The windows that may reach the ratio by their blocks: the block each starts in, and its start in its text."""
-        n, step, here = len(quote), max(1, len(quote) // 8), np.arange(len(blocks))
-        window = np.minimum(n, size)
-        spare = (n + window) * (1 - self.least)
-        sums = np.concatenate(([0], np.cumsum(counted, dtype=np.int64)))
-        after = np.minimum(here + (n + _BLOCK - 2) // _BLOCK + 1, len(blocks))
-        may = (sums[after] - sums[here] >= (n + window) * self.least / 2 - 2 * (spare + 1) - 1e-6) & (start <= np.maximum(size - n, 0))
-        at = np.flatnonzero(may)
-        costs, full = np.zeros(len(blocks) + 1, np.int64), start + _BLOCK <= size
+    def _group(self, letters: np.ndarray, chunks: Chunks, quotes: list[tuple[int, np.ndarray]], own: list[np.ndarray]) -> list[tuple[int, int]]:
+        size, other, longest = np.array([len(codes) for codes in own], np.int64), len(letters), max(len(quote) for _, quote in quotes)
+        # All texts one after the other, each filled up to whole chunks and blocks.
+        unit = int(np.lcm(_BLOCK, chunks.size))
+        held = -(-size // unit) * unit
+        base, total = np.cumsum(held) - held, int(held.sum())
+        if not total:
+            return []
+        place = np.full(0x110000, other, np.int32)
+        place[letters] = np.arange(other)
+        text = np.full(total + longest, other, np.int32)
+        for at, codes in zip(base.tolist(), own, strict=True):
+            text[at : at + len(codes)] = place[codes]
+        keys, chunk, times = np.unique(chunks.keys(text[:total]), return_inverse=True, return_counts=True)
+        owner, sums = np.repeat(np.arange(len(own)), held // chunks.size), np.zeros(len(chunk) + 1, np.uint32)
+        windows = []
+        for k, (cost, (_, quote)) in enumerate(zip(chunks.costs(keys, times), quotes, strict=True)):
+            np.cumsum(cost[chunk], dtype=np.uint32, out=sums[1:])
+            t, start = self._windows(len(quote), chunks.size, sums, owner, base, size)
+            if len(t) > self.MANY:
+                fits = self._aligned(quote, text[:total].reshape(-1, _BLOCK), base[t] + start, np.minimum(len(quote), size[t]))
+                t, start = t[fits], start[fits]
+            windows.append((np.full(len(t), k), t, start))
+        return self._common(quotes, other, text, base, size, *map(np.concatenate, zip(*windows, strict=True)))
+
+    def _windows(self, n: int, chunk: int, sums: np.ndarray, owner: np.ndarray, base: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that may reach the ratio by their chunks: the text of each, and its start there."""
+        step, inside, most = max(1, n // 8), max(0, n // chunk - 1), np.uint32(2 * n * (1 - self.least) + 1e-6)
+        after = sums[1:]
+        at = np.flatnonzero(after[inside:] - after[: len(after) - inside] <= most)
+        t = owner[at]
+        first = at * chunk - base[t]
+        starts = -(-first // step)[:, None] * step + np.arange(0, chunk, step)
+        row, column = np.nonzero((starts < first[:, None] + chunk) & (starts <= (size[t] - n)[:, None]))
+        t, start = t[row], starts[row, column]
+        place = base[t] + start
+        good = sums[(place + n) // chunk] - sums[np.minimum(-(-place // chunk), (place + n) // chunk)] <= most
+        # Texts shorter than the quote are one window.
+        short = np.flatnonzero((size < n) & (size > 0))
+        from_, upto = base[short] // chunk, (base[short] + size[short]) // chunk
+        short = short[sums[upto] - sums[from_] <= (n + size[short]) * (1 - self.least) + 1e-6]
+        return np.concatenate((t[good], short)), np.concatenate((start[good], np.zeros(len(short), np.int64)))
+
+    def _aligned(self, quote: np.ndarray, blocks: np.ndarray, start: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Which windows may reach the ratio by the blocks inside them."""
+        inner = -(-start // _BLOCK)[:, None] + np.arange(max(1, len(quote) // _BLOCK))
+        whole, fits, cost = (inner + 1) * _BLOCK <= (start + window)[:, None], np.ones(len(start), bool), np.zeros(len(start))
         # Three quarters of the blocks are nearly always enough to rule a window out.
-        for turn in (here % 4 != 3, here % 4 == 3):
-            edges = np.bincount(at, minlength=len(blocks) + 1) - np.bincount(after[at], minlength=len(blocks) + 1)
-            used = np.flatnonzero((np.cumsum(edges[:-1]) > 0) & turn & full)
-            costs[used + 1] = block_costs(blocks[used], quote)
-            sums, inner = np.cumsum(costs), np.minimum(at + 1, len(blocks))
-            beyond = np.minimum(at + np.maximum(window[at] // _BLOCK, 1), len(blocks))
-            at = at[sums[beyond] - sums[inner] <= spare[at] + 1e-6]
-        starts = -(-start[at] // step)[:, None] * step + np.arange(0, _BLOCK, step)
-        good = (starts < start[at][:, None] + _BLOCK) & (starts <= np.maximum(size[at] - n, 0)[:, None])
-        return np.repeat(at, good.sum(1)), starts[good]
+        for last in (False, True):
+            row, column = np.nonzero(whole & fits[:, None] & ((inner % 4 == 3) == last))
+            used, at = np.unique(inner[row, column], return_inverse=True)
+            cost += np.bincount(row, weights=block_costs(blocks[used], quote)[at], minlength=len(start))
+            fits &= cost <= (len(quote) + window) * (1 - self.least) + 1e-6
+        return fits
+
+    def _common(self, quotes, other: int, text: np.ndarray, base: np.ndarray, size: np.ndarray, k: np.ndarray, t: np.ndarray, start: np.ndarray) -> list[tuple[int, int]]:
+        """Those of the windows with so long a common subsequence that the ratio may be reached, of all quotes together: a quote's symbols are its own."""
+        found, n = set(), np.array([len(quote) for _, quote in quotes], np.int64)
+        for a in range(0, len(k), 8192):
+            own, at, here = k[a : a + 8192], t[a : a + 8192], np.arange(n[k[a : a + 8192]].max())
+            low, window = own[0], np.minimum(n[own], size[at])
+            limbs = [_masks(quotes[i][1], np.arange(other)) for i in range(low, own[-1] + 1)]
+            masks = np.concatenate([np.pad(m, ((0, 0), (0, -(-len(here) // _LIMB) - m.shape[1]))) for m in limbs])
+            lanes = np.where(here < window[:, None], text[(base[at] + start[a : a + 8192])[:, None] + here], other) + ((own - low) * (other + 1))[:, None]
+            fits = common_lengths(masks, len(here), lanes) >= (n[own] + window) * self.least / 2 - 1e-6
+            found.update(zip(at[fits].tolist(), own[fits].tolist(), strict=True))
+        return [(t, quotes[i][0]) for t, i in found]
 
 
 def near(items: DataFrame, texts: DataFrame, *, least: int = vocab.MIN_QUOTE, most_bytes: int = 8 << 20) -> DataFrame:
@@ -341,13 +483,19 @@ def near(items: DataFrame, texts: DataFrame, *, least: int = vocab.MIN_QUOTE, mo
     return found
 
 
+@lru_cache(maxsize=1)
+def _index(quotes: tuple[str, ...]) -> Near:
+    """Kept from task to task of a worker, as its chunks are."""
+    return Near(list(quotes))
+
+
 def _near(rows: list[tuple[int, str]]):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         quotes = sorted({q for _, q in rows})
         ids: dict[str, list[int]] = {}
         for quote_id, quote in rows:
             ids.setdefault(quote, []).append(quote_id)
-        index = Near(quotes)
+        index = _index(tuple(quotes))
         for frame in batches:
             frame = frame[frame.text.notna() & (frame.text != "")]
             size = frame.text.str.len().cumsum() // (1 << 22)

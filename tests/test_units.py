@@ -282,6 +282,65 @@ def test_blocks_cost_their_least_edit_distance():
         assert grounding.block_costs(np.array(blocks), np.array(quote)).tolist() == [least(b, quote) for b in blocks]
 
 
+def test_chunks_cost_their_least_insertions_and_deletions():
+    """Bits against the plain table, for more quotes than a word has bits, with chunks known, new and forgotten; at most that where a chunk stands once."""
+    rng = random.Random(3)
+
+    def least(chunk, quote):
+        row = [0] * (len(quote) + 1)
+        for i, x in enumerate(chunk):
+            new = [i + 1]
+            for j, y in enumerate(quote):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] if x == y else 99))
+            row = new
+        return min(row)
+
+    quotes = [np.array([rng.randrange(5) for _ in range(size)]) for size in [1, 2, 5, *range(8, 78)]]
+    chunks = grounding.Chunks(quotes, 5, 60)
+    for turn in range(6):
+        text = np.array([rng.randrange(6) for _ in range(6 * 40)])
+        plain = sorted(set(map(tuple, text.reshape(-1, 6).tolist())))
+        want = np.array([[min(3, least(chunk, quote)) for chunk in plain] for quote in quotes])
+        keys = np.unique(chunks.keys(text))
+        assert np.array_equal(chunks.costs(keys, np.full(len(keys), 2)), want) and len(chunks.known) <= 60
+    text = np.concatenate([np.tile(np.arange(6), 30), [rng.randrange(6) for _ in range(24)]])
+    keys, times = np.unique(chunks.keys(text), return_counts=True)
+    plain = sorted(set(map(tuple, text.reshape(-1, 6).tolist())))
+    got, want = chunks.costs(keys, times), np.array([[min(3, least(chunk, quote)) for chunk in plain] for quote in quotes])
+    assert (got <= want).all() and (got < want).any() and np.array_equal(got[:, times > 1], want[:, times > 1])
+
+
+def test_unlike_windows_are_ruled_out_by_chunks(monkeypatch):
+    """Pairs by the common subsequence of all windows; hardly a block is aligned, and no chunk is worked out twice."""
+    rng, seen, own = random.Random(11), [], grounding.block_costs
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    quotes = [prose(n) for n in (3, 4, 9, 15, 20, 25, 30, 35)]
+    texts = [prose(rng.randrange(100, 400)) for _ in range(12)] + ["", "x", "of it"]
+    for q in quotes:
+        texts += ["".join("#" if rng.random() < share else c for c in q) for share in (0, 0.05, 0.14, 0.2)] + [prose(30) + " " + q[:-3] + "#" + prose(20), q[: len(q) * 3 // 4].strip()]
+
+    def common(a, b):
+        row, every = (1 << len(b)) - 1, (1 << len(b)) - 1
+        for c in a:
+            has = sum(1 << k for k, d in enumerate(b) if c == d)
+            row = ((row + (row & has)) | (row & ~has)) & every
+        return len(b) - row.bit_count()
+
+    def near(q, t):
+        windows = (t[a : a + len(q)] for a in range(0, max(1, len(t) - len(q) + 1), max(1, len(q) // 8)))
+        return any(common(w, q) >= 0.85 * (len(q) + len(w)) / 2 - 1e-6 for w in windows if t)
+
+    monkeypatch.setattr(grounding, "block_costs", lambda blocks, quote: (seen.append(len(blocks)), own(blocks, quote))[1])
+    index, want = grounding.Near(quotes), [(t, q) for q in range(len(quotes)) for t in range(len(texts)) if near(quotes[q], texts[t])]
+    assert index.pairs(texts) == want and len(want) > 20
+    assert sum(seen) * 100 < sum(map(len, texts)) // 16 * len(quotes)
+    monkeypatch.setattr(grounding.Chunks, "_work_out", None)
+    assert index.pairs(texts) == want
+    monkeypatch.setattr(grounding.Near, "MANY", 0)
+    assert index.pairs(texts) == want and seen
+
+
 def test_near_quotes_are_searched_by_many_tasks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i} of one file") for i in range(64)], "doc_id long, text string").coalesce(1)
     asked = spark.createDataFrame([(1, "text 7 of one fine")], "quote_id long, quote string")
