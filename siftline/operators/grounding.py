@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache, reduce
+from collections.abc import Callable, Iterator
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -142,29 +142,45 @@ def fuzzy_find(quote: str, text: str, least: float = vocab.FUZZY_RATIO) -> tuple
     size = len(wanted)
     if not size or not plain:
         return None
-    matcher, hits, best = difflib.SequenceMatcher(None, autojunk=False), [], None
+    matcher = difflib.SequenceMatcher(None, autojunk=False)
     matcher.set_seq2(wanted)
     codes, starts = _codes(wanted), np.arange(0, max(1, len(plain) - size + 1), max(1, size // 8))
     letters = np.unique(codes)
-    padded = np.concatenate((_places(letters, _codes(plain)), np.full(size, len(letters))))
-    fits = _fitting(_masks(codes, letters), size, padded, starts, min(size, len(plain)), least)  # difflib is slow: only where it may reach the ratio
-    for start in starts[fits].tolist():
-        matcher.set_seq1(plain[start : start + size])
-        if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (r := matcher.ratio()) >= least:
-            hits.append(start)
-            if best is None or r > best[1]:
-                best = (start, r)
-    if best is None:
-        return None
+    masks, padded = _masks(codes, letters), np.concatenate((_places(letters, _codes(plain)), np.full(size, len(letters))))
 
-    def fit(window: tuple[int, int]) -> float:
-        matcher.set_seq1(normal(text[window[0] : window[1]])[0])
+    @cache
+    def ratio(window: str) -> float:
+        matcher.set_seq1(window)
         return matcher.ratio()
 
-    start, end = _original(at, best[0], size)
+    # difflib is slow: it is asked only where it may reach the ratio, and where that may matter.
+    common = np.concatenate([common_lengths(masks, size, padded[starts[a : a + 2048, None] + np.arange(size)]) for a in range(0, len(starts), 2048)])
+    bounds = 2.0 * common / (size + min(size, len(plain)))
+    fits = bounds >= least - 1e-9
+    hits, bounds = starts[fits].tolist(), bounds[fits].tolist()
+    of = lambda start: ratio(plain[start : start + size])
+    best = _first_best(hits, bounds, of)
+    if best is None or of(best) < least:
+        return None
+    again = hits[-1] - hits[0] >= size and next(s for s in reversed(hits) if of(s) >= least) - next(s for s in hits if of(s) >= least) >= size
+    start, end = _original(at, best, size)
     windows = [(start, end)] + [(s, e) for d in vocab.REPAIR_STEPS for s in (max(0, start - d), start) for e in (min(len(text), end + d), end)]
-    start, end = max(dict.fromkeys(windows), key=fit)
-    return start, end, fit((start, end)), hits[-1] - hits[0] >= size
+    forms = {(s, e): normal(text[s:e])[0] for s, e in windows}
+    lanes = np.full((len(forms), max(map(len, forms.values()))), len(letters))
+    for lane, form in zip(lanes, forms.values(), strict=True):
+        lane[: len(form)] = _places(letters, _codes(form))
+    bounds = [2.0 * m / (size + len(form)) for m, form in zip(common_lengths(masks, size, lanes).tolist(), forms.values(), strict=True)]
+    start, end = _first_best(list(forms), bounds, lambda window: ratio(forms[window]))
+    return start, end, ratio(forms[start, end]), again
+
+
+def _first_best(options: list, bounds: list[float], value: Callable):
+    """The first of the options with the greatest value, which is at most the bound of each; it is worked out only for those that may be it."""
+    best = None
+    for bound, k in sorted(zip((-b for b in bounds), range(len(bounds)), strict=True)):
+        if best is None or (bound, k) < best:
+            best = min(best or (0.0, len(options)), (-value(options[k]), k))
+    return None if best is None else options[best[1]]
 
 
 #: Bits of a limb; the one above takes the carry.
@@ -252,15 +268,6 @@ def _places(known: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == found), at, len(known)) if len(known) else at
 
 
-def _fitting(masks: np.ndarray, size: int, letters: np.ndarray, starts: np.ndarray, window: np.ndarray | int, least: float) -> np.ndarray:
-    """Of windows of a text (its places among the letters, padded at the end) those with so long a common subsequence that the ratio may be reached."""
-    kept = [
-        common_lengths(masks, size, letters[some[:, None] + np.arange(size)]) >= (size + wide) * least / 2 - 1e-6
-        for a in range(0, len(starts), 2048) for some, wide in [(starts[a : a + 2048], window if isinstance(window, int) else window[a : a + 2048])]
-    ]
-    return np.concatenate(kept) if kept else np.zeros(0, bool)
-
-
 class Chunks:
     """What chunks of a few symbols cost at least in each of some quotes: the least number of insertions and deletions that turn any stretch of the quote into the chunk.
 

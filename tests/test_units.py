@@ -355,6 +355,39 @@ def test_near_quotes_are_searched_by_many_tasks(spark, monkeypatch):
     assert abs(found[0] - len(text) + len(quote)) <= 8 and len(seen) < 60
 
 
+def test_difflib_is_asked_where_it_may_matter(monkeypatch):
+    """Places, ratios and ambiguity are those of asking it about every window and every repair, for slips, repeats, short texts and odd signs."""
+    rng, seen, own = random.Random(2), [], difflib.SequenceMatcher.set_seq1
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(80)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+    def plain_find(quote, text, least=0.85):
+        wanted, (plain, at) = grounding.normal(quote)[0], grounding.normal(text)
+        ratio = lambda a: difflib.SequenceMatcher(None, a, wanted, autojunk=False).ratio()
+        size = len(wanted)
+        found = [(s, ratio(plain[s : s + size])) for s in range(0, max(1, len(plain) - size + 1), max(1, size // 8))]
+        if not (hits := [x for x in found if x[1] >= least]):
+            return None
+        best = max(hits, key=lambda x: x[1])[0]
+        start, end = int(at[best]), int(at[min(best + size, len(at)) - 1]) + 1
+        windows = [(start, end)] + [(s, e) for d in (1, 2, 3, 5, 8) for s in (max(0, start - d), start) for e in (min(len(text), end + d), end)]
+        start, end = max(windows, key=lambda x: ratio(grounding.normal(text[x[0] : x[1]])[0]))
+        return start, end, ratio(grounding.normal(text[start:end])[0]), hits[-1][0] - hits[0][0] >= size
+
+    cases = []
+    for n in (3, 6, 12, 20):
+        for share in (0, 0.03, 0.08, 0.13):
+            quote = prose(n)
+            slip = "".join("z" if rng.random() < share else c + "…" * (rng.random() < share / 4) for c in quote)
+            cases += [(quote, x) for x in (prose(9) + " " + slip + " " + prose(30), slip, slip[3:], slip + prose(25) + "  " + quote, "“" + slip + "” " + slip, prose(30))]
+    got = [grounding.fuzzy_find(*case) for case in cases]
+    assert got == [plain_find(*case) for case in cases]
+    assert {None if x is None else x[3] for x in got} == {None, True, False}
+    monkeypatch.setattr(difflib.SequenceMatcher, "set_seq1", lambda self, a: (seen.append(a), own(self, a))[1])
+    quote = prose(40)
+    assert not grounding.fuzzy_find(quote, prose(50) + " " + quote[:90] + "#" + quote[91:] + " " + prose(50))[3] and len(seen) <= 8
+
+
 def test_fuzzy_offsets_are_of_the_text_as_it_was():
     text = "Well… so… it was… and then we migrated forty services to the cloud"
     a, b, ratio, again = grounding.fuzzy_find("and then we migrated forty services to the cloud", text)
