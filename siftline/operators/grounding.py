@@ -320,7 +320,7 @@ class Chunks:
         if len(new):
             many, known = len(self.known), np.concatenate((self.known, new))
             if len(known) > self.held.shape[1]:
-                wider = np.empty((len(self.held), len(known) * 5 // 4), np.uint8)
+                wider = np.empty((len(self.held), max(len(known), min(len(known) * 5 // 4, self.room))), np.uint8)
                 wider[:, :many] = self.held[:, :many]
                 self.held = wider
             for a in range(0, len(new), 65_536):
@@ -384,7 +384,7 @@ class Near:
     #: Quotes whose chunks are worked out at once.
     GROUP = 256
     #: Bytes of chunks that are kept for the texts to come, a byte a quote.
-    ROOM = 192 << 20
+    ROOM = 128 << 20
     #: More windows than these are told apart by their blocks.
     MANY = 4096
 
